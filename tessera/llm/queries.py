@@ -24,6 +24,12 @@ def op2_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import op3_warc_merge as op
+
+    return op.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import op4_url_filters as op
 
@@ -49,17 +55,34 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import op8_toxicity as op
+
+    scored = op.toxicity(table(spark, sf_dir, "documents"), op.learnable(table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.array_join("evidence", ",").alias("evidence"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import op9_mixing as op
 
     return op.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import op10_secret_crf as op
+
+    return op.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES = (op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op5_bpe_lexicon, op6_avi, op7_order_minhash, op8_toxicity, op9_mixing, op10_secret_crf)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_embedding_lsh, op4_url_filters, op5_bpe_lexicon, op6_avi, op7_order_minhash, op9_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import op1_chat_format, op2_embedding_lsh, op4_url_filters, op9_mixing
+    from tessera.llm import op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op9_mixing
 
-    return {f"{m.__name__.rpartition('.')[2]}": m.SQL for m in (op1_chat_format, op2_embedding_lsh, op4_url_filters, op9_mixing)}
+    return {m.__name__.rpartition(".")[2]: m.SQL for m in (op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op9_mixing)}
