@@ -3,19 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import op7_order_minhash
+from tessera.llm import op5_bpe_lexicon, op7_order_minhash, op8_toxicity, op9_mixing, op10_secret_crf
 from tessera.llm.common import stored, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go."""
+    return op8_toxicity.reject_toxic(docs, op8_toxicity.learnable(table(spark, sf_dir, "labels")))
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return op7_order_minhash.dedup(docs)
 
 
-STAGES = [("minhash_near_dedup", minhash_near_dedup)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return op10_secret_crf.mask(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources come near their target weights."""
+    return op9_mixing.mix(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256."""
+    coded = op5_bpe_lexicon.encode(docs, op5_bpe_lexicon.default_path())
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", toxicity), ("minhash_near_dedup", minhash_near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("bpe_encoding", bpe_encoding)]
 
-#: SQL cannot express the toxicity, near-copy, tagging and tokenizer stages.
+#: SQL cannot express nearest examples, alignment, tagging and merging; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
