@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import search
+from tessera.plans import graph, search
 
-MODULES = (search,)
+MODULES = (search, graph)
 
 
 def queries() -> dict:

@@ -10,8 +10,8 @@ from tessera.operators import fusion, lanes
 from tessera.operators.lanes import ADDRESS
 from tessera.plans.fixtures import Corpus, sql
 
-QUESTION = "how does the theaeati handle ofretihaou"
-TERMS12 = ("pathetic", "erlytion", "thinerha", "ofretihaou", "thintion", "erndtion", "theaeati", "thbleing", "thtithly", "onretion", "ththtion", "überlich")
+QUESTION = "how does the theaeati handle thattionwh"
+TERMS12 = ("leellevi", "lichlich", "thanbletion", "thattionwh", "thesstble", "reingtion", "thstthou", "thesedhe", "ofretihaou", "onoueshe", "ciónueíez", "ananheea")
 KEYS = ", ".join(ADDRESS)
 _TOKENS = r"list_filter(regexp_split_to_array(lower(raw_text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _KIND = f"CASE WHEN regexp_matches(path, '{paths.DOC_PATTERN}') THEN 2 WHEN regexp_matches(path, '{paths.TEST_PATTERN}') THEN 1 ELSE 0 END"
@@ -145,7 +145,7 @@ def r03_code_override(spark, sf_dir):
 
 
 def r04_substring(spark, sf_dir):
-    return _out(lanes.substring(Corpus(spark, sf_dir).hits(), ["ofretihaou"]), "chunk_id", "kind", "rank")
+    return _out(lanes.substring(Corpus(spark, sf_dir).hits(), ["thattionwh"]), "chunk_id", "kind", "rank")
 
 
 def r05_substring_batched(spark, sf_dir):
@@ -237,7 +237,7 @@ SQL = {
     "r02_keyword_prefix": sql(f"SELECT chunk_id, score, rank FROM ({keyword_sql(['thint', 'theae'], True, True)})", "hits"),
     "r02_keyword_or": sql(f"SELECT chunk_id, score, rank FROM ({keyword_sql(_ANY[1], False, True)})", "hits"),
     "r03_code_override": sql(f"SELECT chunk_id, rank, 'code' AS lane, 0.8::DOUBLE AS weight FROM ({keyword_sql(['thbleing', 'erbleing'], False, True)})", "hits"),
-    "r04_substring": sql(f"SELECT chunk_id, kind, rank FROM ({substring_sql(['ofretihaou'])})", "hits"),
+    "r04_substring": sql(f"SELECT chunk_id, kind, rank FROM ({substring_sql(['thattionwh'])})", "hits"),
     "r05_substring_batched": sql(f"SELECT term, chunk_id, kind, rank FROM ({substring_sql(list(TERMS12))})", "hits"),
     "a06_hub_guard": sql(" UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (WHERE {contains_sql(t)}) AS matched, count(*) AS total, count(*) >= 500 AND count(*) FILTER (WHERE {contains_sql(t)}) / count(*) > 0.02 AS hub FROM hits" for t in ("schein", "ouement", "ofretihaou")), "hits"),
     "r06_round_robin": sql(f"SELECT chunk_id, pos FROM ({robin_sql(substring_sql(list(TERMS12)))})", "hits"),
