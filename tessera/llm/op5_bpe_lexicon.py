@@ -9,8 +9,8 @@ the raw text first, as the library does.
 words it halves it, so a word missed has at most that task's cut-off), tasks are summed, the `LEXICON` most frequent are
 compiled. The compiled form (`Lexicon`) is the minimal deterministic automaton of the sorted words, so shared suffixes are
 stored once; every edge outputs the number of words that sort before its target's, the sum along a word is its rank, and
-the rank addresses the word's ids. It is a flat file of integers, written once per machine from the broadcast bytes (about
-2 MB, bounded by `LEXICON`) and memory-mapped by every worker. A word outside it is merged exactly. The lexicon only saves
+the rank addresses the word's ids. It is a flat file of integers, written by each worker from the broadcast bytes (about
+7 MB, bounded by `LEXICON`) to an unnamed temporary file and memory-mapped. A word outside it is merged exactly. The lexicon only saves
 work: results do not depend on it.
 
 Decoding maps ids to the vocabulary's strings joined by a space, as the library does for a file without a decoder.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo
 
-LEXICON, KEEP_MOST, KEEP_TASK = 65_536, 500_000, 40_000
+LEXICON, KEEP_MOST, KEEP_TASK, NONE = 200_000, 500_000, 60_000, 1 << 62
 #: White space as the tokenizer's regular expressions have it; Python's `split` also takes 0x1C-0x1F.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -62,34 +62,32 @@ class Tokenizer:
         self.vocab: dict[str, int] = said["model"]["vocab"]
         self.end: str = said["model"]["end_of_word_suffix"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in said["model"]["merges"]]
-        self.rank = {p: i for i, p in enumerate(pairs)}
+        vocab = self.vocab
+        #: pair of ids -> rank and merged id in one number, so that the least of them is the next merge
+        self.merges = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in reversed([*enumerate(pairs)])}
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.strings = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for s, i in (self.vocab | self.special).items():
             self.strings[i] = s
-        self.alphabet = byte_alphabet()
+        self.symbols = [vocab[c] for c in byte_alphabet()]
+        self.last = {vocab[c]: vocab[c + self.end] for c in byte_alphabet()}
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging: the pair of least rank first, wherever it stands, until none is left."""
-        parts = [self.alphabet[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank = self.rank.get
-        while len(parts) > 1:
-            found = [rank(p, 1 << 30) for p in zip(parts, parts[1:])]
-            least = min(found)
-            if least == 1 << 30:
-                break
-            out, i, last = [], 0, len(parts) - 1
-            while i <= last:
-                if i < last and found[i] == least:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocab[p] for p in parts]
+        """Exact merging: the leftmost pair of least rank first, until none is left."""
+        ids = [self.symbols[b] for b in word.encode()]
+        ids[-1] = self.last[ids[-1]]
+        get = self.merges.get
+        found = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while found and (least := min(found)) != NONE:
+            i = found.index(least)
+            ids[i : i + 2] = [least & 0xFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
+            if i < len(found):
+                found[i] = get(ids[i] << 20 | ids[i + 1], NONE)
+        return ids
 
 
 class Lexicon:
@@ -140,13 +138,10 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, data: bytes) -> Lexicon:
-        """Written once per machine under its digest, then memory-mapped."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(data)
-            os.replace(f.name, path)
-        with open(path, "rb") as f:
+        """Memory-mapped from a file that has no name any more, so that nothing stays behind."""
+        with tempfile.TemporaryFile() as f:
+            f.write(data)
+            f.flush()
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def __init__(self, data):
@@ -201,6 +196,10 @@ class Encoder:
         self.seen = [0, 0]  # words from the lexicon, words merged
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # nearly all: a word, or a word and a mark
+            return self._word(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ",.":
+            return self._word(chunk[:-1]) + self._word(chunk[-1])
         return b"".join(map(self._word, WORD.findall(chunk)))
 
     def _word(self, word: str) -> bytes:
