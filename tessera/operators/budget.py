@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,31 +34,36 @@ def capped(rows: DataFrame, count: str, per_row: int, total: int, by: list) -> D
     return rows.withColumn("taken", F.greatest(F.lit(0), F.least(own, F.lit(total) - before)))
 
 
-def windows(costs: Column, target: int = 600, overlap: int = 75) -> Column:
-    """(start, end) of overlapping windows over an array of line costs, both from 1 and inclusive.
+def line_windows(costs: list[int], target: int = 600, overlap: int = 75) -> list[tuple[int, int]]:
+    """Overlapping windows over line costs, from 1 and inclusive.
 
-    A window grows while it stays within `target` (the first line always fits); the next starts far enough back to cover
-    `overlap` again, but always at least one line further. A fold over the lines cannot step back, so each step looks its
-    window up in running sums.
+    A window grows while it stays within `target` (its first line always fits); the next starts far enough back to cover
+    `overlap` again, but always at least one line further.
     """
-    n = F.size(costs)
-    sums = F.aggregate(costs.cast("array<bigint>"), F.array(F.lit(0).cast("bigint")), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
-
-    def end_of(start):
-        fits = F.size(F.filter(sums, lambda v, i: (i > start) & (v - F.element_at(sums, (start + 1).cast("int")) <= target)))
-        return F.least(n, start + F.greatest(F.lit(1), fits))
-
-    def next_of(start, end):
-        back = F.size(F.filter(sums, lambda v, i: (i < end) & (F.element_at(sums, (end + 1).cast("int")) - v >= overlap)))
-        return F.greatest(start + 1, back - 1)
-
-    def step(s, _):
-        end = end_of(s["at"])
-        made = F.array_append(s["made"], F.struct((s["at"] + 1).cast("int").alias("start"), end.cast("int").alias("end")))
-        return F.when(s["done"], s).otherwise(F.struct(next_of(s["at"], end).cast("int").alias("at"), made.alias("made"), (end >= n).alias("done")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("made"), F.lit(False).alias("done"))
-    return F.aggregate(costs, start, step, lambda s: s["made"])
+    out, at, n = [], 0, len(costs)
+    while at < n:
+        end, spent = at, 0
+        while end < n and (end == at or spent + costs[end] <= target):
+            spent += costs[end]
+            end += 1
+        out.append((at + 1, end))
+        if end >= n:
+            break
+        back, again = end, 0
+        while back > at + 1 and again < overlap:
+            back -= 1
+            again += costs[back]
+        at = back
+    return out
+
+
+def windows(costs: Column) -> Column:
+    """W05 over a column of line costs: a window may step back, which a fold in SQL cannot do cheaply."""
+
+    def of(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: [{"start": a, "end": b} for a, b in line_windows(list(x))])
+
+    return F.pandas_udf(of, "array<struct<start:int,end:int>>")(costs)
 
 
 def regions(anchors: DataFrame, lines: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph, search
+from tessera.plans import graph, reports, search
 
-MODULES = (search, graph)
+MODULES = (search, graph, reports)
 
 
 def queries() -> dict:

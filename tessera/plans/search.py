@@ -13,7 +13,6 @@ from tessera.plans.fixtures import Corpus, sql
 QUESTION = "how does the theaeati handle thattionwh"
 TERMS12 = ("leellevi", "lichlich", "thanbletion", "thattionwh", "thesstble", "reingtion", "thstthou", "thesedhe", "ofretihaou", "onoueshe", "ciónueíez", "ananheea")
 KEYS = ", ".join(ADDRESS)
-_TOKENS = r"list_filter(regexp_split_to_array(lower(raw_text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _KIND = f"CASE WHEN regexp_matches(path, '{paths.DOC_PATTERN}') THEN 2 WHEN regexp_matches(path, '{paths.TEST_PATTERN}') THEN 1 ELSE 0 END"
 
 
@@ -31,14 +30,15 @@ def knn_sql(where: str = "true", k: int = lanes.LANE_DEPTH, max_distance: float
         (SELECT query_id, {KEYS}, round(list_distance(embedding::DOUBLE[], query::DOUBLE[]), 6) AS distance FROM vectors, qvec WHERE chunk_id <> query_id AND {where}) QUALIFY rank < {k}) {cut}"""
 
 
-def bm25_sql(terms: list[str], all_match: bool, as_prefix: bool) -> str:
-    one = lambda t: f"len(list_filter({_TOKENS}, lambda t: {f'starts_with(t, {chr(39)}{t}{chr(39)})' if as_prefix and len(t) >= 5 else f't = {chr(39)}{t}{chr(39)}'}))"
+def bm25_sql(terms: list[str], all_match: bool, as_prefix: bool, table: str = "chunks", key: str = "chunk_id", body: str = "raw_text") -> str:
+    tokens = rf"list_filter(regexp_split_to_array(lower({body}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    one = lambda t: f"len(list_filter({tokens}, lambda t: {f'starts_with(t, {chr(39)}{t}{chr(39)})' if as_prefix and len(t) >= 5 else f't = {chr(39)}{t}{chr(39)}'}))"
     tf = ", ".join(f"{one(t)} AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in range(len(terms)))
     score = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
     keep = (" AND " if all_match else " OR ").join(f"tf{i} > 0" for i in range(len(terms)))
-    return f"""SELECT chunk_id, round({score}, 6) AS score FROM (SELECT chunk_id, len({_TOKENS}) AS dl, {tf} FROM chunks) c,
-        (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM (SELECT len({_TOKENS}) AS dl, {tf} FROM chunks)) s WHERE {keep}"""
+    return f"""SELECT {key}, round({score}, 6) AS score FROM (SELECT {key}, len({tokens}) AS dl, {tf} FROM {table}) c,
+        (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {df} FROM (SELECT len({tokens}) AS dl, {tf} FROM {table})) s WHERE {keep}"""
 
 
 def keyword_sql(terms: list[str], all_match: bool, as_prefix: bool, n: int = lanes.LANE_DEPTH) -> str:
