@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph, reports, search
+from tessera.plans import graph, reports, scalars, search
 
-MODULES = (search, graph, reports)
+MODULES = (search, graph, reports, scalars)
 
 
 def queries() -> dict:
