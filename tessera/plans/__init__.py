@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph, reports, scalars, search
+from tessera.plans import graph, reports, scalars, search, stream
 
-MODULES = (search, graph, reports, scalars)
+MODULES = (search, graph, reports, scalars, stream)
 
 
 def queries() -> dict:
