@@ -143,7 +143,7 @@ def j29_full_outer(spark, sf_dir):
     return _out(a.join(b, "image", "full_outer"), "image", "s1", "s2")
 
 
-def a20_file_share(spark, sf_dir):
+def a24_covered(spark, sf_dir):
     """Projects all of whose repositories that are no libraries are present."""
     c = Corpus(spark, sf_dir)
     present = c.files().where("lang = 'fr' AND file_id % 4 = 0").select(F.col("repo").alias("name")).distinct().withColumn("here", F.lit(True))
@@ -417,7 +417,7 @@ SQL = {
         b AS (SELECT image, a.versions AS "from", a.ambiguous AS fa, b.versions AS "to", b.ambiguous AS ta FROM (SELECT * FROM ce WHERE stage = 's0') a FULL JOIN (SELECT * FROM ce WHERE stage = 's1') b USING (image))
         SELECT image, "from", "to", repo, CASE WHEN repo IS NULL THEN 'undeclared' WHEN coalesce(fa, false) OR coalesce(ta, false) THEN 'ambiguous' WHEN "from" IS NULL OR "to" IS NULL THEN 'missing' WHEN "from" = "to" THEN 'unchanged' WHEN starts_with("from", 'sha256:') OR starts_with("to", 'sha256:') THEN 'digest' WHEN snapshot THEN 'snapshot' WHEN head IS NULL THEN 'never indexed' ELSE 'compare' END AS note FROM b LEFT JOIN r USING (image)""",
     "j29_full_outer": f"WITH {_IMAGES} SELECT image, a.versions AS s1, b.versions AS s2 FROM (SELECT * FROM ce WHERE stage = 's1') a FULL JOIN (SELECT * FROM ce WHERE stage = 's2') b USING (image)",
-    "a20_file_share": sql("SELECT project, bool_and(name IN (SELECT repo FROM files WHERE lang = 'fr' AND file_id % 4 = 0)) AS covered, count(*) AS repos FROM repos WHERE NOT library GROUP BY project", "repos", "files"),
+    "a24_covered": sql("SELECT project, bool_and(name IN (SELECT repo FROM files WHERE lang = 'fr' AND file_id % 4 = 0)) AS covered, count(*) AS repos FROM repos WHERE NOT library GROUP BY project", "repos", "files"),
     "a25_recall_mrr": r"""WITH b AS (SELECT item_id, text, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 7))) AS w FROM benchmark),
         d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 7))) AS w FROM documents),
         r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS n FROM b JOIN d USING (w) GROUP BY ALL) QUALIFY rank <= 20),
