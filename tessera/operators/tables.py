@@ -92,4 +92,5 @@ def memory_add(held: DataFrame, new: DataFrame, most: int = 40) -> DataFrame:
     out = held.withColumn("fold", fold).join(new.withColumn("fold", fold).select("user", "fold"), ["user", "fold"], "left_anti").drop("fold")
     merged = out.unionByName(latest(new.withColumn("fold", fold), ["user", "fold"], [F.desc("text")]).drop("fold"))
     n = F.count("*").over(Window.partitionBy("user"))
-    return merged.withColumn("n", n).withColumn("n", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("too many memories of "), F.col("user")))).otherwise(F.col("n"))).drop("n")
+    sound = F.when(F.col("n") <= most, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("too many memories of "), F.col("user"))).cast("boolean"))
+    return merged.withColumn("n", n).where(sound).drop("n")
