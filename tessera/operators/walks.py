@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,23 +71,35 @@ def cluster(files: DataFrame, least: int = 8, most: int = 150) -> DataFrame:
     return files.groupBy("repo").applyInPandas(fold, MODULE)
 
 
+def breadth_first(nodes: list, flows: list) -> list[tuple[str, bool]]:
+    """(node, reached): from the start nodes on, what is not reached last. `nodes`: (node, kind); `flows`: (source, target)."""
+    after: dict[str, list[str]] = {}
+    for s, t in sorted(flows):
+        after.setdefault(s, []).append(t)
+    queue = sorted(n for n, kind in nodes if kind == "start")
+    seen = dict.fromkeys(queue)
+    for n in queue:
+        for t in after.get(n, []):
+            if t not in seen:
+                seen[t] = None
+                queue.append(t)
+    known = {n for n, _ in nodes}
+    reached = [n for n in seen if n in known]
+    return [(n, True) for n in reached] + [(n, False) for n in sorted(known - set(reached))]
+
+
 def process_order(flows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes of each process in breadth-first order from its start events; what is not reached comes last. `flows(process, source, target)`, `nodes(process, node, kind)`."""
-
-    def walk(key, nodes_pdf: pd.DataFrame, flows_pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for s, t in sorted(zip(flows_pdf.source, flows_pdf.target)):
-            after.setdefault(s, []).append(t)
-        queue = sorted(nodes_pdf[nodes_pdf.kind == "start"].node)
-        seen = dict.fromkeys(queue)
-        for n in queue:
-            for t in after.get(n, []):
-                if t not in seen:
-                    seen[t] = None
-                    queue.append(t)
-        known = set(nodes_pdf.node)
-        reached = [n for n in seen if n in known]
-        rest = sorted(known - set(reached))
-        return pd.DataFrame([(key[0], n, i, i < len(reached)) for i, n in enumerate(reached + rest)], columns=["process", "node", "place", "reached"])
-
-    return nodes.groupBy("process").cogroup(flows.groupBy("process")).applyInPandas(walk, "process string, node string, place long, reached boolean")
+    """The nodes of each process in breadth-first order. `flows(process, source, target)`, `nodes(process, node, kind)`; a process is one model's, so small."""
+    n = nodes.groupBy("process").agg(F.collect_list(F.struct("node", "kind")).alias("nodes"))
+    f = flows.groupBy("process").agg(F.collect_list(F.struct("source", "target")).alias("flows"))
+
+    def walk(batches):
+        for b in batches:
+            rows = []
+            for process, ns, fs in zip(*(b.column(i).to_pylist() for i in range(3))):
+                walked = breadth_first([(x["node"], x["kind"]) for x in ns], [(x["source"], x["target"]) for x in fs or []])
+                rows += [(process, node, i, reached) for i, (node, reached) in enumerate(walked)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["process", "node", "place", "reached"])
+
+    return n.join(f, "process", "left").select("process", "nodes", "flows").mapInArrow(walk, "process string, node string, place long, reached boolean")

@@ -51,7 +51,7 @@ def j09_lines(spark, sf_dir):
 
 def j11_definers(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    names = c.symbols().where("file_id < 50").select("name").distinct()
+    names = c.symbols().where("path LIKE 'fr/%'").select("name").distinct()
     return _out(edges.definers(c.symbols().where("repo <> 'src3'"), names, "src1"), "name", "repo", "path", "line")
 
 
@@ -63,7 +63,7 @@ def j14_dependency_exists(spark, sf_dir):
     """Suppliers publish `s/<key>`, orders of customers require parts below it: which pairs exist."""
     line = Corpus(spark, sf_dir).table("lineitem")
     publishes = line.select(F.concat(F.lit("r"), (F.col("l_suppkey") % 10).cast("string")).alias("repo"), F.concat(F.lit("s/"), F.col("l_suppkey").cast("string")).alias("coordinate")).distinct()
-    requires = line.where("l_orderkey < 400").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 10).cast("string")).alias("repo"), F.concat(F.lit("s/"), F.col("l_suppkey").cast("string"), F.lit("/p"), (F.col("l_partkey") % 10).cast("string")).alias("coordinate")).distinct()
+    requires = line.select(F.concat(F.lit("r"), (F.col("l_orderkey") % 10).cast("string")).alias("repo"), F.concat(F.lit("s/"), F.col("l_suppkey").cast("string"), F.lit("/p"), (F.col("l_partkey") % 10).cast("string")).alias("coordinate")).distinct()
     return _out(edges.prefix_dependencies(publishes, requires), "repo", "publisher", "coordinate")
 
 
@@ -137,7 +137,7 @@ def g07_gap(spark, sf_dir):
 def g05_whole_file(spark, sf_dir):
     """A file's chunks are taken whole while they fit a budget: running tokens by file."""
     c = Corpus(spark, sf_dir)
-    lines = c.lines().where("file_id < 40").select("file_id", "line", F.floor((F.char_length("text") + 3) / 4).cast("long").alias("cost"))
+    lines = c.lines().select("file_id", "line", F.floor((F.char_length("text") + 3) / 4).cast("long").alias("cost"))
     return _out(budget.prefix_budget(lines, "cost", 300, ["line"], ["file_id"]), "file_id", "line", "spent")
 
 
@@ -177,9 +177,9 @@ SQL = {
     "j07_symbol_in_chunk": sql("SELECT s.file_id, name, line, chunk_id, ordinal FROM symbols s JOIN chunks c ON s.file_id = c.file_id AND line BETWEEN start_line AND end_line", "symbols", "chunks"),
     "j08_chunk_at": sql("SELECT file_id, line, chunk_id FROM (SELECT file_id, file_id % 5 + 1 AS line FROM files) JOIN chunks USING (file_id) WHERE line BETWEEN start_line AND end_line", "files", "chunks"),
     "j09_lines": sql("SELECT file_id, line, text FROM lines WHERE file_id = 7 AND line BETWEEN 2 AND 4", "lines"),
-    "j11_definers": sql(f"n AS (SELECT DISTINCT name FROM symbols WHERE file_id < 50), s AS (SELECT * FROM symbols WHERE repo <> 'src3'), few AS (SELECT name FROM s WHERE length(name) > 2 GROUP BY name HAVING count(DISTINCT file_id) <= 4) SELECT name, repo, path, line FROM s WHERE name IN (SELECT name FROM n) AND name IN (SELECT name FROM few) AND (repo = 'src1' OR name NOT IN (SELECT name FROM s WHERE repo = 'src1'))", "symbols"),
+    "j11_definers": sql(f"n AS (SELECT DISTINCT name FROM symbols WHERE path LIKE 'fr/%'), s AS (SELECT * FROM symbols WHERE repo <> 'src3'), few AS (SELECT name FROM s WHERE length(name) > 2 GROUP BY name HAVING count(DISTINCT file_id) <= 4) SELECT name, repo, path, line FROM s WHERE name IN (SELECT name FROM n) AND name IN (SELECT name FROM few) AND (repo = 'src1' OR name NOT IN (SELECT name FROM s WHERE repo = 'src1'))", "symbols"),
     "a01_few_definers": sql("SELECT name, count(DISTINCT file_id) AS files FROM symbols WHERE length(name) > 2 GROUP BY name HAVING count(DISTINCT file_id) <= 4", "symbols"),
-    "j14_dependency_exists": "WITH p AS (SELECT DISTINCT 'r' || CAST(l_suppkey % 10 AS VARCHAR) AS repo, 's/' || CAST(l_suppkey AS VARCHAR) AS coordinate FROM lineitem), r AS (SELECT DISTINCT 'r' || CAST(l_orderkey % 10 AS VARCHAR) AS repo, 's/' || CAST(l_suppkey AS VARCHAR) || '/p' || CAST(l_partkey % 10 AS VARCHAR) AS coordinate FROM lineitem WHERE l_orderkey < 400) SELECT DISTINCT r.repo, p.repo AS publisher, r.coordinate FROM r JOIN p ON r.repo <> p.repo AND (r.coordinate = p.coordinate OR starts_with(r.coordinate, p.coordinate || '/'))",
+    "j14_dependency_exists": "WITH p AS (SELECT DISTINCT 'r' || CAST(l_suppkey % 10 AS VARCHAR) AS repo, 's/' || CAST(l_suppkey AS VARCHAR) AS coordinate FROM lineitem), r AS (SELECT DISTINCT 'r' || CAST(l_orderkey % 10 AS VARCHAR) AS repo, 's/' || CAST(l_suppkey AS VARCHAR) || '/p' || CAST(l_partkey % 10 AS VARCHAR) AS coordinate FROM lineitem) SELECT DISTINCT r.repo, p.repo AS publisher, r.coordinate FROM r JOIN p ON r.repo <> p.repo AND (r.coordinate = p.coordinate OR starts_with(r.coordinate, p.coordinate || '/'))",
     "j16_longest_prefix": sql("u AS (SELECT * FROM (VALUES ('src1', 'en'), ('src1', 'en/d1'), ('src2', 'de'), ('src2', '.'), ('src5', 'fr/d2')) v(repo, key) WHERE key <> '.') SELECT f.repo, f.path, arg_max(key, length(key)) AS unit FROM files f LEFT JOIN u ON u.repo = f.repo AND starts_with(f.path, key || '/') GROUP BY ALL", "files"),
     "j17_alias": sql("a AS (SELECT DISTINCT repo, regexp_extract(value, '^(/[^/]*)', 1) AS alias FROM tokens WHERE path < 'page/2') SELECT DISTINCT t.repo, t.path, t.value AS literal, a.alias, 'u' || a.alias AS unit FROM tokens t JOIN a ON a.repo = t.repo AND (t.value = a.alias OR starts_with(t.value, a.alias || '/'))", "tokens"),
     "j10_includes": sql("""sites AS (SELECT file_id, repo, value, min(line) AS line FROM (SELECT file_id, repo, CASE WHEN file_id % 2 = 0 THEN '{lang}_' || CAST(file_id % 40 AS VARCHAR) ELSE CAST(file_id % 40 AS VARCHAR) END AS value, line FROM symbols WHERE line > 1 AND file_id % 3 = 0) GROUP BY ALL),
@@ -191,6 +191,6 @@ SQL = {
         k AS (SELECT * FROM h QUALIFY rank = min(rank) OVER (PARTITION BY file_id, value))
         SELECT file_id, value, line, rank, far_id, far_repo, far_id AS chunk_id FROM k QUALIFY row_number() OVER (PARTITION BY file_id, far_id ORDER BY line, value, rank) = 1""", "symbols", "files"),
     "g01_reach": sql(f"{_WALK}, s0 AS (SELECT file_id, repo, 0 AS hop, NULL::BIGINT AS from_id FROM hits WHERE file_id IN (5, 11, 40)), {_hop(1, _INLAND.format('s0'))}, {_hop(2, 'SELECT c.* FROM cross_ c JOIN s1 ON s1.file_id = c.from_id')}, {_hop(3, _INLAND.format('s2'))} SELECT file_id, repo, hop, coalesce(from_id, -1) AS from_id FROM s3", "hits", "symbols"),
-    "g05_whole_file": sql("SELECT file_id, line, spent FROM (SELECT file_id, line, CAST(sum(ceil(length(text) / 4.0)::BIGINT) OVER (PARTITION BY file_id ORDER BY line) AS BIGINT) AS spent FROM lines WHERE file_id < 40) WHERE spent <= 300", "lines"),
+    "g05_whole_file": sql("SELECT file_id, line, spent FROM (SELECT file_id, line, CAST(sum(ceil(length(text) / 4.0)::BIGINT) OVER (PARTITION BY file_id ORDER BY line) AS BIGINT) AS spent FROM lines) WHERE spent <= 300", "lines"),
     "g07_gap": sql("n AS (SELECT DISTINCT name FROM symbols WHERE file_id IN (3, 30, 300)), f AS (SELECT name, repo, path, min(line) AS line FROM symbols WHERE repo <> 'src3' AND name IN (SELECT name FROM n) GROUP BY ALL) SELECT name, repo, path, line, row_number() OVER (PARTITION BY name ORDER BY repo <> 'src1', repo, path) AS nth FROM f QUALIFY nth <= 4", "symbols"),
 }

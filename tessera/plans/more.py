@@ -68,7 +68,7 @@ def r17_located(spark, sf_dir):
 
 def g14_related(spark, sf_dir):
     line = Corpus(spark, sf_dir).table("lineitem")
-    deps = line.where("l_orderkey % 50 = 1").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 10).cast("string")).alias("repo"), F.concat(F.lit("r"), (F.col("l_suppkey") % 10).cast("string")).alias("publisher")).distinct()
+    deps = line.where("l_quantity > 49").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 10).cast("string")).alias("repo"), F.concat(F.lit("r"), (F.col("l_suppkey") % 10).cast("string")).alias("publisher")).distinct()
     return _out(scope.related("r1", "r4", deps, deps), "related")
 
 
@@ -127,7 +127,7 @@ def f39_days(spark, sf_dir):
 
 def t07_source_order(spark, sf_dir):
     """Sources in listing order: commits last and newest first, others by hop and id."""
-    e = Corpus(spark, sf_dir).table("events").where("event_id < 400")
+    e = Corpus(spark, sf_dir).table("events")
     commit = F.col("event_type") == "error"
     by = Window.partitionBy(F.col("user_id") % 10).orderBy(commit, F.when(commit, -F.unix_micros(F.col("ts").cast("timestamp"))), F.when(~commit, F.col("event_id") % 3), "event_id")
     return _out(e.select((F.col("user_id") % 10).alias("turn"), "event_id", F.row_number().over(by).alias("place")), "turn", "event_id", "place")
@@ -164,8 +164,8 @@ def d08_shares(spark, sf_dir):
 def d09_memory(spark, sf_dir):
     c = Corpus(spark, sf_dir).table("customer")
     user = F.concat(F.lit("u"), (F.col("c_custkey") % 60).cast("string")).alias("user")
-    held = c.where("c_custkey < 400").select(user, F.col("c_mktsegment").alias("text")).distinct()
-    new = c.where("c_custkey < 300").select(user, F.lower("c_mktsegment").alias("text")).distinct().union(spark.createDataFrame([("u1", "else")], "user string, text string"))
+    held = c.select(user, F.col("c_mktsegment").alias("text")).distinct()
+    new = c.where("c_acctbal > 5000").select(user, F.lower("c_mktsegment").alias("text")).distinct().union(spark.createDataFrame([("u1", "else")], "user string, text string"))
     return _out(tables.memory_add(held, new), "user", "text")
 
 
@@ -194,7 +194,7 @@ SQL = {
     "f40_stages": f"WITH t AS (SELECT doc_id AS id, unnest({_TOK}) AS w, unnest(range(0, len({_TOK}))) AS pos FROM documents), s AS (SELECT * FROM (VALUES ('the', 'test'), ('der', 'test'), ('test', 'test'), ('la', 'prod'), ('prod', 'prod'), ('thon', 'dev'), ('dev', 'dev')) v(w, stage)) SELECT id, stage, min(pos) AS pos FROM t JOIN s USING (w) GROUP BY ALL",
     "f45_place": sql("SELECT file_id AS id, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 1 + (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') END AS candidates, CASE WHEN file_id % 2 = 0 OR (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') = 0 THEN file_id ELSE -1 END AS file_id FROM files WHERE file_id % 3 = 0", "files"),
     "r17_located": sql("SELECT file_id AS id, CASE WHEN file_id % 5 = 0 THEN 'not found' WHEN file_id % 12 BETWEEN start_line AND end_line THEN 'pointed' ELSE 'unpinned' END AS outcome, CASE WHEN file_id % 5 <> 0 AND file_id % 12 BETWEEN start_line AND end_line THEN chunk_id ELSE -1 END AS chunk_id FROM chunks", "chunks"),
-    "g14_related": "SELECT count(*) > 0 AS related FROM lineitem WHERE l_orderkey % 50 = 1 AND ((l_orderkey % 10 = 1 AND l_suppkey % 10 = 4) OR (l_orderkey % 10 = 4 AND l_suppkey % 10 = 1))",
+    "g14_related": "SELECT count(*) > 0 AS related FROM lineitem WHERE l_quantity > 49 AND ((l_orderkey % 10 = 1 AND l_suppkey % 10 = 4) OR (l_orderkey % 10 = 4 AND l_suppkey % 10 = 1))",
     "g04_crossings": sql("few AS (SELECT kind, value FROM tokens GROUP BY kind, value HAVING count(DISTINCT repo) <= 3), n AS (SELECT a.path, a.value, b.path AS far_path, b.repo AS far_repo, b.line AS far_line FROM tokens a JOIN few USING (kind, value) JOIN tokens b ON a.kind = b.kind AND a.value = b.value WHERE a.repo <> b.repo) SELECT path, far_path, row_number() OVER (PARTITION BY path ORDER BY far_repo, far_path, far_line, value) AS nth, 'edge:route ' || value || ' from ' || path AS reason, value FROM n QUALIFY nth <= 5", "tokens"),
     "g13_called": "SELECT repo, process, calls, spent FROM (SELECT a.source AS repo, CAST(a.doc_id AS VARCHAR) AS process, CAST(b.doc_id AS VARCHAR) AS calls, sum(length(left(b.text, 900))) OVER (PARTITION BY a.source ORDER BY CAST(a.doc_id AS VARCHAR), CAST(b.doc_id AS VARCHAR))::BIGINT AS spent FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source WHERE a.doc_id % 3 = 0) WHERE spent <= 5000",
     "g17_unit_text": "SELECT 'r' || CAST(n.n_regionkey AS VARCHAR) AS repo, n.n_name AS key, n.n_name || ': ' || CASE WHEN n.n_nationkey % 2 = 0 THEN 'service' ELSE 'library' END || coalesce(', uses ' || (SELECT string_agg(m.n_name, ', ' ORDER BY m.n_name) FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_name > n.n_name), '') AS text FROM nation n",
@@ -204,12 +204,12 @@ SQL = {
     "f27_cost": sql("SELECT model, coalesce(round(sum(cost_nano) / 1e9, 9), -1.0)::DOUBLE AS usd, sum(prompt)::BIGINT AS prompt FROM usage GROUP BY model", "usage"),
     "f37_diagram": sql("SELECT message_id, CASE WHEN ordinal % 2 = 0 THEN 'flow' ELSE '' END AS kind FROM messages", "messages"),
     "f39_days": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE -1 END AS days FROM events",
-    "t07_source_order": "SELECT user_id % 10 AS turn, event_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_type = 'error', CASE WHEN event_type = 'error' THEN -epoch_us(ts) END NULLS FIRST, CASE WHEN event_type <> 'error' THEN event_id % 3 END NULLS FIRST, event_id) AS place FROM events WHERE event_id < 400",
+    "t07_source_order": "SELECT user_id % 10 AS turn, event_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_type = 'error', CASE WHEN event_type = 'error' THEN -epoch_us(ts) END NULLS FIRST, CASE WHEN event_type <> 'error' THEN event_id % 3 END NULLS FIRST, event_id) AS place FROM events",
     "t10_mechanism_first": sql(f"SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY file_id % 23 <> 0, regexp_matches(path, '{paths.TEST_PATTERN}'), path) AS place FROM files", "files"),
     "x06_json_relation": sql("SELECT repo, count(*) AS n FROM commits WHERE repo IN ('u1', 'u5', 'u9') GROUP BY repo", "commits"),
     "d02_replace": sql("SELECT file_id, name, line FROM symbols WHERE file_id NOT IN (SELECT file_id FROM symbols WHERE file_id % 6 = 0 AND line = 1) UNION ALL SELECT file_id, upper(name), line FROM symbols WHERE file_id % 6 = 0 AND line = 1", "symbols"),
     "d08_shares": sql("g AS (SELECT thread_id, min(message_id) AS lo, max(message_id) AS hi FROM messages GROUP BY 1) SELECT thread_id, CASE WHEN thread_id % 3 = 0 THEN hi ELSE lo END AS ceiling, CASE WHEN thread_id % 2 = 0 THEN 't' ELSE 'n' END || CAST(thread_id AS VARCHAR) AS token, CASE WHEN thread_id % 3 = 0 THEN false ELSE thread_id % 4 = 0 END AS revoked FROM g WHERE thread_id % 2 = 0 OR thread_id % 3 = 0", "messages"),
-    "d09_memory": "WITH h AS (SELECT DISTINCT 'u' || CAST(c_custkey % 60 AS VARCHAR) AS \"user\", c_mktsegment AS text FROM customer WHERE c_custkey < 400), n AS (SELECT DISTINCT 'u' || CAST(c_custkey % 60 AS VARCHAR) AS \"user\", lower(c_mktsegment) AS text FROM customer WHERE c_custkey < 300 UNION SELECT 'u1', 'else') SELECT * FROM n UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.\"user\" = h.\"user\" AND n.text = lower(h.text))",
+    "d09_memory": "WITH h AS (SELECT DISTINCT 'u' || CAST(c_custkey % 60 AS VARCHAR) AS \"user\", c_mktsegment AS text FROM customer), n AS (SELECT DISTINCT 'u' || CAST(c_custkey % 60 AS VARCHAR) AS \"user\", lower(c_mktsegment) AS text FROM customer WHERE c_acctbal > 5000 UNION SELECT 'u1', 'else') SELECT * FROM n UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.\"user\" = h.\"user\" AND n.text = lower(h.text))",
     "q06_generations": sql("SELECT name AS repo, CASE name WHEN 'src5' THEN 2 WHEN 'src6' THEN 0 ELSE 1 END AS generation FROM repos", "repos"),
     "q07_vectors": sql("SELECT DISTINCT sha AS content_hash FROM files WHERE sha NOT IN (SELECT sha FROM files WHERE file_id % 2 = 0)", "files"),
 }

@@ -62,7 +62,7 @@ def g15_ladder(spark, sf_dir):
 
 
 def a03_group_concat(spark, sf_dir):
-    lines = Corpus(spark, sf_dir).lines().where("file_id < 100")
+    lines = Corpus(spark, sf_dir).lines()
     return _out(lines.groupBy("file_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n"), 256).alias("digest"), F.count("*").alias("n")), "file_id", "digest", "n")
 
 
@@ -73,7 +73,7 @@ def a04_min_line(spark, sf_dir):
 def a05_count_with_zero(spark, sf_dir):
     """Symbols per file; files without one count 0, skipped ones are left out."""
     c = Corpus(spark, sf_dir)
-    files = c.files().where("file_id % 9 <> 0")
+    files = c.files().where(~F.endswith("path", F.lit(".md")))
     n = c.symbols().groupBy("file_id").agg(F.count("*").alias("n"))
     return _out(files.join(n, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("n")), "file_id", "n")
 
@@ -120,10 +120,10 @@ def a21_histogram(spark, sf_dir):
 
 def _images(c: Corpus):
     o = c.table("orders")
-    return o.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("stage"), F.concat(F.lit("img"), (F.col("o_custkey") % 60).cast("string")).alias("image"), F.when(F.col("o_orderkey") % 31 == 0, F.lit("sha256:ab")).otherwise(F.concat(F.lit("v"), (F.col("o_custkey") % 4 + F.when(F.col("o_orderkey") % 50 == 1, 1).otherwise(0)).cast("string"))).alias("version"), F.when(F.col("o_orderkey") % 5 == 0, "kustomize").otherwise("inline").alias("origin")).where("o_orderkey % 20 < 3")
+    return o.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("stage"), F.concat(F.lit("img"), F.col("o_custkey").cast("string")).alias("image"), F.when(F.col("o_orderkey") % 31 == 0, F.lit("sha256:ab")).otherwise(F.concat(F.lit("v"), (F.col("o_custkey") % 4 + F.when(F.col("o_orderkey") % 50 == 1, 1).otherwise(0)).cast("string"))).alias("version"), F.when(F.col("o_orderkey") % 5 == 0, "kustomize").otherwise("inline").alias("origin"))
 
 
-_IMAGES = "im AS (SELECT 's' || CAST(o_orderkey % 3 AS VARCHAR) AS stage, 'img' || CAST(o_custkey % 60 AS VARCHAR) AS image, CASE WHEN o_orderkey % 31 = 0 THEN 'sha256:ab' ELSE 'v' || CAST(o_custkey % 4 + CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END AS VARCHAR) END AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'kustomize' ELSE 'inline' END AS origin FROM orders WHERE o_orderkey % 20 < 3), ce AS (SELECT stage, image, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, count(DISTINCT version) > 1 AS ambiguous FROM (SELECT * FROM im QUALIFY (origin <> 'kustomize')::INT = min((origin <> 'kustomize')::INT) OVER (PARTITION BY stage, image)) GROUP BY ALL)"
+_IMAGES = "im AS (SELECT 's' || CAST(o_orderkey % 3 AS VARCHAR) AS stage, 'img' || CAST(o_custkey AS VARCHAR) AS image, CASE WHEN o_orderkey % 31 = 0 THEN 'sha256:ab' ELSE 'v' || CAST(o_custkey % 4 + CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END AS VARCHAR) END AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'kustomize' ELSE 'inline' END AS origin FROM orders), ce AS (SELECT stage, image, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, count(DISTINCT version) > 1 AS ambiguous FROM (SELECT * FROM im QUALIFY (origin <> 'kustomize')::INT = min((origin <> 'kustomize')::INT) OVER (PARTITION BY stage, image)) GROUP BY ALL)"
 
 
 def a22_census(spark, sf_dir):
@@ -132,7 +132,7 @@ def a22_census(spark, sf_dir):
 
 def g16_release(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    repos = c.table("customer").where("c_custkey <= 50").select(F.concat(F.lit("img"), F.col("c_custkey").cast("string")).alias("image"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("repo"), (F.col("c_custkey") % 6 == 0).alias("snapshot"), F.when(F.col("c_custkey") % 4 != 0, F.lit("h")).alias("head"))
+    repos = c.table("customer").where("c_acctbal > 0").select(F.concat(F.lit("img"), F.col("c_custkey").cast("string")).alias("image"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("repo"), (F.col("c_custkey") % 6 == 0).alias("snapshot"), F.when(F.col("c_custkey") % 4 != 0, F.lit("h")).alias("head"))
     d = history.stage_diff(history.image_census(_images(c)), "s0", "s1", repos)
     return _out(d.withColumn("note", F.coalesce("note", F.lit("compare"))), "image", "from", "to", "repo", "note")
 
@@ -146,7 +146,7 @@ def j29_full_outer(spark, sf_dir):
 def a24_covered(spark, sf_dir):
     """Projects all of whose repositories that are no libraries are present."""
     c = Corpus(spark, sf_dir)
-    present = c.files().where("lang = 'fr' AND file_id % 4 = 0").select(F.col("repo").alias("name")).distinct().withColumn("here", F.lit(True))
+    present = c.files().where("lang = 'fr' AND size > 4000").select(F.col("repo").alias("name")).distinct().withColumn("here", F.lit(True))
     r = c.repos().where("NOT library").join(present, "name", "left")
     return _out(r.groupBy("project").agg(F.every(F.coalesce("here", F.lit(False))).alias("covered"), F.count("*").alias("repos")), "project", "covered", "repos")
 
@@ -156,7 +156,7 @@ def a25_recall_mrr(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     b = c.table("benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 7)).alias("words"), "text")
     asked = b.select("item_id", F.explode("words").alias("w"))
-    d = c.table("documents").where("doc_id % 1 = 0").select("doc_id", "text", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 7))).alias("w"))
+    d = c.table("documents").select("doc_id", "text", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 7))).alias("w"))
     overlap = d.select("doc_id", "w").join(F.broadcast(asked), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     ranked = overlap.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).where("rank <= 20")
     gold = ranked.join(F.broadcast(b.select("item_id", "text")), "item_id").join(c.table("documents").select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", F.left("text", F.lit(60))))
@@ -310,7 +310,7 @@ def j33_indexed_paths(spark, sf_dir):
 
 
 def x01_chain_root(spark, sf_dir):
-    c = Corpus(spark, sf_dir).table("customer").where("c_custkey <= 400")
+    c = Corpus(spark, sf_dir).table("customer")
     return _out(walks.chain_roots(c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 != 0, F.floor(F.col("c_custkey") / 2).cast("long")).alias("resumes")).withColumn("resumes", F.when(F.col("resumes") > 0, F.col("resumes")))), "id", "root", "depth")
 
 
@@ -327,7 +327,7 @@ def g09_cluster(spark, sf_dir):
 
 def g12_bfs(spark, sf_dir):
     """Processes of orders: their lines are nodes, each leads to the next or the one after it."""
-    line = Corpus(spark, sf_dir).table("lineitem").where("l_orderkey < 200")
+    line = Corpus(spark, sf_dir).table("lineitem")
     n = line.select("l_orderkey", "l_partkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("n"))
     process = F.col("l_orderkey").cast("string").alias("process")
     nodes = n.select(process, F.col("n").cast("string").alias("node"), F.when(F.col("n") == 1, "start").otherwise("task").alias("kind"))
@@ -343,7 +343,7 @@ def d01_upsert(spark, sf_dir):
 
 def d03_delete_missing(spark, sf_dir):
     f = Corpus(spark, sf_dir).files()
-    return _out(tables.keep_listed(f, f.where("file_id % 4 <> 1"), ["repo", "path"]), "file_id", "repo")
+    return _out(tables.keep_listed(f, f.where("lang <> 'es'"), ["repo", "path"]), "file_id", "repo")
 
 
 def d04_sync(spark, sf_dir):
@@ -400,9 +400,9 @@ SQL = {
     "w15_floor": sql(f"{_RANKED}, near AS (SELECT * FROM cand WHERE score >= 0.4 * (SELECT max(score) FROM cand)) SELECT repo, module, score, row_number() OVER (ORDER BY place) - 1 AS place FROM near WHERE NOT supporting OR NOT (SELECT bool_or(NOT supporting) FROM near) QUALIFY row_number() OVER (ORDER BY place) <= 5", "hits"),
     "g15_ladder": """WITH e AS (SELECT user_id, count(*) AS n, max(event_id) AS m FROM events GROUP BY 1), r AS (SELECT *, CASE WHEN n % 2 > 0 THEN 'named' WHEN m % 11 = 0 THEN 'all' WHEN n % 7 > 4 THEN 'too broad' WHEN m % 5 <= 1 THEN 'single' WHEN m % 13 = 0 THEN 'related' WHEN m % 17 = 0 THEN 'spans' WHEN m % 3 = 0 THEN 'dominates' WHEN m % 2 = 0 THEN 'judge' ELSE 'role' END AS rung FROM e)
         SELECT user_id, rung, CASE rung WHEN 'too broad' THEN true WHEN 'judge' THEN n % 4 = 0 WHEN 'role' THEN m % 4 = 1 ELSE false END AS ask FROM r""",
-    "a03_group_concat": sql("SELECT file_id, sha256(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM lines WHERE file_id < 100 GROUP BY file_id", "lines"),
+    "a03_group_concat": sql("SELECT file_id, sha256(string_agg(text, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM lines GROUP BY file_id", "lines"),
     "a04_min_line": sql("SELECT file_id, value, min(line) AS line FROM tokens GROUP BY ALL", "tokens"),
-    "a05_count_with_zero": sql("SELECT f.file_id, count(s.file_id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.file_id WHERE f.file_id % 9 <> 0 GROUP BY 1", "files", "symbols"),
+    "a05_count_with_zero": sql("SELECT f.file_id, count(s.file_id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.file_id WHERE NOT ends_with(f.path, '.md') GROUP BY 1", "files", "symbols"),
     "a07_scope_counts": sql("SELECT repo, count(*) AS total, count(*) FILTER (WHERE size > 2000) AS matched FROM files GROUP BY repo", "files"),
     "a08_count_max": sql("SELECT count(*) AS n, max(committed_at) AS newest FROM commits WHERE repo IN ('u1', 'u2', 'u999999')", "commits"),
     "a09_totals": sql("SELECT f.repo, f.n AS files, coalesce(s.n, 0) AS symbols FROM (SELECT repo, count(*) AS n FROM files GROUP BY 1) f LEFT JOIN (SELECT repo, count(*) AS n FROM symbols GROUP BY 1) s USING (repo)", "files", "symbols"),
@@ -413,11 +413,11 @@ SQL = {
     "a14_inventory": sql("SELECT count(DISTINCT CASE WHEN project = 'p0' THEN name ELSE project END) AS projects, count(*) FILTER (WHERE enabled) AS enabled, count(*) FILTER (WHERE NOT enabled) AS parked, count(*) FILTER (WHERE library) AS libraries FROM repos", "repos"),
     "a21_histogram": sql("SELECT repo, subject, count(*) AS n FROM commits GROUP BY ALL", "commits"),
     "a22_census": f"WITH {_IMAGES} SELECT stage, image, versions, ambiguous FROM ce",
-    "g16_release": f"""WITH {_IMAGES}, r AS (SELECT 'img' || CAST(c_custkey AS VARCHAR) AS image, 'r' || CAST(c_custkey AS VARCHAR) AS repo, c_custkey % 6 = 0 AS snapshot, CASE WHEN c_custkey % 4 <> 0 THEN 'h' END AS head FROM customer WHERE c_custkey <= 50),
+    "g16_release": f"""WITH {_IMAGES}, r AS (SELECT 'img' || CAST(c_custkey AS VARCHAR) AS image, 'r' || CAST(c_custkey AS VARCHAR) AS repo, c_custkey % 6 = 0 AS snapshot, CASE WHEN c_custkey % 4 <> 0 THEN 'h' END AS head FROM customer WHERE c_acctbal > 0),
         b AS (SELECT image, a.versions AS "from", a.ambiguous AS fa, b.versions AS "to", b.ambiguous AS ta FROM (SELECT * FROM ce WHERE stage = 's0') a FULL JOIN (SELECT * FROM ce WHERE stage = 's1') b USING (image))
         SELECT image, "from", "to", repo, CASE WHEN repo IS NULL THEN 'undeclared' WHEN coalesce(fa, false) OR coalesce(ta, false) THEN 'ambiguous' WHEN "from" IS NULL OR "to" IS NULL THEN 'missing' WHEN "from" = "to" THEN 'unchanged' WHEN starts_with("from", 'sha256:') OR starts_with("to", 'sha256:') THEN 'digest' WHEN snapshot THEN 'snapshot' WHEN head IS NULL THEN 'never indexed' ELSE 'compare' END AS note FROM b LEFT JOIN r USING (image)""",
     "j29_full_outer": f"WITH {_IMAGES} SELECT image, a.versions AS s1, b.versions AS s2 FROM (SELECT * FROM ce WHERE stage = 's1') a FULL JOIN (SELECT * FROM ce WHERE stage = 's2') b USING (image)",
-    "a24_covered": sql("SELECT project, bool_and(name IN (SELECT repo FROM files WHERE lang = 'fr' AND file_id % 4 = 0)) AS covered, count(*) AS repos FROM repos WHERE NOT library GROUP BY project", "repos", "files"),
+    "a24_covered": sql("SELECT project, bool_and(name IN (SELECT repo FROM files WHERE lang = 'fr' AND size > 4000)) AS covered, count(*) AS repos FROM repos WHERE NOT library GROUP BY project", "repos", "files"),
     "a25_recall_mrr": r"""WITH b AS (SELECT item_id, text, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 7))) AS w FROM benchmark),
         d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 7))) AS w FROM documents),
         r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS n FROM b JOIN d USING (w) GROUP BY ALL) QUALIFY rank <= 20),
@@ -449,10 +449,10 @@ SQL = {
     "j26_ordered_lookup": "SELECT pos, event_id, event_type FROM (VALUES (0, 40), (1, 3), (2, 999999), (3, 17), (4, 3)) k(pos, event_id) JOIN events USING (event_id)",
     "j27_attach": sql("SELECT thread_id, string_agg(CAST(message_id AS VARCHAR), ',' ORDER BY ordinal) AS messages FROM messages GROUP BY 1", "messages"),
     "j33_indexed_paths": sql("SELECT DISTINCT path, file_id IN (SELECT file_id FROM files WHERE repo <> 'src3') AS indexed FROM tokens", "tokens", "files"),
-    "x01_chain_root": "WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey // 2 > 0 THEN c_custkey // 2 END AS resumes FROM customer WHERE c_custkey <= 400), w AS (SELECT id, id AS node, 0 AS depth FROM c UNION ALL SELECT w.id, c.resumes, depth + 1 FROM w JOIN c ON c.id = w.node WHERE c.resumes IS NOT NULL) SELECT id, arg_max(node, depth) AS root, max(depth) AS depth FROM w GROUP BY id",
+    "x01_chain_root": "WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey // 2 > 0 THEN c_custkey // 2 END AS resumes FROM customer), w AS (SELECT id, id AS node, 0 AS depth FROM c UNION ALL SELECT w.id, c.resumes, depth + 1 FROM w JOIN c ON c.id = w.node WHERE c.resumes IS NOT NULL) SELECT id, arg_max(node, depth) AS root, max(depth) AS depth FROM w GROUP BY id",
     "g10_library_closure": sql(f"{_CLOSURE} SELECT project, library, depth FROM clo", "uses", "repos", recursive=True),
     "d01_upsert": sql("SELECT repo, path, CASE WHEN size % 10 = 0 THEN 'new' ELSE sha END AS sha, CASE WHEN size % 10 = 0 THEN size + 1 ELSE size END AS size FROM files", "files"),
-    "d03_delete_missing": sql("SELECT file_id, repo FROM files WHERE file_id % 4 <> 1", "files"),
+    "d03_delete_missing": sql("SELECT file_id, repo FROM files WHERE lang <> 'es'", "files"),
     "d04_sync": "WITH s AS (SELECT * FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT c_custkey, 'r' || CAST(c_custkey AS VARCHAR) AS name, CASE WHEN c_custkey % 11 = 0 THEN 'moved' ELSE c_mktsegment END AS url, CASE WHEN c_custkey % 13 = 0 THEN 'dev' ELSE 'main' END AS branch FROM customer WHERE c_custkey % 7 <> 0) SELECT name, url, branch, CASE WHEN s.c_custkey IS NOT NULL AND url = s.c_mktsegment AND branch = 'main' THEN 'h' || CAST(s.c_custkey AS VARCHAR) END AS last_sha, CASE WHEN s.c_custkey IS NOT NULL AND url = s.c_mktsegment THEN s.c_nationkey ELSE 0 END::BIGINT AS file_count FROM n LEFT JOIN s USING (c_custkey)",
     "d07_cas": sql("SELECT thread_id, CASE WHEN thread_id % 2 = 0 THEN 'named' ELSE left(question, 3) END AS title FROM messages WHERE ordinal = 0", "messages"),
     "j30_backfill": sql("SELECT file_id, CASE WHEN file_id % 2 = 0 OR file_id % 3 <> 0 THEN lang END AS lang FROM files", "files"),
