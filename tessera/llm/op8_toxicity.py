@@ -4,9 +4,9 @@ Terms are lower-cased words and their first 3 to 6 letters (marked), so inflecte
 `MOST_EXAMPLES` labelled documents of least hash (a documented bound; fewer labels are all taken) and keeps the at most
 `MOST_TERMS` terms whose presence depends most on the label (chi-square of at least `CHI_SQUARE`): in this vocabulary texts
 are TF-IDF vectors, with document frequencies counted over all documents. The examples' vectors form an inverted index whose
-postings lie in blocks of `BLOCK` examples, each block with its largest weight. A query walks blocks in order; a block whose
-summed maxima cannot beat the k-th best similarity so far is skipped, the others are scored exactly, so the k nearest are
-exact (ties: the smaller example number). Their votes, weighted by similarity, are calibrated by isotonic regression on
+postings lie in blocks of `BLOCK` examples, each block with its largest weight. A query scores the blocks of the largest
+summed maxima first, and of the others those whose sum reaches the k-th best similarity so far; all exactly, so the k
+nearest are exact (ties: the smaller example number). Their votes, weighted by similarity, are calibrated by isotonic regression on
 leave-one-out votes of the examples. A text without a term has the calibrated score of no votes.
 
 Each text is read once: its terms are stored as sparse rows, counted, then scored. What is collected and broadcast is bounded:
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, stored
 
-MOST_EXAMPLES, MOST_TERMS, CHI_SQUARE, LEAST_SEEN = 20_000, 2_000, 25.0, 3
-NEAREST, BLOCK, PRIOR_VOTES, DECISION = 15, 64, 0.5, 0.3
+MOST_EXAMPLES, MOST_TERMS, CHI_SQUARE, LEAST_SEEN = 20_000, 600, 25.0, 3
+NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 8, 0.5, 0.3
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -54,7 +54,8 @@ class Index:
     idf: np.ndarray
     labels: np.ndarray
     ids: list[int]
-    postings: dict[int, list[tuple[int, float, list[tuple[int, float]]]]] = field(default_factory=dict)
+    #: by term: examples, their weights, the largest weight in each block of examples, and where blocks begin
+    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     knots: tuple = ((0.0,), (0.0,))
     silent: float = 0.0
 
@@ -68,34 +69,48 @@ class Index:
         for e, counts in enumerate(rows):
             for t, w in self.vector(counts):
                 lists.setdefault(t, []).append((e, w))
-        for t, all_ in lists.items():
-            blocks: list = []
-            for e, w in all_:
-                if not blocks or blocks[-1][0] != e // BLOCK:
-                    blocks.append((e // BLOCK, []))
-                blocks[-1][1].append((e, w))
-            self.postings[t] = [(b, max(w for _, w in part), part) for b, part in blocks]
+        blocks = -(-len(rows) // BLOCK)
+        for t, found in lists.items():
+            which, weights = np.array([e for e, _ in found]), np.array([w for _, w in found])
+            most = np.zeros(blocks)
+            np.maximum.at(most, which // BLOCK, weights)
+            self.postings[t] = which, weights, most, np.searchsorted(which, np.arange(blocks + 1) * BLOCK)
+
+    def _exact(self, query: list, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities) of the examples in the given blocks that share a term with the query."""
+        which, parts = [], []
+        for w, (e, v, most, at) in query:
+            for b in blocks[most[blocks] > 0].tolist():
+                lo, hi = at[b], at[b + 1]
+                which.append(e[lo:hi])
+                parts.append(w * v[lo:hi])
+        which = np.concatenate(which)
+        sums = np.bincount(which, np.concatenate(parts))
+        found = np.flatnonzero(sums)
+        return found, np.round(sums[found], 9)
 
     def nearest(self, query: list[tuple[int, float]], k: int = NEAREST) -> list[tuple[float, int]]:
-        """The k most similar examples, exactly: (similarity, example), best first, ties by number."""
-        bounds: dict[int, float] = {}
-        parts: dict[int, list] = {}
-        for t, w in query:
-            for b, most, part in self.postings.get(t, ()):
-                bounds[b] = bounds.get(b, 0.0) + w * most
-                parts.setdefault(b, []).append((w, part))
-        best: list[tuple[float, int]] = []  # (-similarity, example), sorted
-        for b, bound in sorted(bounds.items(), key=lambda x: (-x[1], x[0])):
-            if len(best) == k and bound < -best[-1][0] - 1e-9:
-                break  # bounds fall from here on
-            sums: dict[int, float] = {}
-            for w, part in parts[b]:
-                for e, v in part:
-                    sums[e] = sums.get(e, 0.0) + w * v
-            found = [(-round(s, 9), e) for e, s in sums.items()]
-            if found:
-                best = sorted(best + found)[:k]
-        return [(-s, e) for s, e in best]
+        """The k most similar examples, exactly: (similarity, example), best first, ties by number.
+
+        The blocks of the largest bounds are scored first; of the others only those whose bound reaches the k-th best so far.
+        """
+        own = [(w, self.postings[t]) for t, w in query if t in self.postings]
+        if not own:
+            return []
+        bound = sum(w * most for w, (_, _, most, _) in own)
+        order = np.argsort(-bound, kind="stable")
+        found, sims = self._exact(own, order[:FIRST_BLOCKS])
+        least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[(bound[rest] >= least - 1e-8) & (bound[rest] > 0)]
+        if len(rest):
+            more, more_sims = self._exact(own, rest)
+            found, sims = np.concatenate([found, more]), np.concatenate([sims, more_sims])
+        if len(sims) > 4 * k:
+            near = sims >= np.partition(sims, -k)[-k]
+            found, sims = found[near], sims[near]
+        best = np.lexsort((found, -sims))[:k]
+        return list(zip(sims[best].tolist(), found[best].tolist()))
 
     def votes(self, found: list[tuple[float, int]]) -> float:
         """Similarity-weighted share of toxic neighbours, drawn to the overall share."""
@@ -157,8 +172,11 @@ def _vocabulary(docs: DataFrame, picked: DataFrame) -> tuple[list[str], int, int
     seen = F.col("a") + F.col("b")
     # chi-square of the two-by-two table of presence and label
     chi = n * F.pow(F.col("a") * F.lit(float(good)) - F.col("b") * F.lit(float(bad)), 2) / (seen * (F.lit(n) - seen) * bad * good)
-    top = counted.where("term <> ''").where((seen >= LEAST_SEEN) & (seen < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(MOST_TERMS)
-    return [r.term for r in top.select("term").collect()], bad, good
+    top = counted.where("term <> ''").where((seen >= LEAST_SEEN) & (seen < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), F.desc(F.char_length("term")), "term").limit(4 * MOST_TERMS)
+    kept: dict = {}
+    for r in top.select("term", "a", "b").collect():
+        kept.setdefault((r.term[:3], r.a, r.b), r.term)  # a word and its beginnings, met in the same texts, are one term
+    return list(kept.values())[:MOST_TERMS], bad, good
 
 
 def features(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -192,12 +210,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     n = rows.count()
     idf = np.array([math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in range(len(terms))])
     own = rows.where("size(terms) > 0").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "counts", "toxic")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").collect()
+    # examples that share their heaviest term stand together, so that blocks have tight maxima
+    own.sort(key=lambda r: (max(zip(idf[r.terms] * (1 + np.log(r.counts)), r.terms))[1], r.doc_id))
     counts = [list(zip(r.terms, r.counts)) for r in own]
     index = Index(terms, idf, np.array([r.toxic for r in own], np.float64), [r.doc_id for r in own])
     index.add(counts)
-    # leave one out: the nearest but for the example itself
-    memo = Memo(lambda key: index.nearest(index.vector(list(key)), NEAREST + 1))
-    votes = [index.votes([f for f in memo[tuple(c)] if f[1] != e][:NEAREST]) for e, c in enumerate(counts)]
+    votes = _left_out(docs.sparkSession, index, counts)
     # examples without a term have no votes: what share of them is toxic
     silent_bad, silent_good = max(0, bad - int(index.labels.sum())), max(0, good - int(len(own) - index.labels.sum()))
     index.calibrate(np.array(votes))
@@ -205,6 +223,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     return rows, index
 
 
+def _left_out(spark, index: Index, counts: list) -> list[float]:
+    """Each example's votes from the nearest others, in example order (bounded as the examples are)."""
+    if not counts:
+        return []
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        memo = Memo(lambda key: shared.value.nearest(shared.value.vector(list(key)), NEAREST + 1), 20_000)
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in range(3)))
+            found = [(e, shared.value.votes([f for f in memo[tuple(zip(t, n))] if f[1] != e][:NEAREST])) for e, t, n in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], names=["e", "vote"])
+
+    rows = spark.createDataFrame([(e, [t for t, _ in c], [n for _, n in c]) for e, c in enumerate(counts)], "e int, terms array<int>, counts array<int>")
+    return [r.vote for r in rows.repartition(24).mapInArrow(run, "e int, vote double").orderBy("e").collect()]
+
+
 SCORE = "doc_id long, score double, vote double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, evidence array<string>"
 
 
