@@ -10,9 +10,10 @@ the diagonal band outside which no pair can reach the threshold): similarity = m
 matched). For texts whose order agrees this is their Jaccard similarity on five-word runs.
 
 Texts with the same words are one class, represented by its smallest doc_id; only representatives are compared.
-Within a bucket the smallest member (the leader) is verified against the others first. Links join components; pairs
-of one bucket whose ends are in different components after that are then verified as well. So every pair that shares
-a bucket ends in one component or was compared: no bucket is capped. At a similarity of 0.8, two texts share no bucket
+Within a bucket the smallest member (the leader) is verified against the others first. Links join components. Members of
+buckets that then still hold several components are joined exactly, by a prefix filter on their rarest runs (`_rest`), and
+verified as well. So every similar pair that shares a bucket ends in one component: no bucket is capped, and none is
+expanded into pairs. At a similarity of 0.8, two texts share no bucket
 with a probability of about (1 - 0.8^4)^16 = 0.0002.
 
 Nulls and edge cases: a null, empty or wordless text has no near copies (each such row is a class of its own); texts
@@ -31,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import Memo, connected_components, shared_dir, shingle_hashes, splitmix, stored
 
@@ -144,17 +146,52 @@ def verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are at most BROADCAST_IDS (16 MB); a shuffled join takes more."""
+    ids = ids.checkpoint()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """`pairs(a, b)` and `texts(doc_id, text)` -> the links among them, stored."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
-    if needed.count() <= BROADCAST_IDS:  # at most 16 MB; beyond that a shuffled join
-        needed = F.broadcast(needed)
-    own = stored(texts.join(needed, "doc_id", "left_semi"), "texts")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = stored(texts.join(_small(needed), "doc_id", "left_semi"), "texts")
     left = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
     both = left.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
     return stored(both.select("a", "b", "left", "right").mapInArrow(verify, LINK).distinct(), "links")
 
 
+def _labelled_rows(batches):
+    """One row per labelled run of each text."""
+    for b in batches:
+        runs = [labelled(run_hashes(words_of(t.as_py()))).view(np.int64) for t in b.column(1)]
+        n = np.array([len(r) for r in runs], np.int32)
+        for lo in range(0, len(runs), 512):  # a few MB at a time
+            part, own = runs[lo : lo + 512], n[lo : lo + 512]
+            ids, components = (np.repeat(b.column(c).to_numpy()[lo : lo + 512], own) for c in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(components), pa.array(np.repeat(own, own)), pa.array(np.concatenate(part) if part else [], pa.int64())], names=["doc_id", "component", "n", "run"])
+
+
+def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs `(a, b)` of `members(doc_id, component)` in different components that may reach SIMILARITY, by prefix filter.
+
+    The runs of a text are ordered by how many of the members have them; runs of one text alone come first and need no rows.
+    Two texts that reach the threshold share one of the first fifth and one more, so a passage that many texts share fetches
+    nothing unless texts consist of it. Where the runs at places i and j of two texts are the first that agree, at most
+    min(n - i, m - j) can: pairs that cannot reach the threshold are dropped in the join.
+    """
+    own = stored(texts.join(_small(members), "doc_id").select("doc_id", "text", "component"), "texts")
+    rows = stored(own.mapInArrow(_labelled_rows, "doc_id long, component long, n int, run long"), "runs")
+    shared = rows.groupBy("run").agg(F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("docs > 1")
+    ours = rows.join(shared, "run")
+    doc = Window.partitionBy("doc_id")
+    placed = ours.withColumn("place", F.col("n") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("docs", "run")) - 1)
+    prefix = placed.where(f"place < n - ceil({SIMILARITY} * n - 1e-9) + 1 AND lo < hi").select("doc_id", "component", "n", "place", "run")
+    prefix = stored(prefix, "prefixes")
+    pairs = prefix.alias("x").join(prefix.alias("y"), "run").where("x.doc_id < y.doc_id AND x.component <> y.component").where(f"least(x.n - x.place, y.n - y.place) >= {SIMILARITY} * (x.n + y.n) / {1 + SIMILARITY} - 1e-6")
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`(doc_id, class_id)` of every doc_id that has words, and the verified links between representatives."""
     spark = docs.sparkSession
@@ -172,13 +209,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = members.where("doc_id <> leader").where(fits(F.col("runs"), F.col("leader_runs"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct().checkpoint()
     links = _verified(first, texts)
     parts = connected_components(links.select("a", "b"))
-    # what a leader did not settle: pairs of a bucket in different components
+    # what the leaders did not settle: members of buckets that hold several components
     placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = placed.groupBy("t", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("t", "band")
-    left = placed.where("doc_id <> leader").join(open_, ["t", "band"], "left_semi").select("t", "band", "doc_id", "runs", "component")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, ["t", "band"]).where("x.doc_id < y.doc_id and x.component <> y.component").where(fits(F.col("x.runs"), F.col("y.runs"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti").checkpoint()
+    rest = _rest(placed.join(open_, ["t", "band"], "left_semi").select("doc_id", "component").distinct(), texts).join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(_verified(rest, texts))
     parts = connected_components(links.select("a", "b"))
     named = reps.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("class_id"))
