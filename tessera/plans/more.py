@@ -191,6 +191,9 @@ SQL = {
     "p24_memories": "SELECT c_custkey, c_custkey % 4 = 0 OR c_custkey % 25 >= 20 OR c_custkey % 25 IN (1, 2) AS applies FROM customer",
     "p25_docs_only": sql(f"SELECT file_id // 2 AS set, bool_and(regexp_matches(path, '{paths.DOC_PATTERN}')) AS docs_only FROM files GROUP BY 1", "files"),
     "p26_range_scan": sql("SELECT file_id, path FROM files WHERE starts_with(path, 'en/d1/')", "files"),
+    "r11_resolve": sql("""w AS (SELECT * FROM (VALUES (0, 'src1', 'src1'), (1, 'Owner/SRC2''s', 'src2'), (2, 'p3', 'p3'), (3, 'srx5', 'srx5'), (4, 'nothing', 'nothing'), (5, 'src3', 'src3')) v(pos, name, wf)),
+        f AS (SELECT pos, w.name, r.name AS repo, enabled, CASE WHEN w.name = r.name THEN 0 WHEN w.name = project THEN 1 WHEN wf = r.name THEN 2 ELSE 3 END AS how FROM w JOIN repos r ON w.name = r.name OR w.name = project OR wf = r.name OR (length(wf) >= 4 AND length(r.name) >= 4 AND levenshtein(wf, r.name) <= 1)),
+        b AS (SELECT * FROM f QUALIFY how = min(how) OVER (PARTITION BY pos)) SELECT * FROM b UNION ALL SELECT pos, name, NULL, false, 9 FROM w WHERE pos NOT IN (SELECT pos FROM b)""", "repos"),
     "f40_stages": f"WITH t AS (SELECT doc_id AS id, unnest({_TOK}) AS w, unnest(range(0, len({_TOK}))) AS pos FROM documents), s AS (SELECT * FROM (VALUES ('the', 'test'), ('der', 'test'), ('test', 'test'), ('la', 'prod'), ('prod', 'prod'), ('thon', 'dev'), ('dev', 'dev')) v(w, stage)) SELECT id, stage, min(pos) AS pos FROM t JOIN s USING (w) GROUP BY ALL",
     "f45_place": sql("SELECT file_id AS id, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 1 + (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') END AS candidates, CASE WHEN file_id % 2 = 0 OR (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') = 0 THEN file_id ELSE -1 END AS file_id FROM files WHERE file_id % 3 = 0", "files"),
     "r17_located": sql("SELECT file_id AS id, CASE WHEN file_id % 5 = 0 THEN 'not found' WHEN file_id % 12 BETWEEN start_line AND end_line THEN 'pointed' ELSE 'unpinned' END AS outcome, CASE WHEN file_id % 5 <> 0 AND file_id % 12 BETWEEN start_line AND end_line THEN chunk_id ELSE -1 END AS chunk_id FROM chunks", "chunks"),

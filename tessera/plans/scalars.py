@@ -242,6 +242,10 @@ SQL = {
     "f24_image": "SELECT o_orderkey, 'reg.example.org:5000/a/img' || CAST(o_custkey % 9 AS VARCHAR) AS image, CASE o_orderkey % 3 WHEN 0 THEN 'v' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'sha256:' || CAST(o_orderkey AS VARCHAR) ELSE '' END AS version FROM orders",
     "f26_dates": sql("SELECT sha, strftime(committed_at, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, left(sha, 7) AS short FROM commits", "commits"),
     "f28_l2": "SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0",
+    "f35_renumber": sql("SELECT message_id, right('x [1] and [2, 1]' || chr(10) || '```' || chr(10) || '[3]' || chr(10) || '```' || chr(10) || '[99] [3]', 34) AS tail, '7,3,1' AS used FROM messages WHERE answer IS NOT NULL", "messages"),
+    "f21_redact": "SELECT doc_id, 'db.password=<redacted>' || chr(10) || 'server.port=80' || chr(10) || 'maps.key = <redacted>' || chr(10) || '# note' || chr(10) || 'url=https://<redacted>@host/x' || chr(10) || 'name=${A_NAME}' AS body FROM documents",
+    "s19_symbols": "SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS name, 'class' AS kind, 1 AS line FROM documents WHERE regexp_matches(text, '[A-Za-z]') UNION ALL SELECT doc_id, 'm_' || CAST(doc_id AS VARCHAR), 'func', 2 FROM documents",
+    "e02_tokens": "SELECT page_id, 'link' AS kind, value, line FROM (SELECT page_id, regexp_extract_all(line_text, 'href=\"(/[^\"]*)\"', 1) AS v, n AS line FROM (SELECT page_id, unnest(string_split(replace(html, '<li>', chr(10) || '<li>'), chr(10))) AS line_text, unnest(range(1, len(string_split(replace(html, '<li>', chr(10) || '<li>'), chr(10))) + 1)) AS n FROM pages)), unnest(v) AS t(value) QUALIFY row_number() OVER (PARTITION BY page_id, value ORDER BY line) = 1",
     "f42_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS absent FROM events",
     "p06_path_class": f"WITH {_NAMED} SELECT doc_id, path, regexp_matches(path, '{paths.TEST_PATTERN}') AS test, regexp_matches(path, '{paths.DOC_PATTERN}') AS doc, CASE WHEN regexp_matches(path, '{paths.DOC_PATTERN}') THEN 2 WHEN regexp_matches(path, '{paths.TEST_PATTERN}') THEN 1 ELSE 0 END AS kind FROM n",
     "p09_glob": f"WITH {_NAMED} SELECT doc_id, path FROM n WHERE regexp_matches(path, '^([^/]+/)*docs/.*$') OR regexp_matches(path, '^[^/]*/src/[^/]*/main[^/]*\\.go$') OR regexp_matches(path, '^1[^/]/README$')",
