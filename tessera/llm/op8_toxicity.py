@@ -201,13 +201,22 @@ def features(docs: DataFrame, terms: list[str]) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>"), "features")
 
 
+def _seen(batches):
+    """In how many of a task's documents each term stands; -1 counts the documents."""
+    held: Counter = Counter()
+    for b in batches:
+        held[-1] += b.num_rows
+        held.update(b.column(0).flatten().to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[DataFrame, Index]:
     """(features of all documents, the index of examples)."""
     picked = examples(docs, labels, most)
     terms, bad, good = _vocabulary(docs, picked)
     rows = features(docs, terms)
-    seen = {r.term: r.n for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    n = rows.count()
+    seen = {r.term: r.n for r in rows.select("terms").mapInArrow(_seen, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n = seen.pop(-1, 0)
     idf = np.array([math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in range(len(terms))])
     own = rows.where("size(terms) > 0").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "counts", "toxic")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").collect()
     # examples that share their heaviest term stand together, so that blocks have tight maxima
