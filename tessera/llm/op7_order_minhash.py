@@ -10,7 +10,8 @@ the diagonal band outside which no pair can reach the threshold): similarity = m
 matched). For texts whose order agrees this is their Jaccard similarity on five-word runs.
 
 Texts with the same words are one class, represented by its smallest doc_id; only representatives are compared.
-Within a bucket the smallest member (the leader) is verified against the others first. Links join components. Members of
+Within a bucket two leaders, the smallest doc_id and the shortest text, are verified against the others first: in a bucket
+of texts around a shared passage the shortest is nearest to it. Links join components. Members of
 buckets that then still hold several components are joined exactly, by a prefix filter on their rarest runs (`_rest`), and
 verified as well. So every similar pair that shares a bucket ends in one component: no bucket is capped, and none is
 expanded into pairs. At a similarity of 0.8, two texts share no bucket
@@ -203,10 +204,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = stored(one.groupBy("class").agg(F.min(F.struct("doc_id", "runs", "bands")).alias("s")).select("class", "s.*"), "classes")
     bands = reps.select("doc_id", "runs", F.posexplode("bands").alias("t", "band"))
     # buckets of one need no work: they are found by counts alone
-    shared = bands.groupBy("t", "band").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader"), F.min(F.struct("doc_id", "runs")).alias("head")).where("n > 1")
-    members = stored(bands.join(shared.select("t", "band", "leader", F.col("head.runs").alias("leader_runs")), ["t", "band"]), "members")
-    fits = lambda x, y: F.least(x, y) >= F.lit(SIMILARITY) * F.greatest(x, y)  # noqa: E731  else too unlike in length
-    first = members.where("doc_id <> leader").where(fits(F.col("runs"), F.col("leader_runs"))).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct().checkpoint()
+    shared = bands.groupBy("t", "band").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "runs")).alias("least"), F.min(F.struct("runs", "doc_id")).alias("short")).where("n > 1")
+    members = stored(bands.join(shared, ["t", "band"]), "members")
+
+    def led(leader: str) -> DataFrame:
+        """Pairs of a leader and the members that are not too unlike in length."""
+        a, n = F.col(f"{leader}.doc_id"), F.col(f"{leader}.runs")
+        near = F.least("runs", n) >= F.lit(SIMILARITY) * F.greatest("runs", n)
+        return members.where((F.col("doc_id") != a) & near).select(F.least("doc_id", a).alias("a"), F.greatest("doc_id", a).alias("b"))
+
+    first = led("least").union(led("short")).distinct().checkpoint()
     links = _verified(first, texts)
     parts = connected_components(links.select("a", "b"))
     # what the leaders did not settle: members of buckets that hold several components
