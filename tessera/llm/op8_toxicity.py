@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their first 3 to 6 letters (marked), so inflected and compounded forms meet. `fit` takes the
-`MOST_EXAMPLES` labelled documents of least hash (a documented bound; fewer labels are all taken) and keeps the at most
-`MOST_TERMS` terms whose presence depends most on the label (chi-square of at least `CHI_SQUARE`): in this vocabulary texts
-are TF-IDF vectors, with document frequencies counted over all documents. The examples' vectors form an inverted index whose
+`MOST_EXAMPLES` labelled documents of least hash (a documented bound; fewer labels are all taken) and selects every term whose
+presence depends on the label (chi-square of at least `CHI_SQUARE`, in `LEAST_SEEN` examples or more), however many those are
+and each on its own: in this vocabulary texts are TF-IDF vectors, with document frequencies counted over all documents. The
+other terms are not in the vectors: neighbours would be those of a text's topic, and a toxic word few (README). The examples' vectors form an inverted index whose
 postings lie in blocks of `BLOCK` examples, each block with its largest weight. A query scores the blocks of the largest
 summed maxima first, and of the others those whose sum reaches the k-th best similarity so far; all exactly, so the k
-nearest are exact (ties: the smaller example number). Their votes, weighted by similarity, are calibrated by isotonic regression on
+nearest are exact (ties: the smaller example number); short postings are added up whole, as cutting them takes longer. Their votes, weighted by similarity, are calibrated by isotonic regression on
 leave-one-out votes of the examples. A text without a term has the calibrated score of no votes.
 
 Each text is read once: its terms are stored as sparse rows, counted, then scored. What is collected and broadcast is bounded:
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, stored
 
-MOST_EXAMPLES, MOST_TERMS, CHI_SQUARE, LEAST_SEEN = 20_000, 600, 25.0, 3
+MOST_EXAMPLES, CHI_SQUARE, LEAST_SEEN = 20_000, 25.0, 3
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 8, 0.5, 0.3
 PREFIXES = (3, 4, 5, 6)
+#: cutting one block out of a term's postings takes as long as adding up so many of them
+SLICE = 100
 
 
 def terms_of(word: str) -> list[str]:
@@ -46,6 +49,12 @@ def terms_of(word: str) -> list[str]:
     return out
 
 
+def _sums(which: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sums = np.bincount(np.concatenate(which), np.concatenate(parts))
+    found = np.flatnonzero(sums)
+    return found, np.round(sums[found], 9)
+
+
 @dataclass
 class Index:
     """Examples as TF-IDF vectors of length 1, by term, in blocks with their largest weight."""
@@ -84,28 +93,36 @@ class Index:
                 lo, hi = at[b], at[b + 1]
                 which.append(e[lo:hi])
                 parts.append(w * v[lo:hi])
-        which = np.concatenate(which)
-        sums = np.bincount(which, np.concatenate(parts))
-        found = np.flatnonzero(sums)
-        return found, np.round(sums[found], 9)
+        return _sums(which, parts)
+
+    def _whole(self, query: list) -> tuple[np.ndarray, np.ndarray]:
+        """`_exact` of all blocks."""
+        return _sums([e for _, (e, _, _, _) in query], [w * v for w, (_, v, _, _) in query])
 
     def nearest(self, query: list[tuple[int, float]], k: int = NEAREST) -> list[tuple[float, int]]:
         """The k most similar examples, exactly: (similarity, example), best first, ties by number.
 
-        The blocks of the largest bounds are scored first; of the others only those whose bound reaches the k-th best so far.
+        The blocks of the largest bounds are scored first; of the others only those whose bound reaches the k-th best so far;
+        or all postings at once, where they are too few for that to pay.
         """
         own = [(w, self.postings[t]) for t, w in query if t in self.postings]
         if not own:
             return []
-        bound = sum(w * most for w, (_, _, most, _) in own)
-        order = np.argsort(-bound, kind="stable")
-        found, sims = self._exact(own, order[:FIRST_BLOCKS])
-        least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] >= least - 1e-8) & (bound[rest] > 0)]
-        if len(rest):
-            more, more_sims = self._exact(own, rest)
-            found, sims = np.concatenate([found, more]), np.concatenate([sims, more_sims])
+        every = sum(len(e) for _, (e, _, _, _) in own)
+        if every <= SLICE * FIRST_BLOCKS * len(own):
+            found, sims = self._whole(own)
+        else:
+            bound = sum(w * most for w, (_, _, most, _) in own)
+            order = np.argsort(-bound, kind="stable")
+            found, sims = self._exact(own, order[:FIRST_BLOCKS])
+            least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
+            rest = order[FIRST_BLOCKS:]
+            rest = rest[(bound[rest] >= least - 1e-8) & (bound[rest] > 0)]
+            if SLICE * len(rest) * len(own) > every:
+                found, sims = self._whole(own)
+            elif len(rest):
+                more, more_sims = self._exact(own, rest)
+                found, sims = np.concatenate([found, more]), np.concatenate([sims, more_sims])
         if len(sims) > 4 * k:
             near = sims >= np.partition(sims, -k)[-k]
             found, sims = found[near], sims[near]
@@ -148,7 +165,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> D
 
 
 def _vocabulary(docs: DataFrame, picked: DataFrame) -> tuple[list[str], int, int]:
-    """The terms that depend most on the label, among the examples' texts."""
+    """All terms that depend on the label, among the examples' texts."""
 
     def count(batches):
         held = (Counter(), Counter())
@@ -172,11 +189,8 @@ def _vocabulary(docs: DataFrame, picked: DataFrame) -> tuple[list[str], int, int
     seen = F.col("a") + F.col("b")
     # chi-square of the two-by-two table of presence and label
     chi = n * F.pow(F.col("a") * F.lit(float(good)) - F.col("b") * F.lit(float(bad)), 2) / (seen * (F.lit(n) - seen) * bad * good)
-    top = counted.where("term <> ''").where((seen >= LEAST_SEEN) & (seen < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), F.desc(F.char_length("term")), "term").limit(4 * MOST_TERMS)
-    kept: dict = {}
-    for r in top.select("term", "a", "b").collect():
-        kept.setdefault((r.term[:3], r.a, r.b), r.term)  # a word and its beginnings, met in the same texts, are one term
-    return list(kept.values())[:MOST_TERMS], bad, good
+    top = counted.where("term <> ''").where((seen >= LEAST_SEEN) & (seen < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), F.desc(F.char_length("term")), "term")
+    return [r.term for r in top.select("term").collect()], bad, good
 
 
 def features(docs: DataFrame, terms: list[str]) -> DataFrame:

@@ -275,6 +275,30 @@ def test_toxicity_on_held_out_documents(spark):
     assert op8_toxicity.toxicity(df.limit(0), labels).count() == 0
 
 
+def test_every_term_that_depends_on_the_label_counts(spark):
+    """More terms than any cap, and words of one beginning and equal counts that stand in different texts."""
+    toxic = [["scumbag"] * (i < 5) + ["scurvy"] * (5 <= i < 10) + [f"q{w}z" for w in range(700) if (i - w) % 20 < 3] for i in range(20)]
+    texts = [" ".join(w) for w in toxic] + [f"plain words {i % 7}" for i in range(280)] + ["a scumbag", "a scurvy"]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(300)], "doc_id long, toxic int")
+    terms = op8_toxicity._vocabulary(df, op8_toxicity.examples(df, labels))[0]
+    assert {"scumbag", "scurvy", *(f"q{w}z" for w in range(700))} <= set(terms) and len(set(terms)) == len(terms)
+    got = by_id(op8_toxicity.toxicity(df, labels))
+    assert "scumbag" in got[300].evidence and "scurvy" in got[301].evidence
+
+
+def test_blocks_and_whole_postings_give_the_same(monkeypatch):
+    rng = random.Random(2)
+    rows = [sorted((t, rng.randint(1, 3)) for t in {int(60 * rng.random() ** 3) for _ in range(rng.randint(1, 9))}) for _ in range(3000)]
+    index = op8_toxicity.Index([str(i) for i in range(60)], np.random.default_rng(0).random(60) + 1, np.zeros(3000), list(range(3000)))
+    index.add(rows)
+    found = []
+    for slice_cost in (0, 1, 100):
+        monkeypatch.setattr(op8_toxicity, "SLICE", slice_cost)
+        found.append([index.nearest(index.vector(r)) for r in rows[:200]])
+    assert found[0] == found[1] == found[2]
+
+
 def test_nearest_is_exact():
     rng = random.Random(1)
     rows = [sorted((t, rng.randint(1, 3)) for t in rng.sample(range(60), rng.randint(1, 9))) for _ in range(2000)]
