@@ -9,7 +9,8 @@ payload that name it. An archive is one binary value written by Spark's own comm
 key (host labels reversed), timestamp and page_id. `merge` deals the sorted runs to ranges of that key, cut at quantiles of a
 bounded sample (only balance depends on it; the key ends in page_id, so a URL with very many captures spans ranges), and
 merges the k runs that reach a range with a loser tree. The result is globally ordered: range, then place, with the number
-of the capture within its URL's history and the previous capture's time where both are in one range.
+of the capture within its URL's history and the previous capture's time: both are first taken within ranges, then each
+range's leading URL is given what the ranges before it hold of it (a few rows per range, summed up on the driver).
 
 Which payloads repeat is found from digests alone; the few rows about repeated payloads are joined back, broadcast if at most
 `BROADCAST_ROWS`, else by a shuffled join of the pages.
@@ -273,8 +274,45 @@ def merge(sorted_runs: DataFrame, ranges: int) -> DataFrame:
         if slices:
             yield from history(here, slices)
 
+    def ends(batches):
+        """The first and last capture of each range in a task: a range that was written in pieces has several rows."""
+        here = None
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if here and here[0] == row[0]:
+                    here = here[:1] + min(here[1:3], row[1:3]) + max(here[3:], row[1:])
+                    continue
+                if here:
+                    yield pa.RecordBatch.from_pylist([dict(zip(end_schema.names, here))], schema=end_schema)
+                here = row[:3] + row[1:]
+        if here:
+            yield pa.RecordBatch.from_pylist([dict(zip(end_schema.names, here))], schema=end_schema)
+
+    end_schema = pa.schema([("range", pa.int32()), ("first_place", pa.int64()), ("first_key", pa.string()), ("place", pa.int64()), ("url_key", pa.string()), ("number", pa.int64()), ("time", pa.string())])
     dealt = sorted_runs.mapInArrow(deal, "range int, run string, captures " + RUN.partition("captures ")[2])
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(join, "range int, place long, url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, number long, previous_time string")
+    merged = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(join, "range int, place long, url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, number long, previous_time string")
+    merged = stored(merged, "merged")
+    found = merged.select("range", "place", "url_key", "number", "time").mapInArrow(ends, "range int, first_place long, first_key string, place long, url_key string, number long, time string")
+    before = spark.createDataFrame(carried([tuple(r) for r in found.collect()]), "range int, carried_key string, carried long, carried_time string")
+    same = F.col("url_key").eqNullSafe(F.col("carried_key"))
+    numbers = [F.when(same, F.col("number") + F.col("carried")).otherwise(F.col("number")).alias("number"), F.when(same & (F.col("number") == 1), F.col("carried_time")).otherwise(F.col("previous_time")).alias("previous_time")]
+    return merged.join(F.broadcast(before), "range", "left").select("range", "place", *(c for c, _ in CAPTURE), *numbers)
+
+
+def carried(ends: list[tuple]) -> list[tuple]:
+    """Ends of ranges (range, first place, first key, last place, last key, its number, its time), some in pieces -> (range, key, captures of it before the range, time of the last)."""
+    whole: dict[int, tuple] = {}
+    for r, first, first_key, *last in ends:
+        a, b = whole.get(r, ((first, first_key), last))
+        whole[r] = min(a, (first, first_key)), max(b, last)
+    out, key, number, time = [], None, 0, None
+    for r in sorted(whole):
+        (_, first_key), (_, last_key, last_number, last_time) = whole[r]
+        if key == first_key:
+            out.append((r, key, number, time))
+        number = last_number + (number if key == first_key == last_key else 0)
+        key, time = last_key, last_time
+    return out
 
 
 def capture_histories(pages: DataFrame) -> DataFrame:

@@ -134,6 +134,29 @@ def test_archives_round_trip(spark):
         op3_warc_merge.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
 
 
+def test_history_of_a_hot_url_spans_ranges(spark):
+    """Numbers and predecessors run through all ranges, however many there are."""
+    hot = "http://b.example/hot"
+    urls = [hot if i % 4 else f"http://{'ac'[i % 8 // 4]}.example/{i % 5}" for i in range(400)]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    archives = op3_warc_merge.runs(op3_warc_merge.write(df.repartition(3)))
+    want, seen = {}, {}
+    for i, u in enumerate(urls):
+        last = seen.setdefault(u, [])
+        want[i] = (len(last) + 1, last[-1] if last else None)
+        last.append(i)
+    for ranges in (1, 3, 7):
+        got = op3_warc_merge.merge(archives, ranges).orderBy("range", "place").collect()
+        times = {r.page_id: r.time for r in got}
+        assert {r.page_id: (r.number, r.previous_time) for r in got} == {i: (n, times.get(p)) for i, (n, p) in want.items()}
+        assert len(got) == 400 and [op3_warc_merge.sort_key(r.asDict()) for r in got] == sorted(op3_warc_merge.sort_key(r.asDict()) for r in got)
+        if ranges == 7:
+            assert len({r.range for r in got if "hot" in r.url_key}) > 2
+    # a range may be read in pieces; one that holds a single key passes on what came before it
+    pieces = [(2, 0, "k", 4, "k", 5, "t5"), (0, 0, "a", 2, "k", 2, "t2"), (1, 3, "k", 5, "k", 6, "t4"), (1, 0, "k", 2, "k", 3, "t3"), (4, 0, "k", 1, "z", 1, "t9")]
+    assert op3_warc_merge.carried(pieces) == [(1, "k", 2, "t2"), (2, "k", 8, "t4"), (4, "k", 13, "t5")]
+
+
 # --- 4 urls
 
 
