@@ -37,7 +37,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("toxicity", toxicity), ("minhash_near_dedup", minhash_near_dedup), ("secret_scan", secret_scan), ("mixing", mixing), ("bpe_encoding", bpe_encoding)]
 
-#: SQL cannot express nearest examples, alignment, tagging and merging; tests hold the stages against plain versions.
+#: SQL cannot express nearest examples, alignment, tagging and merging; tests hold masking, mixing and encoding against plain versions.
 ORACLE_SQL = None
 
 

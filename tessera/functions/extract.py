@@ -1,4 +1,4 @@
-"""Text to rows, line by line (E01-E10, F21, F35, F36): small helpers that run inside Spark tasks.
+"""Text to rows, line by line (E01-E07, E09, F21, F35, F36): small helpers that run inside Spark tasks.
 
 Each helper takes one text; `over` maps it over a column with Arrow batches, one row in, rows out.
 """
