@@ -1,17 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their first 3 to 6 letters (marked), so inflected and compounded forms meet. `fit` takes the
-`MOST_EXAMPLES` labelled documents of least hash (a documented bound; fewer labels are all taken) and selects every term whose
-presence depends on the label (chi-square of at least `CHI_SQUARE`, in `LEAST_SEEN` examples or more), however many those are
-and each on its own: in this vocabulary texts are TF-IDF vectors, with document frequencies counted over all documents. The
-other terms are not in the vectors: neighbours would be those of a text's topic, and a toxic word few (README). The examples' vectors form an inverted index whose
-postings lie in blocks of `BLOCK` examples, each block with its largest weight. A query scores the blocks of the largest
-summed maxima first, and of the others those whose sum reaches the k-th best similarity so far; all exactly, so the k
-nearest are exact (ties: the smaller example number); short postings are added up whole, as cutting them takes longer. Their votes, weighted by similarity, are calibrated by isotonic regression on
-leave-one-out votes of the examples. A text without a term has the calibrated score of no votes.
-
-Each text is read once: its terms are stored as sparse rows, counted, then scored. What is collected and broadcast is bounded:
-terms, and examples.
+Terms are lower-cased words and their first 4 and 5 letters (marked), so inflected and compounded forms meet. `fit` takes the
+`MOST_EXAMPLES` labelled documents of least hash (a documented bound; fewer labels are all taken). Every term of their whole
+texts is in the index and none is dropped. A term weighs (1 + log count) x idf x relevance: document frequencies are counted
+over all documents, and the relevance runs from `LEAST_RELEVANCE`, for terms that stand as often in either kind of example, to
+1, for terms whose presence depends on the label (the square of chi-square / `CHI_SQUARE`, 1 at most). Without it neighbours
+are those of a text's topic (README). Vectors have length 1, so the similarity is the cosine of these TF-IDF vectors.
+
+The postings of a term lie in blocks of `BLOCK` examples, each block with its largest weight. A query bounds every block by the
+sum of its terms' largest weights there, scores the blocks of the largest bounds first, and of the others those whose bound
+reaches the k-th best similarity so far; all exactly, so the k nearest are exact. Examples as similar as the k-th (to nine
+places) all vote: no number and no doc_id decides. Votes are weighted by squared similarity and calibrated by isotonic
+regression on leave-one-out votes of the examples. A text without a term has the calibrated score of no votes.
+
+Texts are read twice: once to count documents per term of the index, once to score. What is collected and broadcast is bounded
+by the examples: their terms and the index.
 
 Nulls and edge cases: null, empty and wordless texts have no terms and the score of no votes; very long texts are read whole;
 labels that are null or other than 0 and 1 are no examples, nor are documents without a label; rows that repeat a doc_id
@@ -21,119 +24,141 @@ is the share of toxic examples (0 without any); a null doc_id is scored and is n
 
 from __future__ import annotations
 
+import hashlib
 import math
-from bisect import bisect_right
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, stored
 
-MOST_EXAMPLES, CHI_SQUARE, LEAST_SEEN = 20_000, 25.0, 3
-NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 8, 0.5, 0.3
-PREFIXES = (3, 4, 5, 6)
-#: cutting one block out of a term's postings takes as long as adding up so many of them
-SLICE = 100
+MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 4_000, 50.0, 0.05, 0.5
+NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 4, 0.5, 0.3
+PREFIXES = (4, 5)
 
 
 def terms_of(word: str) -> list[str]:
-    """A lower-cased chunk between white space -> its words and their beginnings (`abc^`)."""
+    """A lower-cased chunk between white space -> its words and their beginnings (`abcd^`)."""
     out = []
-    for w in "".join(c if c.isalnum() else " " for c in word).split():
+    for w in (word if word.isalnum() else "".join(c if c.isalnum() else " " for c in word)).split():
         out.append(w)
         out += [w[:k] + "^" for k in PREFIXES if len(w) > k]
     return out
 
 
-def _sums(which: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sums = np.bincount(np.concatenate(which), np.concatenate(parts))
-    found = np.flatnonzero(sums)
-    return found, np.round(sums[found], 9)
+def name_of(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of the slices [start, start + length), one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Reader:
+    """Texts -> (places of terms in the vocabulary, counts); remembers chunks up to a bound."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = memoryview(names).cast("B").cast("Q") if len(names) else []
+        self.memo = Memo(self._known, 100_000)
+
+    def _known(self, chunk: str) -> tuple[int, ...]:
+        out, names = [], self.names
+        for t in terms_of(chunk):
+            at = bisect_left(names, n := name_of(t))
+            if at < len(names) and names[at] == n:
+                out.append(at)
+        return tuple(out)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        self.memo.trim()
+        return np.unique(np.fromiter(chain.from_iterable(map(self.memo.__getitem__, (text or "").lower().split())), np.int64), return_counts=True)
 
 
 @dataclass
 class Index:
-    """Examples as TF-IDF vectors of length 1, by term, in blocks with their largest weight."""
+    """Examples as weighted TF-IDF vectors of length 1: postings by term, dealt in blocks of examples with their largest weight."""
 
-    terms: list[str]
-    idf: np.ndarray
+    names: np.ndarray  # of terms, sorted
+    weight: np.ndarray  # idf x relevance of each term
+    clear: dict[int, str]  # terms that depend on the label, as evidence
     labels: np.ndarray
-    ids: list[int]
-    #: by term: examples, their weights, the largest weight in each block of examples, and where blocks begin
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    ids: np.ndarray
+    #: by term: where its blocks begin; by block: its number, largest weight, where its postings begin
+    term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    block_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     knots: tuple = ((0.0,), (0.0,))
     silent: float = 0.0
 
-    def vector(self, counts: list[tuple[int, int]]) -> list[tuple[int, float]]:
-        weights = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in counts]
-        norm = math.sqrt(sum(w * w for _, w in weights))
-        return [(t, float(w / norm)) for t, w in weights] if norm else []
-
-    def add(self, rows: list[list[tuple[int, int]]]) -> None:
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for e, counts in enumerate(rows):
-            for t, w in self.vector(counts):
-                lists.setdefault(t, []).append((e, w))
-        blocks = -(-len(rows) // BLOCK)
-        for t, found in lists.items():
-            which, weights = np.array([e for e, _ in found]), np.array([w for _, w in found])
-            most = np.zeros(blocks)
-            np.maximum.at(most, which // BLOCK, weights)
-            self.postings[t] = which, weights, most, np.searchsorted(which, np.arange(blocks + 1) * BLOCK)
-
-    def _exact(self, query: list, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the examples in the given blocks that share a term with the query."""
-        which, parts = [], []
-        for w, (e, v, most, at) in query:
-            for b in blocks[most[blocks] > 0].tolist():
-                lo, hi = at[b], at[b + 1]
-                which.append(e[lo:hi])
-                parts.append(w * v[lo:hi])
-        return _sums(which, parts)
-
-    def _whole(self, query: list) -> tuple[np.ndarray, np.ndarray]:
-        """`_exact` of all blocks."""
-        return _sums([e for _, (e, _, _, _) in query], [w * v for w, (_, v, _, _) in query])
-
-    def nearest(self, query: list[tuple[int, float]], k: int = NEAREST) -> list[tuple[float, int]]:
-        """The k most similar examples, exactly: (similarity, example), best first, ties by number.
-
-        The blocks of the largest bounds are scored first; of the others only those whose bound reaches the k-th best so far;
-        or all postings at once, where they are too few for that to pay.
-        """
-        own = [(w, self.postings[t]) for t, w in query if t in self.postings]
-        if not own:
-            return []
-        every = sum(len(e) for _, (e, _, _, _) in own)
-        if every <= SLICE * FIRST_BLOCKS * len(own):
-            found, sims = self._whole(own)
-        else:
-            bound = sum(w * most for w, (_, _, most, _) in own)
-            order = np.argsort(-bound, kind="stable")
-            found, sims = self._exact(own, order[:FIRST_BLOCKS])
-            least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
-            rest = order[FIRST_BLOCKS:]
-            rest = rest[(bound[rest] >= least - 1e-8) & (bound[rest] > 0)]
-            if SLICE * len(rest) * len(own) > every:
-                found, sims = self._whole(own)
-            elif len(rest):
-                more, more_sims = self._exact(own, rest)
-                found, sims = np.concatenate([found, more]), np.concatenate([sims, more_sims])
-        if len(sims) > 4 * k:
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        norm = math.sqrt(float(w @ w))
+        return w / norm if norm else w
+
+    def add(self, example: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
+        """Rows of (example, term, count), in any order."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        norm = np.sqrt(np.bincount(example, w * w, len(self.labels)))
+        order = np.lexsort((example, terms))
+        e, t, w = example[order], terms[order], w[order] / norm[example[order]]
+        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)]) if len(e) else np.zeros(0, np.int64)
+        self.example, self.value, self.block_at = e.astype(np.int32), w, np.r_[first, len(e)]
+        self.block, self.most = (e[first] // BLOCK).astype(np.int32), np.maximum.reduceat(w, first) if len(first) else w
+        self.term_at = np.searchsorted(t[first], np.arange(len(self.names) + 1))
+
+    def _exact(self, entries: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities) from the given blocks of postings, each with its term's weight in the query."""
+        length = self.block_at[entries + 1] - self.block_at[entries]
+        at = _spread(self.block_at[entries], length)
+        sums = np.bincount(self.example[at], np.repeat(q, length) * self.value[at], len(self.labels))
+        found = np.flatnonzero(sums)
+        return found, np.round(sums[found], 9)
+
+    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities) of the k most similar and of all as similar as the k-th, best first."""
+        length = self.term_at[terms + 1] - self.term_at[terms]
+        entries, q = _spread(self.term_at[terms], length), np.repeat(vector, length)
+        bound = np.bincount(self.block[entries], q * self.most[entries], -(-len(self.labels) // BLOCK))
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        now = first[self.block[entries]]
+        found, sims = self._exact(entries[now], q[now])
+        least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
+        rest = ((bound >= least - 1e-8) & ~first)[self.block[entries]]
+        if rest.any():
+            more, more_sims = self._exact(entries[rest], q[rest])
+            found, sims = np.r_[found, more], np.r_[sims, more_sims]
+        if len(sims) > k:
             near = sims >= np.partition(sims, -k)[-k]
             found, sims = found[near], sims[near]
-        best = np.lexsort((found, -sims))[:k]
-        return list(zip(sims[best].tolist(), found[best].tolist()))
+        order = np.lexsort((found, -sims))
+        return found[order], sims[order]
 
-    def votes(self, found: list[tuple[float, int]]) -> float:
-        """Similarity-weighted share of toxic neighbours, drawn to the overall share."""
+    def votes(self, found: np.ndarray, sims: np.ndarray) -> float:
+        """Share of toxic neighbours weighted by squared similarity, drawn to the overall share; sums of sorted numbers, so that order does not matter."""
         prior = float(self.labels.mean()) if len(self.labels) else 0.0
-        total = sum(s * s for s, _ in found)
-        return (PRIOR_VOTES * prior + sum(s * s * self.labels[e] for s, e in found)) / (PRIOR_VOTES + total)
+        total, bad = np.sort(sims * sims).sum(), np.sort((sims * sims)[self.labels[found] > 0]).sum()
+        return float((PRIOR_VOTES * prior + bad) / (PRIOR_VOTES + total))
+
+    def left_out(self, terms: np.ndarray, counts: np.ndarray, own: int) -> float:
+        """Votes of the others for an example."""
+        found, sims = self.nearest(terms, self.vector(terms, counts), NEAREST + 1)
+        others = found != own
+        found, sims = found[others], sims[others]
+        near = sims >= sims[NEAREST - 1] if len(sims) > NEAREST else slice(None)
+        return self.votes(found[near], sims[near])
 
     def calibrated(self, vote: float) -> float:
         x, y = self.knots
@@ -145,153 +170,166 @@ class Index:
         return y[i] + (y[i + 1] - y[i]) * (vote - x[i]) / (x[i + 1] - x[i]) if x[i + 1] > x[i] else y[i]
 
     def calibrate(self, votes: np.ndarray) -> None:
-        """Isotonic regression of labels on leave-one-out votes (pool adjacent violators)."""
+        """Isotonic regression of labels on leave-one-out votes (pool adjacent violators); equal votes are one pool."""
         if not len(votes):
             return
-        order = np.argsort(votes, kind="stable")
+        x, at = np.unique(np.round(votes, 12), return_inverse=True)
         pools: list[list[float]] = []  # sum of votes, sum of labels, rows
-        for v, y in zip(votes[order].tolist(), self.labels[order].tolist()):
-            pools.append([v, y, 1])
+        for v, y, n in zip(x.tolist(), np.bincount(at, self.labels).tolist(), np.bincount(at).tolist()):
+            pools.append([v * n, y, n])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 a = pools.pop()
                 pools[-1] = [p + q for p, q in zip(pools[-1], a)]
         self.knots = ([p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools])
 
 
-def examples(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
-    """`(doc_id, toxic)` of at most `most` labelled documents that may be learnt from, stored."""
-    fit = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return stored(fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "examples")
+def relevance(bad_with: np.ndarray, good_with: np.ndarray, bad: int, good: int) -> np.ndarray:
+    """Of each term: how far its presence depends on the label, from LEAST_RELEVANCE to 1 (1 for all without both kinds)."""
+    if not bad or not good:
+        return np.ones(len(bad_with))
+    n, seen = bad + good, bad_with + good_with
+    chi = n * (bad_with * float(good) - good_with * float(bad)) ** 2 / np.maximum(seen * (n - seen) * float(bad) * good, 1)
+    return LEAST_RELEVANCE + (1 - LEAST_RELEVANCE) * np.minimum(1, chi / CHI_SQUARE) ** 2
 
 
-def _vocabulary(docs: DataFrame, picked: DataFrame) -> tuple[list[str], int, int]:
-    """All terms that depend on the label, among the examples' texts."""
+EXAMPLE = "doc_id long, toxic int, terms array<string>, counts array<int>"
 
-    def count(batches):
-        held = (Counter(), Counter())
-        totals = [0, 0]
-        memo = Memo(terms_of, 100_000)
+
+def examples(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
+    """(doc_id, toxic, terms, counts) of at most `most` labelled documents that may be learnt from, stored."""
+    fit = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    picked = stored(fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def split(batches):
         for b in batches:
-            for text, y in zip(b.column(0), b.column(1).to_pylist()):
-                memo.trim()
-                totals[y] += 1
-                held[y].update({t for c in set((text.as_py() or "").lower().split()) for t in memo[c]})
-        rows = [(t, y, n) for y in (0, 1) for t, n in held[y].items()] + [("", y, n) for y, n in enumerate(totals)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["term", "toxic", "n"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    counted = texts.mapInArrow(count, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).checkpoint()
-    total = counted.where("term = ''").first()
-    bad, good = (total.a, total.b) if total else (0, 0)
-    if not bad or not good:
-        return [], bad, good
-    n = float(bad + good)
-    seen = F.col("a") + F.col("b")
-    # chi-square of the two-by-two table of presence and label
-    chi = n * F.pow(F.col("a") * F.lit(float(good)) - F.col("b") * F.lit(float(bad)), 2) / (seen * (F.lit(n) - seen) * bad * good)
-    top = counted.where("term <> ''").where((seen >= LEAST_SEEN) & (seen < n)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), F.desc(F.char_length("term")), "term")
-    return [r.term for r in top.select("term").collect()], bad, good
+            terms, counts = [], []
+            for text in b.column(2):
+                found = pa.array(list(chain.from_iterable(map(terms_of, (text.as_py() or "").lower().split()))), pa.string()).value_counts()
+                terms.append(found.field(0).to_pylist())
+                counts.append(found.field(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
+    return stored(texts.mapInArrow(split, EXAMPLE), "examples")
 
-def features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """`(doc_id, terms, counts)` of every row, stored: the vocabulary's terms in the whole text."""
-    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
-    def run(batches):
-        vocabulary = known.value
-        memo = Memo(lambda c: tuple(vocabulary[t] for t in terms_of(c) if t in vocabulary), 300_000)
+def _documents_with(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents, and in how many of them each term stands."""
+    known = docs.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches):
+        read, held, n = Reader(known.value), np.zeros(len(known.value), np.int64), 0
         for b in batches:
-            which, counts = [], []
-            for text in b.column(1):
-                memo.trim()
-                held: Counter = Counter()
-                for hit in filter(None, map(memo.__getitem__, (text.as_py() or "").lower().split())):
-                    held.update(hit)
-                found = sorted(held.items())
-                which.append([t for t, _ in found])
-                counts.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(which, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
-
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>"), "features")
-
-
-def _seen(batches):
-    """In how many of a task's documents each term stands; -1 counts the documents."""
-    held: Counter = Counter()
-    for b in batches:
-        held[-1] += b.num_rows
-        held.update(b.column(0).flatten().to_pylist())
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[DataFrame, Index]:
-    """(features of all documents, the index of examples)."""
-    picked = examples(docs, labels, most)
-    terms, bad, good = _vocabulary(docs, picked)
-    rows = features(docs, terms)
-    seen = {r.term: r.n for r in rows.select("terms").mapInArrow(_seen, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = seen.pop(-1, 0)
-    idf = np.array([math.log((1 + n) / (1 + seen.get(t, 0))) + 1 for t in range(len(terms))])
-    own = rows.where("size(terms) > 0").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "counts", "toxic")).alias("s")).select("doc_id", "s.*").orderBy("doc_id").collect()
+            n += b.num_rows
+            for text in b.column(0):
+                held[read(text.as_py())[0]] += 1
+        seen = np.flatnonzero(held)
+        for lo in range(0, len(seen) + 1, 50_000):
+            part = seen[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, part] if not lo else part, pa.int32()), pa.array(np.r_[n, held[part]] if not lo else held[part], pa.int64())], names=["term", "n"])
+
+    found = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(names) + 1, np.int64)
+    out[found["term"].to_numpy()] = found["n"].to_numpy()  # -1: the last
+    return int(out[-1]), out[:-1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Index:
+    """The index of the examples, calibrated."""
+    rows = examples(docs, labels, most)
+    own = rows.toArrow().combine_chunks()
+    labelled, sizes = own["toxic"].to_numpy().astype(np.float64), pc.fill_null(pc.list_value_length(own["terms"]), 0).to_numpy()
+    spelt = own["terms"].combine_chunks().flatten().dictionary_encode()
+    terms = spelt.dictionary.to_pylist()
+    hashed = np.array([name_of(t) for t in terms], np.uint64)
+    names, places = np.unique(hashed, return_inverse=True)
+    term, counts, row = places[spelt.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64), own["counts"].combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    bad, good = int(labelled.sum()), int(len(labelled) - labelled.sum())
+    depends = relevance(np.bincount(term, labelled[row], len(names)), np.bincount(term, 1 - labelled[row], len(names)), bad, good)
+    n, seen = _documents_with(docs, names)
+    weight = (np.log((1 + n) / (1 + seen)) + 1) * depends
+    clear = {int(places[i]): t for i, t in enumerate(terms) if depends[places[i]] >= CLEAR and bad and good}
     # examples that share their heaviest term stand together, so that blocks have tight maxima
-    own.sort(key=lambda r: (max(zip(idf[r.terms] * (1 + np.log(r.counts)), r.terms))[1], r.doc_id))
-    counts = [list(zip(r.terms, r.counts)) for r in own]
-    index = Index(terms, idf, np.array([r.toxic for r in own], np.float64), [r.doc_id for r in own])
-    index.add(counts)
-    votes = _left_out(docs.sparkSession, index, counts)
+    heaviest, sounding = np.full(len(sizes), -1), np.flatnonzero(sizes)
+    by_weight = np.lexsort((term, weight[term] * (1 + np.log(counts)), row))
+    heaviest[sounding] = term[by_weight[np.cumsum(sizes[sounding]) - 1]]
+    order = np.lexsort((own["doc_id"].to_numpy(), heaviest))
+    order = order[sizes[order] > 0]
+    number = np.full(len(sizes), -1)
+    number[order] = np.arange(len(order))
+    index = Index(names, weight, clear, labelled[order], own["doc_id"].to_numpy()[order])
+    index.add(number[row], term, counts)
+    index.calibrate(_left_out(rows, index))
     # examples without a term have no votes: what share of them is toxic
-    silent_bad, silent_good = max(0, bad - int(index.labels.sum())), max(0, good - int(len(own) - index.labels.sum()))
-    index.calibrate(np.array(votes))
+    silent_bad, silent_good = bad - int(index.labels.sum()), good - int(len(order) - index.labels.sum())
     index.silent = silent_bad / (silent_bad + silent_good) if silent_bad + silent_good else (bad / (bad + good) if bad + good else 0.0)
-    return rows, index
+    return index
 
 
-def _left_out(spark, index: Index, counts: list) -> list[float]:
+def _left_out(rows: DataFrame, index: Index) -> np.ndarray:
     """Each example's votes from the nearest others, in example order (bounded as the examples are)."""
-    if not counts:
-        return []
-    shared = spark.sparkContext.broadcast(index)
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        memo = Memo(lambda key: shared.value.nearest(shared.value.vector(list(key)), NEAREST + 1), 20_000)
+        index = shared.value
+        number = {i: e for e, i in enumerate(index.ids.tolist())}
+        at = {n: i for i, n in enumerate(index.names.tolist())}
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(3)))
-            found = [(e, shared.value.votes([f for f in memo[tuple(zip(t, n))] if f[1] != e][:NEAREST])) for e, t, n in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.int32()), pa.array([v for _, v in found], pa.float64())], names=["e", "vote"])
-
-    rows = spark.createDataFrame([(e, [t for t, _ in c], [n for _, n in c]) for e, c in enumerate(counts)], "e int, terms array<int>, counts array<int>")
-    return [r.vote for r in rows.repartition(24).mapInArrow(run, "e int, vote double").orderBy("e").collect()]
+            votes = []
+            for i, terms, counts in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
+                if terms:
+                    votes.append((number[i], index.left_out(np.array([at[name_of(t)] for t in terms]), np.array(counts), number[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in votes], pa.int32()), pa.array([v for _, v in votes], pa.float64())], names=["e", "vote"])
+
+    found = rows.repartition(24).mapInArrow(run, "e int, vote double").toArrow()
+    out = np.zeros(len(index.labels))
+    out[found["e"].to_numpy()] = found["vote"].to_numpy()
+    return out
 
 
 SCORE = "doc_id long, score double, vote double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, evidence array<string>"
 
 
-def score(rows: DataFrame, index: Index) -> DataFrame:
-    """Features -> calibrated score, with the nearest examples and the terms found as evidence."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+def score(docs: DataFrame, index: Index) -> DataFrame:
+    """`docs(doc_id, text)` -> calibrated score, with the nearest examples and the terms that speak of the label as evidence."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
         index = shared.value
-        memo = Memo(lambda key: index.nearest(index.vector(list(zip(*key)))), 20_000)
-        for b in batches:
-            scores, votes, found, evidence = [], [], [], []
-            for terms, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                memo.trim()
-                best = memo[tuple(terms), tuple(counts)] if terms else []
-                vote = index.votes(best)
-                votes.append(vote)
-                scores.append(min(1.0, max(0.0, index.calibrated(vote) if best else index.silent)))
-                found.append([{"doc_id": index.ids[e], "similarity": s, "toxic": int(index.labels[e])} for s, e in best])
-                evidence.append([index.terms[t] for t in terms])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
+        read, memo = Reader(index.names), Memo(None, 5_000)  # copies of a text are scored once
+
+        def scored(text: str):
+            terms, counts = read(text)
+            if not len(terms):
+                vote, found, sims, result = index.votes(terms, np.zeros(0)), terms, np.zeros(0), index.silent
+            else:
+                found, sims = index.nearest(terms, index.vector(terms, counts))
+                vote = index.votes(found, sims)
+                result = min(1.0, max(0.0, index.calibrated(vote)))
+            return result, vote, list(zip(index.ids[found].tolist(), sims.tolist(), index.labels[found].astype(int).tolist())), sorted(index.clear[t] for t in terms.tolist() if t in index.clear)
 
-    return rows.mapInArrow(run, SCORE)
+        for b in batches:
+            for lo in range(0, b.num_rows, 2_000):
+                rows = []
+                for text in b.column(1)[lo : lo + 2_000]:
+                    t = text.as_py() or ""
+                    key = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    memo.trim()
+                    if key not in memo:
+                        memo[key] = scored(t)
+                    rows.append(memo[key])
+                scores, votes, found, evidence = zip(*rows)
+                found = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in f] for f in found]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 2_000], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, score, vote, neighbours, evidence, predicted (1 from DECISION on)."""
-    return score(*fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    return score(docs, fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
