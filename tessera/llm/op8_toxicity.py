@@ -27,21 +27,24 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_left, bisect_right
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, stored
+from tessera.llm.common import Memo, stored, tidy
 
 MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 4_000, 50.0, 0.05, 0.5
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 4, 0.5, 0.3
 PREFIXES = (4, 5)
+#: tasks that compute the votes of the examples (at most MOST_EXAMPLES)
+LEFT_OUT = 24
 
 
 def terms_of(word: str) -> list[str]:
@@ -85,58 +88,67 @@ class Reader:
 
 @dataclass
 class Index:
-    """Examples as weighted TF-IDF vectors of length 1: postings by term, dealt in blocks of examples with their largest weight."""
+    """Examples as weighted TF-IDF vectors of length 1: postings (example, count) by term; `ready` deals them in blocks with their largest weight."""
 
     names: np.ndarray  # of terms, sorted
     weight: np.ndarray  # idf x relevance of each term
     clear: dict[int, str]  # terms that depend on the label, as evidence
     labels: np.ndarray
     ids: np.ndarray
-    #: by term: where its blocks begin; by block: its number, largest weight, where its postings begin
-    term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    block_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    knots: tuple = ((0.0,), (0.0,))
-    silent: float = 0.0
+    term_at: np.ndarray | None = None
+    example: np.ndarray | None = None
+    count: np.ndarray | None = None
+    built: tuple = ()
+
+    def __getstate__(self):
+        return self.__dict__ | {"built": ()}
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weight[terms]
         norm = math.sqrt(float(w @ w))
         return w / norm if norm else w
 
-    def add(self, example: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
-        """Rows of (example, term, count), in any order."""
-        w = (1 + np.log(counts)) * self.weight[terms]
-        norm = np.sqrt(np.bincount(example, w * w, len(self.labels)))
+    def add(self, example: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
+        """Rows of (example, term, count), in any order; kept in as few bytes as they need, for they are broadcast."""
         order = np.lexsort((example, terms))
-        e, t, w = example[order], terms[order], w[order] / norm[example[order]]
-        first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)]) if len(e) else np.zeros(0, np.int64)
-        self.example, self.value, self.block_at = e.astype(np.int32), w, np.r_[first, len(e)]
-        self.block, self.most = (e[first] // BLOCK).astype(np.int32), np.maximum.reduceat(w, first) if len(first) else w
-        self.term_at = np.searchsorted(t[first], np.arange(len(self.names) + 1))
+        self.term_at = np.searchsorted(terms[order], np.arange(len(self.names) + 1)).astype(np.int32)
+        self.example = example[order].astype(np.min_scalar_type(max(len(self.labels), 1)))
+        self.count = counts[order].astype(np.min_scalar_type(int(counts.max(initial=0))))
+        return self
+
+    def ready(self) -> Index:
+        """With weights, and by term where its blocks begin, by block its number, largest weight, and where its postings begin."""
+        if not self.built:
+            e, t = self.example.astype(np.int32), np.repeat(np.arange(len(self.names)), np.diff(self.term_at))
+            w = (1 + np.log(self.count, dtype=np.float64)) * self.weight[t]
+            w /= np.sqrt(np.bincount(e, w * w, len(self.labels)))[e]
+            first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)]) if len(e) else np.zeros(0, np.int64)
+            most = np.maximum.reduceat(w, first) if len(first) else w
+            self.built = np.searchsorted(first, self.term_at).astype(np.int32), (e[first] // BLOCK).astype(np.int32), most, np.r_[first, len(e)].astype(np.int32), e, w
+        return self
 
     def _exact(self, entries: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) from the given blocks of postings, each with its term's weight in the query."""
-        length = self.block_at[entries + 1] - self.block_at[entries]
-        at = _spread(self.block_at[entries], length)
-        sums = np.bincount(self.example[at], np.repeat(q, length) * self.value[at], len(self.labels))
+        _, _, _, block_at, example, value = self.built
+        length = block_at[entries + 1] - block_at[entries]
+        at = _spread(block_at[entries], length)
+        sums = np.bincount(example[at], np.repeat(q, length) * value[at], len(self.labels))
         found = np.flatnonzero(sums)
         return found, np.round(sums[found], 9)
 
     def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k most similar and of all as similar as the k-th, best first."""
-        length = self.term_at[terms + 1] - self.term_at[terms]
-        entries, q = _spread(self.term_at[terms], length), np.repeat(vector, length)
-        bound = np.bincount(self.block[entries], q * self.most[entries], -(-len(self.labels) // BLOCK))
+        term_at, block, most, _, _, _ = self.ready().built
+        length = term_at[terms + 1] - term_at[terms]
+        entries, q = _spread(term_at[terms], length), np.repeat(vector, length)
+        block = block[entries]
+        bound = np.bincount(block, q * most[entries], -(-len(self.labels) // BLOCK))
         first = np.zeros(len(bound), bool)
         first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        now = first[self.block[entries]]
+        now = first[block]
         found, sims = self._exact(entries[now], q[now])
         least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
-        rest = ((bound >= least - 1e-8) & ~first)[self.block[entries]]
+        rest = ((bound >= least - 1e-8) & ~first)[block]
         if rest.any():
             more, more_sims = self._exact(entries[rest], q[rest])
             found, sims = np.r_[found, more], np.r_[sims, more_sims]
@@ -160,27 +172,35 @@ class Index:
         near = sims >= sims[NEAREST - 1] if len(sims) > NEAREST else slice(None)
         return self.votes(found[near], sims[near])
 
-    def calibrated(self, vote: float) -> float:
-        x, y = self.knots
-        i = bisect_right(x, vote + 1e-12) - 1
-        if i < 0:
-            return y[0]
-        if i + 1 == len(x):
-            return y[-1]
-        return y[i] + (y[i + 1] - y[i]) * (vote - x[i]) / (x[i + 1] - x[i]) if x[i + 1] > x[i] else y[i]
 
-    def calibrate(self, votes: np.ndarray) -> None:
-        """Isotonic regression of labels on leave-one-out votes (pool adjacent violators); equal votes are one pool."""
-        if not len(votes):
-            return
+@dataclass
+class Scale:
+    """Votes -> scores: isotonic regression of labels on leave-one-out votes; `silent` is the score of a text without terms."""
+
+    votes: list[float]
+    scores: list[float]
+    silent: float
+
+    @classmethod
+    def fit(cls, votes: np.ndarray, labels: np.ndarray, silent: float) -> Scale:
+        """Pool adjacent violators; equal votes are one pool."""
         x, at = np.unique(np.round(votes, 12), return_inverse=True)
         pools: list[list[float]] = []  # sum of votes, sum of labels, rows
-        for v, y, n in zip(x.tolist(), np.bincount(at, self.labels).tolist(), np.bincount(at).tolist()):
+        for v, y, n in zip(x.tolist(), np.bincount(at, labels).tolist(), np.bincount(at).tolist()):
             pools.append([v * n, y, n])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 a = pools.pop()
                 pools[-1] = [p + q for p, q in zip(pools[-1], a)]
-        self.knots = ([p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools])
+        return cls([p[0] / p[2] for p in pools] or [0.0], [p[1] / p[2] for p in pools] or [silent], silent)
+
+    def __call__(self, vote: float) -> float:
+        x, y = self.votes, self.scores
+        i = bisect_right(x, vote + 1e-12) - 1
+        if i < 0:
+            return y[0]
+        if i + 1 == len(x):
+            return y[-1]
+        return y[i] + (y[i + 1] - y[i]) * (vote - x[i]) / (x[i + 1] - x[i]) if x[i + 1] > x[i] else y[i]
 
 
 def relevance(bad_with: np.ndarray, good_with: np.ndarray, bad: int, good: int) -> np.ndarray:
@@ -211,7 +231,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> D
                 counts.append(found.field(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
-    return stored(texts.mapInArrow(split, EXAMPLE), "examples")
+    return stored(texts.mapInArrow(tidy(split), EXAMPLE), "examples")
 
 
 def _documents_with(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray]:
@@ -229,14 +249,14 @@ def _documents_with(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray
             part = seen[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, part] if not lo else part, pa.int32()), pa.array(np.r_[n, held[part]] if not lo else held[part], pa.int64())], names=["term", "n"])
 
-    found = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(tidy(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(names) + 1, np.int64)
     out[found["term"].to_numpy()] = found["n"].to_numpy()  # -1: the last
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Index:
-    """The index of the examples, calibrated."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[Broadcast, Scale]:
+    """The index of the examples, broadcast, and the scale of votes."""
     rows = examples(docs, labels, most)
     own = rows.toArrow().combine_chunks()
     labelled, sizes = own["toxic"].to_numpy().astype(np.float64), pc.fill_null(pc.list_value_length(own["terms"]), 0).to_numpy()
@@ -258,32 +278,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> Index:
     order = order[sizes[order] > 0]
     number = np.full(len(sizes), -1)
     number[order] = np.arange(len(order))
-    index = Index(names, weight, clear, labelled[order], own["doc_id"].to_numpy()[order])
-    index.add(number[row], term, counts)
-    index.calibrate(_left_out(rows, index))
+    index = Index(names, weight, clear, labelled[order], own["doc_id"].to_numpy()[order]).add(number[row], term, counts)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     # examples without a term have no votes: what share of them is toxic
     silent_bad, silent_good = bad - int(index.labels.sum()), good - int(len(order) - index.labels.sum())
-    index.silent = silent_bad / (silent_bad + silent_good) if silent_bad + silent_good else (bad / (bad + good) if bad + good else 0.0)
-    return index
+    silent = silent_bad / (silent_bad + silent_good) if silent_bad + silent_good else (bad / (bad + good) if bad + good else 0.0)
+    return shared, Scale.fit(_left_out(rows, shared, len(order)), index.labels, silent)
 
 
-def _left_out(rows: DataFrame, index: Index) -> np.ndarray:
+def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
     """Each example's votes from the nearest others, in example order (bounded as the examples are)."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         index = shared.value
         number = {i: e for e, i in enumerate(index.ids.tolist())}
-        at = {n: i for i, n in enumerate(index.names.tolist())}
         for b in batches:
             votes = []
             for i, terms, counts in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
                 if terms:
-                    votes.append((number[i], index.left_out(np.array([at[name_of(t)] for t in terms]), np.array(counts), number[i])))
+                    votes.append((number[i], index.left_out(np.searchsorted(index.names, np.array([name_of(t) for t in terms], np.uint64)), np.array(counts), number[i])))
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in votes], pa.int32()), pa.array([v for _, v in votes], pa.float64())], names=["e", "vote"])
 
-    found = rows.repartition(24).mapInArrow(run, "e int, vote double").toArrow()
-    out = np.zeros(len(index.labels))
+    found = rows.repartition(LEFT_OUT).mapInArrow(tidy(run), "e int, vote double").toArrow()
+    out = np.zeros(examples)
     out[found["e"].to_numpy()] = found["vote"].to_numpy()
     return out
 
@@ -291,9 +308,8 @@ def _left_out(rows: DataFrame, index: Index) -> np.ndarray:
 SCORE = "doc_id long, score double, vote double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, evidence array<string>"
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
     """`docs(doc_id, text)` -> calibrated score, with the nearest examples and the terms that speak of the label as evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
@@ -303,11 +319,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         def scored(text: str):
             terms, counts = read(text)
             if not len(terms):
-                vote, found, sims, result = index.votes(terms, np.zeros(0)), terms, np.zeros(0), index.silent
+                vote, found, sims, result = index.votes(terms, np.zeros(0)), terms, np.zeros(0), scale.silent
             else:
                 found, sims = index.nearest(terms, index.vector(terms, counts))
                 vote = index.votes(found, sims)
-                result = min(1.0, max(0.0, index.calibrated(vote)))
+                result = min(1.0, max(0.0, scale(vote)))
             return result, vote, list(zip(index.ids[found].tolist(), sims.tolist(), index.labels[found].astype(int).tolist())), sorted(index.clear[t] for t in terms.tolist() if t in index.clear)
 
         for b in batches:
@@ -324,12 +340,12 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 found = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in f] for f in found]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 2_000], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCORE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, score, vote, neighbours, evidence, predicted (1 from DECISION on)."""
-    return score(docs, fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    return score(docs, *fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
