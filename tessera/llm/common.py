@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     said = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not said and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         said = said or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(said)
     return said or current
@@ -35,14 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A bounded memo: `memo[key]` computes a missing value; `trim()` empties it once it holds more than `most` keys."""
+    """A bounded memo: `memo[key]` computes a missing value, and keeps it for keys of at most `LONGEST` characters; `trim()` empties it once it holds more than `most` keys."""
 
-    def __init__(self, compute: Callable, most: int = 300_000):
+    LONGEST = 64
+
+    def __init__(self, compute: Callable, most: int = 100_000):
         super().__init__()
         self.compute, self.most = compute, most
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= self.LONGEST:
+            self[key] = value
         return value
 
     def trim(self) -> None:
@@ -50,6 +58,17 @@ class Memo(dict):
             self.clear()
 
 
+def tidy(run: Callable) -> Callable:
+    """`run` for `mapInArrow`: what a task held is given back before its Python worker takes the next one."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over unsigned integers (wraps around)."""
     with np.errstate(over="ignore"):

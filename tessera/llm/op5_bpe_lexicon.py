@@ -5,23 +5,22 @@ the text is cut into words (contractions, letter runs, single digits, other runs
 byte alphabet, and pairs are merged by rank, the last symbol carrying the word end. Its two special tokens are found in
 the raw text first, as the library does.
 
-`frequent_words` counts the words of all texts: each task keeps a bounded summary (whenever it holds more than `KEEP_MOST`
-words it halves it, so a word missed has at most that task's cut-off), tasks are summed, the `LEXICON` most frequent are
-compiled. The compiled form (`Lexicon`) is the minimal deterministic automaton of the sorted words, so shared suffixes are
-stored once; every edge outputs the number of words that sort before its target's, the sum along a word is its rank, and
-the rank addresses the word's ids. It is a flat file of integers, written by each worker from the broadcast bytes (about
-7 MB, bounded by `LEXICON`) to an unnamed temporary file and memory-mapped. A word outside it is merged exactly. The lexicon only saves
-work: results do not depend on it.
+`frequent_words` counts the words of all texts exactly: each task hands on its counts whenever it holds `FLUSH` of them, Spark
+sums them, and the `LEXICON` most frequent words of at most `LONGEST` characters are compiled. The compiled form (`Lexicon`) is the
+minimal deterministic automaton of the sorted words, so shared suffixes are stored once; every edge outputs the number of words
+that sort before its target's, the sum along a word is its rank, and the rank addresses the word's ids. It is a flat file of
+integers, written by each task from the broadcast bytes (about 7 MB, bounded by `LEXICON` and `LONGEST`) to an unnamed temporary
+file and memory-mapped. A word outside it is merged exactly, in n log n steps for a word of n bytes. The lexicon only saves work:
+results do not depend on it. Nothing outlives its task, and results leave it in batches of about `BATCH` bytes.
 
 Decoding maps ids to the vocabulary's strings joined by a space, as the library does for a file without a decoder.
 
-Nulls and edge cases: null and empty texts have no ids and decode to the empty text; very long texts are encoded whole, one
-at a time; repeated rows and null doc_ids are rows like others; extra columns are ignored (`encode` keeps doc_id only).
+Nulls and edge cases: null and empty texts have no ids and decode to the empty text; very long texts and words are encoded
+whole, one at a time; repeated rows and null doc_ids are rows like others; extra columns are ignored (`encode` keeps doc_id only).
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import mmap
 import os
@@ -29,6 +28,7 @@ import struct
 import tempfile
 import unicodedata
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo
+from tessera.llm.common import Memo, tidy
 
-LEXICON, KEEP_MOST, KEEP_TASK, NONE = 200_000, 500_000, 60_000, 1 << 62
+LEXICON, LONGEST, FLUSH, BATCH, NONE = 200_000, 48, 60_000, 4 << 20, 1 << 62
+#: symbols from which a heap is faster than looking through all pairs
+HEAP_FROM = 64
 #: White space as the tokenizer's regular expressions have it; Python's `split` also takes 0x1C-0x1F.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -78,6 +80,8 @@ class Tokenizer:
         ids = [self.symbols[b] for b in word.encode()]
         ids[-1] = self.last[ids[-1]]
         get = self.merges.get
+        if len(ids) >= HEAP_FROM:
+            return self._merged_long(ids)
         found = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
         while found and (least := min(found)) != NONE:
             i = found.index(least)
@@ -89,6 +93,27 @@ class Tokenizer:
                 found[i] = get(ids[i] << 20 | ids[i + 1], NONE)
         return ids
 
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same over linked symbols: a heap gives the next pair, and pairs that are no longer there are passed over."""
+        get, n = self.merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << 20 | ids[i + 1]))]
+        heapify(heap)
+        while heap:
+            m, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j == n or get(ids[i] << 20 | ids[j]) != m:
+                continue
+            ids[i], ids[j] = m & 0xFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if m := get(ids[i] << 20 | ids[k]):
+                    heappush(heap, (m, i))
+            if (h := before[i]) >= 0 and (m := get(ids[h] << 20 | ids[i])):
+                heappush(heap, (m, h))
+        return [x for x in ids if x >= 0]
+
 
 class Lexicon:
     """A minimal acyclic automaton over UTF-8 bytes with ranks as outputs and ids by rank; `lookup(word)` gives bytes or None."""
@@ -231,53 +256,57 @@ class Encoder:
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     """The most frequent words over all texts, at most `most`."""
 
+    def words(held: Counter) -> pa.RecordBatch:
+        out: Counter = Counter()
+        for chunk, n in held.items():
+            for w in WORD.findall(chunk):
+                if len(w) <= LONGEST:
+                    out[w] += n
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["word", "n"])
+
     def count(batches):
         held: Counter = Counter()
         for b in batches:
             for text in b.column(0):
                 if t := text.as_py():
                     held.update(chunks(normal(t)))
-                    if len(held) > KEEP_MOST:
-                        held = Counter(dict(held.most_common(KEEP_MOST // 2)))
-        words: Counter = Counter()
-        for chunk, n in held.items():
-            for w in WORD.findall(chunk):
-                words[w] += n
-        top = words.most_common(KEEP_TASK)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+                    if len(held) > FLUSH:
+                        yield words(held)
+        yield words(held)
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long")
+    counted = docs.select("text").mapInArrow(tidy(count), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.select("word").collect()]
-
-
-_workers: dict[str, Encoder] = {}
+    return top.select("word").toArrow()["word"].to_pylist()
 
 
 def encode(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
     """`docs(doc_id, text)` -> doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded."""
-    spark = docs.sparkSession
     tokenizer = Tokenizer(path)
     entries = {w.encode(): np.array(tokenizer.merged(w), "<u4").tobytes() for w in frequent_words(docs, most)}
-    compiled = spark.sparkContext.broadcast(Lexicon.compile(entries))
-    with open(path, "rb") as f:
-        key = hashlib.sha256(f.read() + hashlib.sha256(compiled.value).digest()).hexdigest()
+    compiled = docs.sparkSession.sparkContext.broadcast(Lexicon.compile(entries))
 
     def run(batches):
-        encoder = _workers.get(key)
-        if encoder is None:
-            _workers.clear()
-            encoder = _workers[key] = Encoder(Tokenizer(path), Lexicon.mapped(compiled.value))
+        encoder = Encoder(Tokenizer(path), Lexicon.mapped(compiled.value))
+        rows: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=["doc_id", "n_tokens", "ids", "decoded"])
+
         for b in batches:
-            n, ids, decoded = [], [], []
-            for text in b.column(1):
-                got = encoder.encode(text.as_py())
-                n.append(len(got) // 4)
-                ids.append(got)
-                decoded.append(encoder.decode(got))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = encoder.encode(text.as_py())
+                rows.append((doc_id, len(ids) // 4, ids, encoder.decode(ids)))
+                size += len(ids) + len(rows[-1][3])
+                if size >= BATCH:
+                    yield batch()
+                    rows.clear()
+                    size = 0
+        if rows:
+            yield batch()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def default_path() -> str:

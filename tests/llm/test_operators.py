@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,6 +193,29 @@ def test_bpe_equals_the_library(spark):
     assert op5_bpe_lexicon.encode(df.limit(0), op5_bpe_lexicon.default_path()).count() == 0
 
 
+def test_long_words_are_merged_in_time():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(op5_bpe_lexicon.default_path())
+    ours, rng = op5_bpe_lexicon.Tokenizer(op5_bpe_lexicon.default_path()), random.Random(5)
+    for n in (63, 64, 65, 400, 3000):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "aaaaab", "etaoin"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert ours.merged(word) == lib.encode(word, add_special_tokens=False).ids
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    start = time.process_time()
+    ids = ours.merged(word)
+    assert time.process_time() - start < 5 and "".join(ours.strings[i] for i in ids).removesuffix(ours.end) == word
+
+
+def test_frequent_words_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(op5_bpe_lexicon, "FLUSH", 10)
+    rng = random.Random(6)
+    texts = [prose(rng, 30) for _ in range(40)] + [None, "x" * 100]
+    counts = Counter(w for t in texts if t for w in op5_bpe_lexicon.WORD.findall(t))
+    want = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if len(w) <= op5_bpe_lexicon.LONGEST]
+    assert op5_bpe_lexicon.frequent_words(docs(spark, texts), 50) == want[:50]
+
+
 def test_lexicon_is_minimal_and_exact():
     entries = {w.encode(): bytes([i, 0, 0, 0]) for i, w in enumerate(["walking", "talking", "walked", "talked", "é", "a"])}
     lex = op5_bpe_lexicon.Lexicon.mapped(op5_bpe_lexicon.Lexicon.compile(entries))
