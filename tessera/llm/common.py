@@ -91,6 +91,32 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return out
 
 
+def block_pairs(rows: DataFrame, dealt_by: str, size: str, block: int) -> DataFrame:
+    """Each row of a group of `size` rows, for every pair of blocks (i <= j) of about `block` rows that it is in; side: which of the two."""
+    sized = rows.withColumn("__blocks", F.ceil(F.col(size) / block).cast("int"))
+    own = sized.withColumn("__block", F.pmod(F.xxhash64(dealt_by), F.col("__blocks")).cast("int"))
+    # a row of block x goes to the pairs (x, j), j >= x, as side 0 and to (i, x), i < x, as side 1
+    pairs = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.struct(F.least("__block", o).alias("i"), F.greatest("__block", o).alias("j"), F.when(o < F.col("__block"), 1).otherwise(0).alias("side")))
+    return own.select(*rows.columns, F.explode(pairs).alias("__p")).select(*rows.columns, "__p.i", "__p.j", "__p.side")
+
+
+def groups_of(batches, keys: list[str]):
+    """Record batches sorted by `keys` -> one table per group."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not len(t):
+            continue
+        columns = [t[c].to_numpy() for c in keys]
+        edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1).tolist()]
+        for lo, hi in zip(edges, edges[1:]):
+            yield t.slice(lo, hi - lo)
+        held = t.slice(edges[-1])  # the last group may go on
+    if held is not None and len(held):
+        yield held
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """`edges(a, b)` of longs -> `(node, component)`, the component being its smallest node.
 

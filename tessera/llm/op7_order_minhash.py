@@ -1,33 +1,33 @@
 """MinHash near-dedup by order MinHash.
 
-A text is its sequence of lower-cased words, seen as runs (k-mers) of five words. Each run is labelled with its
+A text is its sequence of lower-cased words. Sketches see it as runs (k-mers) of five words; each run is labelled with its
 occurrence number, so repeated runs count as often as they stand. One sketch takes the `PICK` labelled runs of
 least hash and hashes them *in the order of the text*: two texts agree on it if they share those runs in that
 order, so the sketch follows edit similarity and not only the set of runs. `TABLES` sketches are the bands.
 
-Candidates are verified by alignment of the two run sequences (longest common subsequence, bit-parallel, within
-the diagonal band outside which no pair can reach the threshold): similarity = matched runs / (runs of both -
-matched). For texts whose order agrees this is their Jaccard similarity on five-word runs.
+Candidates are verified by alignment of the two word sequences: similarity = matched words / (words of both - matched), at
+least `SIMILARITY`. The alignment is the longest common subsequence within a diagonal band, bit-parallel, in windows that slide
+along the band, so memory is linear in the text and the band; the band is widened until the alignment found in it is the best.
 
 Texts with the same words are one class, represented by its smallest doc_id; only representatives are compared.
 Within a bucket two leaders, the smallest doc_id and the shortest text, are verified against the others first: in a bucket
 of texts around a shared passage the shortest is nearest to it. Links join components. Members of
-buckets that then still hold several components are joined exactly, by a prefix filter on their rarest runs (`_rest`), and
-verified as well. So every similar pair that shares a bucket ends in one component: no bucket is capped, and none is
-expanded into pairs. At a similarity of 0.8, two texts share no bucket
-with a probability of about (1 - 0.8^4)^16 = 0.0002 if they have many runs. Texts of few runs miss more often: of 8 and 9 words,
-sharing 4 of 5 runs, (4/5)^16 = 2.8 %, as a sketch of 4 of the 5 runs agrees only if it leaves out the one that is not shared.
-
-Nulls and edge cases: a null, empty or wordless text has no near copies (each such row is a class of its own); texts
-under five words are one run, so they match equal word sequences only; rows that repeat a doc_id are one node: it has
-the class of its smallest class hash, links by any of its texts, and every such row gets the same class_id; a null doc_id links with nothing and is kept;
-further columns pass through `dedup` untouched.
+buckets that then still hold several components, and all texts of at most `SHORT` words, whose few runs are no ground for
+sketches, are joined exactly, by a prefix filter on their rarest words (`_rest`), and verified as well. So every similar pair
+that shares a bucket ends in one component, and every similar pair of short texts: no bucket is capped, and none is expanded
+into pairs. Two texts that share a share s of their runs meet in no bucket with a probability of about (1 - s^3)^24: 4 % at 0.5
+(a text with one word in nine changed has at least that), 0.2 % at 0.6, nothing to speak of at 0.8. `tests/llm` measures the recall.
+
+Nulls and edge cases: a null, empty or wordless text has no near copies (each such row is a class of its own); rows that
+repeat a doc_id are one node: it links by any of its texts, and every such row gets the same class_id; a null doc_id links with
+nothing and is kept; very long texts are read whole; further columns pass through `dedup` untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -36,27 +36,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Memo, connected_components, shared_dir, shingle_hashes, splitmix, stored
+from tessera.llm.common import Memo, block_pairs, connected_components, groups_of, shared_dir, shingle_hashes, splitmix, stored, tidy
 
-RUN, PICK, TABLES, SIMILARITY = 5, 4, 16, 0.8
+RUN, PICK, TABLES, SIMILARITY, SHORT = 5, 3, 24, 0.8, 24
 BROADCAST_IDS = 1_000_000
+#: texts of a run from which they meet in blocks, and texts of a block
+HOT, BLOCK = 512, 1024
+#: columns of an alignment between two moves of its window; the narrowest band
+STEP, NARROW = 64, 32
 WORD = re.compile(r"\w+")
-SKETCH = "doc_id long, class string, runs int, bands array<long>"
+SKETCH = "doc_id long, class string, words int, bands array<long>"
 LINK = "a long, b long, similarity double"
-_memo = Memo(lambda w: xxhash.xxh64_intdigest(w), 400_000)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def run_hashes(words: list[str]) -> np.ndarray:
-    _memo.trim()
-    return shingle_hashes(np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words)), RUN)
+class Hasher:
+    """The words of a text as numbers; remembers words up to a bound."""
+
+    def __init__(self):
+        self.memo = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        self.memo.trim()
+        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+
+
+def run_hashes(words: np.ndarray) -> np.ndarray:
+    return shingle_hashes(words, RUN)
 
 
 def labelled(runs: np.ndarray) -> np.ndarray:
-    """Each run's hash mixed with how often it stood before."""
+    """Each hash mixed with how often it stood before."""
     order = np.argsort(runs, kind="stable")
     s = runs[order]
     start = np.r_[True, s[1:] != s[:-1]]
@@ -86,62 +99,99 @@ def sketch(runs: np.ndarray) -> np.ndarray:
 
 
 def sketches(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.string()), ("runs", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.string()), ("words", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    hashed = Hasher()
     for b in batches:
         ids, classes, counts, bands = [], [], [], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1)):
             words = words_of(text.as_py())
             if i is None or not words:
                 continue
-            runs = run_hashes(words)
             ids.append(i)
             classes.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
-            counts.append(len(runs))
-            bands.append(sketch(runs))
+            counts.append(len(words))
+            bands.append(sketch(run_hashes(hashed(words))))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.string()), pa.array(counts, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two run sequences by banded alignment; 0 if it is below `least`."""
+    """Similarity of two sequences by banded alignment; 0 if it is below `least`."""
     n, m = len(a), len(b)
     if n > m:
         a, b, n, m = b, a, m, n
     if not n or n < least * m:
         return 0.0
-    if n == m and np.array_equal(a, b):
-        return 1.0
     need = int(np.ceil(least * (n + m) / (1 + least) - 1e-9))  # matches needed
     ua, ca = np.unique(a, return_counts=True)
     ub, cb = np.unique(b, return_counts=True)
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if np.minimum(ca[ia], cb[ib]).sum() < need:
         return 0.0
-    band = n + m - 2 * need  # runs that may stay unmatched, so the furthest diagonal
-    where: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << n) - 1
-    v, wide = full, (1 << 2 * band + 1) - 1
-    for j, y in enumerate(b.tolist()):
-        if hits := where.get(y):
-            hits &= (wide << j - band if j >= band else wide >> band - j) & full
-            u = v & hits
-            v = ((v + u) | (v - u)) & full
-    matched = n - v.bit_count()
+    # what both begin and end with is aligned
+    other = np.flatnonzero(a != b[:n])
+    start = int(other[0]) if len(other) else n
+    other = np.flatnonzero(a[start:] != b[m - n + start :])
+    end = n - start - 1 - int(other[-1]) if len(other) else n - start
+    matched = start + end
+    inner, most = (a[start : n - end], b[start : m - end]), n + m - 2 * need  # words that may stay unmatched, so the furthest diagonal
+    band = min(NARROW, most)
+    while len(inner[0]):
+        got = _banded(*inner, band)
+        if n + m - 2 * (matched + got) <= band or band == most:  # an alignment this good never leaves the band
+            matched += got
+            break
+        band = min(4 * band, most)
     found = matched / (n + m - matched)
     return found if found >= least - 1e-12 else 0.0
 
 
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The longest common subsequence of pairs (i, j) with |i - j| <= band.
+
+    Bit-parallel over the rows i of a window that moves on every STEP columns j; a 0 is a row matched so far. Rows above the
+    window have not been met and those below it are settled, so only the window is kept.
+    """
+    order = np.argsort(a, kind="stable")
+    ranked, order = a[order], order.tolist()
+    los, his = np.searchsorted(ranked, b, "left").tolist(), np.searchsorted(ranked, b, "right").tolist()
+    width = 2 * band + STEP
+    full, lane, gone = (1 << width) - 1, (1 << 2 * band + 1) - 1, (1 << STEP) - 1
+    v, matched = full, 0
+    for first in range(0, len(b), STEP):
+        base, masks = first - band, {}
+        for j in range(first, min(first + STEP, len(b))):
+            lo, hi = los[j], his[j]
+            if lo == hi:
+                continue
+            mask = masks.get(lo)
+            if mask is None:
+                at = order[bisect_left(order, base, lo, hi) : bisect_left(order, base + width, lo, hi)]
+                mask = masks[lo] = _bits(at, base, width) if len(at) > 8 else sum(1 << i - base for i in at)
+            if hits := v & mask & lane << j - first:
+                v = ((v + hits) | (v - hits)) & full
+        matched += STEP - (v & gone).bit_count()
+        v = v >> STEP | gone << width - STEP
+    return matched + width - v.bit_count()
+
+
+def _bits(at: list[int], base: int, width: int) -> int:
+    """A number of `width` bits with those set that stand for the rows `at`."""
+    bits = np.zeros(width, np.uint8)
+    bits[np.array(at) - base] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def verify(batches):
-    """Rows are pairs with both texts, sorted by the first: its runs are kept while it stays the same."""
+    """Rows are pairs with both texts, sorted by the first: its words are kept while it stays the same."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
-    last, runs = None, None
+    last, words, hashed = None, None, Hasher()
     for batch in batches:
         out = ([], [], [])
         for a, b, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            if a != last:
-                last, runs = a, run_hashes(words_of(left.as_py()))
-            if found := aligned(runs, run_hashes(words_of(right.as_py()))):
+            text = left.as_py()
+            if (a, text) != last:
+                last, words = (a, text), hashed(words_of(text))
+            if found := aligned(words, hashed(words_of(right.as_py()))):
                 out[0].append(a)
                 out[1].append(b)
                 out[2].append(found)
@@ -160,38 +210,62 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = stored(texts.join(_small(needed), "doc_id", "left_semi"), "texts")
     left = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
     both = left.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return stored(both.select("a", "b", "left", "right").mapInArrow(verify, LINK).distinct(), "links")
+    return stored(both.select("a", "b", "left", "right").mapInArrow(tidy(verify), LINK).distinct(), "links")
 
 
 def _labelled_rows(batches):
-    """One row per labelled run of each text."""
+    """One row per labelled word of each text."""
+    hashed = Hasher()
     for b in batches:
-        runs = [labelled(run_hashes(words_of(t.as_py()))).view(np.int64) for t in b.column(1)]
-        n = np.array([len(r) for r in runs], np.int32)
-        for lo in range(0, len(runs), 512):  # a few MB at a time
-            part, own = runs[lo : lo + 512], n[lo : lo + 512]
-            ids, components = (np.repeat(b.column(c).to_numpy()[lo : lo + 512], own) for c in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(components), pa.array(np.repeat(own, own)), pa.array(np.concatenate(part) if part else [], pa.int64())], names=["doc_id", "component", "n", "run"])
+        for lo in range(0, b.num_rows, 256):  # a few MB at a time
+            part = b.slice(lo, 256)
+            words = [labelled(hashed(words_of(t.as_py()))).view(np.int64) for t in part.column(1)]
+            n = np.array([len(w) for w in words], np.int32)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in (0, 2)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(words), pa.int64())], names=["doc_id", "component", "n", "word"])
+
+
+#: matches that two texts of n and m words need, whose words at places i and j of their rarest are the first that agree
+FITS = f"least({{x}}n - {{x}}place, {{y}}n - {{y}}place) >= {SIMILARITY} * ({{x}}n + {{y}}n) / {1 + SIMILARITY} - 1e-6"
+
+
+def _hot_pairs(batches):
+    """Rows of two blocks of texts with one word -> the pairs that FITS keeps."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for t in groups_of(batches, ["word", "i", "j"]):
+        ids, component, n, place, side, i, j = (t[c].to_numpy() for c in ("doc_id", "component", "n", "place", "side", "i", "j"))
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i[0] != j[0] else (np.arange(len(ids)),) * 2
+        room = n - place
+        for lo in range(0, len(left), 256):
+            x = left[lo : lo + 256, None]
+            fits = (np.minimum(room[x], room[right]) >= SIMILARITY * (n[x] + n[right]) / (1 + SIMILARITY) - 1e-6) & (component[x] != component[right]) & ((ids[x] < ids[right]) | (i[0] != j[0]))
+            p, q = np.nonzero(fits)
+            a, b = ids[x[p, 0]], ids[right[q]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
 
 def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs `(a, b)` of `members(doc_id, component)` in different components that may reach SIMILARITY, by prefix filter.
 
-    The runs of a text are ordered by how many of the members have them; runs of one text alone come first and need no rows.
+    The words of a text are ordered by how many of the members have them; words of one text alone come first and need no rows.
     Two texts that reach the threshold share one of the first fifth and one more, so a passage that many texts share fetches
-    nothing unless texts consist of it. Where the runs at places i and j of two texts are the first that agree, at most
-    min(n - i, m - j) can: pairs that cannot reach the threshold are dropped in the join.
+    nothing unless texts consist of it. Where the words at places i and j of two texts are the first that agree, at most
+    min(n - i, m - j) can: pairs that cannot reach the threshold are dropped in the join. Texts that share a word with more than
+    HOT others meet in pairs of blocks, so no task holds all of them and pairs that do not fit are never rows.
     """
     own = stored(texts.join(_small(members), "doc_id").select("doc_id", "text", "component"), "texts")
-    rows = stored(own.mapInArrow(_labelled_rows, "doc_id long, component long, n int, run long"), "runs")
-    shared = rows.groupBy("run").agg(F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("docs > 1")
-    ours = rows.join(shared, "run")
+    rows = stored(own.mapInArrow(tidy(_labelled_rows), "doc_id long, component long, n int, word long"), "words")
+    shared = rows.groupBy("word").agg(F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("docs > 1")
+    ours = rows.join(shared, "word")
     doc = Window.partitionBy("doc_id")
-    placed = ours.withColumn("place", F.col("n") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("docs", "run")) - 1)
-    prefix = placed.where(f"place < n - ceil({SIMILARITY} * n - 1e-9) + 1 AND lo < hi").select("doc_id", "component", "n", "place", "run")
+    placed = ours.withColumn("place", F.col("n") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("docs", "word")) - 1)
+    prefix = placed.where(f"place < n - ceil({SIMILARITY} * n - 1e-9) + 1 AND lo < hi").select("doc_id", "component", "n", "place", "word")
     prefix = stored(prefix, "prefixes")
-    pairs = prefix.alias("x").join(prefix.alias("y"), "run").where("x.doc_id < y.doc_id AND x.component <> y.component").where(f"least(x.n - x.place, y.n - y.place) >= {SIMILARITY} * (x.n + y.n) / {1 + SIMILARITY} - 1e-6")
-    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    sizes = prefix.groupBy("word").agg(F.count("*").alias("docs")).where("docs > 1")
+    hot = sizes.where(f"docs > {HOT}").checkpoint()
+    few = prefix.join(sizes.where(f"docs <= {HOT}").select("word"), "word", "left_semi")
+    pairs = few.alias("x").join(few.alias("y"), "word").where("x.doc_id < y.doc_id AND x.component <> y.component").where(FITS.format(x="x.", y="y.")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    blocks = block_pairs(prefix.join(hot, "word"), "doc_id", "docs", BLOCK).select("word", "i", "j", "side", "doc_id", "component", "n", "place")
+    return pairs.union(blocks.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(tidy(_hot_pairs), "a long, b long")).distinct()
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,32 +273,35 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     shared_dir(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # one row per document; a repeated doc_id counts once
-    made = stored(texts.mapInArrow(sketches, SKETCH), "sketches")
-    one = made.groupBy("doc_id").agg(F.min(F.struct("class", "runs", "bands")).alias("s")).select("doc_id", "s.*")
-    reps = stored(one.groupBy("class").agg(F.min(F.struct("doc_id", "runs", "bands")).alias("s")).select("class", "s.*"), "classes")
-    bands = reps.select("doc_id", "runs", F.posexplode("bands").alias("t", "band"))
+    made = stored(texts.mapInArrow(tidy(sketches), SKETCH), "sketches")
+    # each class once; a doc_id with several texts is in several classes and ties them together
+    reps = stored(made.groupBy("class").agg(F.min(F.struct("doc_id", "words", "bands")).alias("s")).select("class", "s.*"), "classes")
+    ones = made.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
+    torn = made.join(ones.where("class <> last").select("doc_id"), "doc_id", "left_semi").join(reps.select("class", F.col("doc_id").alias("rep")), "class").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    bands = reps.select("doc_id", "words", F.posexplode("bands").alias("t", "band"))
     # buckets of one need no work: they are found by counts alone
-    shared = bands.groupBy("t", "band").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "runs")).alias("least"), F.min(F.struct("runs", "doc_id")).alias("short")).where("n > 1")
+    shared = bands.groupBy("t", "band").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "words")).alias("least"), F.min(F.struct("words", "doc_id")).alias("short")).where("n > 1")
     members = stored(bands.join(shared, ["t", "band"]), "members")
 
     def led(leader: str) -> DataFrame:
         """Pairs of a leader and the members that are not too unlike in length."""
-        a, n = F.col(f"{leader}.doc_id"), F.col(f"{leader}.runs")
-        near = F.least("runs", n) >= F.lit(SIMILARITY) * F.greatest("runs", n)
+        a, n = F.col(f"{leader}.doc_id"), F.col(f"{leader}.words")
+        near = F.least("words", n) >= F.lit(SIMILARITY) * F.greatest("words", n)
         return members.where((F.col("doc_id") != a) & near).select(F.least("doc_id", a).alias("a"), F.greatest("doc_id", a).alias("b"))
 
     first = led("least").union(led("short")).distinct().checkpoint()
     links = _verified(first, texts)
-    parts = connected_components(links.select("a", "b"))
-    # what the leaders did not settle: members of buckets that hold several components
+    parts = connected_components(links.select("a", "b").union(torn))
+    # what the leaders did not settle: members of buckets that hold several components, and short texts
     placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = placed.groupBy("t", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("t", "band")
-    rest = _rest(placed.join(open_, ["t", "band"], "left_semi").select("doc_id", "component").distinct(), texts).join(first, ["a", "b"], "left_anti").checkpoint()
+    brief = reps.where(f"words <= {SHORT}").select("doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    left = placed.join(open_, ["t", "band"], "left_semi").select("doc_id", "component").union(brief).distinct()
+    rest = _rest(left, texts).join(first, ["a", "b"], "left_anti").checkpoint()
     links = links.union(_verified(rest, texts))
-    parts = connected_components(links.select("a", "b"))
+    parts = connected_components(links.select("a", "b").union(torn))
     named = reps.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("class", F.coalesce("component", "doc_id").alias("class_id"))
-    return one.select("doc_id", "class").join(named, "class").select("doc_id", "class_id"), links
+    return ones.select("doc_id", "class").join(named, "class").select("doc_id", "class_id"), links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

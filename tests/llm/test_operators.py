@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -257,19 +258,98 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_alignment_equals_plain_dynamic_programme():
+def test_alignment_equals_plain_dynamic_programme(monkeypatch):
     rng = random.Random(6)
-    for _ in range(300):
-        a = [rng.randrange(60) for _ in range(rng.randint(1, 60))]
-        b = [x if rng.random() > 0.08 else rng.randrange(60) for x in a]
+    for k in range(400):
+        monkeypatch.setattr(op7_order_minhash, "NARROW", (1, 4, 32)[k % 3])
+        pool = (2, 8, 60)[k % 3 if k > 200 else 2]
+        a = [rng.randrange(pool) for _ in range(rng.randint(1, 60 if k % 2 else 400))]
+        b = [x if rng.random() > 0.08 else rng.randrange(pool) for x in a]
         for _ in range(rng.randrange(4)):
-            b.insert(rng.randrange(len(b) + 1), rng.randrange(60))
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(pool))
+        if k % 5 == 0:
+            b = b[len(b) // 9 :] + b[: len(b) // 30]
         m = lcs(a, b)
         sim = m / (len(a) + len(b) - m)
         got = op7_order_minhash.aligned(np.array(a, np.uint64), np.array(b, np.uint64))
         assert abs(got - (sim if sim >= 0.8 else 0)) < 1e-9
 
 
+def test_alignment_of_long_texts():
+    gen = np.random.default_rng(3)
+    a = gen.integers(0, 5000, 200_000).astype(np.uint64)
+    b = np.delete(a, gen.integers(0, len(a), 300))
+    b[gen.integers(0, len(b), 500)] = 9999
+    start = time.process_time()
+    found = op7_order_minhash.aligned(a, b)
+    assert time.process_time() - start < 30
+    tracemalloc.start()
+    op7_order_minhash.aligned(a[:20_000], b[:20_000])
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert 0.99 < found < (len(a) - 700) / (len(a) + 100)
+    assert op7_order_minhash.aligned(np.zeros(3000, np.uint64), np.zeros(2700, np.uint64)) == 0.9
+
+
+def plain_groups(texts):
+    """The smallest number of each group of texts that alignment of words links, by all pairs."""
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = words[i], words[j]
+            if a and b and 0.8 <= len(a) / len(b) <= 1.25 and sum((Counter(a) & Counter(b)).values()) * 1.8 >= 0.8 * (len(a) + len(b)) - 1e-9:
+                m = lcs(a, b)
+                if m / (len(a) + len(b) - m) >= 0.8 - 1e-12:
+                    lo, hi = sorted((group[i], group[j]))
+                    group = [lo if g == hi else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_groups_equal_all_pairs(spark, monkeypatch, hot):
+    """Texts around a shared passage, chains of copies and short texts, against all pairs; with blocks as well."""
+    monkeypatch.setattr(op7_order_minhash, "HOT", hot)
+    monkeypatch.setattr(op7_order_minhash, "BLOCK", 3)
+    rng = random.Random(17)
+    shared = prose(rng, 60)
+    texts = [shared + " " + prose(rng, rng.choice((3, 8, 12, 16))) for _ in range(24)]
+    for _ in range(6):
+        words = prose(rng, 40).split()
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words[rng.randrange(40)] = rng.choice(WORDS)
+    for _ in range(8):
+        words = prose(rng, rng.randint(9, 20)).split()
+        texts.append(" ".join(words))
+        words[len(words) // 2] = "changed"
+        texts.append(" ".join(words))
+    texts += AWKWARD
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    got = by_id(op7_order_minhash.near_duplicates(docs(spark, texts)))
+    assert [got[i].class_id for i in range(len(texts))] == plain_groups(texts)
+
+
+def test_recall_of_near_copies(spark):
+    """Every document of which a copy with 2 to 10 % of its words changed stands elsewhere, against the rest."""
+    rng = random.Random(23)
+    texts, pairs = [prose(rng, 60) for _ in range(300)], []
+    for share in (0.02, 0.05, 0.08, 0.1):
+        for _ in range(50):
+            words = prose(rng, rng.randint(30, 300)).split()
+            copy = [w if rng.random() > share else rng.choice(WORDS) for w in words]
+            m = lcs(words, copy)
+            if m / (2 * len(words) - m) >= 0.8:
+                pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(words), " ".join(copy)]
+    got = by_id(op7_order_minhash.near_duplicates(docs(spark, texts)))
+    found = sum(got[a].class_id == got[b].class_id for a, b in pairs)
+    assert len(pairs) > 150 and found >= 0.95 * len(pairs)
+    assert all(got[i].kept for i in range(300))
+
+
 def test_near_copies_are_found(spark):
     rng = random.Random(7)
     shared = prose(rng, 90)
@@ -294,6 +374,11 @@ def test_near_copies_are_found(spark):
     kept = {r.doc_id for r in op7_order_minhash.dedup(df).collect()}
     assert kept == {i for i, r in got.items() if r.kept} and op7_order_minhash.dedup(df).columns == df.columns
     assert op7_order_minhash.near_duplicates(df.limit(0)).count() == 0
+    # a doc_id with two texts links by either
+    base = [prose(rng, 50) for _ in range(2)]
+    twice = spark.createDataFrame([(1, base[0] + " more"), (2, base[1] + " more"), (5, base[0]), (5, base[1]), (7, prose(rng, 50)), (None, base[0])], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in op7_order_minhash.near_duplicates(twice).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 7: 7, None: None}
 
 
 # --- 8 toxicity
