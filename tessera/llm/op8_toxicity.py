@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import chain
@@ -40,9 +41,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, stored, tidy
 
-MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 4_000, 50.0, 0.05, 0.5
+MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 2_000, 50.0, 0.05, 0.5
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 4, 0.5, 0.3
 PREFIXES = (4, 5)
+WORD = re.compile(r"[^\W_]+")
+#: texts that are compared with the examples together
+QUERIES = 256
 #: tasks that compute the votes of the examples (at most MOST_EXAMPLES)
 LEFT_OUT = 24
 
@@ -50,7 +54,7 @@ LEFT_OUT = 24
 def terms_of(word: str) -> list[str]:
     """A lower-cased chunk between white space -> its words and their beginnings (`abcd^`)."""
     out = []
-    for w in (word if word.isalnum() else "".join(c if c.isalnum() else " " for c in word)).split():
+    for w in WORD.findall(word):
         out.append(w)
         out += [w[:k] + "^" for k in PREFIXES if len(w) > k]
     return out
@@ -71,7 +75,7 @@ class Reader:
 
     def __init__(self, names: np.ndarray):
         self.names = memoryview(names).cast("B").cast("Q") if len(names) else []
-        self.memo = Memo(self._known, 100_000)
+        self.memo = Memo(self._known, 200_000)
 
     def _known(self, chunk: str) -> tuple[int, ...]:
         out, names = [], self.names
@@ -117,46 +121,65 @@ class Index:
         return self
 
     def ready(self) -> Index:
-        """With weights, and by term where its blocks begin, by block its number, largest weight, and where its postings begin."""
+        """With weights, in blocks. Terms of an eighth of the examples or more are columns of a matrix, as its blocks hold nearly all of them;
+        the postings of the others begin by term at blocks, which have a number, a largest weight and a place."""
         if not self.built:
-            e, t = self.example.astype(np.int32), np.repeat(np.arange(len(self.names)), np.diff(self.term_at))
+            n, blocks = len(self.labels), -(-len(self.labels) // BLOCK)
+            e, t = self.example.astype(np.intp), np.repeat(np.arange(len(self.names)), np.diff(self.term_at))
             w = (1 + np.log(self.count, dtype=np.float64)) * self.weight[t]
-            w /= np.sqrt(np.bincount(e, w * w, len(self.labels)))[e]
+            w /= np.sqrt(np.bincount(e, w * w, n))[e]
+            common = np.diff(self.term_at) >= max(1, n / 8)
+            column = np.where(common, np.cumsum(common) - 1, -1)
+            dense = np.zeros((blocks * BLOCK, int(common.sum())))
+            dense[e[common[t]], column[t[common[t]]]] = w[common[t]]
+            e, t, w = e[~common[t]], t[~common[t]], w[~common[t]]
             first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)]) if len(e) else np.zeros(0, np.int64)
             most = np.maximum.reduceat(w, first) if len(first) else w
-            self.built = np.searchsorted(first, self.term_at).astype(np.int32), (e[first] // BLOCK).astype(np.int32), most, np.r_[first, len(e)].astype(np.int32), e, w
+            self.built = column, dense, np.searchsorted(t[first], np.arange(len(self.names) + 1)), e[first] // BLOCK, most, np.r_[first, len(e)], e, w
         return self
 
-    def _exact(self, entries: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) from the given blocks of postings, each with its term's weight in the query."""
-        _, _, _, block_at, example, value = self.built
-        length = block_at[entries + 1] - block_at[entries]
-        at = _spread(block_at[entries], length)
-        sums = np.bincount(example[at], np.repeat(q, length) * value[at], len(self.labels))
-        found = np.flatnonzero(sums)
-        return found, np.round(sums[found], 9)
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms give to the similarity of each example (and of the room in the last block), by query."""
+        column, dense = self.ready().built[:2]
+        across = np.zeros((dense.shape[1], len(queries)))
+        for i, (terms, vector) in enumerate(queries):
+            own = column[terms] >= 0
+            across[column[terms[own]], i] = vector[own]
+        return (dense @ across).T
 
-    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k most similar and of all as similar as the k-th, best first."""
-        term_at, block, most, _, _, _ = self.ready().built
+        column, _, term_at, block, most, block_at, example, value = self.ready().built
+        common = self.common([(terms, vector)])[0] if common is None else common
+        rare = column[terms] < 0
+        terms, vector = terms[rare], vector[rare]
         length = term_at[terms + 1] - term_at[terms]
         entries, q = _spread(term_at[terms], length), np.repeat(vector, length)
         block = block[entries]
-        bound = np.bincount(block, q * most[entries], -(-len(self.labels) // BLOCK))
+        by_block = common.reshape(-1, BLOCK)
+        bound = by_block.max(axis=1, initial=0.0) + np.bincount(block, q * most[entries], len(by_block))
+
+        def exact(chosen: np.ndarray) -> np.ndarray:
+            """Similarities of the examples in the chosen blocks."""
+            here = chosen[block]
+            start = block_at[entries[here]]
+            length = block_at[entries[here] + 1] - start
+            at = _spread(start, length)
+            sums = np.bincount(example[at], np.repeat(q[here], length) * value[at], len(common))
+            return np.round(sums + np.where(chosen[:, None], by_block, 0.0).ravel(), 9)
+
         first = np.zeros(len(bound), bool)
         first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        now = first[block]
-        found, sims = self._exact(entries[now], q[now])
+        sims = exact(first)
         least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
-        rest = ((bound >= least - 1e-8) & ~first)[block]
+        rest = (bound >= least - 1e-8) & ~first
         if rest.any():
-            more, more_sims = self._exact(entries[rest], q[rest])
-            found, sims = np.r_[found, more], np.r_[sims, more_sims]
-        if len(sims) > k:
-            near = sims >= np.partition(sims, -k)[-k]
-            found, sims = found[near], sims[near]
-        order = np.lexsort((found, -sims))
-        return found[order], sims[order]
+            sims += exact(rest)
+        found = np.flatnonzero(sims)
+        if len(found) > k:
+            found = found[sims[found] >= np.partition(sims[found], -k)[-k]]
+        found = found[np.lexsort((found, -sims[found]))]
+        return found, sims[found]
 
     def votes(self, found: np.ndarray, sims: np.ndarray) -> float:
         """Share of toxic neighbours weighted by squared similarity, drawn to the overall share; sums of sorted numbers, so that order does not matter."""
@@ -316,29 +339,27 @@ def score(docs: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
         index = shared.value
         read, memo = Reader(index.names), Memo(None, 5_000)  # copies of a text are scored once
 
-        def scored(text: str):
-            terms, counts = read(text)
-            if not len(terms):
-                vote, found, sims, result = index.votes(terms, np.zeros(0)), terms, np.zeros(0), scale.silent
-            else:
-                found, sims = index.nearest(terms, index.vector(terms, counts))
-                vote = index.votes(found, sims)
-                result = min(1.0, max(0.0, scale(vote)))
+        def scored(terms: np.ndarray, vector: np.ndarray, common: np.ndarray):
+            found, sims = index.nearest(terms, vector, common=common)
+            vote = index.votes(found, sims)
+            result = min(1.0, max(0.0, scale(vote))) if len(terms) else scale.silent
             return result, vote, list(zip(index.ids[found].tolist(), sims.tolist(), index.labels[found].astype(int).tolist())), sorted(index.clear[t] for t in terms.tolist() if t in index.clear)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 2_000):
-                rows = []
-                for text in b.column(1)[lo : lo + 2_000]:
+            for lo in range(0, b.num_rows, QUERIES):
+                memo.trim()
+                keys, new = [], {}
+                for text in b.column(1)[lo : lo + QUERIES]:
                     t = text.as_py() or ""
-                    key = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    memo.trim()
-                    if key not in memo:
-                        memo[key] = scored(t)
-                    rows.append(memo[key])
-                scores, votes, found, evidence = zip(*rows)
+                    keys.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    if keys[-1] not in memo and keys[-1] not in new:
+                        terms, counts = read(t)
+                        new[keys[-1]] = terms, index.vector(terms, counts)
+                for (key, query), common in zip(new.items(), index.common(list(new.values()))):
+                    memo[key] = scored(*query, common)
+                scores, votes, found, evidence = zip(*map(memo.__getitem__, keys))
                 found = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in f] for f in found]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 2_000], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + QUERIES], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCORE)
 
