@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import extract, paths, text
+from tessera.functions import extract, paths, redaction, text
 from tessera.plans.fixtures import Corpus, sql
 from tessera.plans.search import _out
 
@@ -198,7 +198,22 @@ def s19_symbols(spark, sf_dir):
 
 def f21_redact(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.lit("app.properties").alias("path"), F.concat(F.lit("db.password="), F.col("source"), F.lit("\nserver.port=80"), F.lit("\nmaps.key = "), F.col("lang"), F.lit("\n# note\nurl=https://u:p@host/x\nname=${A_NAME}")).alias("body"))
-    return _out(extract.over(d, "doc_id", ("path", "body"), "doc_id bigint, body string", lambda p, b: [(extract.redact(p, b),)]), "doc_id", "body")
+    return _out(extract.over(d, "doc_id", ("path", "body"), "doc_id bigint, body string", lambda p, b: [(redaction.redact(p, b),)]), "doc_id", "body")
+
+
+#: a file's name, and a line of it around a value, by number: as it is and as it is redacted
+_SHAPED = [
+    ("c.json", '{"db":{"user":"a","password":"', '"}}', True), ("v.yaml", "db: {user: a, password: ", "}", True), ("s.xml", "<password>", "</password>", True), ("b.xml", '<property name="password" value="', '"/>', True),
+    ("b.xml", '<property name="url" value="', '"/>', False), ("d.yaml", "- name: DB_PASSWORD" + chr(10) + "  value: ", "", True), ("n.conf", "header X ENC(", ")", None), ("R.md", "password=", "", False), (".npmrc", "//r.example.org/:_authToken=", "", True), ("a.properties", "db.password ", "", True),
+]
+
+
+def f21_redact_shapes(spark, sf_dir):
+    """Every document's source as a value in ten shapes of configuration files."""
+    shapes = spark.createDataFrame([(i, p, a, b) for i, (p, a, b, _) in enumerate(_SHAPED)], "shape int, path string, before string, after string")
+    d = _docs(spark, sf_dir).select("doc_id", "source").join(F.broadcast(shapes)).select("doc_id", "shape", "path", F.concat("before", "source", "after").alias("body"))
+    made = extract.over(d.select(F.struct("doc_id", "shape").alias("key"), "path", "body"), "key", ("path", "body"), "key struct<doc_id:bigint,shape:int>, body string", lambda p, b: [(redaction.redact(p, b),)])
+    return _out(made.select("key.doc_id", "key.shape", "body"), "doc_id", "shape", "body")
 
 
 def f35_renumber(spark, sf_dir):
@@ -244,6 +259,7 @@ SQL = {
     "f28_l2": "SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0",
     "f35_renumber": sql("SELECT message_id, right('x [1] and [2, 1]' || chr(10) || '```' || chr(10) || '[3]' || chr(10) || '```' || chr(10) || '[99] [3]', 34) AS tail, '7,3,1' AS used FROM messages WHERE answer IS NOT NULL", "messages"),
     "f21_redact": "SELECT doc_id, 'db.password=<redacted>' || chr(10) || 'server.port=80' || chr(10) || 'maps.key = <redacted>' || chr(10) || '# note' || chr(10) || 'url=https://<redacted>@host/x' || chr(10) || 'name=${A_NAME}' AS body FROM documents",
+    "f21_redact_shapes": " UNION ALL ".join(f"SELECT doc_id, {i} AS shape, " + ("'header X <redacted>'" if hit is None else " || ".join(["'" + x.replace("'", "''").replace(chr(10), "' || chr(10) || '") + "'" for x in (a,)] + ["'<redacted>'" if hit else "source"] + ["'" + b + "'"])) + " AS body FROM documents" for i, (_, a, b, hit) in enumerate(_SHAPED)),
     "s19_symbols": "SELECT doc_id, regexp_extract(text, '([A-Za-z]+)', 1) AS name, 'class' AS kind, 1 AS line FROM documents WHERE regexp_matches(text, '[A-Za-z]') UNION ALL SELECT doc_id, 'm_' || CAST(doc_id AS VARCHAR), 'func', 2 FROM documents",
     "e02_tokens": "SELECT page_id, 'link' AS kind, value, line FROM (SELECT page_id, regexp_extract_all(line_text, 'href=\"(/[^\"]*)\"', 1) AS v, n AS line FROM (SELECT page_id, unnest(string_split(replace(html, '<li>', chr(10) || '<li>'), chr(10))) AS line_text, unnest(range(1, len(string_split(replace(html, '<li>', chr(10) || '<li>'), chr(10))) + 1)) AS n FROM pages)), unnest(v) AS t(value) QUALIFY row_number() OVER (PARTITION BY page_id, value ORDER BY line) = 1",
     "f42_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, true AS absent FROM events",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import extract, paths, text
+from tessera.functions import extract, paths, redaction, text
 from tessera.operators import budget, fusion, gather, history, lanes, tables, walks
 from tessera.sources import inputs
 from tessera.streaming import feed
@@ -63,9 +63,65 @@ def test_tokens():
 
 
 def test_redaction():
-    said = extract.redact("a.yaml", "password: hunter2\nname: DB_PASSWORD\nvalue: x1\nmaxKeys: 5\nkey: k\nmap.key: \"k2\",\ntoken: |\n  line\n  more\nplain: ${A}\nsecret:\nurl: http://u:p@h/\nv: eyJa.b.c")
+    said = redaction.redact("a.yaml", "password: hunter2\nname: DB_PASSWORD\nvalue: x1\nmaxKeys: 5\nkey: k\nmap.key: \"k2\",\ntoken: |\n  line\n  more\nplain: ${A}\nsecret:\nurl: http://u:p@h/\nv: eyJa.b.c")
     assert said.split("\n") == ["password: <redacted>", "name: DB_PASSWORD", "value: <redacted>", "maxKeys: 5", "key: k", 'map.key: "<redacted>",', "token: <redacted>", "plain: ${A}", "secret:", "url: http://<redacted>@h/", "v: <redacted>"]
-    assert extract.redact("x", None) is None
+    assert redaction.redact("x", None) is None
+
+
+@pytest.mark.parametrize(
+    ("path", "line", "want"),
+    [
+        ("a.properties", "db.url=ENC(abc)", "db.url=#"),
+        ("a.properties", "db.password=${DB_PASSWORD}", "db.password=${DB_PASSWORD}"),
+        ("a.properties", "mail.password=", "mail.password="),
+        ("a.properties", "esb.consumer-key=1f", "esb.consumer-key=#"),
+        ("a.properties", "map.producer.key-serializer=org.example.S", "map.producer.key-serializer=org.example.S"),
+        ("a.properties", "a.keystorePath=/certs/s.jks", "a.keystorePath=/certs/s.jks"),
+        ("a.properties", 'sasl.login=Module required username="u" password="p";', "sasl.login=#"),
+        ("a.properties", "# password=no", "# password=no"),
+        ("a.properties", "x.hmac=" + "0a" * 16, "x.hmac=#"),
+        ("a.properties", "x.cron=0 0 * ? * *", "x.cron=0 0 * ? * *"),
+        ("a.properties", "db.url=jdbc:x://u:p@h:1/d", "db.url=jdbc:x://#@h:1/d"),
+        ("a.properties", "a.api.pass=z", "a.api.pass=#"),
+        ("a.properties", "proxy.bypass=h", "proxy.bypass=h"),
+        ("a.properties", "a.mapsKey=z", "a.mapsKey=#"),
+        ("a.properties", "db.password hunter2", "db.password #"),
+        ("a.properties", "db.host localhost", "db.host localhost"),
+        ("a.properties", "password=x\r", "password=#\r"),
+        ("k.yaml", "    newTag: " + "3f" * 20, "    newTag: " + "3f" * 20),
+        ("k.yaml", "  - https://u:p@h/x", "  - https://#@h/x"),
+        ("k.yaml", "  - task-scheduler.yaml", "  - task-scheduler.yaml"),
+        ("k.yaml", "        key: app.properties", "        key: app.properties"),
+        ("k.yaml", "  - apiKey: z", "  - apiKey: #"),
+        ("k.yaml", "'password': z", "'password': #"),
+        ("k.yaml", "  authorization: Basic YWJjOmRlZg==", "  authorization: #"),
+        ("k.yaml", "db: {user: a, password: z}", "db: {user: a, password: #}"),
+        ("k.yaml", 'args: "--user=a, token: z"', 'args: "--user=a, token: z"'),
+        (".env.prod", "export SMTP_PASSWORD=z", "export SMTP_PASSWORD=#"),
+        (".npmrc", "//r.example.org/:_authToken=z", "//r.example.org/:_authToken=#"),
+        (".npmrc", "registry=https://r.example.org/", "registry=https://r.example.org/"),
+        ("n.conf", '  proxy_set_header Authorization "Basic YWJjOmRlZjEyMw==";', '  proxy_set_header Authorization "#";'),
+        ("n.conf", "# Basic settings for all", "# Basic settings for all"),
+        ("c.json", '{"db":{"user":"a","password":"z"}}', '{"db":{"user":"a","password":"#"}}'),
+        ("c.json", '  "password": "z",', '  "password": "#",'),
+        ("c.json", '  "user": "a", "apiKey": "z1",', '  "user": "a", "apiKey": "#",'),
+        ("c.json", '"note": "' + "0a" * 16 + '", "password": "x"', '"note": "#", "password": "#"'),
+        ("s.xml", "  <password>z</password>", "  <password>#</password>"),
+        ("s.xml", '<property name="password" value="z"/>', '<property name="password" value="#"/>'),
+        ("s.xml", '<property name="url" value="z"/>', '<property name="url" value="z"/>'),
+        ("s.xml", '<bean id="d" password="z" user="u"/>', '<bean id="d" password="#" user="u"/>'),
+        ("w.config", '<add key="ApiToken" value="z" />', '<add key="ApiToken" value="#" />'),
+        ("p.tfvars", 'db_password = "z"', 'db_password = "#"'),
+        ("M.java", 'String password = "z";', 'String password = "z";'),
+        ("R.md", "password=z", "password=z"),
+        ("d.yaml", "- name: DB_PASSWORD\n  value: z\n- name: DB_HOST\n  value: h", "- name: DB_PASSWORD\n  value: #\n- name: DB_HOST\n  value: h"),
+        ("d.yaml", "- name: DB_PASSWORD\n  valueFrom:\n    ref:\n      name: db\n      key: password", "- name: DB_PASSWORD\n  valueFrom:\n    ref:\n      name: db\n      key: password"),
+        ("d.yaml", "privateKey: |\n  one\n\n  two\nnote: >-\n  kept", "privateKey: #\nnote: >-\n  kept"),
+    ],
+)
+def test_redaction_of_every_shape(path, line, want):
+    marked = redaction.redact(path, line)
+    assert marked == (want if want == line else want.replace("#", redaction.MARKER))
 
 
 def test_renumbering_in_pieces_equals_the_whole():
