@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Latin letters with marks and what they are without, by Unicode decomposition; the marks themselves stand last and have no counterpart, so they go.
+_MARKED = [chr(c) for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<")]
+_MARKED_FROM = "".join(_MARKED) + "".join(map(chr, range(0x300, 0x370)))
+_MARKED_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
+
+
+def unaccented(text: Column) -> Column:
+    """Letters without their diacritics, as keyword search sees them."""
+    return F.translate(text, _MARKED_FROM, _MARKED_TO)
+
+
+def plain(word: str) -> str:
+    """`unaccented` on the driver."""
+    return word.translate(_PLAIN)
+
+
+_PLAIN = str.maketrans(_MARKED_FROM[: len(_MARKED_TO)], _MARKED_TO, _MARKED_FROM[len(_MARKED_TO) :])
+
+
 def contains_term(text: Column, term: Column) -> Column:
     """a term of ASCII is found whatever the case of A-Z; another one in two spellings, as it is and with its first letter raised."""
     ascii_only = ~F.regexp_like(term, F.lit(r"[^\x00-\x7F]"))
@@ -58,6 +78,13 @@ def contains_term(text: Column, term: Column) -> Column:
     return F.when(ascii_only, F.contains(ascii_lower(text), ascii_lower(term))).otherwise(F.contains(text, term) | F.contains(text, raised))
 
 
+def holds(text: Column, folded: Column, term: str) -> Column:
+    """F08 for a term known beforehand; `folded` is `ascii_lower(text)`, computed once for many terms."""
+    if term.isascii():
+        return F.contains(folded, F.lit(term.lower()))
+    return F.contains(text, F.lit(term)) | F.contains(text, F.lit(term[:1].upper() + term[1:]))
+
+
 def token_estimate(text: Column) -> Column:
     """a quarter of the characters, rounded up."""
     return F.floor((F.char_length(text) + 3) / 4).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
-from tessera.operators.lanes import bm25
+from tessera.operators.lanes import bm25, counted
 
 DEFAULT_DAYS, MOST_DAYS, ROWS = 14, 365, 40
 
@@ -28,7 +28,7 @@ def search(commits: DataFrame, topic: str = "", n: int = ROWS) -> DataFrame:
         return commits.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
     _, terms, all_match, prefix = text.tiers(topic)[-1]
     body = commits.withColumn("text", F.concat_ws(" ", "subject", "body")).withColumn("id", F.concat_ws("\u001d", "repo", "sha"))
-    scored = body.join(bm25(body.select("id", "text"), terms, all_match, prefix, key="id", body="text"), "id")
+    scored = body.join(bm25(counted(body.select("id", "text"), [(terms, prefix)], "id", "text"), terms, all_match, prefix), "id")
     by = [F.desc("score"), F.desc("committed_at"), F.col("repo"), F.col("sha")]
     return scored.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1).drop("text", "id")
 

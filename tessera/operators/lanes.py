@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import paths, text
+from tessera.operators.storage import kept
 
 ADDRESS = ("repo", "path", "start_line", "ordinal", "chunk_id")
 MAX_DISTANCE, MOST_NEIGHBOURS, LANE_DEPTH = 1.25, 4096, 40
+QUERY_BLOCK = 1024
 K1, B, LEAST_IDF, PLACES = 1.2, 0.75, 1e-6, 6
 HUB_SHARE, HUB_FLOOR = 0.02, 500
 
@@ -30,41 +37,104 @@ class Weights:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = LANE_DEPTH, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """The k nearest chunks of each query by L2, ties by address, *then* the distance cut. `vectors` is already restricted.
+    """The k nearest chunks of each of `queries(query_id, query)` by L2, ties by address, *then* the distance cut. `vectors` is already restricted.
 
-    The few queries are the broadcast side; each task keeps its own k best before anything is shuffled.
+    Queries go round in blocks of QUERY_BLOCK, a matrix of bounded size each; every Arrow batch of vectors is compared with a block at
+    once and hands on, for each query, its own k best and what ties with the last of them, so little is shuffled.
     """
     k = min(k, MOST_NEIGHBOURS)
-    pairs = vectors.crossJoin(F.broadcast(queries)).where("chunk_id <> query_id").withColumn("distance", F.round(text.l2(F.col("embedding"), F.col("query")), PLACES)).drop("embedding", "query")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", *ADDRESS)) - 1).where(F.col("rank") < k)
+    out_types = [(c, dict(vectors.dtypes)[c]) for c in ADDRESS]
+    schema = ", ".join(["query_id long", *(f"{c} {t}" for c, t in out_types), "distance double"])
+    found = None
+    for ids, matrix in _blocks(queries):
+        near = vectors.select(*ADDRESS, "embedding").mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast((ids, matrix)), k), schema)
+        found = near if found is None else found.union(near)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", *ADDRESS)) - 1).where(F.col("rank") < k)
     return ranked.where(F.col("distance") < max_distance) if max_distance > 0 else ranked
 
 
-def _matches(tokens: Column, terms: list[str], as_prefix: bool) -> list[Column]:
-    """How often each term stands among the tokens (as a prefix: all tokens that start with it)."""
+def _blocks(queries: DataFrame):
+    """(ids, matrix) of QUERY_BLOCK queries at a time; one block is on the driver."""
+    ids, rows = [], []
+    for r in queries.select("query_id", "query").where("query IS NOT NULL").toLocalIterator():
+        ids.append(r.query_id)
+        rows.append(r.query)
+        if len(ids) == QUERY_BLOCK:
+            yield np.array(ids), np.array(rows, np.float64)
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids), np.array(rows, np.float64)
+
+
+def _nearest(block, k: int):
+    def run(batches):
+        ids, q = block.value
+        for b in batches:
+            width = q.shape[1]
+            sound = pc.fill_null(pc.equal(pc.list_value_length(b.column(len(ADDRESS))), width), False)
+            b = b.filter(sound)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                x = part.column(len(ADDRESS)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                squares = (x * x).sum(1)[None, :] + (q * q).sum(1)[:, None] - 2 * q @ x.T
+                far = np.round(np.sqrt(np.maximum(squares, 0)), PLACES)
+                far[part.column(ADDRESS.index("chunk_id")).to_numpy()[None, :] == ids[:, None]] = np.inf
+                least = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
+                i, j = np.nonzero((far <= least) & np.isfinite(far))
+                at = pa.array(j)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), *(part.column(c).take(at) for c in range(len(ADDRESS))), pa.array(far[i, j])], names=["query_id", *ADDRESS, "distance"])
+
+    return run
 
-    def is_(term: str):
-        if as_prefix and len(term) >= text.PREFIX_LEAST:
-            return lambda t: F.startswith(t, F.lit(term))
-        return lambda t: t == F.lit(term)
 
-    return [F.size(F.filter(tokens, is_(q))).cast("long") for q in terms]
+@dataclass(frozen=True)
+class Counts:
+    """How long each text is and how often it holds some terms: one narrow row per text, made in one pass, with its sums."""
+
+    rows: DataFrame
+    key: str
+    place: dict[tuple[str, bool], int]
+    n: int
+    average: float
+    #: texts that hold each term
+    seen: list[int]
+
+
+def _wanted(term: str, as_prefix: bool) -> tuple[str, bool]:
+    return text.plain(term), as_prefix and len(term) >= text.PREFIX_LEAST
+
+
+def counted(chunks: DataFrame, tiers: list[tuple[list[str], bool]], key: str = "chunk_id", body: str = "raw_text") -> Counts:
+    """Counts of the terms of all tiers `(terms, as_prefix)`, without diacritics: each text is folded once to words between blanks, and terms are counted by their length in it."""
+    wanted = list(dict.fromkeys(_wanted(t, as_prefix) for terms, as_prefix in tiers for t in terms))
 
+    def times(words, term: str):
+        return ((F.octet_length(words) - F.octet_length(F.replace(words, F.lit(term), F.lit("")))) / len(term.encode())).cast("long")
 
-def bm25(chunks: DataFrame, terms: list[str], all_match: bool, as_prefix: bool = False, key: str = "chunk_id", body: str = "raw_text") -> DataFrame:
-    """`key` and score of the rows that match; statistics are those of all of `chunks`. One narrow pass gives the statistics, one the scores: nothing is exploded or shuffled."""
-    counted = chunks.select(key, text.tokens(F.col(body)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.array(*_matches(F.col("tokens"), terms, as_prefix)).alias("tf"))
-    some = F.exists("tf", lambda x: x > 0)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    parts = [F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF)) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for i in range(len(terms))]
-    score = sum(parts[1:], parts[0])
-    kept = counted.where(F.forall("tf", lambda x: x > 0) if all_match else some)
-    return kept.crossJoin(F.broadcast(stats)).select(key, F.round(score, PLACES).alias("score"))
+    # two blanks between words, one at either end: no word shares a blank with the next
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(text.unaccented(F.lower(F.coalesce(F.col(body), F.lit("")))), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    length = F.when(F.col("words") == "  ", 0).otherwise(times(F.col("words"), "  ") + 1)
+    tf = F.array(*(times(F.col("words"), f" {t}" if p else f" {t} ") for t, p in wanted)).cast("array<long>")
+    rows = kept(chunks.select(key, words.alias("words")).select(key, length.cast("long").alias("dl"), tf.alias("tf")))
+    sums = rows.agg(F.count("*"), F.avg("dl"), *(F.count_if(F.col("tf")[i] > 0) for i in range(len(wanted)))).first()
+    return Counts(rows, key, {w: i for i, w in enumerate(wanted)}, sums[0], float(sums[1] or 0), list(sums[2:]))
 
 
-def keyword(chunks: DataFrame, hits: DataFrame, terms: list[str], all_match: bool, as_prefix: bool = False, n: int = LANE_DEPTH) -> DataFrame:
-    """The n best hits by bm25, ties by address, with their rank."""
-    scored = hits.select(*ADDRESS).join(bm25(chunks, terms, all_match, as_prefix), "chunk_id")
+def bm25(counts: Counts, terms: list[str], all_match: bool, as_prefix: bool = False) -> DataFrame:
+    """`key` and score of the rows that match; statistics are those of all counted texts."""
+    places = [counts.place[_wanted(t, as_prefix)] for t in terms]
+    idf = [max(math.log((counts.n - counts.seen[i] + 0.5) / (counts.seen[i] + 0.5)), LEAST_IDF) for i in places]
+    parts = [F.lit(w) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + K1 * (1 - B + B * F.col("dl") / F.lit(counts.average))) for i, w in zip(places, idf)]
+    held = [F.col("tf")[i] > 0 for i in places]
+    kept_ = counts.rows.where(reduce(lambda a, b: a & b if all_match else a | b, held))
+    return kept_.select(counts.key, F.round(sum(parts[1:], parts[0]), PLACES).alias("score"))
+
+
+def keyword(chunks: DataFrame, hits: DataFrame, terms: list[str], all_match: bool, as_prefix: bool = False, n: int = LANE_DEPTH, counts: Counts | None = None) -> DataFrame:
+    """The n best hits by bm25, ties by address, with their rank; `counts` if several tiers share a pass over `chunks`."""
+    scored = hits.select(*ADDRESS).join(bm25(counts or counted(chunks, [(terms, as_prefix)]), terms, all_match, as_prefix), "chunk_id")
     return ranked(scored.orderBy(F.desc("score"), *ADDRESS).limit(n), F.desc("score"))
 
 
@@ -73,20 +143,33 @@ def ranked(rows: DataFrame, *by) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*by, *ADDRESS)) - 1)
 
 
+def _marked(hits: DataFrame, terms: list[str]) -> DataFrame:
+    """Addresses of the chunks that hold a term, with a bit for each: the text is folded once, and the terms are plain searches in it."""
+    folded = hits.select(*ADDRESS, "raw_text", text.ascii_lower(F.col("raw_text")).alias("folded"))
+    bits = [F.when(text.holds(F.col("raw_text"), F.col("folded"), t), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(terms)]
+    return folded.select(*ADDRESS, sum(bits[1:], bits[0]).alias("bits"))
+
+
+def _bit(i) -> Column:
+    return F.expr(f"bits & {1 << i}L") != 0
+
+
 def substring(hits: DataFrame, terms: list[str], n: int = LANE_DEPTH) -> DataFrame:
     """For each term its n first chunks by kind and address, all in one scan. A term that stands in more than HUB_SHARE of at least HUB_FLOOR chunks says nothing: its lane is empty."""
-    listed = F.array(*[F.struct(F.lit(i).alias("term_pos"), F.lit(t).alias("term")) for i, t in enumerate(terms)])
-    found = hits.select(*ADDRESS, F.filter(listed, lambda s: text.contains_term(F.col("raw_text"), s["term"])).alias("found"))
-    stats = found.agg(F.count("*").alias("total"), F.map_from_entries(F.array(*[F.struct(F.lit(i), F.count_if(F.array_contains("found.term_pos", i)).alias("m")) for i in range(len(terms))])).alias("matched"))
-    rows = found.where(F.size("found") > 0).select(*ADDRESS, F.explode("found").alias("s")).select(*ADDRESS, "s.*").crossJoin(F.broadcast(stats))
-    open_ = rows.where(~((F.col("total") >= HUB_FLOOR) & (F.col("matched")[F.col("term_pos")] / F.col("total") > HUB_SHARE)))
-    kinded = open_.select("term_pos", "term", *ADDRESS, paths.kind_rank(F.col("path")).alias("kind"))
-    return kinded.withColumn("rank", F.row_number().over(Window.partitionBy("term_pos").orderBy("kind", *ADDRESS)) - 1).where(F.col("rank") < n)
+    if not terms:
+        return hits.limit(0).select(F.lit(0).alias("term_pos"), F.lit("").alias("term"), *ADDRESS, F.lit(0).alias("kind"), F.lit(0).alias("rank"))
+    marked = kept(_marked(hits, terms))
+    sums = marked.agg(F.count("*"), *(F.count_if(_bit(i)) for i in range(len(terms)))).first()
+    hub = [sums[0] >= HUB_FLOOR and m / sums[0] > HUB_SHARE for m in sums[1:]]
+    open_ = [(i, t) for i, t in enumerate(terms) if not hub[i]]
+    listed = F.array_compact(F.array(*[F.when(_bit(i), F.struct(F.lit(i).alias("term_pos"), F.lit(t).alias("term"))) for i, t in open_])) if open_ else F.expr("CAST(array() AS array<struct<term_pos:int,term:string>>)")
+    rows = marked.where("bits <> 0").select(*ADDRESS, F.explode(listed).alias("s")).select("s.*", *ADDRESS, paths.kind_rank(F.col("path")).alias("kind"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("term_pos").orderBy("kind", *ADDRESS)) - 1).where(F.col("rank") < n)
 
 
 def hub_guard(hits: DataFrame, terms: list[str]) -> DataFrame:
     """How many chunks hold each term, of how many, and whether it is a hub."""
-    counts = hits.agg(F.count("*").alias("total"), *[F.count_if(text.contains_term(F.col("raw_text"), F.lit(t))).alias(f"m{i}") for i, t in enumerate(terms)])
+    counts = _marked(hits, terms).agg(F.count("*").alias("total"), *[F.count_if(_bit(i)).alias(f"m{i}") for i in range(len(terms))])
     listed = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"m{i}").alias("matched")) for i, t in enumerate(terms)]))
     rows = counts.select("total", listed.alias("s")).select("s.term", "s.matched", "total")
     return rows.withColumn("hub", (F.col("total") >= HUB_FLOOR) & (F.col("matched") / F.col("total") > HUB_SHARE))

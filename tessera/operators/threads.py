@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.lanes import bm25
+from tessera.operators.lanes import bm25, counted
 from tessera.operators.tables import latest
 
 
@@ -57,8 +57,8 @@ def last_turn(messages: DataFrame, before: DataFrame) -> DataFrame:
 
 def thread_search(threads: DataFrame, messages: DataFrame, terms: list[str], n: int = 200) -> DataFrame:
     """Threads whose title matches, newest first, then those whose messages do, by bm25; a thread once."""
-    titled = bm25(threads.select("thread_id", "title"), terms, True, True, key="thread_id", body="title").select("thread_id", F.lit(0).alias("place"), F.lit(0.0).alias("score"))
-    scored = bm25(messages.select("message_id", F.concat_ws(" ", "question", "answer").alias("body")), terms, True, True, key="message_id", body="body")
+    titled = bm25(counted(threads.select("thread_id", "title"), [(terms, True)], "thread_id", "title"), terms, True, True).select("thread_id", F.lit(0).alias("place"), F.lit(0.0).alias("score"))
+    scored = bm25(counted(messages.select("message_id", F.concat_ws(" ", "question", "answer").alias("body")), [(terms, True)], "message_id", "body"), terms, True, True)
     said = scored.join(messages.select("message_id", "thread_id"), "message_id").groupBy("thread_id").agg(F.max("score").alias("score")).select("thread_id", F.lit(1).alias("place"), "score")
     once = latest(titled.unionByName(said), ["thread_id"], ["place"])
     by = [F.col("place"), F.desc("score"), F.desc("thread_id")]

@@ -44,9 +44,13 @@ class Corpus:
         """Chunks of enabled repositories that have a vector."""
         return self.hits().drop("raw_text").join(self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
 
-    def queries(self, n: int = 5) -> DataFrame:
-        """The vectors of the highest ids ask."""
-        return self.table("embeddings").orderBy(F.desc("vec_id")).limit(n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    def queries(self) -> DataFrame:
+        """Every vector whose id is divisible by 50 asks."""
+        return self.table("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+    def question(self) -> DataFrame:
+        """The question's vector: the query of the highest id."""
+        return self.queries().orderBy(F.desc("query_id")).limit(1)
 
     def lines(self) -> DataFrame:
         d = self.table("documents")
@@ -98,7 +102,7 @@ VIEWS = {
     "chunks": f"SELECT doc_id AS chunk_id, doc_id AS file_id, 0 AS ordinal, 1 AS start_line, len(string_split(text, chr(10))) AS end_line, text AS raw_text, source AS repo, {_PATH} AS path, lang FROM documents",
     "hits": "SELECT * FROM chunks WHERE repo <> 'src3'",
     "vectors": "SELECT hits.* EXCLUDE (raw_text), embedding FROM hits JOIN embeddings ON vec_id = chunk_id",
-    "qvec": "SELECT vec_id AS query_id, embedding AS query FROM embeddings ORDER BY vec_id DESC LIMIT 5",
+    "qvec": "SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0",
     "lines": f"SELECT doc_id AS file_id, source AS repo, {_PATH} AS path, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents",
     "symbols": "SELECT file_id, repo, path, regexp_extract(text, '^([A-Z][a-z]+)', 1) AS name, CAST(line AS INT) AS line FROM lines WHERE regexp_extract(text, '^([A-Z][a-z]+)', 1) <> ''",
     "links": "SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS repo, page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(1, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) + 1)) AS line FROM pages",

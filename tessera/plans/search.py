@@ -31,7 +31,7 @@ def knn_sql(where: str = "true", k: int = lanes.LANE_DEPTH, max_distance: float
 
 
 def bm25_sql(terms: list[str], all_match: bool, as_prefix: bool, table: str = "chunks", key: str = "chunk_id", body: str = "raw_text") -> str:
-    tokens = rf"list_filter(regexp_split_to_array(lower({body}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    tokens = rf"list_filter(regexp_split_to_array(strip_accents(lower({body})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
     one = lambda t: f"len(list_filter({tokens}, lambda t: {f'starts_with(t, {chr(39)}{t}{chr(39)})' if as_prefix and len(t) >= 5 else f't = {chr(39)}{t}{chr(39)}'}))"
     tf = ", ".join(f"{one(t)} AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in range(len(terms)))
@@ -67,12 +67,14 @@ def _decay_sql(test: float = 0.35, doc: float = 0.7) -> str:
 
 
 def search_lanes(c: Corpus, question: str, w: lanes.Weights = lanes.Weights(), depth: int = lanes.LANE_DEPTH) -> DataFrame:
-    """All lanes of one question, ranked. The question's vector is the first of the query vectors."""
+    """All lanes of one question, ranked. The question's vector is that of the highest query id."""
     hits, chunks, out = c.hits(), c.chunks(), []
-    query = c.queries(1)
+    query = c.question()
     out.append(fusion.lane(lanes.knn(c.vectors(), query, depth), "semantic", w.semantic, 0))
-    for i, (tier, terms, all_match, prefix) in enumerate(text.tiers(question)):
-        out.append(fusion.lane(lanes.keyword(chunks, hits, terms, all_match, prefix, depth), tier, getattr(w, tier), 1 + i))
+    tiers = text.tiers(question)
+    counts = lanes.counted(chunks, [(terms, prefix) for _, terms, _, prefix in tiers]) if tiers else None
+    for i, (tier, terms, all_match, prefix) in enumerate(tiers):
+        out.append(fusion.lane(lanes.keyword(chunks, hits, terms, all_match, prefix, depth, counts), tier, getattr(w, tier), 1 + i))
     robin = lanes.round_robin(lanes.substring(hits, text.substring_terms(question), depth), depth)
     out.append(fusion.lane(robin.withColumnRenamed("pos", "rank"), "substring", w.substring, 9))
     lane = out[0]
@@ -212,7 +214,7 @@ def p04_stage_scope(spark, sf_dir):
 def t12_comparison_merge(spark, sf_dir):
     """The best of each repository, merged by score (then repository) and cut."""
     c = Corpus(spark, sf_dir)
-    rows = c.hits().select(*ADDRESS).join(lanes.bm25(c.chunks(), ["thint", "theae", "onans"], False, True), "chunk_id").where(F.col("repo").isin("src1", "src2", "src7"))
+    rows = c.hits().select(*ADDRESS).join(lanes.bm25(lanes.counted(c.chunks(), [(["thint", "theae", "onans"], True)]), ["thint", "theae", "onans"], False, True), "chunk_id").where(F.col("repo").isin("src1", "src2", "src7"))
     per = rows.withColumn("nth", F.row_number().over(_by("repo", F.desc("score"), *ADDRESS))).where("nth <= 8")
     return _out(per.orderBy(F.desc("score"), *ADDRESS).limit(16).withColumn("rank", F.row_number().over(_by(None, F.desc("score"), *ADDRESS)) - 1), "rank", "chunk_id", "repo", "score")
 
