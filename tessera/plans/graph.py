@@ -80,9 +80,9 @@ def j17_alias(spark, sf_dir):
 
 
 def j10_includes(spark, sf_dir):
-    """Pages include files by stem: a third of the sites with a language placeholder."""
+    """Files include files by stem: half of the sites with a language placeholder."""
     c = Corpus(spark, sf_dir)
-    sites = c.symbols().where("line > 1 AND file_id % 3 = 0").select("file_id", "repo", F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("{lang}_"), (F.col("file_id") % 40).cast("string"))).otherwise((F.col("file_id") % 40).cast("string")).alias("value"), "line")
+    sites = c.symbols().where("line > 1").select("file_id", "repo", F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("{lang}_"), (F.col("file_id") % 40).cast("string"))).otherwise((F.col("file_id") % 40).cast("string")).alias("value"), "line")
     files = c.files().withColumn("stem", F.when(F.col("file_id") % 2 == 0, F.concat("lang", F.lit("_"), (F.col("file_id") % 40).cast("string"))).otherwise((F.col("file_id") % 40).cast("string")))
     libraries = c.repos().where("library").select(F.col("name").alias("repo"), "library")
     return _out(edges.includes(sites, files, c.chunks(), libraries), "file_id", "value", "line", "rank", "far_id", "far_repo", "chunk_id")
@@ -182,7 +182,7 @@ SQL = {
     "j14_dependency_exists": "WITH p AS (SELECT DISTINCT 'r' || CAST(l_suppkey % 10 AS VARCHAR) AS repo, 's/' || CAST(l_suppkey AS VARCHAR) AS coordinate FROM lineitem), r AS (SELECT DISTINCT 'r' || CAST(l_orderkey % 10 AS VARCHAR) AS repo, 's/' || CAST(l_suppkey AS VARCHAR) || '/p' || CAST(l_partkey % 10 AS VARCHAR) AS coordinate FROM lineitem) SELECT DISTINCT r.repo, p.repo AS publisher, r.coordinate FROM r JOIN p ON r.repo <> p.repo AND (r.coordinate = p.coordinate OR starts_with(r.coordinate, p.coordinate || '/'))",
     "j16_longest_prefix": sql("u AS (SELECT * FROM (VALUES ('src1', 'en'), ('src1', 'en/d1'), ('src2', 'de'), ('src2', '.'), ('src5', 'fr/d2')) v(repo, key) WHERE key <> '.') SELECT f.repo, f.path, arg_max(key, length(key)) AS unit FROM files f LEFT JOIN u ON u.repo = f.repo AND starts_with(f.path, key || '/') GROUP BY ALL", "files"),
     "j17_alias": sql("a AS (SELECT DISTINCT repo, regexp_extract(value, '^(/[^/]*)', 1) AS alias FROM tokens WHERE path < 'page/2') SELECT DISTINCT t.repo, t.path, t.value AS literal, a.alias, 'u' || a.alias AS unit FROM tokens t JOIN a ON a.repo = t.repo AND (t.value = a.alias OR starts_with(t.value, a.alias || '/'))", "tokens"),
-    "j10_includes": sql("""sites AS (SELECT file_id, repo, value, min(line) AS line FROM (SELECT file_id, repo, CASE WHEN file_id % 2 = 0 THEN '{lang}_' || CAST(file_id % 40 AS VARCHAR) ELSE CAST(file_id % 40 AS VARCHAR) END AS value, line FROM symbols WHERE line > 1 AND file_id % 3 = 0) GROUP BY ALL),
+    "j10_includes": sql("""sites AS (SELECT file_id, repo, value, min(line) AS line FROM (SELECT file_id, repo, CASE WHEN file_id % 2 = 0 THEN '{lang}_' || CAST(file_id % 40 AS VARCHAR) ELSE CAST(file_id % 40 AS VARCHAR) END AS value, line FROM symbols WHERE line > 1) GROUP BY ALL),
         f AS (SELECT file_id AS far_id, repo AS far_repo, path AS far_path, CASE WHEN file_id % 2 = 0 THEN lang || '_' || CAST(file_id % 40 AS VARCHAR) ELSE CAST(file_id % 40 AS VARCHAR) END AS stem FROM files),
         l AS (SELECT * FROM (VALUES (0, 'de'), (1, 'fr'), (2, 'it'), (3, 'en')) v(rank, lang)),
         st AS (SELECT s.*, rank, replace(value, '{lang}', lang) AS stem FROM sites s JOIN l ON contains(value, '{lang}') UNION ALL SELECT s.*, 0, value FROM sites s WHERE NOT contains(value, '{lang}')),

@@ -22,7 +22,7 @@ def p15_definitions(spark, sf_dir):
 
 def p21_list_algebra(spark, sf_dir):
     d = Corpus(spark, sf_dir).table("documents")
-    words = F.slice(text.tokens(F.col("text")), 1, 30)
+    words = text.tokens(F.col("text"))
     few = F.array(*map(F.lit, ("the", "la", "der", "and", "in")))
     return _out(d.select("doc_id", F.array_join(scope.keep(words, few), " ").alias("kept"), F.array_join(F.array_distinct(scope.drop(words, few)), " ").alias("dropped")), "doc_id", "kept", "dropped")
 
@@ -56,7 +56,7 @@ def f40_stages(spark, sf_dir):
 
 def f45_place(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    said = c.files().where("file_id % 3 = 0").select(F.col("file_id").alias("id"), F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("see "), "path")).otherwise(F.concat(F.lit("in "), paths.base(F.col("path")), F.lit(" or 10.go"))).alias("text"))
+    said = c.files().select(F.col("file_id").alias("id"), F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("see "), "path")).otherwise(F.concat(F.lit("in "), paths.base(F.col("path")), F.lit(" or 10.go"))).alias("text"))
     return _out(scope.place(said, c.files()).withColumn("file_id", F.coalesce("file_id", F.lit(-1))), "id", "candidates", "file_id")
 
 
@@ -83,8 +83,8 @@ def g04_crossings(spark, sf_dir):
 
 def g13_called(spark, sf_dir):
     d = Corpus(spark, sf_dir).table("documents")
-    p = d.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("process"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") + 20).cast("string")).otherwise("").alias("calls"), F.left("text", F.lit(900)).alias("body"))
-    return _out(rendering.called(p, 5000), "repo", "process", "calls", "spent")
+    p = d.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("process"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") + 20).cast("string")).otherwise("").alias("calls"), F.col("text").alias("body"))
+    return _out(rendering.called(p), "repo", "process", "calls", "spent")
 
 
 def g17_unit_text(spark, sf_dir):
@@ -187,7 +187,7 @@ QUERIES = [f for n, f in list(globals().items()) if callable(f) and getattr(f, "
 _TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 SQL = {
     "p15_definitions": sql("s AS (SELECT file_id, name, line, (['func', 'import', 'property', 'class'])[line % 4 + 1] AS kind, (['go', 'ts', 'json', 'py', 'java'])[file_id % 5 + 1] AS lang FROM symbols) SELECT * FROM s WHERE lang <> 'json' AND NOT (lang = 'go' AND kind = 'import') AND NOT (lang = 'ts' AND kind = 'property')", "symbols"),
-    "p21_list_algebra": f"WITH w AS (SELECT doc_id, list_slice({_TOK}, 1, 30) AS w FROM documents), k AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM w), d AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM k WHERE t IN ('the', 'la', 'der', 'and', 'in') GROUP BY 1), o AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS dropped FROM (SELECT doc_id, t, min(i) AS i FROM k WHERE t NOT IN ('the', 'la', 'der', 'and', 'in') GROUP BY 1, 2) GROUP BY 1) SELECT doc_id, coalesce(kept, '') AS kept, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN o USING (doc_id)",
+    "p21_list_algebra": f"WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents), k AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM w), d AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM k WHERE t IN ('the', 'la', 'der', 'and', 'in') GROUP BY 1), o AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS dropped FROM (SELECT doc_id, t, min(i) AS i FROM k WHERE t NOT IN ('the', 'la', 'der', 'and', 'in') GROUP BY 1, 2) GROUP BY 1) SELECT doc_id, coalesce(kept, '') AS kept, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN o USING (doc_id)",
     "p24_memories": "SELECT c_custkey, c_custkey % 4 = 0 OR c_custkey % 25 >= 20 OR c_custkey % 25 IN (1, 2) AS applies FROM customer",
     "p25_docs_only": sql(f"SELECT file_id // 2 AS set, bool_and(regexp_matches(path, '{paths.DOC_PATTERN}')) AS docs_only FROM files GROUP BY 1", "files"),
     "p26_range_scan": sql("SELECT file_id, path FROM files WHERE starts_with(path, 'en/d1/')", "files"),
@@ -195,11 +195,11 @@ SQL = {
         f AS (SELECT pos, w.name, r.name AS repo, enabled, CASE WHEN w.name = r.name THEN 0 WHEN w.name = project THEN 1 WHEN wf = r.name THEN 2 ELSE 3 END AS how FROM w JOIN repos r ON w.name = r.name OR w.name = project OR wf = r.name OR (length(wf) >= 4 AND length(r.name) >= 4 AND levenshtein(wf, r.name) <= 1)),
         b AS (SELECT * FROM f QUALIFY how = min(how) OVER (PARTITION BY pos)) SELECT * FROM b UNION ALL SELECT pos, name, NULL, false, 9 FROM w WHERE pos NOT IN (SELECT pos FROM b)""", "repos"),
     "f40_stages": f"WITH t AS (SELECT doc_id AS id, unnest({_TOK}) AS w, unnest(range(0, len({_TOK}))) AS pos FROM documents), s AS (SELECT * FROM (VALUES ('the', 'test'), ('der', 'test'), ('test', 'test'), ('la', 'prod'), ('prod', 'prod'), ('thon', 'dev'), ('dev', 'dev')) v(w, stage)) SELECT id, stage, min(pos) AS pos FROM t JOIN s USING (w) GROUP BY ALL",
-    "f45_place": sql("SELECT file_id AS id, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 1 + (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') END AS candidates, CASE WHEN file_id % 2 = 0 OR (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') = 0 THEN file_id ELSE -1 END AS file_id FROM files WHERE file_id % 3 = 0", "files"),
+    "f45_place": sql("SELECT file_id AS id, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 1 + (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') END AS candidates, CASE WHEN file_id % 2 = 0 OR (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') = 0 THEN file_id ELSE -1 END AS file_id FROM files", "files"),
     "r17_located": sql("SELECT file_id AS id, CASE WHEN file_id % 5 = 0 THEN 'not found' WHEN file_id % 12 BETWEEN start_line AND end_line THEN 'pointed' ELSE 'unpinned' END AS outcome, CASE WHEN file_id % 5 <> 0 AND file_id % 12 BETWEEN start_line AND end_line THEN chunk_id ELSE -1 END AS chunk_id FROM chunks", "chunks"),
     "g14_related": "SELECT count(*) > 0 AS related FROM lineitem WHERE l_quantity > 49 AND ((l_orderkey % 10 = 1 AND l_suppkey % 10 = 4) OR (l_orderkey % 10 = 4 AND l_suppkey % 10 = 1))",
     "g04_crossings": sql("few AS (SELECT kind, value FROM tokens GROUP BY kind, value HAVING count(DISTINCT repo) <= 3), n AS (SELECT a.path, a.value, b.path AS far_path, b.repo AS far_repo, b.line AS far_line FROM tokens a JOIN few USING (kind, value) JOIN tokens b ON a.kind = b.kind AND a.value = b.value WHERE a.repo <> b.repo) SELECT path, far_path, row_number() OVER (PARTITION BY path ORDER BY far_repo, far_path, far_line, value) AS nth, 'edge:route ' || value || ' from ' || path AS reason, value FROM n QUALIFY nth <= 5", "tokens"),
-    "g13_called": "SELECT repo, process, calls, spent FROM (SELECT a.source AS repo, CAST(a.doc_id AS VARCHAR) AS process, CAST(b.doc_id AS VARCHAR) AS calls, sum(length(left(b.text, 900))) OVER (PARTITION BY a.source ORDER BY CAST(a.doc_id AS VARCHAR), CAST(b.doc_id AS VARCHAR))::BIGINT AS spent FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source WHERE a.doc_id % 3 = 0) WHERE spent <= 5000",
+    "g13_called": "SELECT repo, process, calls, spent FROM (SELECT a.source AS repo, CAST(a.doc_id AS VARCHAR) AS process, CAST(b.doc_id AS VARCHAR) AS calls, sum(length(b.text)) OVER (PARTITION BY a.source ORDER BY CAST(a.doc_id AS VARCHAR), CAST(b.doc_id AS VARCHAR))::BIGINT AS spent FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source WHERE a.doc_id % 3 = 0) WHERE spent <= 16000",
     "g17_unit_text": "SELECT 'r' || CAST(n.n_regionkey AS VARCHAR) AS repo, n.n_name AS key, n.n_name || ': ' || CASE WHEN n.n_nationkey % 2 = 0 THEN 'service' ELSE 'library' END || coalesce(', uses ' || (SELECT string_agg(m.n_name, ', ' ORDER BY m.n_name) FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_name > n.n_name), '') AS text FROM nation n",
     "e12_source_list": sql("n AS (SELECT chunk_id // 7 AS id, row_number() OVER (PARTITION BY chunk_id // 7 ORDER BY chunk_id % 3, repo, path, start_line) AS n, repo, path, start_line, end_line FROM chunks) SELECT id, string_agg('[' || CAST(n AS VARCHAR) || '] ' || repo || '/' || path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR), chr(10) ORDER BY n) AS text FROM n GROUP BY id", "chunks"),
     "e13_structure": sql("SELECT project, string_agg('- ' || name || CASE WHEN library THEN ' (library)' ELSE '' END || CASE WHEN NOT enabled THEN ' (parked)' ELSE '' END, chr(10) ORDER BY name) AS text FROM repos GROUP BY project", "repos"),

@@ -157,9 +157,9 @@ def a25_recall_mrr(spark, sf_dir):
     b = c.table("benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 7)).alias("words"), "text")
     asked = b.select("item_id", F.explode("words").alias("w"))
     d = c.table("documents").select("doc_id", "text", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: F.char_length(t) >= 7))).alias("w"))
-    overlap = d.select("doc_id", "w").join(F.broadcast(asked), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    overlap = d.select("doc_id", "w").join(asked, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     ranked = overlap.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).where("rank <= 20")
-    gold = ranked.join(F.broadcast(b.select("item_id", "text")), "item_id").join(c.table("documents").select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", F.left("text", F.lit(60))))
+    gold = ranked.join(b.select("item_id", "text"), "item_id").join(c.table("documents").select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", F.col("text")))
     best = b.select("item_id").join(gold.groupBy("item_id").agg(F.min("rank").alias("rank")), "item_id", "left")
     r = F.col("rank")
     return _out(best.agg(F.count("*").alias("n"), F.round(F.avg(F.when(r <= 5, 1.0).otherwise(0.0)), 6).alias("recall5"), F.round(F.avg(F.when(r <= 20, 1.0).otherwise(0.0)), 6).alias("recall20"), F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr")), "n", "recall5", "recall20", "mrr")
@@ -179,7 +179,7 @@ def a28_trace(spark, sf_dir):
 def w01_ordinals(spark, sf_dir):
     m = Corpus(spark, sf_dir).messages()
     w = Window.partitionBy("thread_id").orderBy("message_id")
-    return _out(m.select("thread_id", "message_id", (F.row_number().over(w) - 1).alias("next"), F.left(F.first("question").over(w), F.lit(10)).alias("pinned")), "thread_id", "message_id", "next", "pinned")
+    return _out(m.select("thread_id", "message_id", (F.row_number().over(w) - 1).alias("next"), F.first("question").over(w).alias("pinned")), "thread_id", "message_id", "next", "pinned")
 
 
 def w03_budget_prefix(spark, sf_dir):
@@ -421,11 +421,11 @@ SQL = {
     "a25_recall_mrr": r"""WITH b AS (SELECT item_id, text, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 7))) AS w FROM benchmark),
         d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) >= 7))) AS w FROM documents),
         r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS n FROM b JOIN d USING (w) GROUP BY ALL) QUALIFY rank <= 20),
-        g AS (SELECT item_id, min(rank) AS rank FROM r JOIN benchmark USING (item_id) JOIN documents USING (doc_id) WHERE contains(documents.text, left(benchmark.text, 60)) GROUP BY 1)
+        g AS (SELECT item_id, min(rank) AS rank FROM r JOIN benchmark USING (item_id) JOIN documents USING (doc_id) WHERE contains(documents.text, benchmark.text) GROUP BY 1)
         SELECT count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall5, round(avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS recall20, round(avg(coalesce(1.0 / rank, 0.0)), 6)::DOUBLE AS mrr FROM benchmark LEFT JOIN g USING (item_id)""",
     "a27_repo_status": sql("SELECT repo, count(*) AS files, count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS modules, sum(size)::BIGINT AS bytes, any_value(enabled) AS enabled FROM files JOIN repos ON name = repo GROUP BY repo", "files", "repos"),
     "a28_trace": sql(f"{_RANKED} SELECT repo, supporting, count(*) AS n, min(pos) AS first FROM h GROUP BY ALL", "hits"),
-    "w01_ordinals": sql("SELECT thread_id, message_id, row_number() OVER w - 1 AS next, left(first(question) OVER w, 10) AS pinned FROM messages WINDOW w AS (PARTITION BY thread_id ORDER BY message_id)", "messages"),
+    "w01_ordinals": sql("SELECT thread_id, message_id, row_number() OVER w - 1 AS next, first(question) OVER w AS pinned FROM messages WINDOW w AS (PARTITION BY thread_id ORDER BY message_id)", "messages"),
     "w03_budget_prefix": sql("SELECT repo, path, cost, spent FROM (SELECT repo, path, (size + 3) // 4 AS cost, sum((size + 3) // 4) OVER (PARTITION BY repo ORDER BY path)::BIGINT AS spent FROM files) WHERE spent <= 6000", "files"),
     "w04_budget_skip": sql("f AS (SELECT repo, file_id, (size + 3) // 4 AS cost, row_number() OVER (PARTITION BY repo ORDER BY path) AS nth FROM files), w(repo, nth, spent, file_id) AS (SELECT repo, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM f GROUP BY repo UNION ALL SELECT w.repo, f.nth, CASE WHEN w.spent + f.cost <= 3000 THEN w.spent + f.cost ELSE w.spent END, CASE WHEN w.spent + f.cost <= 3000 THEN f.file_id END FROM w JOIN f ON f.repo = w.repo AND f.nth = w.nth + 1), t AS (SELECT repo, max(spent) AS spent FROM w GROUP BY repo) SELECT repo, file_id, t.spent FROM w JOIN t USING (repo) WHERE file_id IS NOT NULL", "files", recursive=True),
     "w06_regions": sql("n AS (SELECT file_id, max(line) AS n FROM lines GROUP BY 1), a AS (SELECT DISTINCT file_id, line FROM symbols WHERE line % 3 = 0 UNION SELECT file_id, 1 FROM n) SELECT file_id, line AS first, coalesce(lead(line) OVER (PARTITION BY file_id ORDER BY line) - 1, n) AS last FROM a JOIN n USING (file_id)", "symbols"),
