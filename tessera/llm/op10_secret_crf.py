@@ -1,13 +1,17 @@
 """Secret scans: a linear-chain conditional random field that tags tokens as secret begin, inside or outside.
 
 Base patterns come first (`assign`, `access`, `hex`); their spans always stay. The field adds spans of kind `crf` that overlap
-none of them. Its tokens are the runs of key characters that hold a digit and have at least `SHORTEST` characters, and the
-joiners between two such tokens that touch; every other token can only be outside, so chains are the short runs between
-them and Viterbi over a chain is exact for the whole text. Features of a token: its shape (letter case, digits, hex, length,
-variety of characters, ending, punctuation), the words and marks around it, and the file (whether it speaks of keys, how many
-of its tokens are candidates). Weights are trained here, once per driver, by maximising the conditional likelihood (forward and
-backward sums, Adagrad) on `TRAIN` generated lines: keys, tokens and passwords of many forms against numbers, dates,
-versions, addresses, mails, phone and card numbers, paths and names. They are a few hundred numbers, shipped with the task.
+none of them. Its tokens are all of the text: runs of letters and digits, and single marks. A secret holds no blanks: after one,
+every tag is followed as the outside is, so chains are the pieces between blanks, and decoding them is exact for the whole text. Features
+of a token: its shape (case, digits, length, alternation of characters, runs of consonants, share of vowels), the
+kinds of its neighbours and whether they touch it, how far back a word stands that speaks of secrets, the piece between blanks
+that it is part of (length, mixed tokens, marks of addresses, a known beginning), and the file (whether it speaks of secrets, how many of its tokens
+are mixed). Every feature is a category, so a text's scores are sums of table rows, and Viterbi runs over the pieces in which some
+path other than all outside could win: `hopeful` bounds what any such path can gain, and pieces that cannot are outside for certain.
+
+Weights are trained here, once per driver, by maximising the conditional likelihood (forward and backward sums, Adagrad) on `TRAIN`
+generated lines: keys, tokens, passwords with and without marks and digits, pass phrases joined by marks, against prose, numbers, dates, versions,
+addresses, mails, phone and card numbers, paths, names and sentences about secrets. They are some thousand numbers, shipped with the task.
 
 Nulls and edge cases: null and empty texts have no spans; very long texts are read whole (memory is that of one text);
 repeated rows and null doc_ids are rows like others; equal starts are ordered by kind; extra columns pass through `mask`;
@@ -17,9 +21,10 @@ positions are code points, ends exclusive; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
+import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,18 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Memo, tidy
+
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYED = re.compile("passw|secret|token|api", re.I | re.A)
-SHORTEST, TRAIN, EPOCHS, SEED = 8, 4000, 4, 11
+TRAIN, EPOCHS, BATCH, SEED, RATE = 5000, 5, 512, 11, 0.25
+#: own features of a token, at most
+OWN = 16
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
-DIGITS = re.compile("[0-9]+")
-KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-JOINERS = frozenset("~$!@#%&*^?:")
-SPEAKS = re.compile(r"passw|secret|token|api|key|credential|auth|bearer|pwd", re.I | re.A)
+TOKEN = re.compile(r"[^\W_]+|\s+|[\W_]")
+#: beginnings that some services give their keys
+BEGINS = re.compile(r"(?<![^\W_])(?:gh[po]_|sk[_-]|xox[a-z]-|AKIA|ASIA|AIza|eyJ|glpat-|npm_|pat_)")
+SPEAKS = re.compile(r"passw|passphrase|secret|token|api|key|credential|auth|bearer|pwd|login", re.I | re.A)
+MARKS = "=:\"'`@/.-_+,()[]{}<>&$!#%*^?~;|\\"
+#: kinds of tokens; the marks of MARKS follow
+BLANK, LINE, CUE, SMALL, WORD, LONG, NUMBER, MIXED, ODD, MARK = range(10)
+N_KINDS = MARK + len(MARKS)
+#: categories: the left and the right neighbour, the two left of it, distance of the last cue, the piece (twice, and its beginning), the file
+SIZES = (2 * N_KINDS, 2 * N_KINDS, N_KINDS * 10, 5 * 10, 4 * 6 * 10, 8 * 10, 2 * 10, 2 * 4 * 10)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -52,225 +67,345 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit, long enough; found from their digits, so that prose costs one scan."""
-    out, after = [], 0
-    for m in DIGITS.finditer(text):
-        if m.start() < after:
-            continue
-        lo, hi = m.start(), m.end()
-        while lo > after and text[lo - 1] in KEY_CHARS:
-            lo -= 1
-        n = len(text)
-        while hi < n and text[hi] in KEY_CHARS:
-            hi += 1
-        after = hi
-        while hi > lo and text[hi - 1] in ".-":  # the sentence's, not the key's
-            hi -= 1
-        if hi - lo >= SHORTEST:
-            out.append((lo, hi))
-    return out
+class Outline(dict):
+    """For `str.translate`: digits, vowels and consonants of either case become 0, a, b, A and B, other letters e; the rest stays. Tokens of one outline share a row."""
 
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        base = unicodedata.normalize("NFD", c)[0] if c.isalpha() else c
+        new = "0" if c.isdigit() else c if not c.isalnum() else "e" if not base.isascii() or not base.isalpha() else "a" if base in "aeiouy" else "b" if base.islower() else "A" if base in "AEIOUY" else "B"
+        self[code] = ord(new)
+        return self[code]
+
+
+OUTLINE = Outline()
+SPOKEN = "\0"  # the outline of a word that speaks of secrets
 
-def chains(text: str, found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Tokens that can be tagged together: candidates, and single joiners between two that touch."""
-    out: list[list[tuple[int, int]]] = []
-    for lo, hi in found:
-        if out and lo - out[-1][-1][1] == 1 and text[lo - 1] in JOINERS:
-            out[-1] += [(lo - 1, lo), (lo, hi)]
-        else:
-            out.append([(lo, hi)])
-    return out
+
+def kind_of(t: str) -> int:
+    """The kind of an outline."""
+    if t == SPOKEN:
+        return CUE
+    if t.isspace():
+        return LINE if "\n" in t or "\r" in t else BLANK
+    if not t[0].isalnum():
+        return MARK + MARKS.index(t) if t in MARKS else ODD
+    if t.isdigit():
+        return NUMBER
+    return (SMALL if len(t) < 4 else WORD if len(t) < 12 else LONG) if t.isalpha() else MIXED
 
 
 def _bucket(x: float, *steps: float) -> int:
     return sum(x >= s for s in steps)
 
 
-def file_features(text: str, found: int) -> list[str]:
-    return [f"file speaks={bool(SPEAKS.search(text))}", f"file candidates={_bucket(found, 2, 5, 20)}"]
-
-
-def token_features(text: str, lo: int, hi: int, file: list[str]) -> list[str]:
-    t = text[lo:hi]
-    n = len(t)
-    if n == 1 and t in JOINERS:
-        return ["joiner", *file]
-    digits, upper, lower = sum(c.isdigit() for c in t), sum(c.isupper() for c in t), sum(c.islower() for c in t)
-    marks = n - digits - upper - lower
-    counts: dict[str, int] = {}
-    for c in t:
-        counts[c] = counts.get(c, 0) + 1
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
-    changes = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(t, t[1:])) / n
-    before, after = text[max(0, lo - 40) : lo], text[hi : hi + 16]
-    word = re.search(r"([A-Za-z_]+)[^A-Za-z_]*$", before)
-    word = word[1].lower() if word else ""
-    kind = "key" if SPEAKS.search(word) else "none" if not word else "word"
-    shape = "digits" if digits == n else "hex" if re.fullmatch("[0-9a-f]+", t) else "upper" if not lower and not marks else "lower" if not upper and not marks else "mixed" if not marks else "marked"
+def own_features(t: str) -> list[str]:
+    """What a token shows by its outline."""
+    kind, n = kind_of(t), len(t)
+    out = ["bias", f"kind={kind}"]
+    if kind not in (SMALL, WORD, LONG, NUMBER, MIXED):
+        return out
+    digits, upper, vowels = t.count("0"), t.count("A") + t.count("B"), t.count("a") + t.count("A") + t.count("e")
+    change = sum(map(t.count, ("0a", "0b", "0A", "0B", "a0", "b0", "A0", "B0", "aA", "aB", "bA", "bB"))) / n
+    case = "digits" if digits == n else "lower" if not upper else "upper" if upper + digits == n else "title" if upper == 1 and t[0] in "AB" else "camel"
+    consonants = max(map(len, re.split("[^bB]", t)))
+    length, odd = _bucket(n, 5, 8, 12, 16, 20, 28, 36), _bucket(consonants, 3, 4, 5, 6)
     return [
-        "bias", *file, f"shape={shape}", f"length={_bucket(n, 12, 16, 20, 28, 36, 60)}", f"entropy={_bucket(entropy, 2.5, 3.0, 3.4, 3.8, 4.3)}",
-        f"changes={_bucket(changes, 0.1, 0.2, 0.35, 0.5)}", f"digits={_bucket(digits / n, 0.1, 0.25, 0.5, 0.8)}", f"shape={shape} length={_bucket(n, 16, 20, 28)}",
-        f"dots={_bucket(t.count('.'), 1, 2, 3)}", f"dashes={_bucket(t.count('-'), 1, 2, 4)}", f"slashes={_bucket(t.count('/'), 1, 2, 3)}", f"ends=={t.endswith('=')}",
-        f"prefix={bool(re.match('[A-Za-z]{2,5}_', t))}", f"inner=={'=' in t.rstrip('=')}", f"word={kind}", f"mark={before[-1:] if before[-1:] in (' ', '=', ':', '@', chr(34), chr(39), '+', '(', chr(10)) else 'other'}",
-        f"word={kind} shape={shape}", f"next={after[:1] if after[:1] in (' ', '@', chr(34), chr(39), ')', chr(10), '') else 'other'}", f"words within={bool(re.search('[a-z]{5}', t) or re.search('[A-Z]{5}', t))}",
+        *out, f"case={case}", f"length={length}", f"case={case} length={length} digits={digits > 0}", f"change={_bucket(change, 0.1, 0.2, 0.35)}", f"digits={_bucket(digits / n, 0.01, 0.15, 0.4, 0.8)}",
+        f"consonants={odd}", f"vowels={_bucket(vowels / max(1, n - digits), 0.1, 0.2, 0.3, 0.4)} length={length}", f"case={case} consonants={odd}", f"case={case} change={_bucket(change, 0.1, 0.2, 0.35)}", f"other={'e' in t}",
     ]
 
 
-class Field:
-    """Weights per (feature, tag) and (tag, tag); `START` stands for the outside before and after a chain."""
-
-    def __init__(self, weights: dict[str, np.ndarray], steps: np.ndarray):
-        self.weights, self.steps = weights, steps
-
-    def emissions(self, rows: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(rows), 3))
-        for i, row in enumerate(rows):
-            for f in row:
-                w = self.weights.get(f)
-                if w is not None:
-                    out[i] += w
-        return out
-
-    def viterbi(self, rows: list[list[str]]) -> list[int]:
-        e, allowed = self.emissions(rows), ALLOWED + self.steps
-        best, back = e[0] + allowed[OUTSIDE], []
-        for x in e[1:]:
-            paths = best[:, None] + allowed
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + x
-        tags = [int((best + self.steps[:, OUTSIDE]).argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
-
-    def gradient(self, rows: list[list[str]], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Observed minus expected counts, per token and step (log-space forward and backward)."""
-        e, step = self.emissions(rows), ALLOWED + self.steps
-        n = len(rows)
-        fore, aft = np.empty((n, 3)), np.empty((n, 3))
-        fore[0] = e[0] + step[OUTSIDE]
-        for i in range(1, n):
-            fore[i] = e[i] + _lse(fore[i - 1][:, None] + step)
-        aft[-1] = self.steps[:, OUTSIDE]
-        for i in range(n - 2, -1, -1):
-            aft[i] = _lse((step + e[i + 1] + aft[i + 1]).T)
-        total = float(_lse((fore[-1] + aft[-1])[:, None])[0])
-        token = -np.exp(fore + aft - total)
-        steps = np.zeros((3, 3))
-        steps[OUTSIDE] += token[0]
-        steps[:, OUTSIDE] += token[-1]
-        for i in range(n - 1):
-            steps -= np.exp(fore[i][:, None] + step + e[i + 1] + aft[i + 1] - total)
-        for i, t in enumerate(tags):
-            token[i, t] += 1
-            steps[tags[i - 1] if i else OUTSIDE, t] += 1
-        steps[tags[-1], OUTSIDE] += 1
-        return token, steps
+def _short(kinds: np.ndarray) -> np.ndarray:
+    return np.minimum(kinds, MARK)
+
+
+@dataclass
+class Tokens:
+    """The tokens of a text but for blanks: places, own numbers, categories (one column per table of SIZES, as rows of one table), first token of each piece between blanks."""
+
+    start: np.ndarray
+    end: np.ndarray
+    own: np.ndarray
+    codes: np.ndarray
+    pieces: np.ndarray
+
+
+class Reader:
+    """Cuts texts into tokens; numbers what tokens show by themselves, the row `made(token)` being kept by number in `table`."""
+
+    def __init__(self, made, width: int, kind: type, most: int = 100_000):
+        self.made, self.most = made, most
+        self.memo = Memo(self._new, most)
+        self.table, self.kinds, self.used = np.zeros((1024, width), kind), np.zeros(1024, np.int64), 0
+
+    def _new(self, token: str) -> int:
+        if self.used == len(self.table):
+            self.table, self.kinds = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+        self.table[self.used], self.kinds[self.used] = self.made(token), kind_of(token)
+        self.used += 1
+        return self.used - 1
+
+    def __call__(self, text: str, trim: bool = True) -> Tokens:
+        if trim and self.used > self.most:
+            self.memo.clear()
+            self.used = 0
+        tokens = TOKEN.findall(text.translate(OUTLINE))
+        own = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes)
+        kinds = self.kinds[own]
+        spoken = [m.start() for m in SPEAKS.finditer(text)]
+        if spoken:
+            at = np.unique(np.searchsorted(ends, spoken, "right"))
+            at = at[(kinds[at] >= SMALL) & (kinds[at] <= LONG) & (sizes[at] < 16)]
+            own[at] = self.memo[SPOKEN]
+            kinds[at] = CUE
+        begun = np.zeros(len(tokens), bool)
+        begun[np.searchsorted(ends, [m.start() for m in BEGINS.finditer(text)], "right")] = True
+        line = np.cumsum(kinds == LINE)
+        piece = np.cumsum(kinds <= LINE)
+        real = np.flatnonzero(kinds > LINE)
+        k, line, piece, start, end, own = kinds[real], line[real], piece[real], (ends - sizes)[real], ends[real], own[real]
+        n = len(real)
+        if not n:
+            return Tokens(start, end, own, np.zeros((0, len(SIZES)), np.int64), np.zeros(0, np.int64))
+        same, touch = np.r_[False, line[1:] == line[:-1]], np.r_[False, (start[1:] == end[:-1])]
+        left, right = np.where(same, np.r_[0, k[:-1]], 0), np.where(np.r_[same[1:], False], np.r_[k[1:], 0], 0)
+        second = np.where(same & np.r_[False, same[:-1]], np.r_[0, 0, k[:-2]][:n], 0)
+        at = np.arange(n)
+        first = np.flatnonzero(~same)
+        cue = np.maximum.accumulate(np.where(k == CUE, at, -1))
+        cue = np.r_[-1, cue[:-1]]  # before the token
+        opening = np.repeat(first, np.diff(np.r_[first, n]))
+        gap = np.where(cue >= opening, np.digitize(at - cue, (2, 4, 7)), 4)
+        begins = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        count = np.diff(np.r_[begins, n])
+        each = lambda x: np.repeat(np.add.reduceat(x.astype(np.int64), begins), count)
+        length, mixed, words = each(sizes[real]), each(k == MIXED), each((k >= CUE) & (k <= LONG))
+        slashes, ats, dots = each(k == MARK + MARKS.index("/")), each(k == MARK + MARKS.index("@")), each(k == MARK + MARKS.index("."))
+        address = np.where(slashes > 1, 1, np.where(ats > 0, 2, np.where(dots > 1, 3, 0)))
+        size = np.digitize(length, (8, 12, 20, 32, 48))
+        s = _short(k)
+        tables = (
+            left * 2 + touch, right * 2 + np.r_[touch[1:], False], second * 10 + s, gap * 10 + s, (np.minimum(mixed, 3) * 6 + size) * 10 + s, (address * 2 + (words > 1)) * 10 + s,
+            (each(begun[real]) > 0) * 10 + s, (bool(spoken) * 4 + np.digitize((k == MIXED).sum(), (1, 4, 20))) * 10 + s,
+        )
+        return Tokens(start, end, own, np.stack(tables, 1) + np.r_[0, np.cumsum(SIZES)[:-1]], begins)
 
 
 ALLOWED = np.zeros((3, 3))
 ALLOWED[OUTSIDE, INSIDE] = -1e6  # inside only after begin or inside
 
 
-def _lse(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=0)
-    return top + np.log(np.exp(x - top).sum(axis=0))
+@dataclass
+class Field:
+    """Weights per own feature, category and pair of tags; before and after a chain stands the outside."""
+
+    names: dict[str, int]
+    own: np.ndarray
+    codes: np.ndarray
+    steps: np.ndarray
+
+    def reader(self) -> Reader:
+        return Reader(lambda t: self.own[[self.names[f] for f in own_features(t) if f in self.names]].sum(axis=0), 3, np.float64)
+
+    def emissions(self, tokens: Tokens, reader: Reader) -> np.ndarray:
+        return reader.table[tokens.own] + self.codes[tokens.codes].sum(axis=1)
+
+    def hopeful(self, e: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Pieces in which tags other than outside may win.
+
+        A stretch of tags that begins at one token changes the score of all outside by what its begin and end gain and by what further
+        tokens gain, at most the sum of those behind it that gain at all. Where that is not positive for any begin, no stretch can win.
+        """
+        t = self.steps
+        gain = e - e[:, OUTSIDE : OUTSIDE + 1]
+        begin = gain[:, BEGIN] + t[OUTSIDE, BEGIN] + max(t[BEGIN, OUTSIDE], t[INSIDE, OUTSIDE]) - 2 * t[OUTSIDE, OUTSIDE]
+        inside = gain[:, INSIDE] + max(t[BEGIN, INSIDE], t[INSIDE, INSIDE]) - t[OUTSIDE, OUTSIDE]
+        again = gain[:, BEGIN] + max(t[BEGIN, BEGIN], t[INSIDE, BEGIN]) - t[OUTSIDE, OUTSIDE]
+        more = np.maximum(np.maximum(inside, again), 0)
+        size = np.diff(np.r_[pieces, len(e)])
+        total = np.cumsum(more)
+        after = np.repeat(total[pieces + size - 1], size) - total  # what tokens of the piece behind this one may add
+        return np.flatnonzero(np.maximum.reduceat(begin + after, pieces) > 0)
+
+    def viterbi(self, e: np.ndarray) -> list[int]:
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = self.steps.tolist()
+        rows = e.tolist()
+        b, i, o = rows[0][0] + ob, -1e18, rows[0][2] + oo
+        back = []
+        for x, y, z in rows[1:]:
+            from_b = BEGIN if b + bb >= i + ib and b + bb >= o + ob else INSIDE if i + ib >= o + ob else OUTSIDE
+            from_i = BEGIN if b + bi >= i + ii else INSIDE
+            from_o = BEGIN if b + bo >= i + io and b + bo >= o + oo else INSIDE if i + io >= o + oo else OUTSIDE
+            back.append((from_b, from_i, from_o))
+            b, i, o = max(b + bb, i + ib, o + ob) + x, max(b + bi, i + ii) + y, max(b + bo, i + io, o + oo) + z
+        last = (b + bo, i + io, o + oo)
+        tags = [last.index(max(last))]
+        for step in reversed(back):
+            tags.append(step[tags[-1]])
+        return tags[::-1]
+
+    def spans(self, text: str, reader: Reader) -> list[tuple[int, int]]:
+        tokens = reader(text)
+        if not len(tokens.own):
+            return []
+        e, ends, out = self.emissions(tokens, reader), np.r_[tokens.pieces[1:], len(tokens.own)], []
+        for at in self.hopeful(e, tokens.pieces).tolist():
+            lo, hi = int(tokens.pieces[at]), int(ends[at])
+            for j, tag in enumerate(self.viterbi(e[lo:hi]), lo):
+                if tag == BEGIN:
+                    out.append((int(tokens.start[j]), int(tokens.end[j])))
+                elif tag == INSIDE:
+                    out[-1] = (out[-1][0], int(tokens.end[j]))
+        return out
 
 
 def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
     """A line and the spans of its secrets."""
     pick, letters, numbers = rng.choice, "abcdefghijklmnopqrstuvwxyz", "0123456789"
     some = lambda chars, lo, hi=None: "".join(pick(chars) for _ in range(rng.randint(lo, hi or lo)))
-    word = lambda: some(letters, 2, 9)
+    sound = lambda: pick(("", "b", "ch", "d", "f", "g", "l", "m", "n", "p", "r", "s", "sch", "st", "t", "th", "tr", "v")) + pick(("a", "e", "i", "o", "u", "ie", "ou", "ä", "é", "ó", "ión")) + pick(("", "", "n", "r", "s", "t", "nd", "ng", "nt", "ll", "rst", "cht"))
+    word = lambda most=5: "".join(sound() for _ in range(rng.randint(1, most)))
     both = letters + letters.upper() + numbers
+    case = lambda w: w.title() if rng.random() < 0.15 else w
+    words = lambda lo, hi: " ".join(case(word()) + pick(("", "", "", "", ",", ".", "###", "&&")) for _ in range(rng.randint(lo, hi)))
     secrets = (
-        lambda: some(both, 20, 44), lambda: some(both + "+/", 24, 64) + pick(("", "=", "==")), lambda: some("abcdef" + numbers, 24, 64), lambda: pick(("ghp_", "sk_live_", "xoxb-", "glpat-", "npm_", "pat_")) + some(both, 18, 40),
-        lambda: pick(("AKIA", "ASIA", "AIza")) + some(letters.upper() + numbers, 14, 20), lambda: some(both, 6, 10) + pick("$!@#%&*") + some(both, 8, 12) + numbers[rng.randint(0, 9)], lambda: f"{some(both, 18, 24)}.{some(both, 24, 40)}.{some(both + '-_', 24, 43)}",
+        lambda: some(both, 16, 44), lambda: some(both + "+/", 24, 64) + pick(("", "=", "==")), lambda: some(letters, 12, 24), lambda: some(letters + letters.upper(), 10, 24), lambda: pick(("ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_", "pat_")) + some(both, 18, 40),
+        lambda: f"xox{pick('bap')}-{some(numbers, 10, 12)}-{some(both, 16, 24)}", lambda: pick(("AKIA", "ASIA", "AIza")) + some(letters.upper() + numbers, 14, 20), lambda: some(both, 3, 10) + pick("$!@#%&*^?~") + some(both, 3, 12), lambda: word(2).title() + some(numbers, 1, 4) + pick("$!@#%&*") + word(2).title() + some(numbers, 0, 3),
+        lambda: "eyJ" + some(both, 15, 24) + "." + some(both, 24, 40) + "." + some(both + "-_", 24, 43), lambda: "-".join(some(both, 4, 6) for _ in range(rng.randint(3, 6))), lambda: "-".join(word(2) for _ in range(rng.randint(3, 5))) + some(numbers, 0, 2),
     )
     plain = (
-        lambda: some(numbers, 8, 19), lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"v{rng.randint(0, 20)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}-{pick(('rc1', 'beta2', 'final0'))}",
-        lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: f"+{rng.randint(1, 99)} ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}", lambda: "/".join([word(), word(), f"{word()}{rng.randint(0, 99)}.{pick(('html', 'py', 'txt'))}"]),
-        lambda: f"{word()}_{word()}_{rng.randint(0, 999)}", lambda: f"{word()}{rng.randint(10, 9999)}", lambda: f"https://{word()}.example.org/{word()}/{rng.randint(1, 99999)}?page={rng.randint(1, 9)}", lambda: f"{word().title()}-{word()}-{rng.randint(1, 99)}", lambda: f"{rng.randint(1, 999)},{rng.randint(100, 999)}.{rng.randint(10, 99)}",
-        lambda: some(numbers, 4) + "-" + some(numbers, 4) + "-" + some(numbers, 4) + "-" + some(numbers, 4), lambda: f"{rng.randint(1, 12)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}.{rng.randint(100, 999)}", lambda: f"0x{some('abcdef' + numbers, 6, 8)}", lambda: f"ISBN-{some(numbers, 13)}", lambda: f"{word()}2{word()}4{word()}",
+        lambda: some(numbers, 1, 19), lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"v{rng.randint(0, 20)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}-{pick(('rc1', 'beta2', 'final0'))}",
+        lambda: f"{word(2)}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: f"+{rng.randint(1, 99)} ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}", lambda: "/".join([word(2), word(2), f"{word(2)}{rng.randint(0, 99)}.{pick(('html', 'py', 'txt'))}"]),
+        lambda: f"{word(2)}_{word(2)}_{rng.randint(0, 999)}", lambda: f"{word(2)}{rng.randint(10, 9999)}", lambda: f"https://{word(2)}.example.org/{word(2)}/{rng.randint(1, 99999)}?page={rng.randint(1, 9)}&{word(2)}={word(2)}", lambda: f"{word(2).title()}-{word(2)}-{rng.randint(1, 99)}", lambda: f"{rng.randint(1, 999)},{rng.randint(100, 999)}.{rng.randint(10, 99)}",
+        lambda: pick("- ").join(some(numbers, 4) for _ in range(4)), lambda: f"{rng.randint(1, 12)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}.{rng.randint(100, 999)}", lambda: f"0x{some('abcdef' + numbers, 6, 8)}", lambda: f"ISBN-{some(numbers, 13)}", lambda: f"{word(2)}2{word(2)}4{word(2)}",
+        lambda: word(2).title() + word(2).title() + word(3).title(), lambda: f"{word(3)}({word(2)}, {word(2)})", lambda: word(9), lambda: f"<a href=\"/{word(2)}/{rng.randint(1, 999)}\">{word(3)}</a>", lambda: f"{word(2)} | {word(2)}", lambda: f"GPL-{rng.randint(1, 3)}.0", lambda: some(letters.upper(), 2) + some(numbers, 18, 20),
+        lambda: f"{word(3)}{pick(('!', '?', '...', '!!!', '%', '$$$'))}", lambda: word(2) + "s'" + word(2), lambda: f"CC BY-{pick(('NC', 'SA'))} {rng.randint(1, 4)}.0", lambda: f"{word(3)}-{word(4)}", lambda: f"#{some(numbers + 'abcdef', 6)}", lambda: f"https://{word(2)}.example.org/{pick(('api', 'login', 'auth', 'docs'))}/v{rng.randint(1, 9)}/{pick(('token', 'key', 'secret', 'password'))}-{word(3)}?{word(2)}={word(2)}&{word(1)}={rng.randint(1, 99)}",
+        lambda: f"{pick(('get', 'set', 'new', 'max'))}_{pick(('token', 'key', 'secret', 'auth'))}_{word(2)}({word(2)}_{word(2)}, {word(2)}_{word(2)}): {word(2)} {word(2)}[{word(2)}_{word(1)}]", lambda: "".join(word(3) for _ in range(rng.randint(2, 4))).title(), lambda: f"${rng.randint(1, 999)}.{rng.randint(10, 99)}",
     )
-    cue = ("key", "api key", "auth", "Bearer", "secret", "token", "password", "pwd", "credential", "access_key")
-    text, spans = " ".join(word() for _ in range(rng.randint(0, 6))), []
+    cue = ("key", "api key", "auth", "Bearer", "secret", "token", "password", "pwd", "credential", "access_key", "passphrase", "login")
+    about = (" of the ", " was kept by ", " is ", " for ", "s and ", " meeting in ", ": see ", " policy ", " - ", " = ")
+    text, spans = words(0, 8), []
     for _ in range(rng.randint(1, 3)):
-        text += pick((" ", " ", "\n"))
-        if rng.random() < 0.4:
-            made = pick(secrets)()
-            if rng.random() < 0.6:
-                text += pick(cue) + pick((" ", ": ", "=", ' = "', "='"))
+        text += " "
+        roll = rng.random()
+        if roll < 0.4:
+            cued = rng.random() < 0.75
+            make = pick(secrets)
+            made = make()
+            if make in (secrets[2], secrets[3], secrets[7], secrets[8], secrets[11]):
+                cued = True  # nothing but the context tells them from words
+            quote = pick(("", "", '"', "'"))
+            if cued:
+                text += pick(cue) + pick((" ", ": ", "=", " = ", " is ", ":"))
+            text += quote
             spans.append((len(text), len(text) + len(made)))
+            text += made + quote + pick((" ", ". ", ", ", "; ", ") "))
+        elif roll < 0.55:
+            text += pick(cue) + pick(about) + (words(1, 4) if rng.random() < 0.6 else pick(plain)()) + " "
         else:
-            made = pick(plain)()
-            if rng.random() < 0.1:
-                text += pick(cue) + pick((" ", ": "))
-        text += made + pick((" ", '" ', ". ", "\n", ", ")) + " ".join(word() for _ in range(rng.randint(0, 4)))
+            text += pick(plain)() + pick((" ", '" ', ". ", ", "))
+        text += words(0, 6)
     return text, spans
 
 
 def examples(n: int, seed: int = SEED):
-    """(features, tags) of chains in `n` generated lines."""
+    """(text, spans) of `n` generated lines."""
     rng = random.Random(seed)
-    for _ in range(n):
-        text, spans = _generated(rng)
-        found = candidates(text)
-        file = file_features(text, len(found))
-        for chain in chains(text, found):
-            tags, inside = [], None
-            for lo, hi in chain:
-                own = next((s for s in spans if s[0] <= lo < s[1]), None)
-                tags.append(OUTSIDE if own is None else INSIDE if own == inside else BEGIN)
-                inside = own
-            yield [token_features(text, lo, hi, file) for lo, hi in chain], tags
+    return [_generated(rng) for _ in range(n)]
+
+
+def tagged(tokens: Tokens, spans: list[tuple[int, int]]) -> np.ndarray:
+    tags = np.full(len(tokens.own), OUTSIDE)
+    for lo, hi in spans:
+        within = np.flatnonzero((tokens.start >= lo) & (tokens.start < hi))
+        tags[within] = INSIDE
+        tags[within[:1]] = BEGIN
+    return tags
+
+
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+def gradient(e: np.ndarray, steps: np.ndarray, sizes: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Observed minus expected counts of tags and steps, for chains of emissions padded to one length."""
+    n, most, _ = e.shape
+    step, rows = ALLOWED + steps, np.arange(n)
+    fore, aft = np.empty_like(e), np.empty_like(e)
+    fore[:, 0] = e[:, 0] + step[OUTSIDE]
+    for i in range(1, most):
+        fore[:, i] = e[:, i] + _lse(fore[:, i - 1, :, None] + step, 1)
+    aft[:, -1] = step[:, OUTSIDE]
+    for i in range(most - 2, -1, -1):
+        aft[:, i] = np.where((i == sizes - 1)[:, None], step[:, OUTSIDE], _lse(step + (e[:, i + 1] + aft[:, i + 1])[:, None, :], 2))
+    total = _lse(fore[rows, sizes - 1] + step[:, OUTSIDE], 1)
+    here = np.arange(most) < sizes[:, None]
+    seen = np.eye(3)[tags]
+    token = np.where(here[..., None], seen - np.exp(np.minimum(fore + aft - total[:, None, None], 0)), 0.0)
+    pair = np.exp(np.minimum(fore[:, :-1, :, None] + step + (e[:, 1:] + aft[:, 1:])[:, :, None, :] - total[:, None, None, None], 0))
+    both = here[:, 1:, None, None]
+    moved = np.where(both, seen[:, :-1, :, None] * seen[:, 1:, None, :] - pair, 0.0).sum(axis=(0, 1))
+    moved[OUTSIDE] += token[:, 0].sum(axis=0)
+    moved[:, OUTSIDE] += token[rows, sizes - 1].sum(axis=0)
+    return token, moved
 
 
 @lru_cache(maxsize=1)
 def trained(n: int = TRAIN, epochs: int = EPOCHS) -> Field:
-    rows = list(examples(n))
-    field = Field({}, np.zeros((3, 3)))
-    seen: dict[str, np.ndarray] = {}
-    step_seen, rate = np.full((3, 3), 1e-6), 0.3
-    order = random.Random(SEED)
-    for _ in range(epochs):
-        order.shuffle(rows)
-        for features, tags in rows:
-            token, steps = field.gradient(features, tags)
-            step_seen += steps * steps
-            field.steps += rate * steps / np.sqrt(step_seen)
-            for g, row in zip(token, features):
-                square = g * g
-                for f in row:
-                    s = seen.setdefault(f, np.full(3, 1e-6))
-                    s += square
-                    w = field.weights.setdefault(f, np.zeros(3))
-                    w += rate * g / np.sqrt(s)
-    return field
-
-
-def crf_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    found = candidates(text)
-    if not found:
-        return []
-    file, out = file_features(text, len(found)), []
-    for chain in chains(text, found):
-        tags = field.viterbi([token_features(text, lo, hi, file) for lo, hi in chain])
-        for (lo, hi), tag in zip(chain, tags):
-            if tag == BEGIN:
-                out.append((lo, hi))
-            elif tag == INSIDE:
-                out[-1] = (out[-1][0], hi)
-    return out
+    names: dict[str, int] = {}
 
+    def numbered(t: str) -> np.ndarray:
+        out = np.full(OWN, -1)
+        found = [names.setdefault(f, len(names)) for f in own_features(t)]
+        out[: len(found)] = found
+        return out
 
-def spans_of(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    reader = Reader(numbered, OWN, np.int64)
+    read = [(reader(text, trim=False), spans) for text, spans in examples(n)]
+    own, codes, tags = (np.concatenate(x) for x in zip(*((reader.table[t.own], t.codes, tagged(t, spans)) for t, spans in read)))
+    sizes = np.concatenate([np.diff(np.r_[t.pieces, len(t.own)]) for t, _ in read])
+    starts = np.cumsum(sizes) - sizes
+    w_own, w_codes, steps = np.zeros((len(names) + 1, 3)), np.zeros((sum(SIZES), 3)), np.zeros((3, 3))
+    squares = [np.full_like(x, 1e-3) for x in (w_own, w_codes, steps)]
+    order, rng = np.arange(len(sizes)), np.random.default_rng(SEED)
+    for _ in range(epochs):
+        rng.shuffle(order)
+        batches = [near[i : i + BATCH] for lo in range(0, len(order), 16 * BATCH) for near in [sorted(order[lo : lo + 16 * BATCH], key=sizes.__getitem__)] for i in range(0, len(near), BATCH)]
+        for part in rng.permuted(np.arange(len(batches))):
+            part = np.array(batches[part])  # chains of like length
+            size = sizes[part]
+            row, column = np.repeat(np.arange(len(part)), size), np.concatenate([np.arange(s) for s in size])
+            at = starts[part][row] + column
+            e, y = np.zeros((len(part), int(size.max()), 3)), np.full((len(part), int(size.max())), OUTSIDE)
+            e[row, column], y[row, column] = w_own[own[at]].sum(axis=1) + w_codes[codes[at]].sum(axis=1), tags[at]
+            token, moved = gradient(e, steps, size, y)
+            g = token[row, column]
+            for weights, square, which in ((w_own, squares[0], own[at] % len(w_own)), (w_codes, squares[1], codes[at])):
+                total = np.stack([np.bincount(which.ravel(), np.repeat(g[:, k], which.shape[1]), len(weights)) for k in range(3)], 1)
+                square += total * total
+                weights += RATE * total / np.sqrt(square)
+            w_own[-1] = 0  # stands for no feature
+            squares[2] += moved * moved
+            steps += RATE * moved / np.sqrt(squares[2])
+    return Field(names, w_own, w_codes, steps)
+
+
+def spans_of(text: str | None, field: Field, reader: Reader) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) as (start, kind, end), sorted."""
     if not text:
         return [], []
     base = sorted(base_spans(text))
-    added = [(lo, 3, hi) for lo, hi in crf_spans(text, field) if not any(a < hi and lo < b for a, _, b in base)]
+    added, at, most = [], 0, 0  # both are sorted: base spans that begin before an added one ends, and how far they reach
+    for lo, hi in field.spans(text, reader):
+        while at < len(base) and base[at][0] < hi:
+            most = max(most, base[at][2])
+            at += 1
+        if most <= lo:
+            added.append((lo, 3, hi))
     return base, sorted(base + added)
 
 
@@ -283,10 +418,11 @@ def scan(docs: DataFrame) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
+        reader = field.value.reader()
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             for text in b.column(1):
-                base, every = spans_of(text.as_py(), field.value)
+                base, every = spans_of(text.as_py(), field.value, reader)
                 for i in range(3):
                     cols[i].append(sum(k == i for _, k, _ in base))
                 cols[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())
@@ -295,12 +431,12 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
 
-def masked(text: str | None, field: Field, mask: str = "[SECRET]") -> str | None:
+def masked(text: str | None, field: Field, reader: Reader, mask: str = "[SECRET]") -> str | None:
     """The text with every span (overlapping ones as one) replaced."""
-    _, spans = spans_of(text, field)
+    _, spans = spans_of(text, field, reader)
     if not spans:
         return text
     out, at = [], 0
@@ -317,9 +453,12 @@ def mask(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        reader = field.value.reader()
         for b in batches:
-            texts = pa.array([masked(t.as_py(), field.value) for t in b.column(at)], pa.string())
-            yield b.set_column(at, b.schema.field(at).with_type(pa.string()), texts)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                texts = pa.array([masked(t.as_py(), field.value, reader) for t in part.column(at)], pa.string())
+                yield part.set_column(at, part.schema.field(at).with_type(pa.string()), texts)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
