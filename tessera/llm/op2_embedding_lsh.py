@@ -3,13 +3,13 @@
 Vectors are normalised in double precision; `tables` hash tables each join `width`-quantised projections on `k` Gaussian
 directions into a bucket; vectors that share a bucket are candidates and are compared by exact cosine in double precision.
 For unit vectors a cosine of 0.95 is a distance of 0.316; with a width of 2 one projection agrees for such a pair with a
-probability of 0.874 and for unrelated ones with 0.486, so `k` = 10 and 16 tables miss a pair exactly at the threshold
-with a probability of 0.8 % (0.98: 0.01 %) - see `miss`. `plan` raises both for larger tables so that a vector keeps
-meeting a bounded number of unrelated ones while the miss stays below `MISS`.
+probability of 0.874 and for unrelated ones with 0.486. `plan` takes as many directions as keep the unrelated vectors in a bucket
+at about `STRANGERS`, and as many tables as keep the chance of missing a pair exactly at the threshold below `MISS` - see `miss`.
 
 Equal vectors are one class with a count and are compared once. A bucket is dealt out in blocks of about `BLOCK` vectors:
-pairs of blocks are tasks of their own, so a bucket with a third of all vectors meets in no task. A pair that shares
-several buckets is compared in the first of them only. A block emits, for each vector, its number of links and the root of
+pairs of blocks are tasks of their own, so a bucket with a third of all vectors meets in no task. Only names of buckets are
+shuffled until buckets of one vector are gone; a vector is then sent once to each pair of blocks that it is in. A pair that shares
+several buckets counts in the first of them only: the other names are computed again for vectors that link. A block emits, for each vector, its number of links and the root of
 its local component, never pairs; the roots are joined to components by `connected_components`.
 
 Nulls and edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing, nor does
@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, shared_dir, splitmix, stored
+from tessera.llm.common import block_pairs, connected_components, groups_of, shared_dir, splitmix, stored, tidy
 
-THRESHOLD, WIDTH, BLOCK, SEED, MISS, STRANGERS = 0.95, 2.0, 512, 20, 0.01, 40
+THRESHOLD, WIDTH, BLOCK, SEED, MISS, STRANGERS = 0.95, 2.0, 2048, 20, 0.005, 500
 
 
 def agree(distance: float, width: float = WIDTH) -> float:
@@ -46,7 +46,7 @@ def miss(k: int, tables: int, cosine: float = THRESHOLD) -> float:
 def plan(n: int, cosine: float = THRESHOLD) -> tuple[int, int]:
     """(k, tables): at most STRANGERS unrelated vectors expected in a bucket, a miss below MISS at the threshold."""
     far = agree(math.sqrt(2))
-    k = max(10, math.ceil(math.log(max(n, 1) / STRANGERS) / -math.log(far)))
+    k = max(4, math.ceil(math.log(max(n, 1) / STRANGERS) / -math.log(far)))
     near = agree(math.sqrt(2 - 2 * cosine)) ** k
     return k, math.ceil(math.log(MISS) / math.log(1 - near))
 
@@ -72,15 +72,17 @@ def units(vectors: list) -> tuple[np.ndarray, int]:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def compare(ids, copies, signs, unit, table: int, side, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links and local root of each row of a block, or of two blocks (`across`: only pairs with one row of either side)."""
+def compare(ids, copies, unit, names, table: int, side, across: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links and local root of each row of a block, or of two blocks (`across`: only pairs with one row of either side); `names(rows)`: their buckets."""
     n = len(ids)
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(n), np.arange(n))
     hit = unit[left] @ unit[right].T >= threshold
     x, y = np.nonzero(hit if across else np.triu(hit, 1))
     x, y = left[x], right[y]
-    if table:
-        new = ~(signs[x, :table] == signs[y, :table]).any(axis=1)
+    if table and len(x):
+        linked, at = np.unique(np.r_[x, y], return_inverse=True)
+        signs = names(linked)[:, :table]
+        new = ~(signs[at[: len(x)]] == signs[at[len(x) :]]).any(axis=1)
         x, y = x[new], y[new]
     links = np.bincount(x, copies[y], n) + np.bincount(y, copies[x], n)
     root = np.arange(n)
@@ -94,40 +96,20 @@ def compare(ids, copies, signs, unit, table: int, side, across: bool, threshold:
     return links.astype(np.int64), ids[root]
 
 
-def _blocks(threshold: float, tables: int):
+def _blocks(threshold: float, k: int, tables: int):
     """Over rows sorted by pair of blocks; yields (rep, links, root) of rows that link."""
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def solve(t: pa.Table, edges: list[int]) -> pa.RecordBatch:
-        ids, copies, side, table, i, j = (t[c].to_numpy() for c in ("rep", "copies", "side", "t", "i", "j"))
-        vectors, signs = t["embedding"].combine_chunks(), t["signs"].combine_chunks()
-        values, at = vectors.flatten().to_numpy(), np.r_[0, np.cumsum(vectors.value_lengths().to_numpy())]
-        marks = signs.flatten().to_numpy().reshape(len(ids), tables)
-        got: list[list] = [[], [], []]
-        for lo, hi in zip(edges, edges[1:]):
-            if hi - lo < 2 or (i[lo] != j[lo] and side[lo:hi].min() == side[lo:hi].max()):
-                continue
-            unit = units(values[at[lo] : at[hi]].reshape(hi - lo, -1))
-            links, root = compare(ids[lo:hi], copies[lo:hi], marks[lo:hi], unit, int(table[lo]), side[lo:hi], bool(i[lo] != j[lo]), threshold)
-            keep = links > 0
-            for to, x in zip(got, (ids[lo:hi], links, root)):
-                to.append(x[keep])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in got], schema=schema)
-
     def run(batches):
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            if not len(t):
+        for t in groups_of(batches, ["t", "bucket", "i", "j", "dim"]):
+            ids, copies, side, table, i, j = (t[c].to_numpy() for c in ("rep", "copies", "side", "t", "i", "j"))
+            if len(ids) < 2 or (i[0] != j[0] and side.min() == side.max()):
                 continue
-            key = [t[c].to_numpy() for c in ("t", "bucket", "i", "j", "dim")]
-            edges = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1).tolist()]
-            held = t.slice(edges[-1])  # the last group may go on
-            if edges[-1]:
-                yield solve(t.slice(0, edges[-1]), edges)
-        if held is not None:
-            yield solve(held, [0, len(held)])
+            unit = units(t["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
+            links, root = compare(ids, copies, unit, lambda rows: buckets(unit[rows], k, tables), int(table[0]), side, bool(i[0] != j[0]), threshold)  # noqa: B023
+            keep = links > 0
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, links, root)], schema=schema)
 
     return run
 
@@ -148,25 +130,20 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
 
     def sign(batches):
         for b in batches:
-            dims, table = b.column(3).to_numpy(), pa.Table.from_batches([b])
+            dims, table = b.column(2).to_numpy(), pa.Table.from_batches([b])
             for d in np.unique(dims).tolist():
                 part = table.filter(pa.array(dims == d)).combine_chunks()
-                if not len(part):
-                    continue
                 unit = units(part["embedding"].combine_chunks().flatten().to_numpy().reshape(len(part), d))
                 signs = pa.FixedSizeListArray.from_arrays(pa.array(buckets(unit, k, tables).ravel()), tables).cast(pa.list_(pa.int32()))
-                yield pa.Table.from_arrays([*part.columns, signs], names=["rep", "copies", "embedding", "dim", "signs"]).to_batches()[0]
-
-    signed = stored(reps.mapInArrow(sign, f"rep long, copies long, embedding {reps.schema['embedding'].dataType.simpleString()}, dim int, signs array<int>"), "signs")
-    placed = signed.select("rep", "copies", "embedding", "dim", "signs", F.posexplode("signs").alias("t", "bucket"))
-    sizes = signed.select("dim", F.posexplode("signs").alias("t", "bucket")).groupBy("t", "bucket", "dim").agg(F.count("*").alias("n")).where("n > 1")
-    sized = placed.join(sizes, ["t", "bucket", "dim"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a row of block x goes to the pairs (x, j), j >= x as side 0 and to (i, x), i < x as side 1
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(o < F.col("block"), 1).otherwise(0).alias("side")))
-    tasks = dealt.select("t", "bucket", "dim", "rep", "copies", "embedding", "signs", F.explode(pairs).alias("p")).select("t", "bucket", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "dim", "rep", "copies", "embedding", "signs")
+                yield pa.Table.from_arrays([part["rep"], part["dim"], signs], names=["rep", "dim", "signs"]).to_batches()[0]
+
+    signed = stored(reps.select("rep", "embedding", "dim").mapInArrow(tidy(sign), "rep long, dim int, signs array<int>"), "signs")
+    placed = signed.select("rep", "dim", F.posexplode("signs").alias("t", "bucket"))
+    sizes = placed.groupBy("t", "bucket", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = block_pairs(placed.join(sizes, ["t", "bucket", "dim"]), "rep", "n", BLOCK)
+    tasks = dealt.join(reps.select("rep", "copies", "embedding"), "rep").select("t", "bucket", "i", "j", "side", "dim", "rep", "copies", "embedding")
     keys = ["t", "bucket", "i", "j", "dim"]
-    found = stored(tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blocks(threshold, tables), "rep long, links long, root long"), "links")
+    found = stored(tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_blocks(threshold, k, tables)), "rep long, links long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     return reps, counts, parts

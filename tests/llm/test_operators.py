@@ -113,6 +113,26 @@ def test_lsh_finds_every_link(spark):
     assert op2_embedding_lsh.miss(*op2_embedding_lsh.plan(10**9)) <= op2_embedding_lsh.MISS
 
 
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs at cosines of 0.95 to 0.96, every 50th vector against all rows by brute force; with small blocks as well."""
+    gen = np.random.default_rng(9)
+    base = gen.standard_normal((4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for i in range(0, 2000, 2):  # a partner at a chosen cosine
+        c = gen.uniform(0.95, 0.96)
+        away = base[i + 1] - (base[i + 1] @ base[i]) * base[i]
+        base[i + 1] = c * base[i] + np.sqrt(1 - c * c) * away / np.linalg.norm(away)
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(base)]
+    exact = np.array([r for _, r in rows], np.float32).astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    want = (exact @ exact.T >= 0.95).sum(axis=1) - 1
+    for block in (2048, 16):
+        monkeypatch.setattr(op2_embedding_lsh, "BLOCK", block)
+        got = by_id(op2_embedding_lsh.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "vec_id")
+        links = np.array([got[i].n_links for i in range(len(rows))])
+        assert (links <= want).all() and links.sum() >= 0.98 * want.sum() and links[::50].sum() >= 0.9 * want[::50].sum()
+
+
 # --- 3 WARC
 
 
