@@ -5,12 +5,13 @@ equal payloads of at least `LEAST` bytes the one with the smallest page_id is a
 payload that name it. An archive is one binary value written by Spark's own committed writer (`name`, `content`, as
 `binaryFile` reads it), so any store works and a lost task leaves nothing half written.
 
-`runs` reads archives back: it parses every record, checks digests, and emits each archive's captures as one run, sorted by URL
-key (host labels reversed), timestamp and page_id. `merge` deals the sorted runs to ranges of that key, cut at quantiles of a
-bounded sample (only balance depends on it; the key ends in page_id, so a URL with very many captures spans ranges), and
-merges the k runs that reach a range with a loser tree. The result is globally ordered: range, then place, with the number
+`runs` reads archives back: it parses every record, checks digests, and writes each archive's captures as one run, sorted by URL
+key (host labels reversed), timestamp and page_id. `merge` cuts that order into ranges of about `RANGE` captures, as many as the
+captures ask for (Spark's range shuffle; the key ends in archive and offset, so a URL with very many captures spans ranges), and
+brings the slices of runs that fall into a range together, each still in its run's order. A loser tree merges them: a task holds
+one range, as Arrow columns, whatever the size of the runs. The result is globally ordered: range, then place, with the number
 of the capture within its URL's history and the previous capture's time: both are first taken within ranges, then each
-range's leading URL is given what the ranges before it hold of it (a few rows per range, summed up on the driver).
+range's leading URL is given what the ranges before it hold of it (a row per range, summed up on the driver).
 
 Which payloads repeat is found from digests alone; the few rows about repeated payloads are joined back, broadcast if at most
 `BROADCAST_ROWS`, else by a shuffled join of the pages.
@@ -24,7 +25,6 @@ others; an empty table gives no archives and an empty result; extra columns are
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import zlib
 from datetime import datetime, timedelta, timezone
@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, tidy
 
-ARCHIVE, LEAST, BROADCAST_ROWS, SAMPLE = 4 << 20, 100, 500_000, 20_000
+ARCHIVE, LEAST, BROADCAST_ROWS, RANGE = 4 << 20, 100, 500_000, 50_000
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 CRLF = b"\r\n"
 
@@ -121,7 +121,7 @@ def write(pages: DataFrame) -> DataFrame:
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)
                 made = z.compress(record(page_id, url, payload, refers_to)) + z.flush()
                 content.append(made)
-                names.update(made[-64:])
+                names.update(made)
                 size += len(made)
                 if size >= ARCHIVE:
                     yield archive()
@@ -129,11 +129,11 @@ def write(pages: DataFrame) -> DataFrame:
         if content:
             yield archive()
 
-    return stored(rows.mapInArrow(run, "name string, content binary"), "archives")
+    return stored(rows.mapInArrow(tidy(run), "name string, content binary"), "archives")
 
 
 CAPTURE = [("url_key", pa.string()), ("time", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
-RUN = "archive string, captures array<struct<url_key:string,time:string,page_id:long,payload_bytes:long,payload_digest:string,record_type:string,refers_to:long,archive:string,offset:long,length:long>>"
+COLUMNS = "url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
 def _page(urn: str) -> int | None:
@@ -161,15 +161,17 @@ def sort_key(c: dict) -> tuple:
 
 
 def runs(archives: DataFrame) -> DataFrame:
-    """One locally sorted run per archive."""
-    kind = pa.list_(pa.struct(CAPTURE))
+    """The captures of each archive as a sorted run, with their step in it."""
+    schema = pa.schema([*CAPTURE, ("step", pa.int64())])
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([captures(name, content.as_py())], kind)], names=["archive", "captures"])
+                found = captures(name, content.as_py())
+                for lo in range(0, len(found), 8192):
+                    yield pa.RecordBatch.from_pylist([c | {"step": lo + i} for i, c in enumerate(found[lo : lo + 8192])], schema=schema)
 
-    return stored(archives.select("name", "content").mapInArrow(run, RUN), "runs")
+    return stored(archives.select("name", "content").mapInArrow(tidy(run), f"{COLUMNS}, step long"), "runs")
 
 
 class LoserTree:
@@ -216,63 +218,46 @@ class LoserTree:
             self.tree[0] = winner
 
 
-def cuts(sorted_runs: DataFrame, ranges: int) -> list[tuple]:
-    """Keys that split all captures about evenly: quantiles of at most about SAMPLE of them."""
-    # each run gives evenly spaced keys, so the sample follows the sizes of runs
-    total = sorted_runs.agg(F.sum(F.size("captures"))).first()[0] or 0
-    step = max(1, total // SAMPLE)
-    keys = sorted_runs.select(F.explode(F.filter("captures", lambda c, i: F.pmod(F.xxhash64(c["page_id"], c["archive"], c["offset"]), F.lit(step)) == 0)).alias("c"))
-    sample = sorted((r.k.encode("utf-8", "surrogatepass"), r.t, -1 if r.p is None else r.p) for r in keys.select(F.col("c.url_key").alias("k"), F.col("c.time").alias("t"), F.col("c.page_id").alias("p")).collect())
-    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-
-
 def merge(sorted_runs: DataFrame, ranges: int) -> DataFrame:
     """Sorted runs -> capture histories in global order of (range, place)."""
     spark = sorted_runs.sparkSession
-    bounds = spark.sparkContext.broadcast(cuts(sorted_runs, ranges))
-    kind = pa.list_(pa.struct(CAPTURE))
-
-    def deal(batches):
-        """Slices of runs, still sorted, by range."""
-        for b in batches:
-            to, name, slices = [], [], []
-            for run, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, keys = 0, [sort_key(c)[:3] for c in items]
-                while at < len(items):
-                    r = bisect.bisect_right(bounds.value, keys[at])
-                    end = bisect.bisect_left(keys, bounds.value[r], at) if r < len(bounds.value) else len(items)
-                    to.append(r)
-                    name.append(run)
-                    slices.append(items[at:end])
-                    at = end
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(name, pa.string()), pa.array(slices, kind)], names=["range", "run", "captures"])
-
     out_schema = pa.schema([("range", pa.int32()), ("place", pa.int64()), *CAPTURE, ("number", pa.int64()), ("previous_time", pa.string())])
 
-    def history(r: int, slices: list):
-        rows, last, number = [], None, 0
-        for place, c in enumerate(LoserTree(slices, sort_key)):
-            same = last is not None and last["url_key"] == c["url_key"]
-            number = number + 1 if same else 1
-            rows.append({"range": r, "place": place, **c, "number": number, "previous_time": last["time"] if same else None})
-            last = c
-            if len(rows) == 8192:
-                yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-                rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-
     def join(batches):
-        """One range at a time: its slices stand together."""
-        here, slices = None, []
-        for b in batches:
-            for r, items in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if r != here and slices:
-                    yield from history(here, slices)
-                    slices = []
-                here = r
-                slices.append(items)
-        if slices:
-            yield from history(here, slices)
+        """The slices of runs in one range, one after the other -> the range in order."""
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        run, step = t["archive"].to_pylist(), t["step"].to_pylist()
+        url, time, page = (t[c].to_pylist() for c in ("url_key", "time", "page_id"))
+        offset = t["offset"].to_pylist()
+        key = lambda i: (url[i].encode("utf-8", "surrogatepass"), time[i], -1 if page[i] is None else page[i], run[i], offset[i])
+        edges = [0, *(i for i in range(1, len(run)) if run[i] != run[i - 1]), len(run)]
+        if any(step[i] < step[i - 1] for lo, hi in zip(edges, edges[1:]) for i in range(lo + 1, hi)):
+            raise ValueError("a run is not in order")
+        order, last, number, place, numbers, before = [], None, 0, 0, [], []
+
+        def batch() -> pa.RecordBatch:
+            rows = t.take(pa.array(order)).select([c for c, _ in CAPTURE]).combine_chunks()
+            n = len(order)
+            own = [pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(range(place - n, place), pa.int64()), *(c.combine_chunks() for c in rows.columns), pa.array(numbers, pa.int64()), pa.array(before, pa.string())]
+            return pa.RecordBatch.from_arrays(own, schema=out_schema)
+
+        for i in LoserTree([range(lo, hi) for lo, hi in zip(edges, edges[1:])], key):
+            same = last is not None and url[last] == url[i]
+            number = number + 1 if same else 1
+            order.append(i)
+            numbers.append(number)
+            before.append(time[last] if same else None)
+            last, place = i, place + 1
+            if len(order) == 8192:
+                yield batch()
+                order, numbers, before = [], [], []
+        if order:
+            yield batch()
 
     def ends(batches):
         """The first and last capture of each range in a task: a range that was written in pieces has several rows."""
@@ -289,8 +274,8 @@ def merge(sorted_runs: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(end_schema.names, here))], schema=end_schema)
 
     end_schema = pa.schema([("range", pa.int32()), ("first_place", pa.int64()), ("first_key", pa.string()), ("place", pa.int64()), ("url_key", pa.string()), ("number", pa.int64()), ("time", pa.string())])
-    dealt = sorted_runs.mapInArrow(deal, "range int, run string, captures " + RUN.partition("captures ")[2])
-    merged = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(join, "range int, place long, url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, number long, previous_time string")
+    dealt = sorted_runs.repartitionByRange(ranges, "url_key", "time", F.coalesce("page_id", F.lit(-1)), "archive", "offset").sortWithinPartitions("archive", "step")
+    merged = dealt.mapInArrow(tidy(join), f"range int, place long, {COLUMNS}, number long, previous_time string")
     merged = stored(merged, "merged")
     found = merged.select("range", "place", "url_key", "number", "time").mapInArrow(ends, "range int, first_place long, first_key string, place long, url_key string, number long, time string")
     before = spark.createDataFrame(carried([tuple(r) for r in found.collect()]), "range int, carried_key string, carried long, carried_time string")
@@ -317,8 +302,8 @@ def carried(ends: list[tuple]) -> list[tuple]:
 
 def capture_histories(pages: DataFrame) -> DataFrame:
     """Archives written, read back, and their indexes merged: one row per page."""
-    ranges = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return merge(runs(write(pages)), ranges)
+    sorted_runs = runs(write(pages))
+    return merge(sorted_runs, max(1, -(-sorted_runs.count() // RANGE)))
 
 
 SQL = """
