@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +16,26 @@ def prefix_budget(rows: DataFrame, cost: str, budget: int, by: list, partition:
 
 
 def skipping_budget(rows: DataFrame, cost: str, budget: int, by: list[str], key: str, partition: str) -> DataFrame:
-    """A row that does not fit is left out, later smaller ones may fit: a fold over each partition's sorted rows."""
-    listed = rows.groupBy(partition).agg(F.array_sort(F.collect_list(F.struct(*by, F.col(key).alias("key"), F.col(cost).cast("long").alias("cost")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(s, x):
-        fits = s["spent"] + x["cost"] <= budget
-        return F.struct((s["spent"] + F.when(fits, x["cost"]).otherwise(0)).alias("spent"), F.when(fits, F.array_append(s["taken"], x["key"].cast("long"))).otherwise(s["taken"]).alias("taken"))
-
-    return listed.select(partition, F.aggregate("items", start, step).alias("s")).select(partition, F.col("s.spent").alias("spent"), F.explode("s.taken").alias(key))
+    """A row that does not fit is left out, later smaller ones may fit. Rows that never fit go first; the others pass in order, and of each partition only what is spent is held."""
+    kinds = dict(rows.dtypes)
+    ordered = rows.where(F.col(cost) <= budget).select(partition, *[b for b in by if b not in (partition, key)], F.col(key).cast("long").alias(key), F.col(cost).cast("long").alias("__cost"))
+    ordered = ordered.repartition(partition).sortWithinPartitions(partition, *by, key, "__cost")
+
+    def admit(batches):
+        here, spent = None, 0
+        for b in batches:
+            names, keys, kept, costs = b.column(partition).to_pylist(), b.column(key).to_pylist(), [], []
+            for i, (name, c) in enumerate(zip(names, b.column("__cost").to_pylist())):
+                if name != here:
+                    here, spent = name, 0
+                if spent + c <= budget:
+                    spent += c
+                    kept.append(i)
+                    costs.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in kept], b.column(partition).type), pa.array([keys[i] for i in kept], pa.int64()), pa.array(costs, pa.int64())], names=[partition, key, "cost"])
+
+    taken = ordered.mapInArrow(admit, f"{partition} {kinds[partition]}, {key} long, cost long")
+    return taken.join(taken.groupBy(partition).agg(F.sum("cost").alias("spent")), partition).select(partition, "spent", key)
 
 
 def capped(rows: DataFrame, count: str, per_row: int, total: int, by: list) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text
+from tessera.operators.storage import kept
 
 SPREAD, DEFINERS, FAN_OUT = 3, 4, 24
 #: Kinds that never lead from one file to another by value.
@@ -87,14 +88,12 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return chunks.select("file_id", "repo", "path", F.explode(text.identifiers(F.col("raw_text"))).alias("name")).distinct()
 
 
-def inland(seen: DataFrame, symbols: DataFrame, mentioned: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
+def inland(seen: DataFrame, defined: DataFrame, said: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     """G01, one hop inside a repository: files that define a name which a file mentions, or mention one that it defines; the first by path.
 
-    `seen(file_id, repo)` is where to start; new files come with the file they were reached from.
+    `seen(file_id, repo)` is where to start; new files come with the file they were reached from. `defined` and `said` (repo, name,
+    file_id, path) hold only names that few files define.
     """
-    few = few_definers(symbols).select("name")
-    defined = symbols.join(few, "name", "left_semi").select("repo", "name", "file_id", "path").distinct()
-    said = mentioned.join(few, "name", "left_semi").select("repo", "name", "file_id", "path")
     start = seen.select("repo", F.col("file_id").alias("from_id"))
     out_ = said.withColumnRenamed("file_id", "from_id").drop("path").join(start, ["repo", "from_id"]).join(defined, ["repo", "name"])
     in_ = defined.withColumnRenamed("file_id", "from_id").drop("path").join(start, ["repo", "from_id"]).join(said, ["repo", "name"])
@@ -104,11 +103,15 @@ def inland(seen: DataFrame, symbols: DataFrame, mentioned: DataFrame, fan_out: i
 
 
 def reach(start: DataFrame, symbols: DataFrame, mentioned: DataFrame, edges: DataFrame) -> DataFrame:
-    """One hop inland, over shared tokens (`edges(from_id, file_id, repo, path)`), one hop inland again; the first discovery counts. Three joins, each against what is seen."""
+    """One hop inland, over shared tokens (`edges(from_id, file_id, repo, path)`), one hop inland again; the first discovery counts. Three joins, each against what is seen; symbols and mentions are read once, and what is seen is kept after each hop."""
+    few = kept(few_definers(symbols).select("name"))
+    symbols = kept(symbols.join(few, "name", "left_semi").select("repo", "name", "file_id", "path").distinct())
+    mentioned = kept(mentioned.join(few, "name", "left_semi").select("repo", "name", "file_id", "path"))
     seen = start.select("file_id", "repo", F.lit(0).alias("hop"), F.lit(None).cast("long").alias("from_id"))
     for hop, step in ((1, lambda s: inland(s, symbols, mentioned)), (2, lambda s: edges.join(s.select(F.col("file_id").alias("from_id")), "from_id").select("from_id", "repo", "file_id", "path")), (3, lambda s: inland(s, symbols, mentioned))):
         new = step(seen).join(seen.select("file_id"), "file_id", "left_anti").groupBy("file_id").agg(F.min_by("repo", "from_id").alias("repo"), F.min("from_id").alias("from_id"))
         seen = seen.unionByName(new.select("file_id", "repo", F.lit(hop).alias("hop"), "from_id"))
+        seen = kept(seen) if hop < 3 else seen
     return seen
 
 

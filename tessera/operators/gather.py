@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import paths, text
 from tessera.operators import edges
+from tessera.operators.storage import kept
 
 
 def _admit(rows: DataFrame, taken: DataFrame, limit: int, by: list, first_stops: bool = True) -> DataFrame:
@@ -41,11 +42,11 @@ def gather(hits: DataFrame, chunks: DataFrame, symbols: DataFrame, crossings: Da
     by = ["from_place", "test", "repo", "path", "chunk_id", "reason"]
     last = taken
     for hop in range(1, hops + 1):
-        last = _admit(references(last, hop), taken, budget, by).checkpoint()
-        taken = taken.unionByName(last).checkpoint()
+        last = kept(_admit(references(last, hop), taken, budget, by))
+        taken = kept(taken.unionByName(last))
     first = taken.groupBy("file_id").agg(F.min("place").alias("from_place"))
     over = crossings.join(first.withColumnRenamed("file_id", "from_id"), "from_id").select("from_place", "file_id").join(body, "file_id")
     over = over.select("chunk_id", "file_id", "repo", "path", F.lit(hops + 1).alias("hop"), F.lit("shares a token").alias("reason"), "cost", "from_place", paths.is_test(F.col("path")).alias("test"))
-    last = _admit(over, taken, budget + budget // 6, by).checkpoint()
-    taken = taken.unionByName(last).checkpoint()
+    last = kept(_admit(over, taken, budget + budget // 6, by))
+    taken = kept(taken.unionByName(last))
     return taken.unionByName(_admit(references(last, hops + 2), taken, budget + budget // 6, by))

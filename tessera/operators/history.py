@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text
 from tessera.operators.lanes import bm25, counted
+from tessera.operators.storage import kept
 
 DEFAULT_DAYS, MOST_DAYS, ROWS = 14, 365, 40
 
@@ -64,8 +65,8 @@ def ancestry(parents: DataFrame, tips: DataFrame, depth: int = 500) -> DataFrame
     seen = tips.select(F.col("sha").alias("tip"), "sha", F.lit(0).alias("distance"))
     front = seen
     for i in range(1, depth + 1):
-        front = front.select("tip", "sha").join(parents, "sha").select("tip", F.col("parent").alias("sha")).distinct().join(seen.select("tip", "sha"), ["tip", "sha"], "left_anti").withColumn("distance", F.lit(i)).checkpoint()
+        front = kept(front.select("tip", "sha").join(parents, "sha").select("tip", F.col("parent").alias("sha")).distinct().join(seen.select("tip", "sha"), ["tip", "sha"], "left_anti").withColumn("distance", F.lit(i)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
+        seen = kept(seen.unionByName(front))
     return seen

@@ -31,44 +31,49 @@ def library_closure(uses: DataFrame, repos: DataFrame) -> DataFrame:
         SELECT project, library, min(depth) AS depth FROM hop GROUP BY project, library""")
 
 
-MODULE = "repo string, module string, chunks long, files long, oversized boolean, path string"
-
-
 def cluster(files: DataFrame, least: int = 8, most: int = 150) -> DataFrame:
     """`(repo, path, unit, chunks)` -> one row per file with its module.
 
     Files of a declared unit are its module. The other directories fold bottom-up, deepest first (ties: names from the end): a
     directory with enough chunks, or the top, is a module, a smaller one is carried to its parent; one that grows over the
-    maximum hands out what it carries first. Only directories are folded in Python, per repository.
+    maximum hands out what it carries first. Files are summed up by directory before, and joined back after; only the
+    directories of a repository, with two numbers each, are folded in Python.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(pdf.repo.iat[0], u, int(g.chunks.sum()), g) for u, g in pdf[pdf.unit.notna()].groupby("unit")]
-        rest = pdf[pdf.unit.isna()]
-        folder = rest.path.map(lambda p: p.rpartition("/")[0] or ".")
-        own: dict[str, list] = {d: [int(g.chunks.sum()), [g], []] for d, g in rest.groupby(folder)}  # chunks, rows, carried
-        depth = lambda d: 0 if d == "." else d.count("/") + 1
-        todo = set(own)
-        while todo:
-            d = max(todo, key=lambda x: (depth(x), x))
-            todo.discard(d)
-            n, rows, carried = own[d]
-            size = n + sum(c[0] for c in carried)
-            if size > most and carried:
-                out += [(pdf.repo.iat[0], name, c, pd.concat(r)) for c, name, r in carried]
-                carried, size = [], n
-            every = rows + [r for _, _, x in carried for r in x]
-            if not every:
-                continue
-            if size >= least or d == ".":
-                out.append((pdf.repo.iat[0], d, size, pd.concat(every)))
-            else:
-                parent = d.rpartition("/")[0] or "."
-                own.setdefault(parent, [0, [], []])[2].append((size, d, every))
-                todo.add(parent)
-        return pd.DataFrame([(repo, name, n, len(g), n > most, p) for repo, name, n, g in out for p in g.path], columns=["repo", "module", "chunks", "files", "oversized", "path"])
-
-    return files.groupBy("repo").applyInPandas(fold, MODULE)
+        levels: dict[int, dict[str, list]] = {}  # by depth: directory -> its chunks, itself if it has files, what it carries
+
+        def at(d: str) -> list:
+            return levels.setdefault(0 if d == "." else d.count("/") + 1, {}).setdefault(d, [0, [], []])
+
+        for d, n in zip(pdf.folder, pdf.chunks):
+            at(d)[:2] = int(n), [d]
+        out: list[tuple[str, int, list[str]]] = []
+        for depth in range(max(levels, default=0), -1, -1):
+            for d in sorted(levels.get(depth, {}), reverse=True):
+                n, own, carried = levels[depth][d]
+                size = n + sum(c for c, _, _ in carried)
+                if size > most and carried:
+                    out += [(name, c, ds) for c, name, ds in carried]
+                    carried, size = [], n
+                every = own + [x for _, _, ds in carried for x in ds]
+                if every and (size >= least or d == "."):
+                    out.append((d, size, every))
+                elif every:
+                    at(d.rpartition("/")[0] or ".")[2].append((size, d, every))
+        rows = [(pdf.repo.iat[0], d, name, n) for name, n, ds in out for d in ds]
+        return pd.DataFrame(rows, columns=["repo", "folder", "module", "chunks"])
+
+    folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
+    placed = files.select("repo", "path", "unit", "chunks", F.when(folder == "", ".").otherwise(folder).alias("folder"))
+    rest = placed.where("unit IS NULL")
+    sums = rest.groupBy("repo", "folder").agg(F.sum("chunks").alias("chunks"))
+    folded = sums.groupBy("repo").applyInPandas(fold, "repo string, folder string, module string, chunks long")
+    named = rest.select("repo", "path", "folder").join(folded, ["repo", "folder"]).select("repo", "path", "module", "chunks", F.lit(False).alias("declared"))
+    units = placed.where("unit IS NOT NULL")
+    named = named.union(units.join(units.groupBy("repo", "unit").agg(F.sum("chunks").alias("n")), ["repo", "unit"]).select("repo", "path", F.col("unit").alias("module"), F.col("n").cast("long"), F.lit(True)))
+    files_of = named.groupBy("repo", "module", "declared").agg(F.count("*").alias("files"))
+    return named.join(files_of, ["repo", "module", "declared"]).select("repo", "module", "chunks", "files", (F.col("chunks") > most).alias("oversized"), "path")
 
 
 def breadth_first(nodes: list, flows: list) -> list[tuple[str, bool]]:
