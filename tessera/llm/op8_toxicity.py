@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their first 4 and 5 letters (marked), so inflected and compounded forms meet. `fit` takes the
-`MOST_EXAMPLES` labelled documents of least hash (a documented bound; fewer labels are all taken). Every term of their whole
+Terms are lower-cased words and their first 4 letters (marked), so inflected and compounded forms meet. `fit` takes the
+`MOST_EXAMPLES` labelled documents of least hash (a documented bound, as a text is compared with all of them; fewer labels are all taken). Every term of their whole
 texts is in the index and none is dropped. A term weighs (1 + log count) x idf x relevance: document frequencies are counted
 over all documents, and the relevance runs from `LEAST_RELEVANCE`, for terms that stand as often in either kind of example, to
 1, for terms whose presence depends on the label (the square of chi-square / `CHI_SQUARE`, 1 at most). Without it neighbours
@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, stored, tidy
 
-MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 2_000, 50.0, 0.05, 0.5
+MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 1_500, 50.0, 0.05, 0.5
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 4, 0.5, 0.3
-PREFIXES = (4, 5)
+PREFIXES = (4,)
 WORD = re.compile(r"[^\W_]+")
 #: texts that are compared with the examples together
 QUERIES = 256
@@ -75,7 +75,7 @@ class Reader:
 
     def __init__(self, names: np.ndarray):
         self.names = memoryview(names).cast("B").cast("Q") if len(names) else []
-        self.memo = Memo(self._known, 200_000)
+        self.memo = Memo(self._known, 120_000)
 
     def _known(self, chunk: str) -> tuple[int, ...]:
         out, names = [], self.names

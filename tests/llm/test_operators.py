@@ -436,7 +436,7 @@ def plain_toxicity(texts, y):
     def terms(text):
         out = {}
         for w in re.findall(r"[^\W_]+", (text or "").lower()):
-            for t in [w, *(w[:k] + "^" for k in (4, 5) if len(w) > k)]:
+            for t in [w, *(w[:k] + "^" for k in op.PREFIXES if len(w) > k)]:
                 out[t] = out.get(t, 0) + 1
         return out
 
