@@ -258,13 +258,12 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     ours = rows.join(shared, "word")
     doc = Window.partitionBy("doc_id")
     placed = ours.withColumn("place", F.col("n") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("docs", "word")) - 1)
-    prefix = placed.where(f"place < n - ceil({SIMILARITY} * n - 1e-9) + 1 AND lo < hi").select("doc_id", "component", "n", "place", "word")
+    prefix = placed.where(f"place < n - ceil({SIMILARITY} * n - 1e-9) + 1 AND lo < hi").select("doc_id", "component", "n", "place", "word", "docs")
     prefix = stored(prefix, "prefixes")
-    sizes = prefix.groupBy("word").agg(F.count("*").alias("docs")).where("docs > 1")
-    hot = sizes.where(f"docs > {HOT}").checkpoint()
-    few = prefix.join(sizes.where(f"docs <= {HOT}").select("word"), "word", "left_semi")
+    few, hot = prefix.where(f"docs <= {HOT}").drop("docs"), prefix.where(f"docs > {HOT}").drop("docs")
+    sizes = hot.groupBy("word").agg(F.count("*").alias("docs")).where("docs > 1")
     pairs = few.alias("x").join(few.alias("y"), "word").where("x.doc_id < y.doc_id AND x.component <> y.component").where(FITS.format(x="x.", y="y.")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    blocks = block_pairs(prefix.join(hot, "word"), "doc_id", "docs", BLOCK).select("word", "i", "j", "side", "doc_id", "component", "n", "place")
+    blocks = block_pairs(hot.join(sizes, "word"), "doc_id", "docs", BLOCK).select("word", "i", "j", "side", "doc_id", "component", "n", "place")
     return pairs.union(blocks.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(tidy(_hot_pairs), "a long, b long")).distinct()
 
 
