@@ -230,23 +230,35 @@ _READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_by
 
 
 def _read_back(batches):
+    """Files are parsed and decoded some FRAMES frames at a time, and their rows handed on."""
     for b in batches:
-        ids, rows = b.column(0).to_pylist(), []
-        media = b.column(1)
-        images = None
-        files = [read_avi(m.as_py()) for m in media]
-        for lo, hi in _groups([len(f) for f in files]):
-            images = [x for f in files[lo:hi] for x in f]
-            frames = np.concatenate([decode_frames(images[i : i + FRAMES]) for i in range(0, len(images), FRAMES)])
-            at = 0
-            for i in range(lo, hi):
-                own = frames[at : at + len(files[i])]
-                at += len(own)
-                payload, raw = own.tobytes(), media[i].as_py()
-                clips = [{"start_ms": a * 1000 // FPS, "end_ms": z * 1000 // FPS, "first_frame": a, "frames": z - a, "difference": d} for a, z, d in shots(own)]
-                feature = f"{len(own)} frames, {len(clips)} shots: " + ",".join(f"{c['start_ms']}-{c['end_ms']}" for c in clips)
-                rows.append({"doc_id": ids[i], "n_bytes": len(payload.rstrip(b"\xff")), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest(), "feature": feature, "clips": clips})
-        yield pa.RecordBatch.from_pylist(rows, schema=_READ)
+        ids, media = b.column(0).to_pylist(), b.column(1)
+        group: list[tuple[int, bytes, list]] = []
+        frames = 0
+        for i, m in zip(ids, media):
+            raw = m.as_py()
+            images = read_avi(raw)
+            if group and frames + len(images) > FRAMES:
+                yield _rows(group)
+                group, frames = [], 0
+            group.append((i, raw, images))
+            frames += len(images)
+        if group:
+            yield _rows(group)
+
+
+def _rows(group: list[tuple[int, bytes, list]]) -> pa.RecordBatch:
+    images = [x for _, _, f in group for x in f]
+    frames = np.concatenate([decode_frames(images[i : i + FRAMES]) for i in range(0, len(images), FRAMES)])
+    rows, at = [], 0
+    for doc_id, raw, own_images in group:
+        own = frames[at : at + len(own_images)]
+        at += len(own)
+        payload = own.tobytes()
+        clips = [{"start_ms": a * 1000 // FPS, "end_ms": z * 1000 // FPS, "first_frame": a, "frames": z - a, "difference": d} for a, z, d in shots(own)]
+        feature = f"{len(own)} frames, {len(clips)} shots: " + ",".join(f"{c['start_ms']}-{c['end_ms']}" for c in clips)
+        rows.append({"doc_id": doc_id, "n_bytes": len(payload.rstrip(b"\xff")), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest(), "feature": feature, "clips": clips})
+    return pa.RecordBatch.from_pylist(rows, schema=_READ)
 
 
 def media(docs: DataFrame) -> DataFrame:

@@ -266,6 +266,34 @@ def test_avi_is_lossless(spark):
     assert op6_avi.clips(op6_avi.media(df.limit(0))).count() == 0
 
 
+def plain_shots(frames):
+    """Shots by going from frame to frame."""
+    hist = [[sum(1 for x in f if x // 16 == b) for b in range(16)] for f in frames.tolist()]
+    diff = [sum(abs(a - b) for a, b in zip(p, q)) / (2 * 576) for p, q in zip(hist, hist[1:])]
+    cuts = [0]
+    for i, d in enumerate(diff):
+        before = diff[max(0, i - op6_avi.WINDOW) : i]
+        mean = sum(before) / len(before) if before else 0.0
+        spread = (sum((x - mean) ** 2 for x in before) / len(before)) ** 0.5 if before else 0.0
+        if d > op6_avi.LEAST_CUT and d > mean + op6_avi.DEVIATIONS * spread:
+            cuts.append(i + 1)
+    return list(zip(cuts, [*cuts[1:], len(frames)]))
+
+
+def test_shots_equal_a_plain_version(spark):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice((prose(rng, 60), "0123456789" * 80, "\x01" * 700, "é" * 400, "Z" * 900)) for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["", "abc"]
+    got = by_id(op6_avi.clips(op6_avi.media(docs(spark, texts))))
+    several = 0
+    for i, t in enumerate(texts):
+        frames = np.frombuffer(op6_avi.padded(t), np.uint8).reshape(-1, 576)
+        want = plain_shots(frames)
+        several += len(want) > 1
+        assert [(c.first_frame, c.first_frame + c.frames) for c in got[i].clips] == want
+        assert got[i].feature == f"{len(frames)} frames, {len(want)} shots: " + ",".join(f"{a * 40}-{b * 40}" for a, b in want)
+    assert several > 20
+
+
 # --- 7 near copies
 
 
