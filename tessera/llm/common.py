@@ -117,7 +117,7 @@ def groups_of(batches, keys: list[str]):
         yield held
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """`edges(a, b)` of longs -> `(node, component)`, the component being its smallest node.
 
     Alternating large-star and small-star steps. Every step is a grouped minimum (combined before the shuffle)
@@ -128,7 +128,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared_dir(spark)
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     mark = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of a node is hung on the smallest of its neighbourhood
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -139,8 +139,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         cur, before, mark = small, mark, small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -477,16 +477,17 @@ READ = "conv_id long, turn long, role string, text string, n long, turns string,
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Turns and learned text of each piece, from its formatted text and spans alone."""
+    """Turns and learned text of each piece, from its formatted text and spans alone. To be shuffled once only, they are null where they say what role and text do."""
 
     def run(batches):
         for b in batches:
             n, turns, learned, chars = [], [], [], []
-            for text, spans in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+            for role, body, text, spans in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
                 found = read_turns(text)
                 n.append(len(found))
-                turns.append("".join(f"{r}\n{t}\n" for r, t in found))
-                learned.append("".join(unescape(text[s["start"] : s["end"]]) for s in spans))
+                turns.append(None if found == [(role, body)] else "".join(f"{r}\n{t}\n" for r, t in found))
+                said = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
+                learned.append(None if said == body else said)
                 chars.append(len(text))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(learned, pa.string()), pa.array(chars, pa.int64())], names=["conv_id", "turn", "role", "text", "n", "turns", "loss_text", "chars"])
 
@@ -514,7 +515,8 @@ def conversations(turns: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for conv, role, n, text, learned, chars in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5, 6, 7))):
+            for conv, role, body, n, text, learned, chars in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7))):
+                text, learned = f"{role}\n{body}\n" if text is None else text, body if learned is None else learned
                 if state is None or conv != here:
                     close()
                     here, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]

@@ -10,7 +10,7 @@ rule wins (then the greater text). A url that none fits is judged by the method'
 matches), else allowed.
 
 The verdict depends on the url alone, so distinct urls are judged once and joined back; only urls, never pages, are
-shuffled, and rules (at most `MOST_RULES`, checked) are the only broadcast.
+shuffled, and rules are broadcast if there are at most `BROADCAST_RULES`, else joined by a shuffle.
 
 Nulls and edge cases: a null url or one without `://` has an empty host and path, no rule and is judged by the patterns
 (a null by none: allowed); repeated rows each get their verdict; a null page_id passes; an empty table gives an
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 50_000
+BROADCAST_RULES = 50_000
 TOKEN = "[a-z0-9]+"
 
 
@@ -77,14 +77,17 @@ def tokens(url: Column) -> Column:
     return F.array_append(F.array_distinct(F.regexp_extract_all(lower, F.lit(f"({TOKEN})"), F.lit(1))), F.lit(""))
 
 
+def _few(table: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Marked for broadcast if there are at most BROADCAST_RULES; more are joined by a shuffle."""
+    return F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
+
+
 def index(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """One row per rule with `token`, the rarest of its own among `urls(url, tokens)`; empty if it has none."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} may be broadcast")
     spark = urls.sparkSession
     table = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.over, list(r.tokens), r.weight) for i, r in enumerate(rules)], "rule_id int, name string, verdict string, pattern string, over string, tokens array<string>, weight int")
     own = table.select("rule_id", F.explode("tokens").alias("token"))
-    seen = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(own.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
+    seen = urls.select(F.explode("tokens").alias("token")).join(_few(own.select("token").distinct(), rules), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = own.join(seen, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     return table.drop("tokens").join(rarest, "rule_id", "left").withColumn("token", F.coalesce("token", F.lit("")))
 
@@ -94,7 +97,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rul
     host, path = parts(F.col("url"))
     urls = pages.select("url").where("url is not null").groupBy("url").agg(F.lit(1).alias("one")).select("url", F.concat(host, path).alias("key"), tokens(F.col("url")).alias("tokens"))
     filed = index(urls, (*rules, *patterns))
-    candidates = urls.select("url", "key", F.explode("tokens").alias("token")).join(F.broadcast(filed), "token")
+    candidates = urls.select("url", "key", F.explode("tokens").alias("token")).join(_few(filed, (*rules, *patterns)), "token")
     hits = candidates.where("CASE WHEN over = 'key' THEN key RLIKE pattern ELSE url RLIKE pattern END")
     ruled = F.col("over") == "key"
     best = hits.groupBy("url").agg(
