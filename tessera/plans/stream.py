@@ -14,7 +14,10 @@ from tessera.streaming import feed
 
 def _scratch(spark) -> str:
     """A new folder in the one that driver and executors share, or a temporary one where none is named (tests)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{shared.rstrip('/')}/feed-{uuid.uuid4().hex}"
 
 
@@ -24,14 +27,14 @@ def _feed(c: Corpus):
 
 
 def q04_incremental(spark, sf_dir):
-    """Three landed files of changes, in their order, applied as they come."""
+    """Three landings of changes, in their order, applied as they come."""
     folder, rows = _scratch(spark), _feed(Corpus(spark, sf_dir))
     third = rows.agg(F.max("seq")).first()[0] / 3
     store = feed.Store(spark, f"{folder}/store")
     for i in range(3):
-        rows.where((F.col("seq") > i * third - (i == 0)) & (F.col("seq") <= (i + 1) * third)).coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+        rows.where((F.col("seq") > i * third - (i == 0)) & (F.col("seq") <= (i + 1) * third)).write.mode("append").parquet(f"{folder}/landed")
         feed.run(spark, f"{folder}/landed", store, f"{folder}/offsets")
-    return _out(store.read("files", feed.FILES), "repo", "path", "sha", "size", "skip_reason")
+    return _out(store.files(), "repo", "path", "sha", "size", "skip_reason")
 
 
 def q10_sessions(spark, sf_dir):

@@ -1,8 +1,8 @@
 """Incremental indexing as a file stream (Q01-Q07): a landed change feed, applied per batch, with its offsets.
 
 The feed holds rows `(repo, sha, path, op, body)`; `op` is put or delete. A batch is applied idempotently: the files it
-touches are cleared and written anew, then the offset of each repository is written, so a replay after a failure between the
-two gives the same tables. A repository whose rows are unsound is recorded as failed and leaves the others alone.
+touches are cleared and written anew, in the buckets of its repositories only, then the offset of each repository is written, so
+a replay after a failure between the two gives the same tables. A repository whose rows are unsound is recorded as failed and leaves the others alone.
 """
 
 from __future__ import annotations
@@ -20,31 +20,55 @@ FILES = "repo string, path string, sha string, size long, skip_reason string"
 STATE = "repo string, last_sha string, last_seq long, error string"
 
 
+BUCKETS = 64
+
+
+def bucket_of(repo):
+    return F.pmod(F.xxhash64(repo), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Store:
-    """Versioned tables in a folder: `files/v=N`, `state/v=N`; a version is complete when the marker names it."""
+    """Tables in a folder: `files/v=N/bucket=B` holds the repositories of a bucket, `state/v=N` the offsets of all.
+
+    A version holds only the buckets that changed. `current` is a log with a line per version, written last: the version, and for each
+    bucket of it whether it holds rows; the newest line that names a bucket tells where it is. What no line names does not count.
+    """
 
     spark: SparkSession
     root: str
 
-    def version(self) -> int:
-        try:
-            return self.spark.read.text(f"{self.root}/current").agg(F.max(F.col("value").cast("int"))).first()[0] or 0
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-
-    def read(self, table: str, schema: str) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v={v}") if v else self.spark.createDataFrame([], schema)
-
-    def write(self, files: DataFrame, state: DataFrame) -> None:
-        """Data first, then offsets, then the marker."""
-        v = self.version() + 1
-        files.write.mode("overwrite").parquet(f"{self.root}/files/v={v}")
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def log(self) -> list[tuple[int, dict[int, bool]]]:
+        """(version, its buckets and whether they hold rows), oldest first."""
+        if not self._exists(f"{self.root}/current"):
+            return []
+        lines = [r.value.split(" ") for r in self.spark.read.text(f"{self.root}/current").collect()]
+        return sorted((int(v), {int(x.rstrip("-")): not x.endswith("-") for x in rest}) for v, *rest in lines)
+
+    def files(self, buckets: set[int] | None = None) -> DataFrame:
+        """The files of some buckets, or of all."""
+        where: dict[int, int | None] = {}
+        for v, held in self.log():
+            where |= {b: v if full else None for b, full in held.items()}
+        paths_ = [f"{self.root}/files/v={v}/bucket={b}" for b, v in sorted(where.items()) if v is not None and (buckets is None or b in buckets)]
+        return self.spark.read.schema(FILES).parquet(*paths_) if paths_ else self.spark.createDataFrame([], FILES)
+
+    def state(self) -> DataFrame:
+        log = self.log()
+        return self.spark.read.schema(STATE).parquet(f"{self.root}/state/v={log[-1][0]}") if log else self.spark.createDataFrame([], STATE)
+
+    def write(self, files: DataFrame, state: DataFrame, buckets: set[int]) -> None:
+        """Data first, then offsets, then the line in the log. `files`: all rows of the given buckets."""
+        log = self.log()
+        v = log[-1][0] + 1 if log else 1
+        files.withColumn("bucket", bucket_of("repo")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/files/v={v}")
         state.write.mode("overwrite").parquet(f"{self.root}/state/v={v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/current")
+        said = [f"{b}" if self._exists(f"{self.root}/files/v={v}/bucket={b}") else f"{b}-" for b in sorted(buckets)]
+        self.spark.createDataFrame([(" ".join([str(v), *said]),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/current")
 
 
 def last_changes(batch: DataFrame) -> DataFrame:
@@ -67,14 +91,22 @@ def apply(files: DataFrame, state: DataFrame, batch: DataFrame) -> tuple[DataFra
     return after, state.join(touched.select("repo"), "repo", "left_anti").unionByName(touched)
 
 
-def run(spark: SparkSession, feed_dir: str, store: Store, checkpoint: str) -> None:
-    """Everything that has landed, batch by batch, then stop (`availableNow`); a long-running service sets a processing time instead."""
+def run(spark: SparkSession, feed_dir: str, store: Store, checkpoint: str, files_per_batch: int | None = None) -> None:
+    """Everything that has landed, batch by batch, then stop (`availableNow`); a long-running service sets a processing time instead.
 
-    def step(batch: DataFrame, _: int) -> None:
-        store.write(*apply(store.read("files", FILES), store.read("state", STATE), batch))
+    Changes of a batch take effect in the order of `seq`, in whatever files they stand; files of later batches must hold later changes.
+    """
 
-    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(feed_dir)
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def step(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        buckets = {r[0] for r in batch.select(bucket_of("repo")).distinct().collect()}
+        files, state = apply(store.files(buckets), store.state(), batch)
+        store.write(files, state, buckets)
+        batch.unpersist()
+
+    stream = spark.readStream.schema(FEED)
+    stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream
+    stream.parquet(feed_dir).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def request_reindex(requests: DataFrame, repo: str) -> DataFrame:
