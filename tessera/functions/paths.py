@@ -120,6 +120,11 @@ def is_manifest(path: Column) -> Column:
     return name.isin(*MANIFESTS) | like(name, r"(?i)^(?:tsconfig|appsettings\.).*\.json$|\.bpmn20\.xml$|\.bpmn\.xml$")
 
 
+def is_script(path: Column) -> Column:
+    """Ts, tsx, js, jsx and mts files."""
+    return like(path, r"\.(?:tsx?|jsx?|mts)$")
+
+
 def skip_by_path(path: Column, exclude: tuple[str, ...] = ()) -> Column:
     """P10: why a path alone is skipped: excluded, vendored or generated; null if it is not."""
     return F.when(matches_glob(path, *exclude), "excluded").when(like(path, VENDORED_PATTERN), "vendored").when(like(path, GENERATED_PATTERN), "generated")

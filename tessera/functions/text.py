@@ -150,6 +150,30 @@ def title_placeholder(question: Column, most: int = 48) -> Column:
     return F.when(F.char_length(one) <= most, one).otherwise(F.concat(F.rtrim(F.left(one, F.lit(most))), F.lit("…")))
 
 
+def typed_terms(typed: str) -> list[str]:
+    """what was typed, by white space; each term is a phrase of words that must stand, its last word as a prefix."""
+    return [" ".join(w for w in _SPLIT.split(plain(t.lower())) if w) for t in typed.split()]
+
+
+def matches_typed(body: Column, typed: str) -> Column:
+    """whether every typed term stands, marks and diacritics left out; a term of marks alone matches nothing that is asked for."""
+    said = F.concat(F.lit(" "), F.regexp_replace(unaccented(F.lower(body)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = F.lit(True)
+    for term in typed_terms(typed):
+        out = out & F.contains(said, F.lit(f" {term}")) if term else out
+    return out & body.isNotNull()
+
+
+def snippet(body: Column, typed: str, around: int = 40) -> Column:
+    """F32: the passage around the first typed term that stands, the term marked; empty if none does."""
+    alternatives = "|".join(r"[^\p{L}\p{N}]+".join(map(_java_quoted, t.split(" "))) for t in typed_terms(typed) if t)
+    if not alternatives:
+        return F.lit("")
+    hit = rf"(?s)(?i)^(?:.*?)(.{{0,{around}}})(?<![\p{{L}}\p{{N}}])({alternatives})([\p{{L}}\p{{N}}]*)(.{{0,{around}}}).*$"
+    whole = collapse(body)
+    return F.when(F.regexp_like(whole, F.lit(hit)), F.regexp_replace(whole, hit, "$1[$2$3]$4")).otherwise("")
+
+
 def memory_text(text: Column, most: int = 200) -> Column:
     """no backticks or hashes, white space collapsed, at most 200 characters."""
     return F.left(collapse(F.translate(text, "`#", "")), F.lit(most))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import paths
+
 
 def latest(rows: DataFrame, keys: list[str], by: list) -> DataFrame:
     """The first row of each key in the given order."""
@@ -44,6 +46,19 @@ def tree_after(stored: DataFrame, changes: DataFrame, live: DataFrame) -> DataFr
     return stored.join(changes.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(live.join(changes.where("change <> 'deleted'").select("repo", "path"), ["repo", "path"], "left_semi"))
 
 
+def rules_drift(held: DataFrame, repos: DataFrame, exclude: tuple[str, ...]) -> DataFrame:
+    """Of each enabled repository, how many `held(repo, path, skip_reason)` files the rules skip now that were indexed, and how many excluded ones they include again; no row where nothing moved."""
+    excluded = paths.skip_by_path(F.col("path"), exclude)
+    rows = held.join(repos.where("enabled").select(F.col("name").alias("repo")), "repo", "left_semi")
+    counts = rows.groupBy("repo").agg(F.count_if((F.col("skip_reason") == "") & excluded.isNotNull()).alias("retired"), F.count_if((F.col("skip_reason") == "excluded") & ~excluded.eqNullSafe("excluded")).alias("reincluded"))
+    return counts.where("retired > 0 OR reincluded > 0")
+
+
+def sync_sets(held: DataFrame, fresh: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+    """The rows of touched keys are replaced whole by `fresh`, repeated rows count once; a touched key without rows ends up empty."""
+    return held.join(touched, key, "left_anti").unionByName(fresh.join(touched, key, "left_semi").distinct())
+
+
 def history_sync(held: DataFrame, log: DataFrame) -> DataFrame:
     """Commits that the log lost are dropped, held ones stay as they are, new ones come in."""
     repos = log.select("repo").distinct()

@@ -63,3 +63,24 @@ def thread_search(threads: DataFrame, messages: DataFrame, terms: list[str], n:
     once = latest(titled.unionByName(said), ["thread_id"], ["place"])
     by = [F.col("place"), F.desc("score"), F.desc("thread_id")]
     return once.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
+
+
+#: Reasons that a verdict may carry.
+REASONS = ("", "wrong", "incomplete", "missed_code", "too_long", "wrong_repo")
+
+
+def feedback(held: DataFrame, given: DataFrame, messages: DataFrame, owners: DataFrame) -> DataFrame:
+    """`given(thread_id, user, verdict, reason)` replaces earlier verdicts, pinned to the newest finished, error-free answer; unknown reasons, threads of others and threads without such an answer change nothing."""
+    newest = messages.where("answer <> '' AND error = ''").groupBy("thread_id").agg(F.max("message_id").alias("up_to"))
+    sound = given.where(F.col("reason").isin(*REASONS)).join(owners.select("thread_id", "user"), ["thread_id", "user"], "left_semi").join(newest, "thread_id").select("thread_id", "verdict", "reason", "up_to")
+    return held.join(sound.select("thread_id"), "thread_id", "left_anti").unionByName(sound)
+
+
+def cited(wanted: DataFrame, citations: DataFrame, messages: DataFrame, ceilings: DataFrame | None = None) -> DataFrame:
+    """Whether a turn of `thread_id`, up to its share's ceiling if there is one, cites exactly (repo, path, sha, kind)."""
+    turns = messages.select("message_id", "thread_id")
+    if ceilings is not None:
+        turns = turns.join(ceilings, "thread_id").where("message_id <= ceiling").select("message_id", "thread_id")
+    keys = ["thread_id", "repo", "path", "sha", "kind"]
+    found = citations.join(turns, "message_id").select(*keys).distinct().withColumn("cited", F.lit(True))
+    return wanted.join(found, keys, "left").withColumn("cited", F.coalesce("cited", F.lit(False)))

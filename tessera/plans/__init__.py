@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph, more, reports, scalars, search, stream
+from tessera.plans import deciding, graph, more, reports, scalars, search, stream
 
-MODULES = (search, graph, reports, scalars, stream, more)
+MODULES = (search, graph, reports, scalars, stream, more, deciding)
 
 
 def queries() -> dict:

@@ -211,6 +211,13 @@ def test_feed_is_idempotent_and_isolates_failures(spark, tmp_path):
     assert {r.repo: (r.last_sha, r.error) for r in s2.collect()} == {"r": ("s2", None), "q": ("s3", None), "bad": (None, "unsound change")}
 
 
+def test_typed_search_and_snippets(spark):
+    rows = spark.createDataFrame([(1, "Über den Café-Häusern: the affable case"), (2, "The cafe"), (3, None), (4, "x" * 90 + " cafeteria " + "y" * 90)], "id long, body string")
+    found = {r.id: (r.m, r.s) for r in rows.select("id", text.matches_typed(F.col("body"), 'CAFÉ "aff').alias("m"), text.snippet(F.col("body"), "cafe").alias("s")).collect()}
+    assert [found[i][0] for i in (1, 2, 3)] == [True, False, False]
+    assert found[2][1] == "The [cafe]" and found[4][1] == "x" * 39 + " [cafeteria] " + "y" * 39 and not found[3][1]
+
+
 def test_store_rewrites_touched_buckets_only(spark, tmp_path):
     store = feed.Store(spark, f"{tmp_path}/store")
     landings = [
