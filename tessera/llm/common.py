@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ class Memo(dict):
             self.clear()
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # of the C library, where it has it
+except (AttributeError, OSError):
+    _trim = None
+
+
 def tidy(run: Callable) -> Callable:
     """`run` for `mapInArrow`: what a task held is given back before its Python worker takes the next one."""
 
@@ -65,6 +72,8 @@ def tidy(run: Callable) -> Callable:
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
 
     return tidied
 
