@@ -428,6 +428,9 @@ SQL = {
     "w01_ordinals": sql("SELECT thread_id, message_id, row_number() OVER w - 1 AS next, first(question) OVER w AS pinned FROM messages WINDOW w AS (PARTITION BY thread_id ORDER BY message_id)", "messages"),
     "w03_budget_prefix": sql("SELECT repo, path, cost, spent FROM (SELECT repo, path, (size + 3) // 4 AS cost, sum((size + 3) // 4) OVER (PARTITION BY repo ORDER BY path)::BIGINT AS spent FROM files) WHERE spent <= 6000", "files"),
     "w04_budget_skip": sql("f AS (SELECT repo, file_id, (size + 3) // 4 AS cost, row_number() OVER (PARTITION BY repo ORDER BY path) AS nth FROM files), w(repo, nth, spent, file_id) AS (SELECT repo, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM f GROUP BY repo UNION ALL SELECT w.repo, f.nth, CASE WHEN w.spent + f.cost <= 3000 THEN w.spent + f.cost ELSE w.spent END, CASE WHEN w.spent + f.cost <= 3000 THEN f.file_id END FROM w JOIN f ON f.repo = w.repo AND f.nth = w.nth + 1), t AS (SELECT repo, max(spent) AS spent FROM w GROUP BY repo) SELECT repo, file_id, t.spent FROM w JOIN t USING (repo) WHERE file_id IS NOT NULL", "files", recursive=True),
+    "g12_bfs": """WITH RECURSIVE n AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, l_partkey % 2 AS odd FROM lineitem),
+        c(k, n, place) AS (SELECT k, n, 0::BIGINT FROM n WHERE n = 1 UNION ALL SELECT b.k, b.n, c.place + 1 FROM c JOIN n a ON a.k = c.k AND a.n = c.n JOIN n b ON b.k = a.k AND b.n = a.n + 1 + a.odd)
+        SELECT CAST(n.k AS VARCHAR) AS process, CAST(n.n AS VARCHAR) AS node, coalesce(place, (SELECT count(*) FROM c x WHERE x.k = n.k) + row_number() OVER (PARTITION BY n.k, place IS NULL ORDER BY CAST(n.n AS VARCHAR)) - 1) AS place, place IS NOT NULL AS reached FROM n LEFT JOIN c ON c.k = n.k AND c.n = n.n""",
     "w06_regions": sql("n AS (SELECT file_id, max(line) AS n FROM lines GROUP BY 1), a AS (SELECT DISTINCT file_id, line FROM symbols WHERE line % 3 = 0 UNION SELECT file_id, 1 FROM n) SELECT file_id, line AS first, coalesce(lead(line) OVER (PARTITION BY file_id ORDER BY line) - 1, n) AS last FROM a JOIN n USING (file_id)", "symbols"),
     "w07_first": sql("SELECT repo, value, path, line FROM tokens QUALIFY row_number() OVER (PARTITION BY repo, value ORDER BY path, line) = 1", "tokens"),
     "w11_last_turn": sql("SELECT thread_id, message_id, ordinal FROM messages m WHERE answer IS NOT NULL AND ordinal < (SELECT max(ordinal) FROM messages x WHERE x.thread_id = m.thread_id) QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY ordinal DESC) = 1", "messages"),

@@ -241,6 +241,10 @@ def _by_data(size: str) -> str:
 _SHAPES = " ".join(f"WHEN regexp_matches({{0}}, '{p}') THEN '{p}'" for p in paths.SECRET_SHAPES)
 SQL = {
     "f01_tokens": f"SELECT doc_id, len({_TOKENS})::BIGINT AS n, sha256(array_to_string({_TOKENS}, ' ')) AS digest FROM documents",
+    "f02_camel_words": sql(r"SELECT file_id, line, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(name || name || '_x9Y', '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda t: length(t) > 1), ' ') AS words FROM symbols", "symbols"),
+    "f10_excerpt": "SELECT doc_id, CASE WHEN length(w) <= 200 THEN w ELSE rtrim(CASE WHEN instr(h, chr(10)) > 0 AND 201 - instr(reverse(h), chr(10)) > 100 THEN left(h, 200 - instr(reverse(h), chr(10))) ELSE h END) || '…' END AS excerpt FROM (SELECT doc_id, trim(text) AS w, left(trim(text), 200) AS h FROM documents)",
+    "f30_title": sql(r"SELECT message_id, CASE WHEN length(one) <= 48 THEN one ELSE rtrim(left(one, 48)) || '…' END AS title, left(trim(regexp_replace(replace(replace('# `' || question, '`', ''), '#', ''), '[ \t\r\n\f]+', ' ', 'g')), 200) AS memory FROM (SELECT message_id, question, trim(regexp_replace(question, '[ \t\r\n\f]+', ' ', 'g')) AS one FROM messages)", "messages"),
+    "f44_followups": sql(r"l AS (SELECT message_id, unnest(string_split('- ' || replace(question, '. ', chr(10) || '2. '), chr(10))) AS x, unnest(range(1, len(string_split('- ' || replace(question, '. ', chr(10) || '2. '), chr(10))) + 1)) AS i FROM messages), t AS (SELECT message_id, trim(regexp_replace(x, '^\s*(?:[-*•]|\d+[.)])\s*', '')) AS x, i FROM l), u AS (SELECT message_id, x, min(i) AS i FROM t WHERE x <> '' AND length(x) <= 200 GROUP BY message_id, x QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY min(i)) <= 3), a AS (SELECT message_id, string_agg(x, '|' ORDER BY i) AS q FROM u GROUP BY 1) SELECT m.message_id, coalesce(q, '') AS questions FROM messages m LEFT JOIN a USING (message_id)", "messages"),
     "f03_identifiers": r"SELECT doc_id, len(i)::BIGINT AS n, sha256(array_to_string(list_sort(i), ' ')) AS digest FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: strlen(t) > 2)) AS i FROM documents)",
     "f04_fold": r"SELECT doc_id, sha256(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')) AS digest FROM documents",
     "f05_content_words": f"SELECT doc_id, len(list_filter({_TOKENS}, lambda t: t NOT IN ({_STOP})))::BIGINT AS n FROM documents",
