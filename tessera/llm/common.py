@@ -65,15 +65,20 @@ except (AttributeError, OSError):
     _trim = None
 
 
+def give_back() -> None:
+    """What is freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """`run` for `mapInArrow`: what a task held is given back before its Python worker takes the next one."""
 
     def tidied(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if _trim is not None:
-            _trim(0)
+        give_back()
 
     return tidied
 

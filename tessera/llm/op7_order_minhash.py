@@ -34,12 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import Memo, block_pairs, connected_components, groups_of, shared_dir, shingle_hashes, splitmix, stored, tidy
 
 RUN, PICK, TABLES, SIMILARITY, SHORT = 5, 3, 24, 0.8, 24
 BROADCAST_IDS = 1_000_000
+#: counters of how many texts have a word
+SLOTS = 1 << 20
 #: texts of a run from which they meet in blocks, and texts of a block
 HOT, BLOCK = 512, 1024
 #: columns of an alignment between two moves of its window; the narrowest band
@@ -213,15 +214,44 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "left", "right").mapInArrow(tidy(verify), LINK).distinct(), "links")
 
 
-def _labelled_rows(batches):
-    """One row per labelled word of each text."""
-    hashed = Hasher()
+def _word_counts(batches):
+    """In how many of a task's texts a word of each slot stands."""
+    hashed, held = Hasher(), np.zeros(SLOTS, np.int64)
     for b in batches:
-        for lo in range(0, b.num_rows, 256):  # a few MB at a time
-            part = b.slice(lo, 256)
-            words = [labelled(hashed(words_of(t.as_py()))).view(np.int64) for t in part.column(1)]
-            n = np.array([len(w) for w in words], np.int32)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in (0, 2)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(words), pa.int64())], names=["doc_id", "component", "n", "word"])
+        for t in b.column(0):
+            if words := words_of(t.as_py()):
+                held[np.unique(labelled(hashed(words)) % np.uint64(SLOTS)).astype(np.int64)] += 1
+    slots = np.flatnonzero(held)
+    for lo in range(0, len(slots), 100_000):
+        part = slots[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part])], names=["slot", "n"])
+
+
+def _prefixes(counts):
+    """The rarest words of each text that a similar text must share one of, but for those of one text alone."""
+
+    def run(batches):
+        seen, hashed = counts.value, Hasher()
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):  # a few MB at a time
+                part, rows = b.slice(lo, 256), []
+                for i, t, component in zip(*(part.column(c).to_pylist() for c in range(3))):
+                    if not (found := words_of(t)):
+                        continue
+                    words = labelled(hashed(found))
+                    docs = seen[(words % np.uint64(SLOTS)).astype(np.int64)]
+                    n = len(words)
+                    order = np.lexsort((words, docs))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                    place = np.flatnonzero(docs[order] > 1)
+                    rows.append((i, component, n, place, words[order][place], docs[order][place]))
+                if not rows:
+                    continue
+                size = [len(r[3]) for r in rows]
+                ids, components, n = (np.repeat(np.array([r[c] for r in rows], np.int64), size) for c in range(3))
+                place, words, docs = (np.concatenate([r[c] for r in rows]) for c in (3, 4, 5))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(components), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(words.view(np.int64)), pa.array(docs, pa.int64())], names=["doc_id", "component", "n", "place", "word", "docs"])
+
+    return run
 
 
 #: matches that two texts of n and m words need, whose words at places i and j of their rarest are the first that agree
@@ -246,20 +276,19 @@ def _hot_pairs(batches):
 def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs `(a, b)` of `members(doc_id, component)` in different components that may reach SIMILARITY, by prefix filter.
 
-    The words of a text are ordered by how many of the members have them; words of one text alone come first and need no rows.
-    Two texts that reach the threshold share one of the first fifth and one more, so a passage that many texts share fetches
-    nothing unless texts consist of it. Where the words at places i and j of two texts are the first that agree, at most
-    min(n - i, m - j) can: pairs that cannot reach the threshold are dropped in the join. Texts that share a word with more than
-    HOT others meet in pairs of blocks, so no task holds all of them and pairs that do not fit are never rows.
+    The words of a text are ordered by how many of the members have one of their slot (SLOTS counters, a few MB, so they are
+    broadcast): any order that is the same for all texts will do, and this one puts rare words first. Two texts that reach the
+    threshold share one of the first fifth and one more, so a passage that many texts share fetches nothing unless texts consist
+    of it, and only that fifth becomes rows. Where the words at places i and j of two texts are the first that agree, at most
+    min(n - i, m - j) can: pairs that cannot reach the threshold are dropped in the join. Texts that share a word of a slot with
+    more than HOT texts meet in pairs of blocks, so no task holds all of them and pairs that do not fit are never rows.
     """
     own = stored(texts.join(_small(members), "doc_id").select("doc_id", "text", "component"), "texts")
-    rows = stored(own.mapInArrow(tidy(_labelled_rows), "doc_id long, component long, n int, word long"), "words")
-    shared = rows.groupBy("word").agg(F.count("*").alias("docs"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("docs > 1")
-    ours = rows.join(shared, "word")
-    doc = Window.partitionBy("doc_id")
-    placed = ours.withColumn("place", F.col("n") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("docs", "word")) - 1)
-    prefix = placed.where(f"place < n - ceil({SIMILARITY} * n - 1e-9) + 1 AND lo < hi").select("doc_id", "component", "n", "place", "word", "docs")
-    prefix = stored(prefix, "prefixes")
+    found = own.select("text").mapInArrow(tidy(_word_counts), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 1 << 30)
+    shared = own.sparkSession.sparkContext.broadcast(counts)
+    prefix = stored(own.mapInArrow(tidy(_prefixes(shared)), "doc_id long, component long, n int, place int, word long, docs long"), "prefixes")
     few, hot = prefix.where(f"docs <= {HOT}").drop("docs"), prefix.where(f"docs > {HOT}").drop("docs")
     sizes = hot.groupBy("word").agg(F.count("*").alias("docs")).where("docs > 1")
     pairs = few.alias("x").join(few.alias("y"), "word").where("x.doc_id < y.doc_id AND x.component <> y.component").where(FITS.format(x="x.", y="y.")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
