@@ -84,8 +84,8 @@ def lines_between(chunks: DataFrame, file_id: int, first: int, last: int) -> Dat
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
-    """(file_id, repo, path, name) of every identifier that a file's text holds."""
-    return chunks.select("file_id", "repo", "path", F.explode(text.identifiers(F.col("raw_text"))).alias("name")).distinct()
+    """(file_id, repo, path, name) of every identifier that a chunk holds, once per chunk; restrict the names before making them distinct."""
+    return chunks.select("file_id", "repo", "path", F.explode(text.identifiers(F.col("raw_text"))).alias("name"))
 
 
 def inland(seen: DataFrame, defined: DataFrame, said: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
@@ -106,7 +106,7 @@ def reach(start: DataFrame, symbols: DataFrame, mentioned: DataFrame, edges: Dat
     """One hop inland, over shared tokens (`edges(from_id, file_id, repo, path)`), one hop inland again; the first discovery counts. Three joins, each against what is seen; symbols and mentions are read once, and what is seen is kept after each hop."""
     few = kept(few_definers(symbols).select("name"))
     symbols = kept(symbols.join(few, "name", "left_semi").select("repo", "name", "file_id", "path").distinct())
-    mentioned = kept(mentioned.join(few, "name", "left_semi").select("repo", "name", "file_id", "path"))
+    mentioned = kept(mentioned.join(few, "name", "left_semi").select("repo", "name", "file_id", "path").distinct())
     seen = start.select("file_id", "repo", F.lit(0).alias("hop"), F.lit(None).cast("long").alias("from_id"))
     for hop, step in ((1, lambda s: inland(s, symbols, mentioned)), (2, lambda s: edges.join(s.select(F.col("file_id").alias("from_id")), "from_id").select("from_id", "repo", "file_id", "path")), (3, lambda s: inland(s, symbols, mentioned))):
         new = step(seen).join(seen.select("file_id"), "file_id", "left_anti").groupBy("file_id").agg(F.min_by("repo", "from_id").alias("repo"), F.min("from_id").alias("from_id"))

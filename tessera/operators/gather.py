@@ -33,7 +33,7 @@ def gather(hits: DataFrame, chunks: DataFrame, symbols: DataFrame, crossings: Da
     taken = hits.join(body.select("chunk_id", "cost"), "chunk_id").select("chunk_id", "file_id", "repo", "path", F.lit(0).alias("hop"), F.lit("hit").alias("reason"), "cost", (F.row_number().over(Window.orderBy("pos")) - 1).alias("place"), F.sum("cost").over(run).alias("spent"))
     few = edges.few_definers(symbols).select("name")
     defined = symbols.join(few, "name", "left_semi").select("name", F.col("file_id").alias("to_file")).distinct()
-    named = edges.mentions(chunks).join(few, "name", "left_semi").select("file_id", "name")
+    named = edges.mentions(chunks).join(few, "name", "left_semi").select("file_id", "name").distinct()
 
     def references(sources: DataFrame, hop: int) -> DataFrame:
         to = sources.select("file_id", "place").withColumnRenamed("place", "from_place").join(named, "file_id").join(defined, "name").where("file_id <> to_file")
