@@ -124,7 +124,7 @@ def includes(sites: DataFrame, files: DataFrame, chunks: DataFrame, libraries: D
     first = sites.groupBy("file_id", "repo", "value").agg(F.min("line").alias("line"))
     ranks = F.when(F.contains("value", F.lit("{lang}")), F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("lang")) for i, x in enumerate(languages)])).otherwise(F.array(F.struct(F.lit(0).alias("rank"), F.lit("").alias("lang"))))
     stems = first.select("file_id", "repo", "value", "line", F.explode(ranks).alias("r")).select("file_id", "repo", "value", "line", "r.rank", F.replace("value", F.lit("{lang}"), F.col("r.lang")).alias("stem"))
-    heads = files.join(chunks.where("start_line <= 1 AND end_line >= 1").groupBy("file_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id")), "file_id").join(F.broadcast(libraries), "repo", "left")
+    heads = files.join(chunks.where("start_line <= 1 AND end_line >= 1").groupBy("file_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id")), "file_id").join(libraries, "repo", "left")
     far = heads.select("stem", F.col("file_id").alias("far_id"), F.col("repo").alias("far_repo"), F.col("path").alias("far_path"), "chunk_id", F.coalesce("library", F.lit(False)).alias("library"))
     found = stems.join(far, "stem").where("far_id <> file_id AND (far_repo = repo OR library)").withColumn("away", (F.col("far_repo") != F.col("repo")).cast("int"))
     site = Window.partitionBy("file_id", "value")

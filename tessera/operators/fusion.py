@@ -49,8 +49,8 @@ def ordered(fused: DataFrame, k: int = 10, repo_decay: float = 1.0, test: float
 def apply_picks(fused: DataFrame, picks: DataFrame, k: int) -> DataFrame:
     """`fused(rank, ...)` in the order of valid, unique 1-based `picks(pos, pick)`; the rest follows in fused order; no valid pick keeps it all."""
     n = fused.select("rank")
-    valid = picks.join(F.broadcast(n.select((F.col("rank") + 1).alias("pick"))), "pick").groupBy("pick").agg(F.min("pos").alias("pos"))
-    joined = fused.join(F.broadcast(valid.select((F.col("pick") - 1).alias("rank"), "pos")), "rank", "left")
+    valid = picks.join(n.select((F.col("rank") + 1).alias("pick")), "pick").groupBy("pick").agg(F.min("pos").alias("pos"))
+    joined = fused.join(valid.select((F.col("pick") - 1).alias("rank"), "pos"), "rank", "left")
     by = Window.orderBy(F.col("pos").isNull(), "pos", "rank")
     return joined.withColumn("new_rank", F.row_number().over(by) - 1).where(F.col("new_rank") < k).drop("pos")
 

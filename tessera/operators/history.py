@@ -46,7 +46,7 @@ def stage_diff(census: DataFrame, left: str, right: str, repos: DataFrame) -> Da
     """The images of two stages side by side, each with its repository and a note, in the order of the rules."""
     a = census.where(F.col("stage") == left).select("image", F.col("versions").alias("from"), F.col("ambiguous").alias("from_ambiguous"))
     b = census.where(F.col("stage") == right).select("image", F.col("versions").alias("to"), F.col("ambiguous").alias("to_ambiguous"))
-    both = a.join(b, "image", "full_outer").join(F.broadcast(repos), "image", "left")
+    both = a.join(b, "image", "full_outer").join(repos, "image", "left")
     digest = F.startswith(F.coalesce("from", F.lit("")), F.lit("sha256:")) | F.startswith(F.coalesce("to", F.lit("")), F.lit("sha256:"))
     note = (
         F.when(F.col("repo").isNull(), "undeclared")

@@ -23,7 +23,7 @@ def by_repo(found: DataFrame) -> DataFrame:
 
 def by_project(repos: DataFrame, known: DataFrame, closure: DataFrame) -> DataFrame:
     """Repositories by project; a library joins every present project that uses it (`closure(project, library)`), else it stands alone."""
-    named = repos.join(F.broadcast(known.select(F.col("name").alias("repo"), "project", "library")), "repo")
+    named = repos.join(known.select(F.col("name").alias("repo"), "project", "library"), "repo")
     own = named.where("NOT library").select("project", "repo", "score", "first")
     present = own.select("project").distinct()
     users = named.where("library").join(closure.select("project", F.col("library").alias("repo")).withColumnRenamed("project", "user"), "repo").join(present.withColumnRenamed("project", "user"), "user")

@@ -129,7 +129,7 @@ def g07_gap(spark, sf_dir):
     """Names that an answer lacks, resolved to at most four files each; the home repository first."""
     c = Corpus(spark, sf_dir)
     names = c.symbols().where("file_id IN (3, 30, 300)").select("name").distinct()
-    found = c.symbols().where("repo <> 'src3'").join(F.broadcast(names), "name").groupBy("name", "repo", "path").agg(F.min("line").alias("line"))
+    found = c.symbols().where("repo <> 'src3'").join(names, "name").groupBy("name", "repo", "path").agg(F.min("line").alias("line"))
     nth = found.withColumn("nth", F.row_number().over(_part("name").orderBy(F.when(F.col("repo") == "src1", 0).otherwise(1), "repo", "path")))
     return _out(nth.where("nth <= 4"), "name", "repo", "path", "line", "nth")
 

@@ -42,7 +42,7 @@ def a17_projects(spark, sf_dir):
 
 def a18_distinct(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    named = c.hits().select("repo").join(F.broadcast(c.repos()), F.col("repo") == F.col("name"))
+    named = c.hits().select("repo").join(c.repos(), F.col("repo") == F.col("name"))
     return _out(named.agg(F.countDistinct("repo").alias("repos"), F.countDistinct("project").alias("projects")), "repos", "projects")
 
 
@@ -168,7 +168,7 @@ def a25_recall_mrr(spark, sf_dir):
 def a27_repo_status(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     f = c.files().groupBy("repo").agg(F.count("*").alias("files"), F.countDistinct(paths.directory(F.col("path"))).alias("modules"), F.sum("size").alias("bytes"))
-    return _out(f.join(F.broadcast(c.repos()), F.col("repo") == F.col("name")), "repo", "files", "modules", "bytes", "enabled")
+    return _out(f.join(c.repos(), F.col("repo") == F.col("name")), "repo", "files", "modules", "bytes", "enabled")
 
 
 def a28_trace(spark, sf_dir):
