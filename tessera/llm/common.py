@@ -27,11 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return said or current
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors, keeps column pruning."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors, keeps column pruning.
+
+    `arrow_rows`: how many rows its Python steps are given at once, where rows are large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,6 +39,8 @@ from tessera.llm.common import Memo, block_pairs, connected_components, groups_o
 
 RUN, PICK, TABLES, SIMILARITY, SHORT = 5, 3, 24, 0.8, 24
 BROADCAST_IDS = 1_000_000
+#: pairs of texts that a task is given at once: each row has both
+PAIRS = 128
 #: counters of how many texts have a word
 SLOTS = 1 << 20
 #: texts of a run from which they meet in blocks, and texts of a block
@@ -211,7 +213,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = stored(texts.join(_small(needed), "doc_id", "left_semi"), "texts")
     left = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
     both = left.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-    return stored(both.select("a", "b", "left", "right").mapInArrow(tidy(verify), LINK).distinct(), "links")
+    return stored(both.select("a", "b", "left", "right").mapInArrow(tidy(verify), LINK).distinct(), "links", PAIRS)
 
 
 def _word_counts(batches):
