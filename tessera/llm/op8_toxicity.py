@@ -13,7 +13,7 @@ reaches the k-th best similarity so far; all exactly, so the k nearest are exact
 places) all vote: no number and no doc_id decides. Votes are weighted by squared similarity and calibrated by isotonic
 regression on leave-one-out votes of the examples. A text without a term has the calibrated score of no votes.
 
-Texts are read twice: once to count documents per term of the index, once to score. What is collected and broadcast is bounded
+Each text is read once: its terms are stored as sparse rows, counted, then scored. What is collected and broadcast is bounded
 by the examples: their terms and the index.
 
 Nulls and edge cases: null, empty and wordless texts have no terms and the score of no votes; very long texts are read whole;
@@ -257,29 +257,44 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> D
     return stored(texts.mapInArrow(tidy(split), EXAMPLE), "examples")
 
 
-def _documents_with(docs: DataFrame, names: np.ndarray) -> tuple[int, np.ndarray]:
-    """The number of documents, and in how many of them each term stands."""
+def features(docs: DataFrame, names: np.ndarray) -> DataFrame:
+    """`(doc_id, terms, counts)` of every row, stored: the index's terms in the whole text."""
     known = docs.sparkSession.sparkContext.broadcast(names)
+    lists = pa.list_(pa.int32())
+
+    def run(batches):
+        read = Reader(known.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1_000):
+                found = [read(t.as_py()) for t in b.column(1)[lo : lo + 1_000]]
+                at = pa.array(np.r_[0, np.cumsum([len(t) for t, _ in found])], pa.int32())
+                columns = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), pa.int32())) for x in zip(*found)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 1_000], *(c.cast(lists) for c in columns)], names=["doc_id", "terms", "counts"])
+
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, terms array<int>, counts array<int>"), "features")
+
+
+def _documents_with(rows: DataFrame, terms: int) -> tuple[int, np.ndarray]:
+    """The number of documents, and in how many of them each term stands."""
 
     def count(batches):
-        read, held, n = Reader(known.value), np.zeros(len(known.value), np.int64), 0
+        held, n = np.zeros(terms, np.int64), 0
         for b in batches:
             n += b.num_rows
-            for text in b.column(0):
-                held[read(text.as_py())[0]] += 1
+            held += np.bincount(b.column(0).flatten().to_numpy(), minlength=terms)
         seen = np.flatnonzero(held)
         for lo in range(0, len(seen) + 1, 50_000):
             part = seen[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, part] if not lo else part, pa.int32()), pa.array(np.r_[n, held[part]] if not lo else held[part], pa.int64())], names=["term", "n"])
 
-    found = docs.select("text").mapInArrow(tidy(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(names) + 1, np.int64)
+    found = rows.select("terms").mapInArrow(tidy(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(terms + 1, np.int64)
     out[found["term"].to_numpy()] = found["n"].to_numpy()  # -1: the last
     return int(out[-1]), out[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[Broadcast, Scale]:
-    """The index of the examples, broadcast, and the scale of votes."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[DataFrame, Broadcast, Scale]:
+    """Features of all documents, the index of the examples, broadcast, and the scale of votes."""
     rows = examples(docs, labels, most)
     own = rows.toArrow().combine_chunks()
     labelled, sizes = own["toxic"].to_numpy().astype(np.float64), pc.fill_null(pc.list_value_length(own["terms"]), 0).to_numpy()
@@ -290,7 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     term, counts, row = places[spelt.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64), own["counts"].combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
     bad, good = int(labelled.sum()), int(len(labelled) - labelled.sum())
     depends = relevance(np.bincount(term, labelled[row], len(names)), np.bincount(term, 1 - labelled[row], len(names)), bad, good)
-    n, seen = _documents_with(docs, names)
+    featured = features(docs, names)
+    n, seen = _documents_with(featured, len(names))
     weight = (np.log((1 + n) / (1 + seen)) + 1) * depends
     clear = {int(places[i]): t for i, t in enumerate(terms) if depends[places[i]] >= CLEAR and bad and good}
     # examples that share their heaviest term stand together, so that blocks have tight maxima
@@ -306,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     # examples without a term have no votes: what share of them is toxic
     silent_bad, silent_good = bad - int(index.labels.sum()), good - int(len(order) - index.labels.sum())
     silent = silent_bad / (silent_bad + silent_good) if silent_bad + silent_good else (bad / (bad + good) if bad + good else 0.0)
-    return shared, Scale.fit(_left_out(rows, shared, len(order)), index.labels, silent)
+    return featured, shared, Scale.fit(_left_out(rows, shared, len(order)), index.labels, silent)
 
 
 def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
@@ -331,13 +347,13 @@ def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
 SCORE = "doc_id long, score double, vote double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, evidence array<string>"
 
 
-def score(docs: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
-    """`docs(doc_id, text)` -> calibrated score, with the nearest examples and the terms that speak of the label as evidence."""
+def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
+    """Features -> calibrated score, with the nearest examples and the terms that speak of the label as evidence."""
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
         index = shared.value
-        read, memo = Reader(index.names), Memo(None, 5_000)  # copies of a text are scored once
+        memo = Memo(None, 5_000)  # copies of a text are scored once
 
         def scored(terms: np.ndarray, vector: np.ndarray, common: np.ndarray):
             found, sims = index.nearest(terms, vector, common=common)
@@ -349,11 +365,11 @@ def score(docs: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
             for lo in range(0, b.num_rows, QUERIES):
                 memo.trim()
                 keys, new = [], {}
-                for text in b.column(1)[lo : lo + QUERIES]:
-                    t = text.as_py() or ""
-                    keys.append(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                part = b.slice(lo, QUERIES)
+                ends = np.cumsum(part.column(1).value_lengths().to_numpy())[:-1]
+                for terms, counts in zip(*(np.split(part.column(c).flatten().to_numpy(), ends) for c in (1, 2))):
+                    keys.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
                     if keys[-1] not in memo and keys[-1] not in new:
-                        terms, counts = read(t)
                         new[keys[-1]] = terms, index.vector(terms, counts)
                 for (key, query), common in zip(new.items(), index.common(list(new.values()))):
                     memo[key] = scored(*query, common)
@@ -361,12 +377,12 @@ def score(docs: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
                 found = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in f] for f in found]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + QUERIES], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCORE)
+    return rows.mapInArrow(tidy(run), SCORE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, score, vote, neighbours, evidence, predicted (1 from DECISION on)."""
-    return score(docs, *fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    return score(*fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
