@@ -75,7 +75,25 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = (op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op5_bpe_lexicon, op6_avi, op7_order_minhash, op8_toxicity, op9_mixing, op10_secret_crf)
+def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import op11_line_frequency as op
+
+    return op.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import op12_radix_negatives as op
+
+    return op.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import op13_vector_codes as op
+
+    return op.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = (op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op5_bpe_lexicon, op6_avi, op7_order_minhash, op8_toxicity, op9_mixing, op10_secret_crf, op11_line_frequency, op12_radix_negatives, op13_vector_codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -83,6 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.llm import op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op9_mixing
+    from tessera.llm import op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op9_mixing, op11_line_frequency, op12_radix_negatives, op13_vector_codes
 
-    return {m.__name__.rpartition(".")[2]: m.SQL for m in (op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op9_mixing)}
+    return {m.__name__.rpartition(".")[2]: m.SQL for m in (op1_chat_format, op2_embedding_lsh, op3_warc_merge, op4_url_filters, op9_mixing, op11_line_frequency, op12_radix_negatives, op13_vector_codes)}
