@@ -1,12 +1,12 @@
 """Quality rules: cross-document line frequency, and the base measures of a text. DataFrame functions only.
 
-Lines (pieces between line feeds that hold a word) are normalised - lower case, runs of anything but letters, marks and digits as
+Lines (pieces between line feeds that hold a word) are normalised - lower case, runs of ASCII characters that are no letter or digit as
 one blank - and hashed. Per host (`source` in our tables) the distinct documents with each line are counted; equal texts of a
 host are one document, so exact copies, which are the business of deduplication, make no line frequent. A line is over the limit
 if more than `LEAST_DOCS` documents and more than `SHARE` of the host's documents have it. Such lines are removed, and a
-document whose removed lines hold more than `DEPLETED` of its words is rejected.
+document whose removed lines hold more than `DEPLETED` of the characters of its lines is rejected.
 
-Only (host, digest of the text, hash of the line, number of words) is shuffled, summed in each task first. Lines are counted by
+Only (host, digest of the text, hash of the line, its length) is shuffled, summed in each task first. Lines are counted by
 (host, line), after a first count by (host, text, line), so a line or a host with a third of all rows burdens no task; frequent lines are joined
 by equality, which adaptive execution may split or broadcast by their size. Measures are computed per row, in linear
 memory but for texts with a repeated window of three words, whose windows are sorted.
@@ -68,14 +68,13 @@ def repeated(w: Column) -> Column:
 
 def measures(text: Column) -> dict[str, Column]:
     """The base measures of a text that is not null, by name."""
-    of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated(w).cast("long").alias("n_repeat_words")))
+    of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated(w).cast("long").alias("n_repeat_words")))
     dup = let(lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    less = lambda chars: F.length(F.translate(text, chars, "")).cast("long")
-    return {"w": of_words, "word_chars": less(" \t\n\x0b\x0c\r"), "n_symbols": F.length(text).cast("long") - less(SYMBOLS), "n_dup_lines": dup}
+    return {"w": of_words, "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"), "n_dup_lines": dup}
 
 
 def normal(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(plain == "", F.trim(F.regexp_replace(line, BLANKS, " "))).otherwise(plain)
 
 
@@ -86,10 +85,10 @@ def _keyed(docs: DataFrame, host: str) -> DataFrame:
 
 
 def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(__host, __key, h, words) of each line of each distinct text of a host, stored; words: of all its copies together."""
+    """(__host, __key, h, chars) of each line of each distinct text of a host, stored; chars: of all its copies together."""
     each = _keyed(docs, host).select("__host", "__key", F.explode(lines(F.col("__text"))).alias("line"))
-    hashed = each.select("__host", "__key", F.xxhash64(normal(F.col("line"))).alias("h"), F.regexp_count("line", F.lit(f"{WORD}+")).cast("long").alias("words"))
-    return stored(hashed.groupBy("__host", "__key", "h").agg(F.sum("words").alias("words")), "lines")
+    hashed = each.select("__host", "__key", F.xxhash64(normal(F.col("line"))).alias("h"), F.length("line").cast("long").alias("chars"))
+    return stored(hashed.groupBy("__host", "__key", "h").agg(F.sum("chars").alias("chars")), "lines")
 
 
 def frequent(table: DataFrame, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
@@ -100,34 +99,34 @@ def frequent(table: DataFrame, least: int = LEAST_DOCS, share: float = SHARE) ->
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per row of `docs(doc_id, <host>, text)`: doc_id, the base measures, base_failed, n_removed_words (in lines over the limits), depleted, kept."""
+    """One row per row of `docs(doc_id, <host>, text)`: doc_id, the base measures, base_failed, removed_share (of the characters of its lines that stand in
+    lines over the limits), depleted, kept."""
     table = line_table(docs, host)
     over = frequent(table).select("__host", "h", F.lit(True).alias("over"))
     marked = table.join(over, ["__host", "h"], "left")
-    removed = marked.groupBy("__host", "__key").agg(F.sum(F.when(F.col("over"), F.col("words")).otherwise(0)).alias("gone"), F.sum("words").alias("every")).where("gone > 0")
+    removed = marked.groupBy("__host", "__key").agg(F.sum(F.when(F.col("over"), F.col("chars")).otherwise(0)).alias("gone"), F.sum("chars").alias("every")).where("gone > 0")
     own = _keyed(docs, host).select(F.col("doc_id").cast("long").alias("doc_id"), "__host", "__key", *(c.alias(n) for n, c in measures(F.col("__text")).items())).select("*", "w.*").drop("w")
     joined = own.join(removed, ["__host", "__key"], "left")
-    # copies multiply both sums alike
-    gone = F.coalesce(F.expr("gone * n_words div every"), F.lit(0)).cast("long")
+    share = F.coalesce(F.col("gone") / F.col("every"), F.lit(0.0))  # copies multiply both alike
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.alias("n_removed_words"))
-    return out.withColumn("depleted", F.col("n_removed_words") > F.col("n_words") * DEPLETED).withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), share.alias("removed_share"))
+    return out.withColumn("depleted", F.col("removed_share") > DEPLETED).withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
 
 
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of `docs` that are kept, all columns, with the lines over the limits removed from `text` (and `n_chars`, if it is there, set anew)."""
     over = frequent(line_table(docs, host))
     keyed = _keyed(docs, host)
-    distinct = keyed.groupBy("__host", "__key").agg(F.first("__text").alias("__text"))
-    each = distinct.select("__host", "__key", F.posexplode(F.split("__text", "\n")).alias("at", "line")).withColumn("h", F.when(F.col("line").rlike(WORD), F.xxhash64(normal(F.col("line")))))
-    hit = each.join(over.select("__host", "h"), ["__host", "h"]).groupBy("__host", "__key").agg(F.array_sort(F.collect_list("at")).alias("__gone"))
+    # the places of such lines, by distinct text; only places are shuffled
+    each = keyed.select("__host", "__key", F.posexplode(F.split("__text", "\n")).alias("at", "line")).where(F.col("line").rlike(WORD))
+    placed = each.select("__host", "__key", "at", F.xxhash64(normal(F.col("line"))).alias("h")).join(over.select("__host", "h"), ["__host", "h"])
+    hit = placed.groupBy("__host", "__key").agg(F.collect_set("at").alias("__gone"))
     joined = keyed.join(hit, ["__host", "__key"], "left")
-    left = F.array_join(F.filter(F.split("__text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    made = joined.withColumn("__new", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(left))
-    base = {n: c for n, c in measures(F.col("__text")).items() if n == "w"}
-    kept = made.select("*", base["w"].alias("__w"), F.size(words(F.col("__new"))).alias("__left")).where(
-        (F.col("__w.n_words") >= FEWEST_WORDS) & (100 * F.col("__w.n_repeat_words") <= MOST_REPEATED * F.col("__w.n_words")) & (F.col("__w.n_words") - F.col("__left") <= F.col("__w.n_words") * DEPLETED)
-    )
+    split = F.split("__text", "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone"), lambda i: split[i]), "\n")
+    size = lambda text: let(lines(text), lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + F.length(y)))
+    made = joined.withColumn("__new", F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(left)).withColumns({"__w": measures(F.col("__text"))["w"], "__size": size(F.col("__text")), "__left": size(F.col("__new"))})
+    kept = made.where((F.col("__w.n_words") >= FEWEST_WORDS) & (100 * F.col("__w.n_repeat_words") <= MOST_REPEATED * F.col("__w.n_words")) & ((F.col("__size") - F.col("__left")) / F.col("__size") <= DEPLETED))
     columns = [F.col("__new").alias("text") if c == "text" else F.char_length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return kept.select(*columns)
 
@@ -139,18 +138,19 @@ wins AS (SELECT r, i, a, lead(a, 1) OVER s AS b, lead(a, 2) OVER s AS c FROM pla
 again AS (SELECT r, i FROM wins WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
 l AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
-o AS (SELECT r, source, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-    trim(regexp_replace(lower(line), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g')) AS plain, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS bare
+o AS (SELECT r, source, t, line, length(line) AS chars,
+    trim(regexp_replace(lower(line), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS plain, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS bare
     FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 n AS (SELECT *, CASE WHEN plain = '' THEN bare ELSE plain END AS h FROM o),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM n GROUP BY r),
 hosts AS (SELECT source, count(DISTINCT t) AS docs FROM n GROUP BY source),
 freq AS (SELECT n.source, h, count(DISTINCT t) AS docs FROM n GROUP BY n.source, h),
 over_ AS (SELECT freq.source, h FROM freq JOIN hosts ON freq.source IS NOT DISTINCT FROM hosts.source WHERE freq.docs > {LEAST_DOCS} AND freq.docs > hosts.docs * {SHARE}),
-gone AS (SELECT r, sum(words) AS n FROM n JOIN over_ ON n.source IS NOT DISTINCT FROM over_.source AND n.h = over_.h GROUP BY r),
+every AS (SELECT r, sum(chars) AS n FROM n GROUP BY r),
+gone AS (SELECT r, sum(chars) AS n FROM n JOIN over_ ON n.source IS NOT DISTINCT FROM over_.source AND n.h = over_.h GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
-    CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
-    FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
-f AS (SELECT *, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, n_removed_words > n_words * {DEPLETED}::DOUBLE AS depleted FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, depleted, NOT (base_failed OR depleted) AS kept FROM f
+    CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone.n::DOUBLE / every.n, 0.0) AS removed_share
+    FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN every USING (r) LEFT JOIN gone USING (r)),
+f AS (SELECT *, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, removed_share > {DEPLETED}::DOUBLE AS depleted FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_share, depleted, NOT (base_failed OR depleted) AS kept FROM f
 """
