@@ -16,8 +16,8 @@ come to the driver.
 
 Scores are exact: products of matrices in float64 where no sum can reach 2^53, and in int64 otherwise.
 
-Nulls and edge cases: rows with a null label, a null, empty or non-finite vector or a null component take no part, nor do those with a null vec_id or a
-component beyond 2^20 (scores would not fit 64 bits); rows of another width than the anchor's are not compared with it; of rows that repeat a
+Nulls and edge cases: rows with a null label, a null, empty or non-finite vector or a null component take no part, nor do those with a null vec_id or
+a length of 2^22 or more (scores would not fit 64 bits); rows of another width than the anchor's are not compared with it; of rows that repeat a
 vec_id the least (label, vector) stands for all; ties go to the smaller vec_id; an anchor without another row of its label, or a positive
 without a negative in its window, has no rows; a positive with a score below 0 has an empty window; an empty table gives an empty result; extra columns are ignored.
 """
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import shared_dir, stored, tidy
 
-POSITIVES, NEGATIVES, ANCHOR_EVERY, SCALE, LARGEST = 5, 5, 100, 256, float(1 << 20)
+POSITIVES, NEGATIVES, ANCHOR_EVERY, SCALE = 5, 5, 100, 256
 LOWEST, OF = 80, 100
 DIGIT, ROWS, ANCHORS = 8, 8192, 512
 BASE = 1 << DIGIT
@@ -40,7 +40,8 @@ BASE = 1 << DIGIT
 HELD = 1 << 14
 #: packed blocks that a Python step is given at once
 AT_ONCE = 8
-FIT = f"vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <= {LARGEST})"
+#: sums of squares that scores of 64 bits allow for: no score reaches 2^60
+FIT = f"vec_id IS NOT NULL AND label IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x)) AND aggregate(embedding, 0D, (s, x) -> s + double(x) * double(x)) < {float(1 << 60) / SCALE**2}"
 BLOCKS = "block long, dim int, n int, ids binary, labels binary, vectors binary"
 #: a window: which scores of an anchor it holds (of its own label or of others), its bounds, how many it asks for, and what is known of the kth
 WINDOW = "anchor_id long, positive_id long, own boolean, low long, high long, need long, prefix long"
@@ -195,11 +196,10 @@ def select(windows: DataFrame, anchors: DataFrame, rows: DataFrame, blocks: dict
     widest = state.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0
     whole = None  # windows that hold fewer than k
     for shift in range(max(0, -(-widest.bit_length() // DIGIT) - 1) * DIGIT, -1, -DIGIT):
-        counts = _stored(_grid(state, anchors, rows, blocks).mapInArrow(tidy(_counted(shift)), "anchor_id long, positive_id long, digit int, n long").groupBy("anchor_id", "positive_id", "digit").agg(F.sum("n").alias("n")), "histograms")
-        upto = Window.partitionBy("anchor_id", "positive_id").orderBy("digit")
-        summed = counts.withColumn("upto", F.sum("n").over(upto))
-        joined = state.join(summed, ["anchor_id", "positive_id"]).groupBy(*state.columns).agg(F.min(F.when(F.col("upto") >= F.col("need"), F.struct("digit", (F.col("upto") - F.col("n")).alias("before")))).alias("hit"))
-        known = _stored(joined, "digits")
+        counts = _grid(state, anchors, rows, blocks).mapInArrow(tidy(_counted(shift)), "anchor_id long, positive_id long, digit int, n long").groupBy("anchor_id", "positive_id", "digit").agg(F.sum("n").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("anchor_id", "positive_id").orderBy("digit")))
+        hit = F.min(F.when(F.col("upto") >= F.col("need"), F.struct("digit", (F.col("upto") - F.col("n")).alias("before")))).alias("hit")
+        known = _stored(state.join(upto, ["anchor_id", "positive_id"]).groupBy(*state.columns).agg(hit), "digits")
         if whole is None:  # only the first digit can show that a window holds too few
             whole = known.where("hit IS NULL").drop("hit").withColumn("prefix", F.col("high") - F.col("low"))
         state = known.where("hit IS NOT NULL").select(*[c for c in state.columns if c not in ("need", "prefix")], (F.col("need") - F.col("hit.before")).alias("need"), (F.col("prefix") * BASE + F.col("hit.digit")).alias("prefix"))

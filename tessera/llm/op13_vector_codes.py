@@ -12,8 +12,8 @@ Codebooks start as the parts of the smallest vec_ids and are replaced in `ROUNDS
 unused entry stays. They are `ENTRIES` vectors, so they are broadcast and their sums collected (64 times the width); everything else stays in tasks: sums
 are added up in each task before they are shuffled.
 
-Nulls and edge cases: a vector that is null, empty, or holds null or non-finite components is dropped, and so is one with a component
-beyond 2^20 (its squares would not fit 64 bits), one whose width is no multiple of PARTS, and one of another width than the smallest
+Nulls and edge cases: a vector that is null, empty, or holds null or non-finite components is dropped, and so is one with a length
+of 2^22 or more (squared distances would not fit 64 bits), one whose width is no multiple of PARTS, and one of another width than the smallest
 kept vec_id has; rows that repeat a vec_id are coded each, and start codebooks in order of vector and label; a null vec_id is coded and
 starts none; with fewer than ENTRIES rows there are fewer entries; null labels count together; an empty table gives an
 empty result; extra columns are ignored.
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, stored, tidy
 
-PARTS, ENTRIES, ROUNDS, SCALE, LARGEST = 16, 64, 2, 256, float(1 << 20)
+PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: vectors that are compared at once
 ROWS = 2048
-FIT = f"embedding IS NOT NULL AND size(embedding) > 0 AND size(embedding) % {PARTS} = 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <= {LARGEST})"
+#: with such sums of squares no squared distance reaches 2^62
+FIT = f"size(embedding) > 0 AND size(embedding) % {PARTS} = 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x)) AND aggregate(embedding, 0D, (s, x) -> s + double(x) * double(x)) < {float(1 << 60) / SCALE**2}"
 
 
 def whole(vectors: DataFrame) -> DataFrame:
