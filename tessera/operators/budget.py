@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.running import running
+
 
 def prefix_budget(rows: DataFrame, cost: str, budget: int, by: list, partition: list[str] | None = None) -> DataFrame:
-    """Rows in order while their running cost fits; the first that does not ends it."""
-    w = (Window.partitionBy(*partition) if partition else Window).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Rows in order while their running cost fits; the first that does not ends it. Over all rows if there is no partition: then in ranges."""
+    if not partition:
+        return running(rows, by, spent=cost).where(F.col("spent") <= budget)
+    w = Window.partitionBy(*partition).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
@@ -40,10 +44,9 @@ def skipping_budget(rows: DataFrame, cost: str, budget: int, by: list[str], key:
 
 def capped(rows: DataFrame, count: str, per_row: int, total: int, by: list) -> DataFrame:
     """At most `per_row` of each row, at most `total` of all, in order: `taken`."""
-    w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = F.least(F.col(count), F.lit(per_row))
-    before = F.sum(own).over(w) - own
-    return rows.withColumn("taken", F.greatest(F.lit(0), F.least(own, F.lit(total) - before)))
+    upto = running(rows, by, __upto=own)
+    return upto.withColumn("taken", F.greatest(F.lit(0), F.least(own, F.lit(total) - (F.col("__upto") - own)))).drop("__upto")
 
 
 def line_windows(costs: list[int], target: int = 600, overlap: int = 75) -> list[tuple[int, int]]:

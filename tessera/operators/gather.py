@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 
 from tessera.functions import paths, text
 from tessera.operators import edges
+from tessera.operators.running import running
 from tessera.operators.storage import kept
 
 
-def _admit(rows: DataFrame, taken: DataFrame, limit: int, by: list, first_stops: bool = True) -> DataFrame:
-    """New rows in order while what is spent stays within the limit; the first that does not fit ends the phase."""
-    spent = taken.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("before"), F.coalesce(F.max("place"), F.lit(-1)).alias("last"))
+def _admit(rows: DataFrame, taken: DataFrame, limit: int, by: list) -> DataFrame:
+    """New rows in order while what is spent stays within the limit; the first that does not fit ends the phase (W03). Sums run over ranges of the order."""
+    before, last = taken.agg(F.coalesce(F.sum("cost"), F.lit(0)), F.coalesce(F.max("place"), F.lit(-1))).first()
     new = rows.join(taken.select("chunk_id"), "chunk_id", "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*by))).where("nth = 1").drop("nth")
-    run = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = new.crossJoin(F.broadcast(spent)).withColumn("spent", F.col("before") + F.sum("cost").over(run)).withColumn("place", F.col("last") + F.row_number().over(Window.orderBy(*by)))
-    return out.where(F.col("spent") <= limit).select("chunk_id", "file_id", "repo", "path", "hop", "reason", "cost", "place", "spent")
+    out = running(new, by, __spent="cost", __nth=F.lit(1))
+    placed = out.withColumns({"spent": F.col("__spent") + before, "place": F.col("__nth") + last})
+    return placed.where(F.col("spent") <= limit).select("chunk_id", "file_id", "repo", "path", "hop", "reason", "cost", "place", "spent")
 
 
 def gather(hits: DataFrame, chunks: DataFrame, symbols: DataFrame, crossings: DataFrame, budget: int, hops: int = 2) -> DataFrame:
@@ -29,8 +30,8 @@ def gather(hits: DataFrame, chunks: DataFrame, symbols: DataFrame, crossings: Da
     """
     cost = text.token_estimate(F.col("raw_text"))
     body = chunks.select("chunk_id", "file_id", "repo", "path", cost.alias("cost"))
-    run = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = hits.join(body.select("chunk_id", "cost"), "chunk_id").select("chunk_id", "file_id", "repo", "path", F.lit(0).alias("hop"), F.lit("hit").alias("reason"), "cost", (F.row_number().over(Window.orderBy("pos")) - 1).alias("place"), F.sum("cost").over(run).alias("spent"))
+    first = running(hits.join(body.select("chunk_id", "cost"), "chunk_id"), ["pos"], __nth=F.lit(1), spent="cost")
+    taken = kept(first.select("chunk_id", "file_id", "repo", "path", F.lit(0).alias("hop"), F.lit("hit").alias("reason"), "cost", (F.col("__nth") - 1).alias("place"), "spent"))
     few = edges.few_definers(symbols).select("name")
     defined = symbols.join(few, "name", "left_semi").select("name", F.col("file_id").alias("to_file")).distinct()
     named = edges.mentions(chunks).join(few, "name", "left_semi").select("file_id", "name").distinct()

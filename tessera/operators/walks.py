@@ -7,28 +7,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.storage import kept
+
 
 def chain_roots(edges: DataFrame) -> DataFrame:
-    """`(id, resumes)` -> each id with the root its chain of resumptions ends in, and its depth."""
-    edges.createOrReplaceTempView("__chain")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE walk(id, at, depth) AS (
-            SELECT id, id, 0 FROM __chain
-            UNION ALL
-            SELECT w.id, c.resumes, w.depth + 1 FROM walk w JOIN __chain c ON c.id = w.at WHERE c.resumes IS NOT NULL)
-        SELECT id, max_by(at, depth) AS root, max(depth) AS depth FROM walk GROUP BY id""")
+    """`(id, resumes)` -> each id with the root its chain of resumptions ends in, and its depth. A chain that is a ring has no root: its ids have no row.
+
+    Pointer doubling: what an id points to is replaced by what that points to, so a chain of n takes log2(n) rounds.
+    """
+    ids = edges.select("id").distinct()
+    known = edges.where("resumes IS NOT NULL").select("id", F.col("resumes").alias("at"), F.lit(1).alias("depth"))
+    # what is pointed to without being an id itself ends a chain
+    at = kept(ids.join(known, "id", "left").select("id", F.coalesce("at", "id").alias("at"), F.coalesce("depth", F.lit(0)).alias("depth"), F.col("at").isNull().alias("done")))
+    left = None
+    while True:
+        next_ = at.select(F.col("id").alias("at"), F.col("at").alias("__at"), F.col("depth").alias("__depth"), F.col("done").alias("__done"))
+        moved = at.where("NOT done").join(next_, "at", "left").select("id", F.coalesce("__at", "at").alias("at"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.coalesce("__done", F.lit(True)).alias("done"))
+        at = kept(at.where("done").unionByName(moved))
+        before, left = left, at.where("NOT done").count()
+        if left in (0, before):  # none, or only rings
+            return at.where("done").select("id", F.col("at").alias("root"), "depth")
 
 
 def library_closure(uses: DataFrame, repos: DataFrame) -> DataFrame:
-    """The libraries that each project reaches, through libraries only."""
-    uses.createOrReplaceTempView("__uses")
-    repos.createOrReplaceTempView("__repos")
-    return uses.sparkSession.sql("""
-        WITH RECURSIVE hop(project, library, depth) AS (
-            SELECT DISTINCT r.project, u.uses, 1 FROM __uses u JOIN __repos r ON r.name = u.repo AND NOT r.library JOIN __repos l ON l.name = u.uses AND l.library
-            UNION ALL
-            SELECT h.project, u.uses, h.depth + 1 FROM hop h JOIN __uses u ON u.repo = h.library JOIN __repos l ON l.name = u.uses AND l.library WHERE h.depth < 20)
-        SELECT project, library, min(depth) AS depth FROM hop GROUP BY project, library""")
+    """The libraries that each project reaches, through libraries only, with the least number of steps.
+
+    Each round joins what the last one found (not what all found) and drops what is seen, until nothing is new; there is no bound of
+    steps, and rings end.
+    """
+    libraries = repos.where("library").select(F.col("name").alias("library"))
+    edges = kept(uses.select("repo", F.col("uses").alias("library")).distinct().join(libraries, "library", "left_semi"))
+    own = repos.where("NOT library").select(F.col("name").alias("repo"), "project")
+    front = seen = kept(edges.join(own, "repo").select("project", "library", F.lit(1).alias("depth")).distinct())
+    depth = 1
+    while not front.isEmpty():
+        depth += 1
+        found = front.select("project", F.col("library").alias("repo")).join(edges, "repo").select("project", "library").distinct()
+        front = kept(found.join(seen.select("project", "library"), ["project", "library"], "left_anti").select("project", "library", F.lit(depth).alias("depth")))
+        seen = kept(seen.unionByName(front))
+    return seen
 
 
 def cluster(files: DataFrame, least: int = 8, most: int = 150) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import extract, paths, text
-from tessera.operators import edges, scope, tables, threads, views
+from tessera.operators import edges, history, scope, tables, threads, views
 from tessera.plans.fixtures import Corpus, sql
 from tessera.plans.search import _out
 from tessera.sources import inputs
@@ -284,6 +284,20 @@ def s07_commit(spark, sf_dir):
     return _out(seen.select("id", "committed_at", "subject", said.alias("files")), "id", "committed_at", "subject", "files")
 
 
+def s08_ancestry(spark, sf_dir):
+    """Releases against their repository's newest commit. A user's events are its main line; every other error stands beside it and is merged by the second commit after it, the others never."""
+    w = Window.partitionBy("repo").orderBy("event_id")
+    e = Corpus(spark, sf_dir).table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repo"), F.hex("event_id").alias("sha"), "event_id", (F.col("event_type") == "error").alias("aside"))
+    e = e.withColumn("place", F.sum(F.when(F.col("aside"), 0).otherwise(1)).over(w))
+    main = e.where("NOT aside").select("repo", "sha", "place")
+    line = main.join(main.select("repo", F.col("sha").alias("parent"), (F.col("place") + 1).alias("place")), ["repo", "place"])
+    merged = e.where("aside AND event_id % 2 = 0").select("repo", F.col("sha").alias("parent"), (F.col("place") + 2).alias("place")).join(main, ["repo", "place"])
+    parents = line.select("sha", "parent").union(merged.select("sha", "parent"))
+    tips = main.groupBy("repo").agg(F.max_by("sha", "place").alias("sha"))
+    tags = e.where("event_id % 3 = 0").select("repo", F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("tag"), "sha")
+    return _out(history.contained_in(tags, tips, parents), "repo", "tag", "contained", "behind")
+
+
 QUERIES = [f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] in "defjpstx" and n[1:3].isdigit()]
 
 
@@ -297,6 +311,10 @@ _FED = "CASE WHEN thread_id % 5 = 0 THEN 'u9' ELSE 'u' || CAST(thread_id % 3 AS
 _FATE = "CASE doc_id % 12 WHEN 0 THEN 'invalid' WHEN 1 THEN 'unknown repository' WHEN 2 THEN 'invalid' {} WHEN 5 THEN 'skipped' WHEN 6 THEN 'missing' WHEN 7 THEN 'not a file' WHEN 8 THEN 'too large' WHEN 9 THEN 'binary' WHEN 10 THEN 'secret' ELSE 'ok' END"
 _VIEW = "SELECT id, status, CASE WHEN status <> 'ok' THEN '' WHEN id % 12 = 11 THEN 'a.password=<redacted>' || chr(10) || 'b=1' ELSE 'x' || source END AS body FROM (SELECT doc_id AS id, source, {} AS status FROM documents)"
 SQL = {
+    "s08_ancestry": """WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS repo, event_id, event_type = 'error' AS aside, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
+        tip AS (SELECT repo, max(place) AS top FROM e WHERE NOT aside GROUP BY repo),
+        d AS (SELECT e.repo, event_id, CASE WHEN NOT aside THEN top - place WHEN event_id % 2 = 0 AND place + 2 <= top THEN top - place - 1 END AS behind FROM e LEFT JOIN tip USING (repo) WHERE event_id % 3 = 0)
+        SELECT repo, 'v' || CAST(event_id AS VARCHAR) AS tag, behind IS NOT NULL AS contained, CAST(behind AS BIGINT) AS behind FROM d""",
     "s15_source_view": _VIEW.format(_FATE.format("WHEN 4 THEN 'not indexed'")),
     "s15_recorded_view": _VIEW.format(_FATE.format("WHEN 3 THEN 'invalid'")),
     "s07_commit": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS committed_at, o_orderstatus AS subject, coalesce(files, '') AS files FROM orders LEFT JOIN (SELECT l_orderkey, string_agg('f' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CASE WHEN l_linenumber % 2 = 0 AND l_linenumber % 4 <> 0 THEN 'true' ELSE 'false' END, ' ' ORDER BY l_linenumber) AS files FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0",

@@ -22,7 +22,7 @@ _RANKED = f"""h AS (SELECT rank AS pos, repo, regexp_extract(path, '^(.*)/[^/]*$
     cand AS (SELECT *, row_number() OVER (ORDER BY score DESC, first) - 1 AS place FROM (SELECT repo, module, max(score) AS score, min(pos) AS first, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY pos) AS hits, bool_and(supporting) AS supporting FROM h GROUP BY repo, module)),
     rep AS (SELECT *, row_number() OVER (ORDER BY score DESC, first) - 1 AS place FROM (SELECT repo, max(score) AS score, min(first) AS first, bool_and(supporting) AS supporting, count(*) AS modules FROM cand GROUP BY repo))"""
 _CLOSURE = """hop AS (SELECT DISTINCT r.project, u.uses AS library, 1 AS depth FROM uses u JOIN repos r ON r.name = u.repo AND NOT r.library JOIN repos l ON l.name = u.uses AND l.library
-    UNION SELECT h.project, u.uses, h.depth + 1 FROM hop h JOIN uses u ON u.repo = h.library JOIN repos l ON l.name = u.uses AND l.library WHERE h.depth < 20),
+    UNION SELECT h.project, u.uses, h.depth + 1 FROM hop h JOIN uses u ON u.repo = h.library JOIN repos l ON l.name = u.uses AND l.library),
     clo AS (SELECT project, library, min(depth) AS depth FROM hop GROUP BY ALL)"""
 
 

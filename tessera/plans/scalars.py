@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import extract, paths, redaction, text
+from tessera.operators import running
 from tessera.plans.fixtures import Corpus, sql
 from tessera.plans.search import _out
 
@@ -130,7 +131,7 @@ def f44_followups(spark, sf_dir):
 
 def t08_version_sort(spark, sf_dir):
     p = Corpus(spark, sf_dir).table("orders").select(F.concat(F.lit("v"), (F.col("o_orderkey") % 40).cast("string"), F.lit("."), F.lpad((F.col("o_custkey") % 13).cast("string"), 2, "0"), F.when(F.col("o_orderkey") % 5 == 0, "-rc").otherwise("")).alias("name")).distinct()
-    return _out(p.withColumn("rank", F.row_number().over(Window.orderBy(text.version_key(F.col("name")), "name"))), "name", "rank")
+    return _out(running.ranked(p, [text.version_key(F.col("name")), F.col("name")]), "name", "rank")
 
 
 _NAMES = ["src/app/main.go", "src/app/main_test.go", "test/x.py", "docs/guide.md", "README", "license.go", "a/node_modules/x.js", "vendors.go", "dist/a.js", "web/i18n/de.json", "web/i18n/index.ts", "a.spec.ts", "openapi.spec.yaml", "x/schema.generated.ts", "RegeneratedTokenEvent.kt", "package-lock.json", "data/rows.csv", "conf/big.json", "pom.xml", "svc.xsd", "Cargo.lock", "a/b.min.js", "src/Tests.java", "proto/x.pb.go", "docs/conf.py", ".env.prod", "config/tsconfig.base.json", "a/build/x", "notes.txt", "readme.txt"]
