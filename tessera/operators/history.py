@@ -22,14 +22,20 @@ def since(commits: DataFrame, now: Column, days: int) -> DataFrame:
     return commits.where(F.col("committed_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def search(commits: DataFrame, topic: str = "", n: int = ROWS) -> DataFrame:
-    """With a topic the widest tier by bm25, then newest, repository; without one newest, repository, sha."""
+def searchable(commits: DataFrame) -> DataFrame:
+    """Commits with what is searched of them and a key: `id`, `text`."""
+    return commits.withColumn("text", F.concat_ws(" ", "subject", "body")).withColumn("id", F.concat_ws("\u001d", "repo", "sha"))
+
+
+def search(commits: DataFrame, topic: str = "", n: int = ROWS, index=None) -> DataFrame:
+    """With a topic the widest tier by bm25, then newest, repository; without one newest, repository, sha. `index`: postings of `searchable(commits)`, else they are counted here."""
     if not topic:
         by = [F.desc("committed_at"), F.col("repo"), F.col("sha")]
         return commits.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
     _, terms, all_match, prefix = text.tiers(topic)[-1]
-    body = commits.withColumn("text", F.concat_ws(" ", "subject", "body")).withColumn("id", F.concat_ws("\u001d", "repo", "sha"))
-    scored = body.join(bm25(counted(body.select("id", "text"), [(terms, prefix)], "id", "text"), terms, all_match, prefix), "id")
+    body = searchable(commits)
+    asked = [(terms, prefix)]
+    scored = body.join(bm25(index.counted(asked, "id") if index else counted(body.select("id", "text"), asked, "id", "text"), terms, all_match, prefix), "id")
     by = [F.desc("score"), F.desc("committed_at"), F.col("repo"), F.col("sha")]
     return scored.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1).drop("text", "id")
 

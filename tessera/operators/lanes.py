@@ -18,7 +18,8 @@ from tessera.operators.storage import kept
 
 ADDRESS = ("repo", "path", "start_line", "ordinal", "chunk_id")
 MAX_DISTANCE, MOST_NEIGHBOURS, LANE_DEPTH = 1.25, 4096, 40
-QUERY_BLOCK = 1024
+#: queries and vectors that meet in one task
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 K1, B, LEAST_IDF, PLACES = 1.2, 0.75, 1e-6, 6
 HUB_SHARE, HUB_FLOOR = 0.02, 500
 
@@ -39,52 +40,49 @@ class Weights:
 def knn(vectors: DataFrame, queries: DataFrame, k: int = LANE_DEPTH, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """The k nearest chunks of each of `queries(query_id, query)` by L2, ties by address, *then* the distance cut. `vectors` is already restricted.
 
-    Queries go round in blocks of QUERY_BLOCK, a matrix of bounded size each; every Arrow batch of vectors is compared with a block at
-    once and hands on, for each query, its own k best and what ties with the last of them, so little is shuffled.
+    Queries and vectors are dealt into blocks, and each pair of blocks is a task that both are shuffled to: no query passes the driver, and the plan is
+    the same however many there are. A task compares its blocks as matrices and hands on, for each query, its own k best and what ties with the
+    last of them. Only ids and vectors are moved; addresses are joined to what is left.
     """
     k = min(k, MOST_NEIGHBOURS)
-    out_types = [(c, dict(vectors.dtypes)[c]) for c in ADDRESS]
-    schema = ", ".join(["query_id long", *(f"{c} {t}" for c, t in out_types), "distance double"])
-    found = None
-    for ids, matrix in _blocks(queries):
-        near = vectors.select(*ADDRESS, "embedding").mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast((ids, matrix)), k), schema)
-        found = near if found is None else found.union(near)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", *ADDRESS)) - 1).where(F.col("rank") < k)
+    asked, held = (d.agg(F.count("*")).first()[0] for d in (queries, vectors))
+    rows_of, blocks_of = max(1, -(-held // VECTOR_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.where("query IS NOT NULL").select("query_id", F.transform("query", lambda x: x.cast("double")).alias("query"), deal("query_id", blocks_of).alias("i"), every(rows_of).alias("j"))
+    v = vectors.where("embedding IS NOT NULL").select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), deal("chunk_id", rows_of).alias("j"), every(blocks_of).alias("i"))
+    near = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(_nearest(k), "query_id long, chunk_id long, distance double")
+    # what cannot be among the k is gone before addresses come in
+    close = near.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy("distance"))).where(F.col("place") <= k).drop("place")
+    placed = close.join(vectors.select(*ADDRESS), "chunk_id").select("query_id", *ADDRESS, "distance")
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", *ADDRESS)) - 1).where(F.col("rank") < k)
     return ranked.where(F.col("distance") < max_distance) if max_distance > 0 else ranked
 
 
-def _blocks(queries: DataFrame):
-    """(ids, matrix) of QUERY_BLOCK queries at a time; one block is on the driver."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "query").where("query IS NOT NULL").toLocalIterator():
-        ids.append(r.query_id)
-        rows.append(r.query)
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
-
-
-def _nearest(block, k: int):
-    def run(batches):
-        ids, q = block.value
-        for b in batches:
-            width = q.shape[1]
-            sound = pc.fill_null(pc.equal(pc.list_value_length(b.column(len(ADDRESS))), width), False)
-            b = b.filter(sound)
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                x = part.column(len(ADDRESS)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-                squares = (x * x).sum(1)[None, :] + (q * q).sum(1)[:, None] - 2 * q @ x.T
-                far = np.round(np.sqrt(np.maximum(squares, 0)), PLACES)
-                far[part.column(ADDRESS.index("chunk_id")).to_numpy()[None, :] == ids[:, None]] = np.inf
+def _nearest(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64())])
+
+    def of_width(t: pa.Table, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Ids and vectors by width: vectors of another width than a query's are not compared with it."""
+        t = t.combine_chunks()
+        widths, out = pc.list_value_length(t[column]).to_numpy(), {}
+        for w in np.unique(widths).tolist():
+            part = t.filter(pa.array(widths == w)).combine_chunks()
+            out[w] = part.column(0).to_numpy(), part[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), w)
+        return out
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ask, have, out = of_width(left.select(["query_id", "query"]), "query"), of_width(right.select(["chunk_id", "embedding"]), "embedding"), []
+        for w in sorted(ask.keys() & have.keys()):
+            (ids, q), (chunks, x) = ask[w], have[w]
+            for lo in range(0, len(ids), 128):
+                part = q[lo : lo + 128]
+                far = np.round(np.sqrt(np.maximum((x * x).sum(1)[None, :] + (part * part).sum(1)[:, None] - 2 * part @ x.T, 0)), PLACES)
+                far[chunks[None, :] == ids[lo : lo + 128, None]] = np.inf
                 least = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
                 i, j = np.nonzero((far <= least) & np.isfinite(far))
-                at = pa.array(j)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), *(part.column(c).take(at) for c in range(len(ADDRESS))), pa.array(far[i, j])], names=["query_id", *ADDRESS, "distance"])
+                out.append(pa.Table.from_arrays([pa.array(ids[lo + i]), pa.array(chunks[j]), pa.array(far[i, j])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
@@ -102,13 +100,13 @@ class Counts:
     seen: list[int]
 
 
-def _wanted(term: str, as_prefix: bool) -> tuple[str, bool]:
+def wanted_term(term: str, as_prefix: bool) -> tuple[str, bool]:
     return text.plain(term), as_prefix and len(term) >= text.PREFIX_LEAST
 
 
 def counted(chunks: DataFrame, tiers: list[tuple[list[str], bool]], key: str = "chunk_id", body: str = "raw_text") -> Counts:
     """Counts of the terms of all tiers `(terms, as_prefix)`, without diacritics: each text is folded once to words between blanks, and terms are counted by their length in it."""
-    wanted = list(dict.fromkeys(_wanted(t, as_prefix) for terms, as_prefix in tiers for t in terms))
+    wanted = list(dict.fromkeys(wanted_term(t, as_prefix) for terms, as_prefix in tiers for t in terms))
 
     def times(words, term: str):
         return ((F.octet_length(words) - F.octet_length(F.replace(words, F.lit(term), F.lit("")))) / len(term.encode())).cast("long")
@@ -122,22 +120,39 @@ def counted(chunks: DataFrame, tiers: list[tuple[list[str], bool]], key: str = "
     return Counts(rows, key, {w: i for i, w in enumerate(wanted)}, sums[0], float(sums[1] or 0), list(sums[2:]))
 
 
-def bm25(counts: Counts, terms: list[str], all_match: bool, as_prefix: bool = False) -> DataFrame:
-    """`key` and score of the rows that match; statistics are those of all counted texts."""
-    places = [counts.place[_wanted(t, as_prefix)] for t in terms]
+def score(counts: Counts, terms: list[str], all_match: bool, as_prefix: bool = False) -> tuple[Column, Column]:
+    """Of a counted row: whether it matches, and its bm25; statistics are those of all counted texts."""
+    places = [counts.place[wanted_term(t, as_prefix)] for t in terms]
     idf = [max(math.log((counts.n - counts.seen[i] + 0.5) / (counts.seen[i] + 0.5)), LEAST_IDF) for i in places]
     parts = [F.lit(w) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + K1 * (1 - B + B * F.col("dl") / F.lit(counts.average))) for i, w in zip(places, idf)]
     held = [F.col("tf")[i] > 0 for i in places]
-    kept_ = counts.rows.where(reduce(lambda a, b: a & b if all_match else a | b, held))
-    return kept_.select(counts.key, F.round(sum(parts[1:], parts[0]), PLACES).alias("score"))
+    return reduce(lambda a, b: a & b if all_match else a | b, held), F.round(sum(parts[1:], parts[0]), PLACES)
+
+
+def bm25(counts: Counts, terms: list[str], all_match: bool, as_prefix: bool = False) -> DataFrame:
+    """`key` and score of the rows that match."""
+    hit, value = score(counts, terms, all_match, as_prefix)
+    return counts.rows.where(hit).select(counts.key, value.alias("score"))
 
 
 def keyword(chunks: DataFrame, hits: DataFrame, terms: list[str], all_match: bool, as_prefix: bool = False, n: int = LANE_DEPTH, counts: Counts | None = None) -> DataFrame:
-    """The n best hits by bm25, ties by address, with their rank; `counts` if several tiers share a pass over `chunks`."""
+    """The n best hits by bm25, ties by address, with their rank; `counts` from an index or from a pass over `chunks` that several tiers share."""
     scored = hits.select(*ADDRESS).join(bm25(counts or counted(chunks, [(terms, as_prefix)]), terms, all_match, as_prefix), "chunk_id")
     return ranked(scored.orderBy(F.desc("score"), *ADDRESS).limit(n), F.desc("score"))
 
 
+def tiered(hits: DataFrame, counts: Counts, tiers: list[tuple[str, list[str], bool, bool]], n: int = LANE_DEPTH) -> DataFrame:
+    """All tiers of a question at once: (tier, address, score, rank from 0), each tier's n best; scored texts meet their address once."""
+    each = []
+    for name, terms, all_match, prefix in tiers:
+        hit, value = score(counts, terms, all_match, prefix)
+        each.append(F.when(hit, F.struct(F.lit(name).alias("tier"), value.alias("score"))))
+    scored = counts.rows.select(counts.key, F.explode(F.array_compact(F.array(*each))).alias("s")).select(counts.key, "s.*")
+    by = Window.partitionBy("tier").orderBy(F.desc("score"), *ADDRESS)
+    placed = scored.join(hits.select(*ADDRESS), "chunk_id")
+    return placed.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < n).select("tier", *ADDRESS, "score", "rank")
+
+
 def ranked(rows: DataFrame, *by) -> DataFrame:
     """Ranks from 0 over rows that are few by now."""
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*by, *ADDRESS)) - 1)

@@ -55,12 +55,18 @@ def last_turn(messages: DataFrame, before: DataFrame) -> DataFrame:
     return m.groupBy("thread_id").agg(F.max_by(F.struct("message_id", "ordinal"), "ordinal").alias("m")).select("thread_id", "m.*")
 
 
-def thread_search(threads: DataFrame, messages: DataFrame, terms: list[str], n: int = 200) -> DataFrame:
-    """Threads whose title matches, newest first, then those whose messages do, by bm25; a thread once."""
-    titled = bm25(counted(threads.select("thread_id", "title"), [(terms, True)], "thread_id", "title"), terms, True, True).select("thread_id", F.lit(0).alias("place"), F.lit(0.0).alias("score"))
-    scored = bm25(counted(messages.select("message_id", F.concat_ws(" ", "question", "answer").alias("body")), [(terms, True)], "message_id", "body"), terms, True, True)
-    said = scored.join(messages.select("message_id", "thread_id"), "message_id").groupBy("thread_id").agg(F.max("score").alias("score")).select("thread_id", F.lit(1).alias("place"), "score")
-    once = latest(titled.unionByName(said), ["thread_id"], ["place"])
+def said(messages: DataFrame) -> DataFrame:
+    """What is searched of messages: `message_id`, `body`."""
+    return messages.select("message_id", F.concat_ws(" ", "question", "answer").alias("body"))
+
+
+def thread_search(threads: DataFrame, messages: DataFrame, terms: list[str], n: int = 200, titles=None, bodies=None) -> DataFrame:
+    """Threads whose title matches, newest first, then those whose messages do, by bm25; a thread once. `titles`, `bodies`: postings of the titles and of `said(messages)`, else they are counted here."""
+    asked = [(terms, True)]
+    titled = bm25(titles.counted(asked, "thread_id") if titles else counted(threads.select("thread_id", "title"), asked, "thread_id", "title"), terms, True, True).select("thread_id", F.lit(0).alias("place"), F.lit(0.0).alias("score"))
+    scored = bm25(bodies.counted(asked, "message_id") if bodies else counted(said(messages), asked, "message_id", "body"), terms, True, True)
+    found = scored.join(messages.select("message_id", "thread_id"), "message_id").groupBy("thread_id").agg(F.max("score").alias("score")).select("thread_id", F.lit(1).alias("place"), "score")
+    once = latest(titled.unionByName(found), ["thread_id"], ["place"])
     by = [F.col("place"), F.desc("score"), F.desc("thread_id")]
     return once.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
 

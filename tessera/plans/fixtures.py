@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import postings
+
 
 class Corpus:
     """The views of one data folder. Nothing is read before it is used, and only the columns that are."""
@@ -40,6 +42,10 @@ class Corpus:
         """Chunks of enabled repositories with their address."""
         return self.chunks().where("repo <> 'src3'")
 
+    def postings(self) -> postings.Postings:
+        """The inverted index of all chunks."""
+        return postings.of(self.chunks(), self.table("documents"), "chunks")
+
     def vectors(self) -> DataFrame:
         """Chunks of enabled repositories that have a vector."""
         return self.hits().drop("raw_text").join(self.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import paths, text
-from tessera.operators import budget, history, lanes, routing, tables, threads, walks
+from tessera.operators import budget, history, lanes, postings, routing, tables, threads, walks
 from tessera.plans.fixtures import Corpus, sql
 from tessera.plans.search import _out, bm25_sql, keyword_sql
 
@@ -14,7 +14,7 @@ _TERMS = ["thint", "theae"]
 
 
 def _ranked_hits(c: Corpus):
-    rows = lanes.keyword(c.chunks(), c.hits(), _TERMS, False, True)
+    rows = lanes.keyword(c.chunks(), c.hits(), _TERMS, False, True, counts=c.postings().counted([(_TERMS, True)]))
     return rows.select(F.col("rank").alias("pos"), "repo", paths.directory(F.col("path")).alias("module"), "score", "chunk_id", (paths.is_test(F.col("path")) | paths.is_doc(F.col("path"))).alias("supporting"))
 
 
@@ -237,7 +237,9 @@ def t06_history(spark, sf_dir):
 
 
 def r15_commit_search(spark, sf_dir):
-    return _out(history.search(Corpus(spark, sf_dir).commits(), "purchase of the 52"), "rank", "repo", "sha", "score")
+    c = Corpus(spark, sf_dir)
+    index = postings.of(history.searchable(c.commits()).select("id", "text"), c.table("events"), "commits", "id", "text")
+    return _out(history.search(c.commits(), "purchase of the 52", index=index), "rank", "repo", "sha", "score")
 
 
 def p19_window(spark, sf_dir):
@@ -246,9 +248,10 @@ def p19_window(spark, sf_dir):
 
 
 def r16_thread_search(spark, sf_dir):
-    m = Corpus(spark, sf_dir).messages()
+    c = Corpus(spark, sf_dir)
+    m = c.messages()
     titles = m.where("ordinal = 0").select("thread_id", F.left("question", F.lit(48)).alias("title"))
-    return _out(threads.thread_search(titles, m, ["thering"]), "rank", "thread_id", "place", "score")
+    return _out(threads.thread_search(titles, m, ["thering"], titles=postings.of(titles, c.table("conversations"), "titles", "thread_id", "title"), bodies=postings.of(threads.said(m), c.table("conversations"), "messages", "message_id", "body")), "rank", "thread_id", "place", "score")
 
 
 def j18_left_enrich(spark, sf_dir):

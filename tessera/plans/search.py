@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths, text
 from tessera.operators import fusion, lanes
 from tessera.operators.lanes import ADDRESS
+from tessera.operators.storage import kept
 from tessera.plans.fixtures import Corpus, sql
 
 QUESTION = "how does the theaeati handle thattionwh"
@@ -68,13 +69,13 @@ def _decay_sql(test: float = 0.35, doc: float = 0.7) -> str:
 
 def search_lanes(c: Corpus, question: str, w: lanes.Weights = lanes.Weights(), depth: int = lanes.LANE_DEPTH) -> DataFrame:
     """All lanes of one question, ranked. The question's vector is that of the highest query id."""
-    hits, chunks, out = c.hits(), c.chunks(), []
+    hits, out = c.hits(), []
     query = c.question()
     out.append(fusion.lane(lanes.knn(c.vectors(), query, depth), "semantic", w.semantic, 0))
     tiers = text.tiers(question)
-    counts = lanes.counted(chunks, [(terms, prefix) for _, terms, _, prefix in tiers]) if tiers else None
-    for i, (tier, terms, all_match, prefix) in enumerate(tiers):
-        out.append(fusion.lane(lanes.keyword(chunks, hits, terms, all_match, prefix, depth, counts), tier, getattr(w, tier), 1 + i))
+    if tiers:
+        found = kept(lanes.tiered(hits, c.postings().counted([(terms, prefix) for _, terms, _, prefix in tiers]), tiers, depth))
+        out += [fusion.lane(found.where(F.col("tier") == tier), tier, getattr(w, tier), 1 + i) for i, (tier, *_) in enumerate(tiers)]
     robin = lanes.round_robin(lanes.substring(hits, text.substring_terms(question), depth), depth)
     out.append(fusion.lane(robin.withColumnRenamed("pos", "rank"), "substring", w.substring, 9))
     lane = out[0]
@@ -119,30 +120,35 @@ def t01_distance_cut(spark, sf_dir):
     return _out(lanes.knn(c.vectors(), c.queries()), "query_id", "chunk_id", "distance", "rank")
 
 
+def _keyword(c: Corpus, terms: list[str], all_match: bool, as_prefix: bool = False) -> DataFrame:
+    """A keyword lane from the index."""
+    return lanes.keyword(c.chunks(), c.hits(), terms, all_match, as_prefix, counts=c.postings().counted([(terms, as_prefix)]))
+
+
 def _tier(name: str):
     return next(t for t in text.tiers("thintion theaeati onanshat the") if t[0] == name)
 
 
 def r02_keyword_and(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    return _out(lanes.keyword(c.chunks(), c.hits(), ["thintion", "the"], True), "chunk_id", "score", "rank")
+    return _out(_keyword(c, ["thintion", "the"], True), "chunk_id", "score", "rank")
 
 
 def r02_keyword_prefix(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    return _out(lanes.keyword(c.chunks(), c.hits(), ["thint", "theae"], True, True), "chunk_id", "score", "rank")
+    return _out(_keyword(c, ["thint", "theae"], True, True), "chunk_id", "score", "rank")
 
 
 def r02_keyword_or(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     _, terms, all_match, prefix = _tier("any")
-    return _out(lanes.keyword(c.chunks(), c.hits(), terms, all_match, prefix), "chunk_id", "score", "rank")
+    return _out(_keyword(c, terms, all_match, prefix), "chunk_id", "score", "rank")
 
 
 def r03_code_override(spark, sf_dir):
     """The widest tier of the code text stands at the code lane's weight."""
     c = Corpus(spark, sf_dir)
-    rows = lanes.keyword(c.chunks(), c.hits(), ["thbleing", "erbleing"], False, True)
+    rows = _keyword(c, ["thbleing", "erbleing"], False, True)
     return _out(fusion.lane(rows, "code", lanes.Weights().code, 0), "chunk_id", "rank", "lane", "weight")
 
 
@@ -180,7 +186,7 @@ def w10_repo_decay(spark, sf_dir):
 def _module(how: str):
     def query(spark, sf_dir):
         c = Corpus(spark, sf_dir)
-        rows = lanes.keyword(c.chunks(), c.hits(), ["thint", "theae"], False, True).withColumn("module", paths.directory(F.col("path")))
+        rows = _keyword(c, ["thint", "theae"], False, True).withColumn("module", paths.directory(F.col("path")))
         return _out(fusion.module_score(rows, how), "chunk_id", "module", "module_score")
 
     query.__name__ = f"r14_module_rerank_{how}"
@@ -189,7 +195,7 @@ def _module(how: str):
 
 def t14_apply_picks(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    rows = lanes.keyword(c.chunks(), c.hits(), ["thint", "theae"], False, True)
+    rows = _keyword(c, ["thint", "theae"], False, True)
     picks = spark.createDataFrame([(0, 5), (1, 2), (2, 5), (3, 99), (4, 0), (5, 9)], "pos int, pick int")
     return _out(fusion.apply_picks(rows, picks, 20), "chunk_id", "rank", "new_rank")
 
@@ -214,7 +220,7 @@ def p04_stage_scope(spark, sf_dir):
 def t12_comparison_merge(spark, sf_dir):
     """The best of each repository, merged by score (then repository) and cut."""
     c = Corpus(spark, sf_dir)
-    rows = c.hits().select(*ADDRESS).join(lanes.bm25(lanes.counted(c.chunks(), [(["thint", "theae", "onans"], True)]), ["thint", "theae", "onans"], False, True), "chunk_id").where(F.col("repo").isin("src1", "src2", "src7"))
+    rows = c.hits().select(*ADDRESS).join(lanes.bm25(c.postings().counted([(["thint", "theae", "onans"], True)]), ["thint", "theae", "onans"], False, True), "chunk_id").where(F.col("repo").isin("src1", "src2", "src7"))
     per = rows.withColumn("nth", F.row_number().over(_by("repo", F.desc("score"), *ADDRESS))).where("nth <= 8")
     return _out(per.orderBy(F.desc("score"), *ADDRESS).limit(16).withColumn("rank", F.row_number().over(_by(None, F.desc("score"), *ADDRESS)) - 1), "rank", "chunk_id", "repo", "score")
 
