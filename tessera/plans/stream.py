@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import paths
+from tessera.operators.storage import shared_dir
 from tessera.plans.fixtures import Corpus
 from tessera.plans.search import _out
-from tessera.streaming import feed
+from tessera.streaming import feed, mirrors
 
 
 def _scratch(spark) -> str:
-    """A new folder in the one that driver and executors share, or a temporary one where none is named (tests)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
 
 
 def _feed(c: Corpus):
@@ -30,11 +27,27 @@ def q04_incremental(spark, sf_dir):
     """Three landings of changes, in their order, applied as they come."""
     folder, rows = _scratch(spark), _feed(Corpus(spark, sf_dir))
     third = rows.agg(F.max("seq")).first()[0] / 3
-    store = feed.Store(spark, f"{folder}/store")
+    store = mirrors.Mirrors(spark, f"{folder}/store", {"files": mirrors.FILES})
     for i in range(3):
         rows.where((F.col("seq") > i * third - (i == 0)) & (F.col("seq") <= (i + 1) * third)).write.mode("append").parquet(f"{folder}/landed")
         feed.run(spark, f"{folder}/landed", store, f"{folder}/offsets")
-    return _out(store.files(), "repo", "path", "sha", "size", "skip_reason")
+    return _out(store.visible("files"), "repo", "path", "sha", "size", "skip_reason")
+
+
+def s21_one_file(spark, sf_dir):
+    """Two landings of documents as files, each path put twice or deleted: what the tables of mirrors hold of each file after."""
+    folder, d = _scratch(spark), Corpus(spark, sf_dir).table("documents")
+    rows = d.select(F.col("doc_id").alias("seq"), F.col("source").alias("repo"), F.hex("doc_id").alias("sha"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 40).cast("string"), F.lit(".go")).alias("path"), F.when(F.col("doc_id") % 9 == 0, "delete").otherwise("put").alias("op"), F.col("text").alias("body"))
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    store = mirrors.Mirrors(spark, f"{folder}/store", mirrors.TABLES)
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        rows.where(part).write.mode("append").parquet(f"{folder}/landed")
+        feed.run(spark, f"{folder}/landed", store, f"{folder}/offsets")
+    held = store.visible("files").select("repo", "path", "size", "skip_reason")
+    reach = store.visible("chunks").groupBy("repo", "path").agg(F.max("last").alias("last_line"))
+    words = store.visible("keywords").groupBy("repo", "path").agg(F.count_distinct("term").alias("vocabulary"))
+    both = held.join(reach, ["repo", "path"], "left").join(words, ["repo", "path"], "left")
+    return _out(both.select("repo", "path", "size", "skip_reason", F.coalesce("last_line", F.lit(0)).alias("last_line"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary")), "repo", "path", "size", "skip_reason", "last_line", "vocabulary")
 
 
 def q10_sessions(spark, sf_dir):
@@ -44,8 +57,13 @@ def q10_sessions(spark, sf_dir):
     return _out(g, "user_id", "steps", "micros")
 
 
-QUERIES = [q04_incremental, q10_sessions]
+QUERIES = [q04_incremental, s21_one_file, q10_sessions]
+_SECRET = " OR ".join(f"regexp_matches(body, '{p}')" for p in paths.SECRET_SHAPES)
 SQL = {
+    "s21_one_file": rf"""WITH f AS (SELECT source AS repo, 'f' || CAST(doc_id // 40 AS VARCHAR) || '.go' AS path, doc_id % 9 = 0 AS gone, coalesce(text, '') AS body FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id // 40 ORDER BY doc_id DESC) = 1),
+        s AS (SELECT repo, path, body, CASE WHEN strlen(body) > {paths.MOST_BYTES} THEN 'too_large' WHEN {_SECRET} THEN 'secret' WHEN regexp_matches(left(body, 2048), '{paths.GENERATED_MARK}') THEN 'generated' ELSE '' END AS skip_reason FROM f WHERE NOT gone)
+        SELECT repo, path, strlen(body)::BIGINT AS size, skip_reason, CASE WHEN skip_reason = '' THEN len(string_split(body, chr(10))) ELSE 0 END::BIGINT AS last_line,
+            CASE WHEN skip_reason = '' THEN len(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(body)), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''))) ELSE 0 END::BIGINT AS vocabulary FROM s""".replace("\\\\", "\\"),
     "q04_incremental": "WITH f AS (SELECT 'u' || CAST(user_id % 20 AS VARCHAR) AS repo, 'f' || CAST(event_id % 50 AS VARCHAR) || '.go' AS path, event_type, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20, event_id % 50 ORDER BY event_id DESC) = 1) SELECT repo, path, sha256(props) AS sha, strlen(props)::BIGINT AS size, '' AS skip_reason FROM f WHERE event_type <> 'error'",
     "q10_sessions": "SELECT user_id, count(*) AS steps, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM events GROUP BY 1",
 }

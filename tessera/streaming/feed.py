@@ -1,74 +1,22 @@
 """Incremental indexing as a file stream (Q01-Q07): a landed change feed, applied per batch, with its offsets.
 
 The feed holds rows `(repo, sha, path, op, body)`; `op` is put or delete. A batch is applied idempotently: the files it
-touches are cleared and written anew, in the buckets of its repositories only, then the offset of each repository is written, so
-a replay after a failure between the two gives the same tables. A repository whose rows are unsound is recorded as failed and leaves the others alone.
+touches are cleared and written anew in all tables, in the groups of its repositories only, then the offsets (see `mirrors`), so
+a replay after a failure between two tables gives the same. A repository whose rows are unsound is recorded as failed and leaves the others alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import paths
+from tessera.streaming.mirrors import FILES, STATE, Mirrors, derived, group_of
 
 FEED = "seq long, repo string, sha string, path string, op string, body string"
-FILES = "repo string, path string, sha string, size long, skip_reason string"
-STATE = "repo string, last_sha string, last_seq long, error string"
-
-
-BUCKETS = 64
-
-
-def bucket_of(repo):
-    return F.pmod(F.xxhash64(repo), F.lit(BUCKETS)).cast("int")
-
-
-@dataclass
-class Store:
-    """Tables in a folder: `files/v=N/bucket=B` holds the repositories of a bucket, `state/v=N` the offsets of all.
-
-    A version holds only the buckets that changed. `current` is a log with a line per version, written last: the version, and for each
-    bucket of it whether it holds rows; the newest line that names a bucket tells where it is. What no line names does not count.
-    """
-
-    spark: SparkSession
-    root: str
-
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-
-    def log(self) -> list[tuple[int, dict[int, bool]]]:
-        """(version, its buckets and whether they hold rows), oldest first."""
-        if not self._exists(f"{self.root}/current"):
-            return []
-        lines = [r.value.split(" ") for r in self.spark.read.text(f"{self.root}/current").collect()]
-        return sorted((int(v), {int(x.rstrip("-")): not x.endswith("-") for x in rest}) for v, *rest in lines)
-
-    def files(self, buckets: set[int] | None = None) -> DataFrame:
-        """The files of some buckets, or of all."""
-        where: dict[int, int | None] = {}
-        for v, held in self.log():
-            where |= {b: v if full else None for b, full in held.items()}
-        paths_ = [f"{self.root}/files/v={v}/bucket={b}" for b, v in sorted(where.items()) if v is not None and (buckets is None or b in buckets)]
-        return self.spark.read.schema(FILES).parquet(*paths_) if paths_ else self.spark.createDataFrame([], FILES)
-
-    def state(self) -> DataFrame:
-        log = self.log()
-        return self.spark.read.schema(STATE).parquet(f"{self.root}/state/v={log[-1][0]}") if log else self.spark.createDataFrame([], STATE)
-
-    def write(self, files: DataFrame, state: DataFrame, buckets: set[int]) -> None:
-        """Data first, then offsets, then the line in the log. `files`: all rows of the given buckets."""
-        log = self.log()
-        v = log[-1][0] + 1 if log else 1
-        files.withColumn("bucket", bucket_of("repo")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/files/v={v}")
-        state.write.mode("overwrite").parquet(f"{self.root}/state/v={v}")
-        said = [f"{b}" if self._exists(f"{self.root}/files/v={v}/bucket={b}") else f"{b}-" for b in sorted(buckets)]
-        self.spark.createDataFrame([(" ".join([str(v), *said]),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/current")
+__all__ = ["FEED", "FILES", "STATE", "apply", "run"]
 
 
 def last_changes(batch: DataFrame) -> DataFrame:
@@ -77,32 +25,49 @@ def last_changes(batch: DataFrame) -> DataFrame:
     return batch.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def apply(files: DataFrame, state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tables after a batch: changes at or below a repository's offset are not applied again (Q03)."""
-    fresh = batch.join(state.select("repo", "last_seq"), "repo", "left").where(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))).drop("last_seq")
-    bad = fresh.where("path IS NULL OR op NOT IN ('put', 'delete')").select("repo").distinct()
-    sound = last_changes(fresh.join(bad, "repo", "left_anti"))
-    body = F.coalesce("body", F.lit(""))
-    put = sound.where("op = 'put'").select("repo", "path", F.sha2(body, 256).alias("sha"), F.octet_length(body).cast("long").alias("size"), paths.skip_by_body(F.col("path"), body).alias("skip_reason"))
-    after = files.join(sound.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(put)
+def _fresh(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows beyond their repository's offset (Q03), repositories with an unsound one, the last sound change of each path), persisted for every table reads them."""
+    fresh = batch.join(state.select("repo", "last_seq"), "repo", "left").where(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))).drop("last_seq").persist()
+    bad = fresh.where("path IS NULL OR op NOT IN ('put', 'delete')").select("repo").distinct().persist()
+    return fresh, bad, last_changes(fresh.join(bad, "repo", "left_anti")).persist()
+
+
+def _offsets(state: DataFrame, fresh: DataFrame, bad: DataFrame) -> DataFrame:
     done = fresh.join(bad, "repo", "left_anti").groupBy("repo").agg(F.max_by("sha", "seq").alias("last_sha"), F.max("seq").alias("last_seq")).withColumn("error", F.lit(None).cast("string"))
     failed = bad.join(state.select("repo", "last_sha", "last_seq"), "repo", "left").withColumn("error", F.lit("unsound change"))
     touched = done.unionByName(failed)
-    return after, state.join(touched.select("repo"), "repo", "left_anti").unionByName(touched)
+    return state.join(touched.select("repo"), "repo", "left_anti").unionByName(touched)
+
+
+def apply(tables: dict[str, DataFrame], state: DataFrame, batch: DataFrame, cache: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables and offsets after a batch: what is stored of a touched path goes from every table, what is put comes in."""
+    return _applied(tables, state, *_fresh(state, batch), cache)
+
+
+def _applied(tables: dict[str, DataFrame], state: DataFrame, fresh: DataFrame, bad: DataFrame, sound: DataFrame, cache: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame]:
+    new, paths_ = derived(sound.where("op = 'put'"), tables, cache), sound.select("repo", "path")
+    return {name: old.join(paths_, ["repo", "path"], "left_anti").unionByName(new[name]) for name, old in tables.items()}, _offsets(state, fresh, bad)
 
 
-def run(spark: SparkSession, feed_dir: str, store: Store, checkpoint: str, files_per_batch: int | None = None) -> None:
+def run(spark: SparkSession, feed_dir: str, mirrors: Mirrors, checkpoint: str, files_per_batch: int | None = None, cache: DataFrame | None = None, before: Callable[[int], None] | None = None) -> None:
     """Everything that has landed, batch by batch, then stop (`availableNow`); a long-running service sets a processing time instead.
 
     Changes of a batch take effect in the order of `seq`, in whatever files they stand; files of later batches must hold later changes.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        buckets = {r[0] for r in batch.select(bucket_of("repo")).distinct().collect()}
-        files, state = apply(store.files(buckets), store.state(), batch)
-        store.write(files, state, buckets)
-        batch.unpersist()
+    def step(batch: DataFrame, n: int) -> None:
+        if before:
+            before(n)
+        groups = {r[0] for r in batch.select(group_of("repo")).distinct().collect()}
+        versions = mirrors.versions()
+        held = {name: mirrors.visible(name, groups, versions) for name in mirrors.tables}
+        offsets = mirrors.offsets(groups, versions)
+        read = _fresh(offsets, batch)
+        try:
+            mirrors.commit(*_applied(held, offsets, *read, cache), groups, max(versions.values(), default=0) + 1)
+        finally:
+            for rows in read:
+                rows.unpersist()
 
     stream = spark.readStream.schema(FEED)
     stream = stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream

@@ -200,17 +200,6 @@ def test_ancestry(spark):
     assert got == {("c", "c"): 0, ("c", "b"): 1, ("c", "a"): 2, ("d", "d"): 0, ("d", "b"): 1, ("d", "a"): 2}
 
 
-def test_feed_is_idempotent_and_isolates_failures(spark, tmp_path):
-    rows = [(1, "r", "s1", "a.go", "put", "x"), (2, "r", "s1", "b.go", "put", "y"), (3, "r", "s2", "a.go", "delete", None), (4, "bad", "s9", None, "put", "z"), (5, "q", "s3", "vendor/c.go", "put", "z")]
-    files, state = spark.createDataFrame([], feed.FILES), spark.createDataFrame([], feed.STATE)
-    batch = spark.createDataFrame(rows, feed.FEED)
-    f1, s1 = feed.apply(files, state, batch)
-    f2, s2 = feed.apply(f1, s1, batch)
-    expected = {("r", "b.go", ""), ("q", "vendor/c.go", "vendored")}
-    assert {(r.repo, r.path, r.skip_reason) for r in f1.collect()} == expected == {(r.repo, r.path, r.skip_reason) for r in f2.collect()}
-    assert {r.repo: (r.last_sha, r.error) for r in s2.collect()} == {"r": ("s2", None), "q": ("s3", None), "bad": (None, "unsound change")}
-
-
 def test_typed_search_and_snippets(spark):
     rows = spark.createDataFrame([(1, "Über den Café-Häusern: the affable case"), (2, "The cafe"), (3, None), (4, "x" * 90 + " cafeteria " + "y" * 90)], "id long, body string")
     found = {r.id: (r.m, r.s) for r in rows.select("id", text.matches_typed(F.col("body"), 'CAFÉ "aff').alias("m"), text.snippet(F.col("body"), "cafe").alias("s")).collect()}
@@ -218,23 +207,6 @@ def test_typed_search_and_snippets(spark):
     assert found[2][1] == "The [cafe]" and found[4][1] == "x" * 39 + " [cafeteria] " + "y" * 39 and not found[3][1]
 
 
-def test_store_rewrites_touched_buckets_only(spark, tmp_path):
-    store = feed.Store(spark, f"{tmp_path}/store")
-    landings = [
-        [(1, "r", "s1", "a.go", "put", "x"), (2, "q", "s1", "b.go", "put", "y"), (3, "r", "s2", "c.go", "put", "z")],
-        [(4, "r", "s3", "a.go", "delete", None), (5, "r", "s3", "c.go", "put", "zz"), (6, "p", "s9", None, "put", "z")],
-        [(7, "r", "s4", "c.go", "delete", None)],
-    ]
-    seen = []
-    for rows in landings:
-        spark.createDataFrame(rows, feed.FEED).repartition(2).write.mode("append").parquet(f"{tmp_path}/landed")
-        feed.run(spark, f"{tmp_path}/landed", store, f"{tmp_path}/offsets")
-        seen.append({(r.repo, r.path, r.size) for r in store.files().collect()})
-    assert seen == [{("r", "a.go", 1), ("q", "b.go", 1), ("r", "c.go", 1)}, {("q", "b.go", 1), ("r", "c.go", 2)}, {("q", "b.go", 1)}]
-    assert {r.repo: (r.last_seq, r.error) for r in store.state().collect()} == {"r": (7, None), "q": (2, None), "p": (None, "unsound change")}
-    assert [len(buckets) for _, buckets in store.log()] == [2, 2, 1]
-
-
 def test_sources(spark):
     files = spark.createDataFrame([("r", "go.mod", "module ex.org/a\n\nrequire (\n\tex.org/b/c v1.2.0\n)\n"), ("r", "w/package.json", '{"name": "@x/a", "dependencies": {"@x/b": "1"}}'), ("r", "m/pom.xml", "<project><parent><groupId>g</groupId><artifactId>p</artifactId></parent><artifactId>svc</artifactId></project>"), ("r", "settings.gradle", "include ':a:b', ':c'\n")], "repo string, path string, body string")
     assert {(r.coordinate, r.direction) for r in inputs.go_modules(files).union(inputs.npm_packages(files)).collect()} == {("ex.org/a", "publishes"), ("ex.org/b/c", "requires"), ("@x/a", "publishes"), ("@x/b", "requires")}
