@@ -285,7 +285,8 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     min(n - i, m - j) can: pairs that cannot reach the threshold are dropped in the join. Texts that share a word of a slot with
     more than HOT texts meet in pairs of blocks, so no task holds all of them and pairs that do not fit are never rows.
     """
-    own = stored(texts.join(_small(members), "doc_id").select("doc_id", "text", "component"), "texts")
+    # members of hot buckets stand near each other where they were read: dealt anew, every task has about as many of their words
+    own = stored(texts.join(_small(members), "doc_id").select("doc_id", "text", "component").repartition("doc_id"), "texts")
     found = own.select("text").mapInArrow(tidy(_word_counts), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int32)
     counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 1 << 30)
