@@ -2,16 +2,19 @@
 
 Terms are lower-cased words and their first 4 letters (marked), so inflected and compounded forms meet. `fit` takes the
 `MOST_EXAMPLES` labelled documents of least hash (a documented bound, as a text is compared with all of them; fewer labels are all taken). Every term of their whole
-texts is in the index and none is dropped. A term weighs (1 + log count) x idf x relevance: document frequencies are counted
-over all documents, and the relevance runs from `LEAST_RELEVANCE`, for terms that stand as often in either kind of example, to
-1, for terms whose presence depends on the label (the square of chi-square / `CHI_SQUARE`, 1 at most). Without it neighbours
-are those of a text's topic (README). Vectors have length 1, so the similarity is the cosine of these TF-IDF vectors.
+texts is in the index and none is dropped. A term weighs (1 + log count) x idf; document frequencies are counted
+over all documents. Vectors have length 1, so the similarity is the cosine of TF-IDF vectors: no label has a part in it.
 
 The postings of a term lie in blocks of `BLOCK` examples, each block with its largest weight. A query bounds every block by the
 sum of its terms' largest weights there, scores the blocks of the largest bounds first, and of the others those whose bound
-reaches the k-th best similarity so far; all exactly, so the k nearest are exact. Examples as similar as the k-th (to nine
-places) all vote: no number and no doc_id decides. Votes are weighted by squared similarity and calibrated by isotonic
-regression on leave-one-out votes of the examples. A text without a term has the calibrated score of no votes.
+reaches the k-th best similarity so far; all exactly, so the k nearest are exact. Terms that an eighth of the examples have are a matrix instead: nearly every block has them, so they
+would prune nothing. Examples as similar as the k-th (to nine places) all vote: no number and no doc_id decides.
+
+Labels speak in the votes. A neighbour's vote weighs the square of a second cosine, in which each term counts by its
+relevance as well: from `LEAST_RELEVANCE`, for terms that stand about as often in either kind of example (a chi-square below `LEAST_CHI_SQUARE`), to
+1, for terms whose presence depends on the label (the square of chi-square / `CHI_SQUARE`, 1 at most). So neighbours that share no more than a text's topic say
+little. Examples with exactly the text's terms count one less together, for every text alike: an example is not its own evidence, and the
+isotonic regression that turns votes into scores is fitted on votes made in the same way. A text without a term has the calibrated score of no votes.
 
 Each text is read once: its terms are stored as sparse rows, counted, then scored. What is collected and broadcast is bounded
 by the examples: their terms and the index.
@@ -41,9 +44,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, stored, tidy
 
-MOST_EXAMPLES, CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 1_500, 50.0, 0.05, 0.5
-NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 15, 64, 4, 0.5, 0.3
+MOST_EXAMPLES, CHI_SQUARE, LEAST_CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 1_500, 50.0, 4.0, 0.05, 0.5
+NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 50, 64, 4, 0.5, 0.3
 PREFIXES = (4,)
+#: similarity, to nine places, of equal terms
+ALIKE = 1 - 1e-9
 WORD = re.compile(r"[^\W_]+")
 #: texts that are compared with the examples together
 QUERIES = 256
@@ -92,10 +97,11 @@ class Reader:
 
 @dataclass
 class Index:
-    """Examples as weighted TF-IDF vectors of length 1: postings (example, count) by term; `ready` deals them in blocks with their largest weight."""
+    """Examples as TF-IDF vectors of length 1: postings (example, count) by term; `ready` deals them in blocks with their largest weight."""
 
     names: np.ndarray  # of terms, sorted
-    weight: np.ndarray  # idf x relevance of each term
+    weight: np.ndarray  # idf of each term
+    relevance: np.ndarray  # of each term, for the votes
     clear: dict[int, str]  # terms that depend on the label, as evidence
     labels: np.ndarray
     ids: np.ndarray
@@ -128,6 +134,11 @@ class Index:
             e, t = self.example.astype(np.intp), np.repeat(np.arange(len(self.names)), np.diff(self.term_at))
             w = (1 + np.log(self.count, dtype=np.float64)) * self.weight[t]
             w /= np.sqrt(np.bincount(e, w * w, n))[e]
+            # for the votes: how long each example is when terms count by relevance, and its terms above the least, by example
+            length = np.sqrt(np.bincount(e, (w * self.relevance[t]) ** 2, n))
+            above = np.flatnonzero(self.relevance[t] > LEAST_RELEVANCE)
+            above = above[np.argsort(e[above], kind="stable")]
+            rows = length, np.searchsorted(e[above], np.arange(n + 1)), t[above], w[above] * (self.relevance[t[above]] ** 2 - LEAST_RELEVANCE**2), np.zeros(len(self.names))
             common = np.diff(self.term_at) >= max(1, n / 8)
             column = np.where(common, np.cumsum(common) - 1, -1)
             dense = np.zeros((blocks * BLOCK, int(common.sum())))
@@ -135,7 +146,7 @@ class Index:
             e, t, w = e[~common[t]], t[~common[t]], w[~common[t]]
             first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)]) if len(e) else np.zeros(0, np.int64)
             most = np.maximum.reduceat(w, first) if len(first) else w
-            self.built = column, dense, np.searchsorted(t[first], np.arange(len(self.names) + 1)), e[first] // BLOCK, most, np.r_[first, len(e)], e, w
+            self.built = column, dense, np.searchsorted(t[first], np.arange(len(self.names) + 1)), e[first] // BLOCK, most, np.r_[first, len(e)], e, w, rows
         return self
 
     def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -147,9 +158,9 @@ class Index:
             across[column[terms[own]], i] = vector[own]
         return (dense @ across).T
 
-    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int = NEAREST, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k most similar and of all as similar as the k-th, best first."""
-        column, _, term_at, block, most, block_at, example, value = self.ready().built
+        column, _, term_at, block, most, block_at, example, value, _ = self.ready().built
         common = self.common([(terms, vector)])[0] if common is None else common
         rare = column[terms] < 0
         terms, vector = terms[rare], vector[rare]
@@ -181,24 +192,38 @@ class Index:
         found = found[np.lexsort((found, -sims[found]))]
         return found, sims[found]
 
-    def votes(self, found: np.ndarray, sims: np.ndarray) -> float:
-        """Share of toxic neighbours weighted by squared similarity, drawn to the overall share; sums of sorted numbers, so that order does not matter."""
+    def neighbours(self, terms: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities) of the NEAREST and of all as similar as the last of them, best first; one more if some have exactly these terms."""
+        found, sims = self.nearest(terms, self.vector(terms, counts), NEAREST + 1, common)
+        if len(sims) > NEAREST and sims[0] < ALIKE:
+            near = sims >= sims[NEAREST - 1]
+            found, sims = found[near], sims[near]
+        return found, sims
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, found: np.ndarray, sims: np.ndarray) -> float:
+        """Share of toxic neighbours weighted by the square of the cosine with relevances, drawn to the overall share; sums of sorted numbers, so that order does not matter.
+
+        Those with exactly these terms count one less together, whatever their labels. Terms of the least relevance give that cosine their part of
+        the similarity, so only the others are added up.
+        """
+        lengths, at, term, value, across = self.ready().built[-1]
+        across[terms] = vector = self.vector(terms, counts)
+        own = math.sqrt(float(((vector * self.relevance[terms]) ** 2).sum()))
+        each = at[found + 1] - at[found]
+        places = _spread(at[found], each)
+        shared = np.bincount(np.repeat(np.arange(len(found)), each), across[term[places]] * value[places], len(found)) + LEAST_RELEVANCE**2 * sims
+        across[terms] = 0.0
+        weight, alike = np.round(shared / (own * lengths[found]), 9) ** 2 if len(found) else shared, sims >= ALIKE
+        if n := int(alike.sum()):
+            weight[alike] *= (n - 1) / n
         prior = float(self.labels.mean()) if len(self.labels) else 0.0
-        total, bad = np.sort(sims * sims).sum(), np.sort((sims * sims)[self.labels[found] > 0]).sum()
+        total, bad = np.sort(weight).sum(), np.sort(weight[self.labels[found] > 0]).sum()
         return float((PRIOR_VOTES * prior + bad) / (PRIOR_VOTES + total))
 
-    def left_out(self, terms: np.ndarray, counts: np.ndarray, own: int) -> float:
-        """Votes of the others for an example."""
-        found, sims = self.nearest(terms, self.vector(terms, counts), NEAREST + 1)
-        others = found != own
-        found, sims = found[others], sims[others]
-        near = sims >= sims[NEAREST - 1] if len(sims) > NEAREST else slice(None)
-        return self.votes(found[near], sims[near])
-
 
 @dataclass
 class Scale:
-    """Votes -> scores: isotonic regression of labels on leave-one-out votes; `silent` is the score of a text without terms."""
+    """Votes -> scores: isotonic regression of labels on the examples' votes; `silent` is the score of a text without terms."""
 
     votes: list[float]
     scores: list[float]
@@ -232,7 +257,7 @@ def relevance(bad_with: np.ndarray, good_with: np.ndarray, bad: int, good: int)
         return np.ones(len(bad_with))
     n, seen = bad + good, bad_with + good_with
     chi = n * (bad_with * float(good) - good_with * float(bad)) ** 2 / np.maximum(seen * (n - seen) * float(bad) * good, 1)
-    return LEAST_RELEVANCE + (1 - LEAST_RELEVANCE) * np.minimum(1, chi / CHI_SQUARE) ** 2
+    return LEAST_RELEVANCE + np.where(chi >= LEAST_CHI_SQUARE, (1 - LEAST_RELEVANCE) * np.minimum(1, chi / CHI_SQUARE) ** 2, 0.0)
 
 
 EXAMPLE = "doc_id long, toxic int, terms array<string>, counts array<int>"
@@ -307,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     depends = relevance(np.bincount(term, labelled[row], len(names)), np.bincount(term, 1 - labelled[row], len(names)), bad, good)
     featured = features(docs, names)
     n, seen = _documents_with(featured, len(names))
-    weight = (np.log((1 + n) / (1 + seen)) + 1) * depends
+    weight = np.log((1 + n) / (1 + seen)) + 1
     clear = {int(places[i]): t for i, t in enumerate(terms) if depends[places[i]] >= CLEAR and bad and good}
     # examples that share their heaviest term stand together, so that blocks have tight maxima
     heaviest, sounding = np.full(len(sizes), -1), np.flatnonzero(sizes)
@@ -317,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     order = order[sizes[order] > 0]
     number = np.full(len(sizes), -1)
     number[order] = np.arange(len(order))
-    index = Index(names, weight, clear, labelled[order], own["doc_id"].to_numpy()[order]).add(number[row], term, counts)
+    index = Index(names, weight, depends, clear, labelled[order], own["doc_id"].to_numpy()[order]).add(number[row], term, counts)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     # examples without a term have no votes: what share of them is toxic
     silent_bad, silent_good = bad - int(index.labels.sum()), good - int(len(order) - index.labels.sum())
@@ -326,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
 
 
 def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
-    """Each example's votes from the nearest others, in example order (bounded as the examples are)."""
+    """Each example's votes, in example order (bounded as the examples are)."""
 
     def run(batches):
         index = shared.value
@@ -335,7 +360,8 @@ def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
             votes = []
             for i, terms, counts in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
                 if terms:
-                    votes.append((number[i], index.left_out(np.searchsorted(index.names, np.array([name_of(t) for t in terms], np.uint64)), np.array(counts), number[i])))
+                    places, counts = np.searchsorted(index.names, np.array([name_of(t) for t in terms], np.uint64)), np.array(counts)
+                    votes.append((number[i], index.vote(places, counts, *index.neighbours(places, counts))))
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in votes], pa.int32()), pa.array([v for _, v in votes], pa.float64())], names=["e", "vote"])
 
     found = rows.repartition(LEFT_OUT).mapInArrow(tidy(run), "e int, vote double").toArrow()
@@ -355,9 +381,9 @@ def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
         index = shared.value
         memo = Memo(None, 5_000)  # copies of a text are scored once
 
-        def scored(terms: np.ndarray, vector: np.ndarray, common: np.ndarray):
-            found, sims = index.nearest(terms, vector, common=common)
-            vote = index.votes(found, sims)
+        def scored(terms: np.ndarray, counts: np.ndarray, common: np.ndarray):
+            found, sims = index.neighbours(terms, counts, common)
+            vote = index.vote(terms, counts, found, sims)
             result = min(1.0, max(0.0, scale(vote))) if len(terms) else scale.silent
             return result, vote, list(zip(index.ids[found].tolist(), sims.tolist(), index.labels[found].astype(int).tolist())), sorted(index.clear[t] for t in terms.tolist() if t in index.clear)
 
@@ -370,8 +396,8 @@ def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
                 for terms, counts in zip(*(np.split(part.column(c).flatten().to_numpy(), ends) for c in (1, 2))):
                     keys.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
                     if keys[-1] not in memo and keys[-1] not in new:
-                        new[keys[-1]] = terms, index.vector(terms, counts)
-                for (key, query), common in zip(new.items(), index.common(list(new.values()))):
+                        new[keys[-1]] = terms, counts
+                for (key, query), common in zip(new.items(), index.common([(t, index.vector(t, c)) for t, c in new.values()])):
                     memo[key] = scored(*query, common)
                 scores, votes, found, evidence = zip(*map(memo.__getitem__, keys))
                 found = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in f] for f in found]

@@ -477,25 +477,30 @@ def plain_toxicity(texts, y):
         table = np.array([[np.sum(has[: len(y), j] & bad), np.sum(has[: len(y), j] & ~bad)], [np.sum(~has[: len(y), j] & bad), np.sum(~has[: len(y), j] & ~bad)]], float)
         want = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
         chi[j] = ((table - want) ** 2 / np.where(want > 0, want, 1)).sum()
-    weight = (np.log((1 + len(texts)) / (1 + has.sum(0))) + 1) * (op.LEAST_RELEVANCE + (1 - op.LEAST_RELEVANCE) * np.minimum(1, chi / op.CHI_SQUARE) ** 2)
-    v = np.where(has, 1 + np.log(np.maximum(x, 1)), 0) * weight
-    v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+    idf = np.log((1 + len(texts)) / (1 + has.sum(0))) + 1
 
-    def vote(i, among):
-        sims = np.round(v[among] @ v[i], 9)
-        least = np.sort(sims)[-op.NEAREST] if len(sims) >= op.NEAREST else 0
-        near = (sims >= least) & (sims > 0)
-        s2 = sims[near] ** 2
-        return (op.PRIOR_VOTES * bad.mean() + s2[bad[among][near]].sum()) / (op.PRIOR_VOTES + s2.sum())
+    def vectors(weight):
+        v = np.where(has, 1 + np.log(np.maximum(x, 1)), 0) * weight
+        return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+
+    plain, stressed = vectors(idf), vectors(idf * (op.LEAST_RELEVANCE + (1 - op.LEAST_RELEVANCE) * np.where(chi >= op.LEAST_CHI_SQUARE, np.minimum(1, chi / op.CHI_SQUARE) ** 2, 0)))
+
+    def vote(i):
+        sims = np.round(plain[: len(y)] @ plain[i], 9)
+        alike = sims >= 1 - 1e-9  # count one less together
+        k = op.NEAREST + int(alike.any())
+        near = np.flatnonzero((sims >= (np.sort(sims)[-k] if len(sims) >= k else 0)) & (sims > 0))
+        w2 = np.round(stressed[near] @ stressed[i], 9) ** 2 * np.where(alike[near], (alike.sum() - 1) / max(1, alike.sum()), 1)
+        return (op.PRIOR_VOTES * bad.mean() + w2[bad[near]].sum()) / (op.PRIOR_VOTES + w2.sum())
 
     every = np.arange(len(y))
-    votes = np.round([vote(i, every[every != i]) for i in every], 12)
+    votes = np.round([vote(i) for i in every], 12)
     pools = [[v, bad[votes == v].mean(), np.sum(votes == v)] for v in np.unique(votes)]
     while any(p[1] >= q[1] for p, q in zip(pools, pools[1:])):
         i = next(i for i, (p, q) in enumerate(zip(pools, pools[1:])) if p[1] >= q[1])
         (a, b, n), (c, d, m) = pools[i : i + 2]
         pools[i : i + 2] = [[(a * n + c * m) / (n + m), (b * n + d * m) / (n + m), n + m]]
-    return [float(np.interp(vote(i, every), [p[0] for p in pools], [p[1] for p in pools])) if has[i].any() else None for i in range(len(texts))]
+    return [float(np.interp(vote(i), [p[0] for p in pools], [p[1] for p in pools])) if has[i].any() else None for i in range(len(texts))]
 
 
 def test_scores_equal_a_plain_version(spark):
@@ -518,7 +523,7 @@ def test_scores_equal_a_plain_version(spark):
 def test_nearest_is_exact():
     rng, gen = random.Random(1), np.random.default_rng(0)
     rows = [{t: rng.randint(1, 3) for t in {int(300 * rng.random() ** 3) for _ in range(rng.randint(1, 30))}} for _ in range(2000)]
-    index = op8_toxicity.Index(np.arange(300, dtype=np.uint64), gen.random(300) + 1, {}, np.zeros(2000), np.arange(2000))
+    index = op8_toxicity.Index(np.arange(300, dtype=np.uint64), gen.random(300) + 1, gen.random(300), {}, np.zeros(2000), np.arange(2000))
     index.add(*(np.array(x) for x in zip(*[(e, t, n) for e, r in enumerate(rows) for t, n in r.items()])))
     dense = np.zeros((2000, 300))
     for i, r in enumerate(rows):
@@ -526,7 +531,7 @@ def test_nearest_is_exact():
     for i in range(150):
         sims = np.round(dense @ dense[i], 9)
         want = {int(e) for e in np.flatnonzero((sims >= np.sort(sims)[-op8_toxicity.NEAREST]) & (sims > 0))}
-        found, near = index.nearest(np.array(list(rows[i])), dense[i, list(rows[i])])
+        found, near = index.nearest(np.array(list(rows[i])), dense[i, list(rows[i])], op8_toxicity.NEAREST)
         assert set(found.tolist()) == want and np.allclose(near, sims[found])
 
 
