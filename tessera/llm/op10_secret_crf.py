@@ -5,15 +5,18 @@ none of them. Its tokens are all of the text: runs of letters and digits, and si
 every tag is followed as the outside is, so chains are the pieces between blanks, and decoding them is exact for the whole text. Features
 of a token: its shape (case, digits, length, alternation of characters, runs of consonants, share of vowels), the
 kinds of its neighbours and whether they touch it, how far back a word stands that speaks of secrets, the piece between blanks
-that it is part of (length, mixed tokens, marks of addresses, a known beginning), and the file (whether it speaks of secrets, how many of its tokens
-are mixed). Every feature is a category, so a text's scores are sums of table rows, and Viterbi runs over the pieces in which some
+that it is part of (length, mixed tokens, marks of addresses, a known beginning, a form of names that are no secrets: UUIDs, hardware addresses, query strings), and the file
+(whether it speaks of secrets, how many of its tokens are mixed). Every feature is a category, so a text's scores are sums of table rows, and Viterbi runs over the pieces in which some
 path other than all outside could win: `hopeful` bounds what any such path can gain, and pieces that cannot are outside for certain.
 
 Weights are trained here, once per driver, by maximising the conditional likelihood (forward and backward sums, Adagrad) on `TRAIN`
 generated lines: keys, tokens, passwords with and without marks and digits, pass phrases joined by marks, against prose, numbers, dates, versions,
-addresses, mails, phone and card numbers, paths, names and sentences about secrets. They are some thousand numbers, shipped with the task.
+addresses, mails, phone and card numbers, paths, query strings, UUIDs and other ids, names and sentences about secrets. They are some thousand numbers, shipped with the task.
 
-Nulls and edge cases: null and empty texts have no spans; very long texts are read whole (memory is that of one text);
+A text is tagged segment by segment: a segment ends at a line feed, and holds `SEGMENT` characters if a line does, so memory is bounded by the segment. A longer line is
+cut at its last blank in it, or, without any, at `SEGMENT` characters, as if a line ended there. What a token knows of the file is found over the whole text before.
+
+Nulls and edge cases: null and empty texts have no spans; very long texts are read whole, in segments;
 repeated rows and null doc_ids are rows like others; equal starts are ordered by kind; extra columns pass through `mask`;
 positions are code points, ends exclusive; an empty table gives an empty result.
 """
@@ -40,20 +43,23 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYED = re.compile("passw|secret|token|api", re.I | re.A)
-TRAIN, EPOCHS, BATCH, SEED, RATE = 5000, 5, 512, 11, 0.25
+TRAIN, EPOCHS, BATCH, SEED, RATE = 8000, 5, 512, 11, 0.25
+SEGMENT = 1 << 16
 #: own features of a token, at most
 OWN = 16
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 TOKEN = re.compile(r"[^\W_]+|\s+|[\W_]")
 #: beginnings that some services give their keys
-BEGINS = re.compile(r"(?<![^\W_])(?:gh[po]_|sk[_-]|xox[a-z]-|AKIA|ASIA|AIza|eyJ|glpat-|npm_|pat_)")
-SPEAKS = re.compile(r"passw|passphrase|secret|token|api|key|credential|auth|bearer|pwd|login", re.I | re.A)
+BEGINS = re.compile(r"(?<![^\W_])(?:gh[po]_|[sr]k[_-]|xox[a-z]-|AKIA|ASIA|AIza|eyJ|glpat-|npm_|pat_)")
+#: forms of names that are no secrets by themselves: UUIDs, hardware addresses; the beginning of a query string
+NAMES = re.compile(r"(?<![^\W_])(?:(?P<id>[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})(?![^\W_]))|\?[\w.-]{1,40}=")
+SPEAKS = re.compile(r"passw|pass(?![a-z])|passphrase|secret|token|api|key|credential|auth|bearer|pwd|login", re.I | re.A)
 MARKS = "=:\"'`@/.-_+,()[]{}<>&$!#%*^?~;|\\"
 #: kinds of tokens; the marks of MARKS follow
 BLANK, LINE, CUE, SMALL, WORD, LONG, NUMBER, MIXED, ODD, MARK = range(10)
 N_KINDS = MARK + len(MARKS)
 #: categories: the left and the right neighbour, the two left of it, distance of the last cue, the piece (twice, and its beginning), the file
-SIZES = (2 * N_KINDS, 2 * N_KINDS, N_KINDS * 10, 5 * 10, 4 * 6 * 10, 8 * 10, 2 * 10, 2 * 4 * 10)
+SIZES = (2 * N_KINDS, 2 * N_KINDS, N_KINDS * 10, 5 * 10, 4 * 6 * 10, 8 * 10, 2 * 3 * 10, 2 * 4 * 10)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -116,6 +122,19 @@ def own_features(t: str) -> list[str]:
     ]
 
 
+FILE_STEPS = (1, 4, 20)
+
+
+def segments(text: str):
+    """(start, end) of the parts of a text that are tagged one after the other."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = text.rfind("\n", at, at + SEGMENT) + 1 or text.rfind(" ", at, at + SEGMENT) + 1 or at + SEGMENT
+        yield at, end
+        at = end
+    yield at, len(text)
+
+
 def _short(kinds: np.ndarray) -> np.ndarray:
     return np.minimum(kinds, MARK)
 
@@ -146,7 +165,12 @@ class Reader:
         self.used += 1
         return self.used - 1
 
-    def __call__(self, text: str, trim: bool = True) -> Tokens:
+    def mixed(self, text: str) -> int:
+        """How many tokens are mixed."""
+        return sum(kind_of(t) == MIXED for t in TOKEN.findall(text.translate(OUTLINE)))
+
+    def __call__(self, text: str, trim: bool = True, file: tuple[bool, int] | None = None) -> Tokens:
+        """`file`: whether it speaks of secrets, and how many of its tokens are mixed, if `text` is a segment of it."""
         if trim and self.used > self.most:
             self.memo.clear()
             self.used = 0
@@ -163,6 +187,9 @@ class Reader:
             kinds[at] = CUE
         begun = np.zeros(len(tokens), bool)
         begun[np.searchsorted(ends, [m.start() for m in BEGINS.finditer(text)], "right")] = True
+        formed = np.zeros(len(tokens), np.int64)
+        for m in NAMES.finditer(text):
+            formed[np.searchsorted(ends, m.start(), "right")] = 1 if m["id"] else 2
         line = np.cumsum(kinds == LINE)
         piece = np.cumsum(kinds <= LINE)
         real = np.flatnonzero(kinds > LINE)
@@ -187,9 +214,11 @@ class Reader:
         address = np.where(slashes > 1, 1, np.where(ats > 0, 2, np.where(dots > 1, 3, 0)))
         size = np.digitize(length, (8, 12, 20, 32, 48))
         s = _short(k)
+        form = np.repeat(np.maximum.reduceat(formed[real], begins), count)
+        speaks, many = file or (bool(spoken), int((k == MIXED).sum()))
         tables = (
             left * 2 + touch, right * 2 + np.r_[touch[1:], False], second * 10 + s, gap * 10 + s, (np.minimum(mixed, 3) * 6 + size) * 10 + s, (address * 2 + (words > 1)) * 10 + s,
-            (each(begun[real]) > 0) * 10 + s, (bool(spoken) * 4 + np.digitize((k == MIXED).sum(), (1, 4, 20))) * 10 + s,
+            ((each(begun[real]) > 0) * 3 + form) * 10 + s, (speaks * 4 + np.digitize(many, FILE_STEPS)) * 10 + s,
         )
         return Tokens(start, end, own, np.stack(tables, 1) + np.r_[0, np.cumsum(SIZES)[:-1]], begins)
 
@@ -248,7 +277,18 @@ class Field:
         return tags[::-1]
 
     def spans(self, text: str, reader: Reader) -> list[tuple[int, int]]:
-        tokens = reader(text)
+        if len(text) <= SEGMENT:
+            return self._spans(text, reader, None)
+        mixed = 0
+        for lo, hi in segments(text):
+            mixed += reader.mixed(text[lo:hi])
+            if mixed >= FILE_STEPS[-1]:
+                break
+        file = SPEAKS.search(text) is not None, mixed
+        return [(lo + a, lo + b) for lo, hi in segments(text) for a, b in self._spans(text[lo:hi], reader, file)]
+
+    def _spans(self, text: str, reader: Reader, file: tuple[bool, int] | None) -> list[tuple[int, int]]:
+        tokens = reader(text, file=file)
         if not len(tokens.own):
             return []
         e, ends, out = self.emissions(tokens, reader), np.r_[tokens.pieces[1:], len(tokens.own)], []
@@ -275,7 +315,10 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
         lambda: some(both, 16, 44), lambda: some(both + "+/", 24, 64) + pick(("", "=", "==")), lambda: some(letters, 12, 24), lambda: some(letters + letters.upper(), 10, 24), lambda: pick(("ghp_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_", "pat_")) + some(both, 18, 40),
         lambda: f"xox{pick('bap')}-{some(numbers, 10, 12)}-{some(both, 16, 24)}", lambda: pick(("AKIA", "ASIA", "AIza")) + some(letters.upper() + numbers, 14, 20), lambda: some(both, 3, 10) + pick("$!@#%&*^?~") + some(both, 3, 12), lambda: word(2).title() + some(numbers, 1, 4) + pick("$!@#%&*") + word(2).title() + some(numbers, 0, 3),
         lambda: "eyJ" + some(both, 15, 24) + "." + some(both, 24, 40) + "." + some(both + "-_", 24, 43), lambda: "-".join(some(both, 4, 6) for _ in range(rng.randint(3, 6))), lambda: "-".join(word(2) for _ in range(rng.randint(3, 5))) + some(numbers, 0, 2),
+        lambda: word(3) + some(numbers, 1, 3) + word(1) + pick("$!@#%&*?") + some(both, 0, 3), lambda: word(2).title() + pick("&!?_#") + word(2).title() + pick(("-", "_", "!", "")) + some(numbers, 2, 4) + pick(("", "!", "x")),
+        lambda: pick(("rk_live_", "rk_test_", "sk_test_", "hvs.", "whsec_", "SG.", "dop_v1_")) + some(both, 16, 40), lambda: some(both, 14, 24) + "." + some(both, 20, 40), lambda: "-".join(word(2) for _ in range(3)) + "-" + some(numbers, 1, 2),
     )
+    hexes = "abcdef" + numbers
     plain = (
         lambda: some(numbers, 1, 19), lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"v{rng.randint(0, 20)}.{rng.randint(0, 30)}.{rng.randint(0, 99)}-{pick(('rc1', 'beta2', 'final0'))}",
         lambda: f"{word(2)}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com", lambda: f"+{rng.randint(1, 99)} ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}", lambda: "/".join([word(2), word(2), f"{word(2)}{rng.randint(0, 99)}.{pick(('html', 'py', 'txt'))}"]),
@@ -284,8 +327,15 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
         lambda: word(2).title() + word(2).title() + word(3).title(), lambda: f"{word(3)}({word(2)}, {word(2)})", lambda: word(9), lambda: f"<a href=\"/{word(2)}/{rng.randint(1, 999)}\">{word(3)}</a>", lambda: f"{word(2)} | {word(2)}", lambda: f"GPL-{rng.randint(1, 3)}.0", lambda: some(letters.upper(), 2) + some(numbers, 18, 20),
         lambda: f"{word(3)}{pick(('!', '?', '...', '!!!', '%', '$$$'))}", lambda: word(2) + "s'" + word(2), lambda: f"CC BY-{pick(('NC', 'SA'))} {rng.randint(1, 4)}.0", lambda: f"{word(3)}-{word(4)}", lambda: f"#{some(numbers + 'abcdef', 6)}", lambda: f"https://{word(2)}.example.org/{pick(('api', 'login', 'auth', 'docs'))}/v{rng.randint(1, 9)}/{pick(('token', 'key', 'secret', 'password'))}-{word(3)}?{word(2)}={word(2)}&{word(1)}={rng.randint(1, 99)}",
         lambda: f"{pick(('get', 'set', 'new', 'max'))}_{pick(('token', 'key', 'secret', 'auth'))}_{word(2)}({word(2)}_{word(2)}, {word(2)}_{word(2)}): {word(2)} {word(2)}[{word(2)}_{word(1)}]", lambda: "".join(word(3) for _ in range(rng.randint(2, 4))).title(), lambda: f"${rng.randint(1, 999)}.{rng.randint(10, 99)}",
+        lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: f'{{"id": "{"-".join(some(hexes, n) for n in (8, 4, 4, 4, 12))}", "{word(2)}": {rng.randint(1, 99)}}}',
+        lambda: f"{pick(('request', 'trace', 'span', 'session', 'build', 'X-Request-Id', 'X-Trace-Id', 'record', 'correlation'))}{pick((' id ', ' id: ', ': ', '=', ' '))}{pick(('', '#', 'req-'))}{some(hexes, 6, 8)}{pick(('', '-' + some(hexes, 4)))}", lambda: ":".join(some(hexes, 2) for _ in range(6)).upper(), lambda: ":".join(some(hexes, 1, 4) for _ in range(6)),
+        lambda: f"https://{word(2)}.example.com/{word(1)}/{word(2)}?{word(1)}={some(both, 4, 12)}", lambda: f"https://{word(2)}.example.net/{word(2)}?{word(1)}={word(2)}&{word(1)}_id={some(both, 6, 14)}&{word(1)}={rng.randint(1, 99)}", lambda: f"{word(2)}.com/{word(1)}?{pick('vqtcs')}={some(both, 8, 12)}",
+        lambda: f"/{word(2)}/{word(1)}.{some(hexes, 8)}.{pick(('js', 'css', 'png'))}", lambda: f"{pick(('css', 'sc', 'jss'))}-{some(letters + numbers, 6, 8)}", lambda: f'W/"{some(hexes, 8, 14)}"', lambda: f"commit {some(hexes, 7, 10)}", lambda: f"{some(letters.upper(), 2, 4)}-{rng.randint(10, 99999)}", lambda: f"{some(letters.upper(), 2)}{some(numbers, 2, 4)}",
+        lambda: f"IMG_{some(numbers, 8)}_{some(numbers, 6)}.jpg", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}.{some(numbers, 3)}Z", lambda: f"{pick(('secretName', 'tokenName', 'keyName', 'KEY_NAME', 'tokenType', 'authType', 'apiVersion'))}{pick((': ', ' = '))}{pick((word(2), word(2) + '-' + word(2), word(1) + '-' + word(2) + '-' + word(1)))}",
+        lambda: f"{pick(('password', 'token', 'secret', 'api_key'))}{pick((': ', '=', ' = '))}{pick(('${' + word(2).upper() + '_' + word(1).upper() + '}', '<' + word(2) + ' ' + word(1) + '>', 'os.environ[' + word(2) + ']', '****', 'null', 'none'))}", lambda: f"{pick(('pass', 'passed', 'passing', 'passport', 'keyboard', 'monkey', 'secretary'))} the {word(2)} {pick(('and', 'to', 'in'))} {word(2)}",
     )
-    cue = ("key", "api key", "auth", "Bearer", "secret", "token", "password", "pwd", "credential", "access_key", "passphrase", "login")
+    cue = ("key", "api key", "auth", "Bearer", "secret", "token", "password", "pwd", "credential", "access_key", "passphrase", "login", "pass", "passwd", "DB_PASS", "API_TOKEN", "private key", "credentials", "--password", "auth key")
+    far = (" for the {}: ", " of the {} is ", " was changed to ", " for {} and {} is ", ", ", " to the {}: ", " are {} and ", " {} / ", " (old): ", " for {}: ", ' of {} "')
     about = (" of the ", " was kept by ", " is ", " for ", "s and ", " meeting in ", ": see ", " policy ", " - ", " = ")
     text, spans = words(0, 8), []
     for _ in range(rng.randint(1, 3)):
@@ -295,14 +345,17 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
             cued = rng.random() < 0.75
             make = pick(secrets)
             made = make()
-            if make in (secrets[2], secrets[3], secrets[7], secrets[8], secrets[11]):
+            if make in (secrets[2], secrets[3], secrets[7], secrets[8], secrets[11], secrets[12], secrets[13], secrets[15], secrets[16]):
                 cued = True  # nothing but the context tells them from words
-            quote = pick(("", "", '"', "'"))
+            quote, after = pick(("", "", '"', "'")), pick((" ", ". ", ", ", "; ", ") ", f" {word(1)} "))
+            if rng.random() < 0.1 and "@" not in made and "/" not in made:  # in an address
+                cued, quote, after = False, "", f"@{word(2)}.example.org{pick(('', ':5432'))}/{word(1)} "
+                text += f"{pick(('postgres', 'redis', 'amqp', 'https', 'ftp', 'mongodb'))}://{pick((word(1), 'admin', 'root', ''))}:"
             if cued:
-                text += pick(cue) + pick((" ", ": ", "=", " = ", " is ", ":"))
+                text += pick(cue) + (pick((" ", ": ", "=", " = ", " is ", ":")) if rng.random() < 0.8 else pick(far).format(word(2), word(1)))
             text += quote
             spans.append((len(text), len(text) + len(made)))
-            text += made + quote + pick((" ", ". ", ", ", "; ", ") "))
+            text += made + quote + after
         elif roll < 0.55:
             text += pick(cue) + pick(about) + (words(1, 4) if rng.random() < 0.6 else pick(plain)()) + " "
         else:
