@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import extract, paths, text
+from tessera.functions import extract, models, paths, text
 from tessera.operators import edges, history, scope, tables, threads, views
 from tessera.plans.fixtures import Corpus, sql
 from tessera.plans.search import _out
@@ -298,6 +298,49 @@ def s08_ancestry(spark, sf_dir):
     return _out(history.contained_in(tags, tips, parents), "repo", "tag", "contained", "behind")
 
 
+_MODELS = {
+    "order.bpmn": """<d xmlns:b="u">\n<b:process id="order{0}">\n<b:startEvent id="s"/>\n<b:userTask id="t" name="Check {0}"/>\n<b:sequenceFlow id="1"/>\n<b:sequenceFlow id="2"/>\n<b:subProcess id="pay">\n<b:endEvent id="e" name="Paid {0}"/>\n<b:sequenceFlow id="3"/>\n<b:sequenceFlow id="4"/>\n<b:sequenceFlow id="5"/>\n</b:subProcess>\n<b:sequenceFlow id="6"/>\n</b:process>\n<BPMNDiagram>\n</BPMNDiagram>\n</d>""",
+    "stock.bpmn": """<d>\n<process id="stock">\n<sequenceFlow id="1"/>\n<sequenceFlow id="2"><c/></sequenceFlow>\n<exclusiveGateway id="g{0}"/>\n<sequenceFlow id="3"/><sequenceFlow id="4"/>\n<sequenceFlow id="5"/>\n</process>\n</d>""",
+    "torn.bpmn": """<d>\n<process id="p{0}">\n<task id="t"/>\n""",
+}
+_MODELLED = [
+    ("order.bpmn", "Check {0}", "userTask", "order{0}", 4, 4, 0), ("order.bpmn", "pay", "subProcess", "order{0}", 7, 12, 0), ("order.bpmn", "Paid {0}", "endEvent", "pay", 8, 8, 0), ("order.bpmn", "sequence flows", "sequenceFlows", "pay", 9, 11, 0),
+    ("order.bpmn", "diagram", "diagram", "", 15, 16, 0), ("stock.bpmn", "g{0}", "exclusiveGateway", "stock", 5, 5, 0), ("stock.bpmn", "sequence flows", "sequenceFlows", "stock", 6, 7, 0), ("torn.bpmn", "", "", "", 0, 0, 1),
+]
+
+
+def _templates(c: Corpus, sources: dict[str, str]):
+    """Files of the given texts for each document, with its number in them."""
+    files = c.spark.createDataFrame(list(sources.items()), "path string, template string")
+    d = c.table("documents").select("doc_id").join(F.broadcast(files))
+    return d.select(F.struct("doc_id", "path").alias("key"), "path", F.replace("template", F.lit("{0}"), F.col("doc_id").cast("string")).alias("body"))
+
+
+def e08_process_symbols(spark, sf_dir):
+    """Symbols of two sound models and of one that ends early."""
+    found = extract.over(_templates(Corpus(spark, sf_dir), _MODELS), "key", ("body",), "key struct<doc_id:bigint,path:string>, name string, kind string, scope string, first int, last int, error string", models.process_rows)
+    return _out(found.select("key.doc_id", "key.path", "name", "kind", "scope", "first", "last", (F.col("error") != "").cast("int").alias("failed")), "doc_id", "path", "name", "kind", "scope", "first", "last", "failed")
+
+
+_LETTERS = {
+    "m/#Note{0}.mtxm": ".DSC Pfad x\n.DSC %Label12; Reminder {0}\nDear\n.IF due > {0}\n.TABLE a\n.WHILE x\n.END\n.END\n.SWITCH\n.END\n.EOJ\n.DSC TEXT BEGIN\nx\n.DSC TEXT END\n",
+    "m/open.mtxt": ".DSC Offer {0}\n.IF x\n.FOREACH y\n.END\n",
+    "m/stray.mtxt": "a {0}\n.END\n.IF x\n.END\n",
+    "m/top.MTXT": "\n.IF x\n.END\n.DSC Late {0}\n.TEXTFRAME w={0}\n.TABLE END\n.TEXTFRAME END",
+}
+_LETTERED = [
+    ("m/#Note{0}.mtxm", "Note{0}", "textblock", "Reminder {0}", 1, 3), ("m/#Note{0}.mtxm", "due > {0}", "if", "Note{0}: Reminder {0}", 4, 8), ("m/#Note{0}.mtxm", "switch", "switch", "Note{0}: Reminder {0}", 9, 10), ("m/#Note{0}.mtxm", "Note{0}", "preview", "Note{0}: Reminder {0}", 12, 14),
+    ("m/open.mtxt", "open", "template", "Offer {0}", 1, 4), ("m/stray.mtxt", "stray", "template", "", 1, 4), ("m/top.MTXT", "top", "template", "Late {0}", 1, 4), ("m/top.MTXT", "w={0}", "textframe", "top: Late {0}", 5, 7),
+]
+
+
+def e10_template_symbols(spark, sf_dir):
+    """Symbols of nested, open and stray blocks of document templates."""
+    made = _templates(Corpus(spark, sf_dir), _LETTERS).withColumn("path", F.replace("path", F.lit("{0}"), F.col("key.doc_id").cast("string")))
+    found = extract.over(made, "key", ("path", "body"), "key struct<doc_id:bigint,path:string>, name string, kind string, scope string, first int, last int", models.template_symbols)
+    return _out(found.select("key.doc_id", "key.path", "name", "kind", "scope", "first", "last"), "doc_id", "path", "name", "kind", "scope", "first", "last")
+
+
 QUERIES = [f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] in "defjpstx" and n[1:3].isdigit()]
 
 
@@ -311,6 +354,8 @@ _FED = "CASE WHEN thread_id % 5 = 0 THEN 'u9' ELSE 'u' || CAST(thread_id % 3 AS
 _FATE = "CASE doc_id % 12 WHEN 0 THEN 'invalid' WHEN 1 THEN 'unknown repository' WHEN 2 THEN 'invalid' {} WHEN 5 THEN 'skipped' WHEN 6 THEN 'missing' WHEN 7 THEN 'not a file' WHEN 8 THEN 'too large' WHEN 9 THEN 'binary' WHEN 10 THEN 'secret' ELSE 'ok' END"
 _VIEW = "SELECT id, status, CASE WHEN status <> 'ok' THEN '' WHEN id % 12 = 11 THEN 'a.password=<redacted>' || chr(10) || 'b=1' ELSE 'x' || source END AS body FROM (SELECT doc_id AS id, source, {} AS status FROM documents)"
 SQL = {
+    "e08_process_symbols": f"SELECT doc_id, path, replace(name, '{{0}}', CAST(doc_id AS VARCHAR)) AS name, kind, replace(scope, '{{0}}', CAST(doc_id AS VARCHAR)) AS scope, first, last, failed FROM documents, {_listed(_MODELLED, 'path, name, kind, scope, first, last, failed')}",
+    "e10_template_symbols": f"SELECT doc_id, path, replace(name, '{{0}}', CAST(doc_id AS VARCHAR)) AS name, kind, replace(scope, '{{0}}', CAST(doc_id AS VARCHAR)) AS scope, first, last FROM documents, {_listed(_LETTERED, 'path, name, kind, scope, first, last')}",
     "s08_ancestry": """WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS repo, event_id, event_type = 'error' AS aside, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
         tip AS (SELECT repo, max(place) AS top FROM e WHERE NOT aside GROUP BY repo),
         d AS (SELECT e.repo, event_id, CASE WHEN NOT aside THEN top - place WHEN event_id % 2 = 0 AND place + 2 <= top THEN top - place - 1 END AS behind FROM e LEFT JOIN tip USING (repo) WHERE event_id % 3 = 0)
