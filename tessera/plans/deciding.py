@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import extract, models, paths, text
 from tessera.operators import edges, history, scope, tables, threads, views
+from tessera.operators.storage import shared_dir
 from tessera.plans.fixtures import Corpus, sql
 from tessera.plans.search import _out
 from tessera.sources import inputs
@@ -341,6 +344,30 @@ def e10_template_symbols(spark, sf_dir):
     return _out(found.select("key.doc_id", "key.path", "name", "kind", "scope", "first", "last"), "doc_id", "path", "name", "kind", "scope", "first", "last")
 
 
+def s06_history_log(spark, sf_dir):
+    """The newest 20 commits of each user's landed log, and its broken records: every 17th lacks fields, every 19th a date, every 23rd an id."""
+    folder, e = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", Corpus(spark, sf_dir).table("events")
+    i = F.col("event_id")
+    sha = F.when(i % 23 == 0, "zz").otherwise(F.lower(F.lpad(F.hex(i), 12, "0")))
+    date = F.when(i % 19 == 0, "yesterday").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    body = F.concat(F.lit("of "), F.col("event_type"), F.lit("\n\nSigned-off-by: a <a@x>\nSee "), F.col("props"))
+    fields = F.when(i % 17 == 0, F.array(sha, date)).otherwise(F.array(sha, date, F.lit("me"), F.concat(F.lit("Change "), i.cast("string")), body))
+    e.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("repo"), F.array_join(fields, inputs.UNIT).alias("value")).repartition(4, "repo").write.option("lineSep", inputs.RECORD).partitionBy("repo").text(folder)
+    found = inputs.history_log(spark, folder, 20)
+    return _out(found.select("repo", "sha", F.unix_micros("committed_at").alias("micros"), "subject", F.replace("body", F.lit("\n"), F.lit("|")).alias("body"), "error"), "repo", "sha", "micros", "subject", "body", "error")
+
+
+def s04_blobs(spark, sf_dir):
+    """A landed tree read by size first: every 13th file is larger than its text says, every 7th holds NUL, every 11th no UTF-8, every 29th nothing."""
+    folder, d = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", Corpus(spark, sf_dir).table("documents")
+    i, raw = F.col("doc_id"), F.col("text").cast("binary")
+    content = F.when(i % 29 == 0, F.lit(None)).when(i % 11 == 0, F.concat(F.unhex(F.lit("FFFE")), raw)).when(i % 7 == 0, F.concat(raw, F.unhex(F.lit("00")))).otherwise(raw)
+    size = F.when(i % 13 == 0, F.lit(inputs.MOST_BYTES + 1)).otherwise(F.octet_length("text")).cast("long")
+    d.select(F.col("source").alias("repo"), F.sha2("text", 256).alias("sha"), F.concat(F.lit("f"), i.cast("string")).alias("path"), F.when(i % 31 == 0, "120000").otherwise("100644").alias("mode"), size.alias("size"), content.alias("content")).write.parquet(folder)
+    found = inputs.blobs(inputs.tree(spark, folder))
+    return _out(found.select("repo", "path", "size", "status", F.md5(F.col("body").cast("binary")).alias("digest")), "repo", "path", "size", "status", "digest")
+
+
 QUERIES = [f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] in "defjpstx" and n[1:3].isdigit()]
 
 
@@ -356,6 +383,13 @@ _VIEW = "SELECT id, status, CASE WHEN status <> 'ok' THEN '' WHEN id % 12 = 11 T
 SQL = {
     "e08_process_symbols": f"SELECT doc_id, path, replace(name, '{{0}}', CAST(doc_id AS VARCHAR)) AS name, kind, replace(scope, '{{0}}', CAST(doc_id AS VARCHAR)) AS scope, first, last, failed FROM documents, {_listed(_MODELLED, 'path, name, kind, scope, first, last, failed')}",
     "e10_template_symbols": f"SELECT doc_id, path, replace(name, '{{0}}', CAST(doc_id AS VARCHAR)) AS name, kind, replace(scope, '{{0}}', CAST(doc_id AS VARCHAR)) AS scope, first, last FROM documents, {_listed(_LETTERED, 'path, name, kind, scope, first, last')}",
+    "s06_history_log": """WITH e AS (SELECT 'u' || CAST(user_id % 40 AS VARCHAR) AS repo, lpad(lower(to_hex(event_id)), 12, '0') AS sha, date_trunc('second', ts) AS told, 'Change ' || CAST(event_id AS VARCHAR) AS subject,
+            'of ' || event_type || '||See ' || props AS body, CASE WHEN event_id % 17 = 0 THEN '2 fields' WHEN event_id % 23 = 0 THEN 'no commit id' WHEN event_id % 19 = 0 THEN 'no date' ELSE '' END AS error FROM events)
+        SELECT repo, sha, epoch_us(told) AS micros, subject, body, error FROM e WHERE error = '' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY told DESC, sha) <= 20
+        UNION ALL SELECT repo, NULL, NULL, NULL, NULL, error FROM e WHERE error <> ''""",
+    "s04_blobs": f"""SELECT source AS repo, 'f' || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 13 = 0 THEN {inputs.MOST_BYTES + 1} ELSE strlen(text) END::BIGINT AS size,
+        CASE WHEN doc_id % 13 = 0 THEN 'too_large' WHEN doc_id % 29 = 0 THEN 'missing' WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 'binary' ELSE 'ok' END AS status,
+        CASE WHEN doc_id % 13 <> 0 AND doc_id % 29 <> 0 AND doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN md5(text) END AS digest FROM documents WHERE doc_id % 31 <> 0""",
     "s08_ancestry": """WITH e AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS repo, event_id, event_type = 'error' AS aside, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events),
         tip AS (SELECT repo, max(place) AS top FROM e WHERE NOT aside GROUP BY repo),
         d AS (SELECT e.repo, event_id, CASE WHEN NOT aside THEN top - place WHEN event_id % 2 = 0 AND place + 2 <= top THEN top - place - 1 END AS behind FROM e LEFT JOIN tip USING (repo) WHERE event_id % 3 = 0)

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import extract
 
@@ -31,7 +32,45 @@ def git_log(lines: DataFrame) -> DataFrame:
     """`(repo, value)` records of sha, date, author, subject, body split by NUL -> commits; `*-by:` trailers are left out."""
     p = F.split("value", "\u0000")
     body = F.trim(F.regexp_replace(F.element_at(p, 5), r"(?im)^[\w-]+-by:.*(?:\n|$)", ""))
-    return lines.where(F.size(p) >= 5).select("repo", F.trim(F.element_at(p, 1)).alias("sha"), F.to_timestamp(F.element_at(p, 2)).alias("committed_at"), F.element_at(p, 3).alias("author"), F.element_at(p, 4).alias("subject"), body.alias("body"))
+    return lines.where(F.size(p) >= 5).select("repo", F.regexp_replace(F.element_at(p, 1), r"^\s+|\s+$", "").alias("sha"), F.to_timestamp(F.element_at(p, 2)).alias("committed_at"), F.element_at(p, 3).alias("author"), F.element_at(p, 4).alias("subject"), body.alias("body"))
+
+
+RECORD, UNIT = "\u001e", "\u0000"
+
+
+def history_log(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
+    """Landed logs, in folders `repo=<name>` below `path`, as commits (see `git_log`), with what is wrong with a record in `error`: then nothing else of it is there.
+
+    Records end with RS, so bodies may hold any lines, and fields with NUL. RS is the reader's separator, so files are split and read in parallel. `newest`: so
+    many of each repository, by date and sha; a broken record counts among none.
+    """
+    lines = spark.read.schema("value string, repo string").option("lineSep", RECORD).text(path)
+    p, at = F.split("value", UNIT), lambda n: F.try_element_at(F.split("value", UNIT), F.lit(n))
+    when = F.try_to_timestamp(F.trim(at(2)))
+    error = F.when(F.size(p) != 5, F.concat(F.size(p).cast("string"), F.lit(" fields"))).when(~F.regexp_like(at(1), F.lit(r"^\s*[0-9a-fA-F]{7,64}\s*$")), "no commit id").when(when.isNull(), "no date").otherwise("")
+    marked = lines.where(F.trim(F.regexp_replace("value", "[\r\n]", "")) != "").withColumn("error", error)
+    sound = git_log(marked.where("error = ''")).withColumn("error", F.lit(""))
+    if newest is not None:
+        nth = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("committed_at"), "sha"))
+        sound = sound.withColumn("nth", nth).where(F.col("nth") <= newest).drop("nth")
+    return sound.unionByName(marked.where("error <> ''").select("repo", "error"), allowMissingColumns=True)
+
+
+MOST_BYTES = 1 << 20
+
+
+def blobs(files: DataFrame, most_bytes: int = MOST_BYTES, size: str = "size") -> DataFrame:
+    """`files(repo, path, <size>, content)` -> repo, path, size, status, body: `ok` with its text, `too_large`, `missing` (no content) or `binary` (NUL, or no UTF-8).
+
+    Sizes are judged first: contents are a column of the scan for rows under the limit only, and the limit reaches the reader (also that of `binaryFile`, with `size="length"`: larger files are not
+    opened). A row that cannot be decoded is a row of its own and spoils no other.
+    """
+    small = files.where(F.col(size) <= most_bytes)
+    text = F.col("content").cast("string")
+    status = F.when(F.col("content").isNull(), "missing").when(~F.is_valid_utf8(text) | F.contains(text, F.lit("\u0000")), "binary").otherwise("ok")
+    read = small.select("repo", "path", F.col(size).alias("size"), status.alias("status"), F.when(status == "ok", text).alias("body"))
+    large = files.where(F.col(size).isNull() | (F.col(size) > most_bytes)).select("repo", "path", F.col(size).alias("size"), F.when(F.col(size).isNull(), "missing").otherwise("too_large").alias("status"), F.lit(None).cast("string").alias("body"))
+    return read.unionByName(large)
 
 
 def repository_list(spark: SparkSession, text: str) -> DataFrame:
