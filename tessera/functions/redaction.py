@@ -1,13 +1,16 @@
 """configuration files with their credential values replaced, read by position.
 
-A line either opens with a key whose value runs to its end (`key = value`, `key: value`, in properties also `key value`), or holds
-keys anywhere (minified JSON, YAML flow maps, XML attributes and elements). `opening` reads the first kind, `inside` the second;
-both give the place of a value, and only that place is replaced, so keys, quotes, commas and line ends stay.
+`places` gives the places in a line where a value lies, each with its key and its role: the value of the key that a line opens with
+(`key = value`, `key: value`, in properties also `key value`), values of keys anywhere (minified JSON, YAML flow maps, XML attributes and elements),
+the first value of a JSON line, and stretches that look like credentials. `CREDENTIAL` says of each role when it is one. Only the place is replaced, so keys, quotes, commas and
+line ends stay. What goes over lines - a block below a key, a name whose value follows - is the state of a `Reader`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 MARKER = "<redacted>"
 
@@ -19,7 +22,7 @@ INSIDE_WORDS = ("password", "passwd", "passphrase", "passwort", "secret", "token
 VERSION_PARTS = ("tag", "newtag", "sha", "commit", "rev", "revision", "version", "digest", "checksum", "hash", "image", "id")
 VALUE_SHAPES = (
     r"ENC\(.*\)\Z",
-    r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*\Z",
+    r"eyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*\Z",
     r"[A-Za-z0-9+/]{40,}={0,2}\Z",
     r"[0-9a-fA-F]{32,}\Z",
     r".*(?:password|secret)\s*=",
@@ -43,6 +46,9 @@ _VALUE = re.compile("|".join(VALUE_SHAPES), re.I | re.S)
 _INSIDE = re.compile("|".join(INSIDE_SHAPES))
 _LOGIN = re.compile(URL_LOGIN)
 _WORD = re.compile(r"[\w-]+")
+_QUOTED = re.compile(r"""(["'])(?:\\.|(?!\1).)*\1""")
+_POINTER = re.compile(r"\$\{[^}\s]*\}")
+_BLOCK = re.compile(r"[|>][+-]?\d*")
 QUOTES, SPACES, KEY_MARKS, STOPS = "\"'", " \t", "_.-[]", "\"',;} \t\r"
 
 
@@ -124,23 +130,78 @@ def _value_after(s: str, start: int, end: int) -> tuple[int, int] | None:
     if s[at : at + 1] not in ("=", ":"):
         return None
     at = _past(s, at + 1, SPACES)
-    if s[at : at + 1] and s[at] in QUOTES:
-        at += 1
+    if m := _QUOTED.match(s, at):  # to its closing quote, whatever stands in it
+        return (at + 1, m.end() - 1) if m.end() > at + 2 and s[at + 1] not in "{$" else None
+    at += s[at : at + 1] in (*QUOTES,)
     stop = at
     while stop < len(s) and s[stop] not in STOPS:
         stop += 1
     return (at, stop) if stop > at and s[at] not in "{$" else None
 
 
-def inside(s: str) -> str:
-    """`s` with the values of the keys in it that name credentials replaced."""
-    out, done = [], 0
-    for m in _WORD.finditer(s):
+@dataclass(frozen=True)
+class Place:
+    """Where a value lies in a line, under which key, and how it was found."""
+
+    role: str
+    key: str
+    start: int
+    end: int
+    value: str
+
+
+def keyed(line: str, start: int = 0) -> Iterator[Place]:
+    """The values of keys that name credentials, wherever they stand from `start` on."""
+    done = start
+    for m in _WORD.finditer(line, start):
         flat = m[0].lower().replace("-", "").replace("_", "")
-        if m.start() >= done and any(w in flat for w in INSIDE_WORDS) and (span := _value_after(s, m.start(), m.end())):
-            out += [s[done : span[0]], MARKER]
+        if m.start() >= done and any(w in flat for w in INSIDE_WORDS) and (span := _value_after(line, m.start(), m.end())):
             done = span[1]
-    return "".join([*out, s[done:]])
+            yield Place("keyed", m[0], *span, line[span[0] : span[1]])
+
+
+def places(line: str, style: Style) -> tuple[Place | None, list[Place]]:
+    """(the value of the key that the line opens with, if it does; the others)."""
+    mark = line.lstrip(SPACES)
+    comment = mark.startswith(("#", "!", "//"))
+    shapes = [Place("shape", "", *m.span(), m[0]) for m in _INSIDE.finditer(line)]
+    found = opening(line, style.spaced, style.registry) if not comment or style.registry and mark.startswith("//") else None
+    if found is None:
+        inner = [] if comment else list(keyed(line))
+        return None, inner + [s for s in shapes if all(s.end <= p.start or p.end <= s.start for p in inner)]
+    key, at = found
+    start, end = bare(line, at)
+    more = []
+    if line[start:end].startswith(("{", "[")) or style.json and "," in line[at:end]:  # more keys within the value
+        more = list(keyed(line, at))
+        if style.json and line[at : at + 1] == '"' and (close := line.find('"', at + 1)) > at + 1:
+            more.append(Place("first", key, at + 1, close, line[at + 1 : close]))
+    return Place("opening", key, start, end, line[start:end]), more
+
+
+#: when a place of each role is a credential
+CREDENTIAL: dict[str, Callable[[Place], bool]] = {
+    "keyed": lambda p: True,
+    "shape": lambda p: True,
+    "first": lambda p: secret_value(p.value),
+    "opening": lambda p: secret_value(p.value) and (parts_of(p.key) or [""])[-1] not in VERSION_PARTS,
+}
+
+
+@dataclass(frozen=True)
+class Style:
+    """What a file's name says of how its lines are read."""
+
+    yaml: bool
+    json: bool
+    spaced: bool
+    registry: bool
+
+    @classmethod
+    def of(cls, path: str) -> Style:
+        base = path.rpartition("/")[2].lower()
+        kind = base.rpartition(".")[2]
+        return cls(kind in ("yaml", "yml"), kind == "json", kind == "properties", base == ".npmrc")
 
 
 def _width(line: str) -> int:
@@ -148,55 +209,57 @@ def _width(line: str) -> int:
     return sum(8 if c == "\t" else 1 for c in blank)
 
 
+@dataclass
+class Reader:
+    """Lines of a file one after the other. `below`: the indent of a key whose block is left out; `named`: that of a `name:` which names a credential and whose `value:` may follow."""
+
+    style: Style
+    below: int | None = None
+    named: int | None = None
+
+    def line(self, line: str) -> str | None:
+        """The line with its credentials replaced; None if it is part of a block that is left out."""
+        if self.below is not None:
+            if not line.strip() or _width(line) > self.below:
+                return None
+            self.below = None
+        line = _LOGIN.sub(f"://{MARKER}@", line)
+        first, others = places(line, self.style)
+        cut = [p for p in others if CREDENTIAL[p.role](p)]
+        if first is not None:
+            meant = self._meant(first, _width(line))
+            if meant and self.below is not None:
+                cut = [first]
+            elif not first.value or _POINTER.fullmatch(first.value):
+                cut = []
+            elif meant or not cut and CREDENTIAL["opening"](first):
+                cut = [first]
+        out, done = [], 0
+        for p in sorted(cut, key=lambda p: p.start):
+            if p.start >= done:
+                out += [line[done : p.start], MARKER]
+                done = p.end
+        return "".join([*out, line[done:]])
+
+    def _meant(self, p: Place, width: int) -> bool:
+        """Whether the key says that its value is a credential; remembers what that means for the lines to come."""
+        if self.named is not None and (width < self.named or width == self.named and p.key != "value" or p.key == "name"):
+            self.named = None
+        meant = secret_key(p.key) or self.named is not None and p.key == "value"
+        if self.style.yaml and p.key == "name" and secret_key(p.value):
+            self.named = width
+        if self.style.yaml and meant and _BLOCK.fullmatch(p.value):
+            self.below = width
+        return meant
+
+
 def redact(path: str, text: str | None) -> str | None:
     """A configuration file with its credential values replaced; other files as they are."""
     if text is None or not is_config(path):
         return text
-    base = path.rpartition("/")[2].lower()
-    kind, registry = base.rpartition(".")[2], base == ".npmrc"
-    yaml = kind in ("yaml", "yml")
-    out: list[str] = []
-    below = None  # the indent of a block scalar that is left out
-    named = None  # the indent of a `name:` that names a credential, whose `value:` follows
+    reader, out = Reader(Style.of(path)), []
     for full in text.split("\n"):
         line = full.removesuffix("\r")
-        eol = full[len(line) :]
-        if below is not None:
-            if not line.strip() or _width(line) > below:
-                continue
-            below = None
-        line = _LOGIN.sub(f"://{MARKER}@", line)
-        comment = line.lstrip(SPACES).startswith(("#", "!", "//"))
-        found = opening(line, kind == "properties", registry) if not comment or registry and line.lstrip(SPACES).startswith("//") else None
-        if found is None:
-            line = _INSIDE.sub(MARKER, line if comment else inside(line))
-        else:
-            line, below, named = _judged(line, *found, yaml, kind == "json", named)
-        out.append(line + eol)
+        if (read := reader.line(line)) is not None:
+            out.append(read + full[len(line) :])
     return "\n".join(out)
-
-
-def _judged(line: str, key: str, at: int, yaml: bool, json: bool, named: int | None) -> tuple[str, int | None, int | None]:
-    """A line that opens with a key: the line redacted, the indent of a block left out below it, the indent of a name whose value is to come."""
-    width = _width(line)
-    if named is not None and (width < named or width == named and key != "value" or key == "name"):
-        named = None
-    start, end = bare(line, at)
-    value = line[start:end]
-    hit = secret_key(key) or named is not None and key == "value"
-    if yaml and key == "name" and secret_key(value):
-        named = width
-    if yaml and hit and re.fullmatch(r"[|>][+-]?\d*", value):
-        return line[:at] + MARKER, width, named
-    if not value or re.fullmatch(r"\$\{[^}\s]*\}", value):
-        return line, None, named
-    if not hit and (json and "," in line[at:end] or value[0] in "{["):
-        # more keys within the value, each judged where it stands; the first value of a JSON line as any value is
-        rest = inside(line[at:])
-        if json and rest[:1] == '"' and (close := rest.find('"', 1)) > 0 and secret_value(rest[1:close]):
-            rest = f'"{MARKER}"{rest[close + 1 :]}'
-        if rest != line[at:]:
-            return line[:at] + rest, None, named
-    if hit or secret_value(value) and (parts_of(key) or [""])[-1] not in VERSION_PARTS:
-        return line[:start] + MARKER + line[end:], None, named
-    return line, None, named

@@ -63,8 +63,8 @@ def test_tokens():
 
 
 def test_redaction():
-    said = redaction.redact("a.yaml", "password: hunter2\nname: DB_PASSWORD\nvalue: x1\nmaxKeys: 5\nkey: k\nmap.key: \"k2\",\ntoken: |\n  line\n  more\nplain: ${A}\nsecret:\nurl: http://u:p@h/\nv: eyJa.b.c")
-    assert said.split("\n") == ["password: <redacted>", "name: DB_PASSWORD", "value: <redacted>", "maxKeys: 5", "key: k", 'map.key: "<redacted>",', "token: <redacted>", "plain: ${A}", "secret:", "url: http://<redacted>@h/", "v: <redacted>"]
+    said = redaction.redact("a.yaml", "password: hunter2\nname: DB_PASSWORD\nvalue: x1\nmaxKeys: 5\nkey: k\nmap.key: \"k2\",\ntoken: |\n  line\n  more\nplain: ${A}\nsecret:\nurl: http://u:p@h/\nv: eyJa.b.c\nw: eyJhbGciOiJIUzI1NiJ9abcd.b.c")
+    assert said.split("\n") == ["password: <redacted>", "name: DB_PASSWORD", "value: <redacted>", "maxKeys: 5", "key: k", 'map.key: "<redacted>",', "token: <redacted>", "plain: ${A}", "secret:", "url: http://<redacted>@h/", "v: eyJa.b.c", "w: <redacted>"]
     assert redaction.redact("x", None) is None
 
 
@@ -107,6 +107,9 @@ def test_redaction():
         ("c.json", '  "user": "a", "apiKey": "z1",', '  "user": "a", "apiKey": "#",'),
         ("c.json", '"note": "' + "0a" * 16 + '", "password": "x"', '"note": "#", "password": "#"'),
         ("s.xml", "  <password>z</password>", "  <password>#</password>"),
+        ("c.json", '{"password": "ab\\"cd,ef", "b": 1}', '{"password": "#", "b": 1}'),
+        ("s.xml", '<x password="two words" a="b"/>', '<x password="#" a="b"/>'),
+        ("c.json", '{"password": "${A}", "token": ""}', '{"password": "${A}", "token": ""}'),
         ("s.xml", '<property name="password" value="z"/>', '<property name="password" value="#"/>'),
         ("s.xml", '<property name="url" value="z"/>', '<property name="url" value="z"/>'),
         ("s.xml", '<bean id="d" password="z" user="u"/>', '<bean id="d" password="#" user="u"/>'),
