@@ -120,6 +120,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.char_length(a) >= 4) & (F.char_length(b) >= 4) & F.levenshtein(a, b, 1).between(0, 1)
 
 
+def one_edit_keys(a: Column) -> Column:
+    """F14 for a join by equality: the text and all that one deleted character leaves of it. Texts within one edit share a key."""
+    return F.array_distinct(F.concat(F.array(a), F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(a), F.lit(1))), lambda i: F.concat(F.left(a, i - 1), F.substr(a, i + 1)))))
+
+
 def name_segments(name: Column) -> Column:
     """parts of a repository name."""
     return F.filter(F.split(F.lower(name), r"[-_./ ]+"), lambda t: t != "")

@@ -36,6 +36,14 @@ def neighbours(tokens: DataFrame, most: int = SPREAD) -> DataFrame:
     return few.join(far, ["kind", "value"]).where(other | own).select("kind", "value", "repo", "path", "line", "far_repo", "far_path", "far_line")
 
 
+def repo_links(tokens: DataFrame, most: int = SPREAD) -> DataFrame:
+    """J04 by repository: what links each pair of them, with the number of places on either side and the first of each. Places are added up per repository before they meet, so a value gives at most `most` squared rows, however many places it has."""
+    per = narrow(tokens.where(~F.col("kind").isin(*NO_EDGE)), most).groupBy("kind", "value", "repo").agg(F.count("*").alias("places"), F.min(F.struct("path", "line")).alias("first"))
+    here = per.select("kind", "value", "repo", "places", F.col("first.path").alias("path"), F.col("first.line").alias("line"))
+    far = here.select("kind", "value", *[F.col(c).alias(f"far_{c}") for c in ("repo", "places", "path", "line")])
+    return here.join(far, ["kind", "value"]).where("repo <> far_repo")
+
+
 def suffix_routes(tokens: DataFrame) -> DataFrame:
     """Routes of different repositories where the longer ends with the shorter. Suffixes at `/` are expanded, so the join is by equality, not by comparison of all pairs."""
     routes = tokens.where("kind = 'route'").select("repo", "path", "value").distinct()

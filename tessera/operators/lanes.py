@@ -159,14 +159,17 @@ def ranked(rows: DataFrame, *by) -> DataFrame:
 
 
 def _marked(hits: DataFrame, terms: list[str]) -> DataFrame:
-    """Addresses of the chunks that hold a term, with a bit for each: the text is folded once, and the terms are plain searches in it."""
+    """Addresses of the chunks that hold a term, with a bit for each, BITS to a number: the text is folded once, and the terms are plain searches in it."""
     folded = hits.select(*ADDRESS, "raw_text", text.ascii_lower(F.col("raw_text")).alias("folded"))
-    bits = [F.when(text.holds(F.col("raw_text"), F.col("folded"), t), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(terms)]
-    return folded.select(*ADDRESS, sum(bits[1:], bits[0]).alias("bits"))
+    bits = [F.when(text.holds(F.col("raw_text"), F.col("folded"), t), F.lit(1 << i % BITS).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(terms)]
+    return folded.select(*ADDRESS, F.array(*(sum(bits[lo + 1 : lo + BITS], bits[lo]) for lo in range(0, len(bits), BITS))).alias("bits"))
 
 
-def _bit(i) -> Column:
-    return F.expr(f"bits & {1 << i}L") != 0
+BITS = 62
+
+
+def _bit(i: int) -> Column:
+    return F.expr(f"bits[{i // BITS}] & {1 << i % BITS}L") != 0
 
 
 def substring(hits: DataFrame, terms: list[str], n: int = LANE_DEPTH) -> DataFrame:
@@ -178,7 +181,7 @@ def substring(hits: DataFrame, terms: list[str], n: int = LANE_DEPTH) -> DataFra
     hub = [sums[0] >= HUB_FLOOR and m / sums[0] > HUB_SHARE for m in sums[1:]]
     open_ = [(i, t) for i, t in enumerate(terms) if not hub[i]]
     listed = F.array_compact(F.array(*[F.when(_bit(i), F.struct(F.lit(i).alias("term_pos"), F.lit(t).alias("term"))) for i, t in open_])) if open_ else F.expr("CAST(array() AS array<struct<term_pos:int,term:string>>)")
-    rows = marked.where("bits <> 0").select(*ADDRESS, F.explode(listed).alias("s")).select("s.*", *ADDRESS, paths.kind_rank(F.col("path")).alias("kind"))
+    rows = marked.where("exists(bits, b -> b <> 0)").select(*ADDRESS, F.explode(listed).alias("s")).select("s.*", *ADDRESS, paths.kind_rank(F.col("path")).alias("kind"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("term_pos").orderBy("kind", *ADDRESS)) - 1).where(F.col("rank") < n)
 
 

@@ -17,6 +17,11 @@ def j04_neighbours(spark, sf_dir):
     return _out(edges.neighbours(Corpus(spark, sf_dir).tokens()), "kind", "value", "repo", "path", "line", "far_repo", "far_path", "far_line")
 
 
+def j04_repo_links(spark, sf_dir):
+    """The same edges between repositories, with the number of places on either side."""
+    return _out(edges.repo_links(Corpus(spark, sf_dir).tokens()), "kind", "value", "repo", "places", "path", "line", "far_repo", "far_places", "far_path", "far_line")
+
+
 def j05_spread(spark, sf_dir):
     return _out(edges.spread(Corpus(spark, sf_dir).tokens()), "kind", "value", "spread")
 
@@ -166,10 +171,11 @@ def _hop(n: int, step: str) -> str:
     return f"n{n} AS MATERIALIZED (SELECT file_id, arg_min(repo, from_id) AS repo, {n} AS hop, min(from_id) AS from_id FROM ({step}) WHERE file_id NOT IN (SELECT file_id FROM s{n - 1}) GROUP BY file_id), s{n} AS (SELECT * FROM s{n - 1} UNION ALL SELECT * FROM n{n})"
 
 
-QUERIES = [j04_neighbours, j05_spread, j06_suffix_routes, j12_holders, j13_in_repo, j07_symbol_in_chunk, j08_chunk_at, j09_lines, j11_definers, a01_few_definers, j14_dependency_exists, j16_longest_prefix, j17_alias, j10_includes, g01_reach, g02_gather, g05_whole_file, g06_census, g07_gap]
+QUERIES = [j04_neighbours, j04_repo_links, j05_spread, j06_suffix_routes, j12_holders, j13_in_repo, j07_symbol_in_chunk, j08_chunk_at, j09_lines, j11_definers, a01_few_definers, j14_dependency_exists, j16_longest_prefix, j17_alias, j10_includes, g01_reach, g02_gather, g05_whole_file, g06_census, g07_gap]
 
 SQL = {
     "j04_neighbours": sql(f"few AS ({_FEW}) SELECT a.kind, a.value, a.repo, a.path, a.line, b.repo AS far_repo, b.path AS far_path, b.line AS far_line FROM tokens a JOIN few USING (kind, value) JOIN tokens b ON a.kind = b.kind AND a.value = b.value WHERE a.repo <> b.repo", "tokens"),
+    "j04_repo_links": sql(f"few AS ({_FEW}), per AS (SELECT kind, value, repo, count(*) AS places, min((path, line)) AS f FROM tokens JOIN few USING (kind, value) GROUP BY ALL) SELECT a.kind, a.value, a.repo, a.places, a.f[1] AS path, a.f[2] AS line, b.repo AS far_repo, b.places AS far_places, b.f[1] AS far_path, b.f[2] AS far_line FROM per a JOIN per b ON a.kind = b.kind AND a.value = b.value WHERE a.repo <> b.repo", "tokens"),
     "j05_spread": sql("SELECT kind, value, count(DISTINCT repo) AS spread FROM tokens GROUP BY kind, value", "tokens"),
     "j06_suffix_routes": sql("r AS (SELECT DISTINCT repo, path, CASE WHEN file_id % 2 = 0 THEN '/api' || value ELSE value END AS value FROM tokens) SELECT a.repo, a.path, a.value, b.repo AS far_repo, b.path AS far_path, b.value AS far_value FROM r a JOIN r b ON a.repo <> b.repo AND length(a.value) > length(b.value) AND ends_with(a.value, b.value)", "tokens"),
     "j12_holders": sql(f"few AS ({_FEW}) SELECT repo, path, value, line FROM tokens JOIN few USING (kind, value) WHERE value = '/Enierier/1'", "tokens"),

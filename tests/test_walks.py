@@ -59,3 +59,20 @@ def test_running_sums_equal_a_plain_loop_and_use_no_single_task(spark, n):
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     capped = budget.capped(df.where("cost IS NOT NULL"), "cost", 10, 120, ["id"])
     assert sum(r.taken for r in capped.collect()) == min(120, sum(min(10, c) for *_, c in rows if c))
+
+
+def test_more_terms_than_a_number_has_bits(spark):
+    from tessera.operators import lanes
+
+    rows = [("r", f"p{i}", 1, 0, i, " ".join(f"word{k:03d}x" for k in range(i, 140, 7))) for i in range(7)]
+    hits = spark.createDataFrame(rows, "repo string, path string, start_line int, ordinal int, chunk_id long, raw_text string")
+    got = {(r.term_pos, r.chunk_id) for r in lanes.substring(hits, [f"word{k:03d}x" for k in range(140)]).collect()}
+    assert got == {(k, k % 7) for k in range(140)}
+
+
+def test_texts_within_one_edit_share_a_key(spark):
+    from tessera.functions import text
+
+    pairs = [("abcd", "abcd"), ("abcd", "abxd"), ("abcd", "abcde"), ("abcd", "xabcd"), ("abcd", "abc"), ("aabb", "abab"), ("aaaa", "aaa"), ("", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", (F.levenshtein("a", "b") <= 1).alias("near"), F.arrays_overlap(text.one_edit_keys(F.col("a")), text.one_edit_keys(F.col("b"))).alias("shared"))
+    assert all(r.shared or not r.near for r in df.collect())
