@@ -23,6 +23,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def insert_or_ignore(held: DataFrame, new: DataFrame, keys: list[str], by: list) -> DataFrame:
+    """What is held stays as it is; of new rows the first of each key in the given order comes in, if nothing is held under it. A null key is never the same as another."""
+    unlike = latest(new.join(held.select(*keys).distinct(), keys, "left_anti").where(" AND ".join(f"{k} IS NOT NULL" for k in keys)), keys, by)
+    return held.unionByName(unlike).unionByName(new.where(" OR ".join(f"{k} IS NULL" for k in keys)))
+
+
 def replace_files(rows: DataFrame, fresh: DataFrame, key: str = "file_id") -> DataFrame:
     """A file's rows are cleared and written anew."""
     return rows.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

@@ -72,6 +72,25 @@ def g14_related(spark, sf_dir):
     return _out(scope.related("r1", "r4", deps, deps), "related")
 
 
+def g14_relations(spark, sf_dir):
+    """All pairs of ten repositories, each with itself too; units are linked where a part is ordered from the supplier of its own number."""
+    line = Corpus(spark, sf_dir).table("lineitem")
+    r = lambda c: F.concat(F.lit("r"), (F.col(c) % 25).cast("string"))
+    deps = line.where("l_quantity > 49").select(r("l_orderkey").alias("repo"), r("l_suppkey").alias("publisher")).distinct()
+    links = line.where("l_quantity > 48 AND l_partkey % 25 = l_suppkey % 25").select(r("l_partkey").alias("repo")).distinct()
+    names = line.select(r("l_orderkey").alias("name")).distinct()
+    pairs = names.select(F.col("name").alias("left"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.concat(F.lit("r"), i.cast("string")))).alias("right"))
+    return _out(scope.relations(pairs, deps, links), "left", "right", "related", "how")
+
+
+def x07_insert_or_ignore(spark, sf_dir):
+    """Names of customers' first orders, into a table that holds every third customer already; an order may name its customer again."""
+    c = Corpus(spark, sf_dir)
+    held = c.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("held").alias("said"))
+    new = c.table("orders").select(F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("id"), F.col("o_orderkey").cast("string").alias("said"))
+    return _out(tables.insert_or_ignore(held, new, ["id"], [F.col("said")]), "id", "said")
+
+
 def g04_crossings(spark, sf_dir):
     """Crossings of each page: routes first, then destinations, in path order, each with its reason; the first five."""
     near = edges.neighbours(Corpus(spark, sf_dir).tokens())
@@ -197,6 +216,12 @@ SQL = {
     "f40_stages": f"WITH t AS (SELECT doc_id AS id, unnest({_TOK}) AS w, unnest(range(0, len({_TOK}))) AS pos FROM documents), s AS (SELECT * FROM (VALUES ('the', 'test'), ('der', 'test'), ('test', 'test'), ('la', 'prod'), ('prod', 'prod'), ('thon', 'dev'), ('dev', 'dev')) v(w, stage)) SELECT id, stage, min(pos) AS pos FROM t JOIN s USING (w) GROUP BY ALL",
     "f45_place": sql("SELECT file_id AS id, CASE WHEN file_id % 2 = 0 THEN 1 ELSE 1 + (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') END AS candidates, CASE WHEN file_id % 2 = 0 OR (SELECT count(*) FROM files WHERE regexp_extract(path, '([^/]*)$', 1) = '10.go') = 0 THEN file_id ELSE -1 END AS file_id FROM files", "files"),
     "r17_located": sql("SELECT file_id AS id, CASE WHEN file_id % 5 = 0 THEN 'not found' WHEN file_id % 12 BETWEEN start_line AND end_line THEN 'pointed' ELSE 'unpinned' END AS outcome, CASE WHEN file_id % 5 <> 0 AND file_id % 12 BETWEEN start_line AND end_line THEN chunk_id ELSE -1 END AS chunk_id FROM chunks", "chunks"),
+    "g14_relations": """WITH d AS (SELECT DISTINCT l_orderkey % 25 AS a, l_suppkey % 25 AS b FROM lineitem WHERE l_quantity > 49), u AS (SELECT DISTINCT l_partkey % 25 AS a FROM lineitem WHERE l_quantity > 48 AND l_partkey % 25 = l_suppkey % 25),
+        p AS (SELECT a, b FROM (SELECT DISTINCT l_orderkey % 25 AS a FROM lineitem), (SELECT unnest(range(0, 25)) AS b)),
+        h AS (SELECT p.a, p.b, CASE WHEN p.a = p.b AND EXISTS (SELECT 1 FROM u WHERE u.a = p.a) THEN 'units' WHEN p.a <> p.b AND EXISTS (SELECT 1 FROM d WHERE (d.a = p.a AND d.b = p.b) OR (d.a = p.b AND d.b = p.a)) THEN 'dependency' ELSE '' END AS how FROM p)
+        SELECT 'r' || CAST(a AS VARCHAR) AS "left", 'r' || CAST(b AS VARCHAR) AS "right", how <> '' AS related, how FROM h""",
+    "x07_insert_or_ignore": """WITH o AS (SELECT CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS id, CAST(o_orderkey AS VARCHAR) AS said FROM orders)
+        SELECT c_custkey AS id, 'held' AS said FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT id, min(said) FROM o WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = id AND c_custkey % 3 = 0) GROUP BY id UNION ALL SELECT id, said FROM o WHERE id IS NULL""",
     "g14_related": "SELECT count(*) > 0 AS related FROM lineitem WHERE l_quantity > 49 AND ((l_orderkey % 10 = 1 AND l_suppkey % 10 = 4) OR (l_orderkey % 10 = 4 AND l_suppkey % 10 = 1))",
     "g04_crossings": sql("few AS (SELECT kind, value FROM tokens GROUP BY kind, value HAVING count(DISTINCT repo) <= 3), n AS (SELECT a.path, a.value, b.path AS far_path, b.repo AS far_repo, b.line AS far_line FROM tokens a JOIN few USING (kind, value) JOIN tokens b ON a.kind = b.kind AND a.value = b.value WHERE a.repo <> b.repo) SELECT path, far_path, row_number() OVER (PARTITION BY path ORDER BY far_repo, far_path, far_line, value) AS nth, 'edge:route ' || value || ' from ' || path AS reason, value FROM n QUALIFY nth <= 5", "tokens"),
     "g13_called": "SELECT repo, process, calls, spent FROM (SELECT a.source AS repo, CAST(a.doc_id AS VARCHAR) AS process, CAST(b.doc_id AS VARCHAR) AS calls, sum(length(b.text)) OVER (PARTITION BY a.source ORDER BY CAST(a.doc_id AS VARCHAR), CAST(b.doc_id AS VARCHAR))::BIGINT AS spent FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source WHERE a.doc_id % 3 = 0) WHERE spent <= 16000",

@@ -455,6 +455,12 @@ SQL = {
     "j26_ordered_lookup": "SELECT pos, event_id, event_type FROM (VALUES (0, 40), (1, 3), (2, 999999), (3, 17), (4, 3)) k(pos, event_id) JOIN events USING (event_id)",
     "j27_attach": sql("SELECT thread_id, string_agg(CAST(message_id AS VARCHAR), ',' ORDER BY ordinal) AS messages FROM messages GROUP BY 1", "messages"),
     "j33_indexed_paths": sql("SELECT DISTINCT path, file_id IN (SELECT file_id FROM files WHERE repo <> 'src3') AS indexed FROM tokens", "tokens", "files"),
+    "w05_windows": """WITH RECURSIVE c AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: (length(x) + 3) // 4 + 1) AS k FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, len(k) AS n, list_transform(range(0, len(k) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE list_sum(k[1:i]) END) AS pre FROM c),
+        w AS (SELECT doc_id, n, pre, 0 AS ordinal, 0 AS low, greatest(1, len(list_filter(pre, lambda x: x <= 600)) - 1) AS high FROM p
+            UNION ALL SELECT doc_id, n, pre, ordinal, low, greatest(low + 1, len(list_filter(pre, lambda x: x <= pre[low + 1] + 600)) - 1) FROM
+                (SELECT doc_id, n, pre, ordinal + 1 AS ordinal, greatest(low + 1, len(list_filter(pre, lambda x: x <= pre[high + 1] - 75)) - 1) AS low FROM w WHERE high < n))
+        SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(low + 1 AS BIGINT) AS "start", CAST(high AS BIGINT) AS "end" FROM w""",
     "x01_chain_root": "WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey // 2 > 0 THEN c_custkey // 2 END AS resumes FROM customer), w AS (SELECT id, id AS node, 0 AS depth FROM c UNION ALL SELECT w.id, c.resumes, depth + 1 FROM w JOIN c ON c.id = w.node WHERE c.resumes IS NOT NULL) SELECT id, arg_max(node, depth) AS root, max(depth) AS depth FROM w GROUP BY id",
     "g10_library_closure": sql(f"{_CLOSURE} SELECT project, library, depth FROM clo", "uses", "repos", recursive=True),
     "d01_upsert": sql("SELECT repo, path, CASE WHEN size % 10 = 0 THEN 'new' ELSE sha END AS sha, CASE WHEN size % 10 = 0 THEN size + 1 ELSE size END AS size FROM files", "files"),
