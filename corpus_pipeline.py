@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over `documents`: each is written as Parquet and read again as the next one's input."""
+"""A corpus pipeline of five stages over `documents`: each is written as Parquet and read again as the next one's input.
+
+Nulls and edge cases, in every stage: extra columns, whatever their names, pass through to the last stage; an empty table stays empty; very long texts are read whole.
+A document with a null, empty or wordless text is scored as having no terms, has no near copies, holds no secrets, has size 0 (so the mix takes it as often as others of
+its source) and no tokens; a null doc_id is never an example and no near copy, and draws its copies as the text "null"; rows that repeat a doc_id are scored and masked each, fall together
+as near copies (all go if the group is represented by another doc_id) and draw the same number of copies; near copies that tie keep the smallest doc_id; without labels nothing is rejected.
+"""
 
 from __future__ import annotations
 
