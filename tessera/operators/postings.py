@@ -19,7 +19,7 @@ from tessera.operators.lanes import Counts, wanted_term
 from tessera.operators.storage import kept, shared_dir
 
 BUCKETS = 32
-FILES = 64
+FILES = 32
 ENTRY = ("key", "term", "tf", "dl")
 
 
@@ -39,11 +39,6 @@ def entries(texts: DataFrame, key: str, body: str, *carried: str) -> DataFrame:
     return each.groupBy(*carried, "key", "dl", "term").agg(F.count("*").cast("int").alias("tf")).select(*carried, *ENTRY)
 
 
-def sizes(texts: DataFrame, body: str, *carried: str) -> DataFrame:
-    """How many texts there are, and their words: what the entries cannot tell, as a text may have none."""
-    return texts.select(*carried, F.size(word_list(F.col(body))).alias("dl")).groupBy(*carried).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-
-
 @dataclass(frozen=True)
 class Postings:
     """`rows(bucket, key, term, tf, dl)`, wherever they lie, and the numbers over all texts."""
@@ -73,7 +68,9 @@ def written(texts: DataFrame, key: str, body: str, folder: str) -> None:
     """The index of `texts` as a table in `folder`."""
     made = entries(texts, key, body).withColumn("bucket", bucket_of(F.col("term")))
     made.repartitionByRange(FILES, "bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{folder}/entries")
-    sizes(texts, body).write.parquet(f"{folder}/sizes")
+    # texts without words have no entries, so they are counted where they stand; words are those of the entries
+    words = texts.sparkSession.read.schema("tf int").parquet(f"{folder}/entries").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).first()[0]
+    texts.agg(F.count("*").alias("n")).withColumn("words", F.lit(words).cast("long")).write.parquet(f"{folder}/sizes")
 
 
 def opened(spark: SparkSession, folder: str, key_type: str) -> Postings:
