@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, tidy
+from tessera.llm.common import Memo, give_back, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
@@ -409,6 +409,13 @@ def gradient(e: np.ndarray, steps: np.ndarray, sizes: np.ndarray, tags: np.ndarr
 
 @lru_cache(maxsize=1)
 def trained(n: int = TRAIN, epochs: int = EPOCHS) -> Field:
+    """The field; what its training held is given back, for the driver keeps its place in memory for all that follows."""
+    field = _train(n, epochs)
+    give_back()
+    return field
+
+
+def _train(n: int, epochs: int) -> Field:
     names: dict[str, int] = {}
 
     def numbered(t: str) -> np.ndarray:
@@ -417,10 +424,14 @@ def trained(n: int = TRAIN, epochs: int = EPOCHS) -> Field:
         out[: len(found)] = found
         return out
 
-    reader = Reader(numbered, OWN, np.int64)
-    read = [(reader(text, trim=False), spans) for text, spans in examples(n)]
-    own, codes, tags = (np.concatenate(x) for x in zip(*((reader.table[t.own], t.codes, tagged(t, spans)) for t, spans in read)))
-    sizes = np.concatenate([np.diff(np.r_[t.pieces, len(t.own)]) for t, _ in read])
+    reader = Reader(numbered, OWN, np.int16)
+
+    def read(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        """Own features, categories, tags and sizes of chains, in as few bytes as they need."""
+        t = reader(text, trim=False)
+        return reader.table[t.own], t.codes.astype(np.int16), tagged(t, spans).astype(np.int8), np.diff(np.r_[t.pieces, len(t.own)])
+
+    own, codes, tags, sizes = (np.concatenate(x) for x in zip(*(read(*x) for x in examples(n))))
     starts = np.cumsum(sizes) - sizes
     w_own, w_codes, steps = np.zeros((len(names) + 1, 3)), np.zeros((sum(SIZES), 3)), np.zeros((3, 3))
     squares = [np.full_like(x, 1e-3) for x in (w_own, w_codes, steps)]

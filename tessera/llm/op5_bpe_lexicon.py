@@ -27,16 +27,18 @@ import os
 import struct
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, tidy
+from tessera.llm.common import Memo, give_back, tidy
 
 LEXICON, LONGEST, FLUSH, BATCH, NONE = 200_000, 48, 60_000, 4 << 20, 1 << 62
 #: symbols from which a heap is faster than looking through all pairs
@@ -123,12 +125,12 @@ class Lexicon:
     @staticmethod
     def compile(entries: dict[bytes, bytes]) -> bytes:
         """`entries`: word -> ids as little-endian unsigned 32-bit integers."""
-        registry: dict[tuple, int] = {}
-        states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
+        registry: dict[bytes, int] = {}
+        states: list[bytes] = []  # whether a word ends there, then label and target of each edge
         words: list[int] = []  # reachable from each state
 
         def settle(final: bool, edges: list[tuple[int, int]]) -> int:
-            key = (final, tuple(edges))
+            key = bytes([final]) + b"".join(b.to_bytes(1) + t.to_bytes(4) for b, t in edges)
             if key not in registry:
                 registry[key] = len(states)
                 states.append(key)
@@ -148,17 +150,19 @@ class Lexicon:
         for i in range(len(last), 0, -1):
             path[i - 1][1].append((last[i - 1], settle(*path.pop())))
         root = settle(*path.pop())
-        first, label, target, skip = [0], bytearray(), [], []
-        for final, edges in states:
-            before = int(final)
-            for b, t in edges:
-                label.append(b)
+        registry.clear()
+        first, label, target, skip = array("I", [0]), bytearray(), array("I"), array("I")
+        for state in states:
+            before = state[0]
+            for at in range(1, len(state), 5):
+                t = int.from_bytes(state[at + 1 : at + 5])
+                label.append(state[at])
                 target.append(t)
                 skip.append(before)
                 before += words[t]
             first.append(len(label))
         at = np.cumsum([0, *(len(entries[w]) for w in ordered)], dtype=np.uint32)
-        parts = [np.array(first, "<u4").tobytes(), np.array(target, "<u4").tobytes(), np.array(skip, "<u4").tobytes(), at.tobytes(), bytes(label), bytes(s[0] for s in states), b"".join(entries[w] for w in ordered)]
+        parts = [*(np.array(x, "<u4").tobytes() for x in (first, target, skip, at)), bytes(label), bytes(s[0] for s in states), b"".join(entries[w] for w in ordered)]
         return Lexicon.MAGIC + struct.pack("<IIII", len(states), len(label), len(ordered), root) + b"".join(parts)
 
     @classmethod
@@ -280,11 +284,17 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     return top.select("word").toArrow()["word"].to_pylist()
 
 
-def encode(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
-    """`docs(doc_id, text)` -> doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded."""
+def compiled_words(docs: DataFrame, path: str, most: int = LEXICON) -> Broadcast:
+    """The lexicon of the most frequent words, broadcast; the driver holds nothing of it afterwards."""
     tokenizer = Tokenizer(path)
     entries = {w.encode(): np.array(tokenizer.merged(w), "<u4").tobytes() for w in frequent_words(docs, most)}
-    compiled = docs.sparkSession.sparkContext.broadcast(Lexicon.compile(entries))
+    return docs.sparkSession.sparkContext.broadcast(Lexicon.compile(entries))
+
+
+def encode(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
+    """`docs(doc_id, text)` -> doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded."""
+    compiled = compiled_words(docs, path, most)
+    give_back()
 
     def run(batches):
         encoder = Encoder(Tokenizer(path), Lexicon.mapped(compiled.value))

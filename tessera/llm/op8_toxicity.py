@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, stored, tidy
+from tessera.llm.common import Memo, give_back, stored, tidy
 
 MOST_EXAMPLES, CHI_SQUARE, LEAST_CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 1_500, 50.0, 4.0, 0.05, 0.5
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 50, 64, 4, 0.5, 0.3
@@ -408,7 +408,9 @@ def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, score, vote, neighbours, evidence, predicted (1 from DECISION on)."""
-    return score(*fit(docs, labels)).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
+    fitted = fit(docs, labels)
+    give_back()  # what the driver held of the examples
+    return score(*fitted).withColumn("predicted", (F.col("score") >= DECISION).cast("int"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
