@@ -10,13 +10,14 @@ sums them, and the `LEXICON` most frequent words of at most `LONGEST` characters
 minimal deterministic automaton of the sorted words, so shared suffixes are stored once; every edge outputs the number of words
 that sort before its target's, the sum along a word is its rank, and the rank addresses the word's ids. It is a flat file of
 integers, written by each task from the broadcast bytes (about 7 MB, bounded by `LEXICON` and `LONGEST`) to an unnamed temporary
-file and memory-mapped. A word outside it is merged exactly, in n log n steps for a word of n bytes. The lexicon only saves work:
+file and memory-mapped. The texts of about a MB are encoded together: their new words walk through the automaton side by side, a byte at a
+time. A word outside it is merged exactly, in n log n steps for a word of n bytes. The lexicon only saves work:
 results do not depend on it. Nothing outlives its task, and results leave it in batches of about `BATCH` bytes.
 
 Decoding maps ids to the vocabulary's strings joined by a space, as the library does for a file without a decoder.
 
 Nulls and edge cases: null and empty texts have no ids and decode to the empty text; very long texts and words are encoded
-whole, one at a time; repeated rows and null doc_ids are rows like others; extra columns are ignored (`encode` keeps doc_id only).
+whole, very long texts one at a time; repeated rows and null doc_ids are rows like others; extra columns are ignored (`encode` keeps doc_id only).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import unicodedata
 from array import array
 from collections import Counter
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, give_back, tidy
+from tessera.llm.common import Memo, give_back, parts, tidy
 
 LEXICON, LONGEST, FLUSH, BATCH, NONE = 200_000, 48, 60_000, 4 << 20, 1 << 62
 #: symbols from which a heap is faster than looking through all pairs
@@ -87,8 +89,8 @@ class Tokenizer:
         found = [get(a << 20 | b, NONE) for a, b in zip(ids, ids[1:])]
         while found and (least := min(found)) != NONE:
             i = found.index(least)
-            ids[i : i + 2] = [least & 0xFFFFF]
-            del found[i]
+            ids[i] = least & 0xFFFFF
+            del ids[i + 1], found[i]
             if i:
                 found[i - 1] = get(ids[i - 1] << 20 | ids[i], NONE)
             if i < len(found):
@@ -185,7 +187,34 @@ class Lexicon:
 
         self.first, self.target, self.skip, self.ids_at = take(4 * (n + 1), "I"), take(4 * m, "I"), take(4 * m, "I"), take(4 * (k + 1), "I")
         self.label, self.final, self.ids = take(m, "B"), take(n, "B"), take(self.ids_at[k], "B")
-        self.states, self.words = n, k
+        self.states, self.words, self.edges = n, k, None
+
+    def lookups(self, words: list[bytes]) -> list[bytes | None]:
+        """`lookup` of many words at once: all of them take their step on the same byte together."""
+        if self.edges is None:  # each edge by its state and label, in order
+            self.edges = np.repeat(np.arange(self.states, dtype=np.uint32) << 8, np.diff(np.asarray(self.first))) | np.asarray(self.label)
+        edges, skip, target = self.edges, np.asarray(self.skip), np.asarray(self.target)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        state, rank, known = np.full(len(words), self.root, np.uint32), np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        going, i = np.flatnonzero(size), 0
+        while len(going):
+            wanted = state[going] << 8 | data[start[going] + i]
+            edge = np.searchsorted(edges, wanted)
+            there = edge < len(edges)
+            there[there] = edges[edge[there]] == wanted[there]
+            known[going[~there]] = False
+            going, edge = going[there], edge[there]
+            rank[going] += skip[edge]
+            state[going] = target[edge]
+            i += 1
+            going = going[size[going] > i]
+        known &= np.asarray(self.final)[state] > 0
+        rank[~known] = 0
+        ids_at = np.asarray(self.ids_at)
+        ends = ids_at[rank + 1].tolist() if self.words else [0] * len(words)
+        data, at = self.data, len(self.data) - len(self.ids)  # they stand last
+        return [data[at + lo : at + hi] if k else None for k, lo, hi in zip(known.tolist(), ids_at[rank].tolist(), ends)]
 
     def lookup(self, word: bytes) -> bytes | None:
         state, rank, first, label = self.root, 0, self.first, self.label
@@ -216,28 +245,60 @@ def chunks(text: str) -> list[str]:
     return [c for c in CUT.split(text) if c] if ODD.search(text) else text.split()
 
 
+def words_of(chunk: str) -> list[str]:
+    """The words of a chunk."""
+    if chunk.isalpha():  # nearly all: a word, or a word and a mark
+        return [chunk]
+    if chunk[:-1].isalpha() and chunk[-1] in ",.":
+        return [chunk[:-1], chunk[-1]]
+    return WORD.findall(chunk)
+
+
 class Encoder:
     """Encodes texts; remembers chunks up to a bound."""
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None):
         self.tokenizer, self.lexicon = tokenizer, lexicon
         self.memo = Memo(self._chunk)
+        self.rare = Memo(self._merged, 30_000)
         self.seen = [0, 0]  # words from the lexicon, words merged
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():  # nearly all: a word, or a word and a mark
-            return self._word(chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ",.":
-            return self._word(chunk[:-1]) + self._word(chunk[-1])
-        return b"".join(map(self._word, WORD.findall(chunk)))
+        return b"".join(map(self._word, words_of(chunk)))
 
     def _word(self, word: str) -> bytes:
         if self.lexicon is not None and (ids := self.lexicon.lookup(word.encode())) is not None:
             self.seen[0] += 1
             return ids
+        return self._merged(word)
+
+    def _merged(self, word: str) -> bytes:
         self.seen[1] += 1
         return np.array(self.tokenizer.merged(word), "<u4").tobytes()
 
+    def _learn(self, found: set[str]) -> None:
+        """Chunks that are not remembered yet, their words looked up together and merged once each."""
+        new = [c for c in found if c not in self.memo and len(c) <= Memo.LONGEST]
+        whole, rest = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
+        cut = list(map(words_of, rest))
+        words = list({*whole, *chain.from_iterable(cut)})
+        ids = dict(zip(words, self.lexicon.lookups([w.encode() for w in words]) if self.lexicon is not None else [None] * len(words)))
+        for w in (unknown := [w for w, known in ids.items() if known is None]):
+            ids[w] = self.rare[w]
+        self.seen[0] += len(words) - len(unknown)
+        get = ids.__getitem__
+        self.memo.update(zip(whole, map(get, whole)))
+        self.memo.update((c, b"".join(map(get, ws))) for c, ws in zip(rest, cut))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """`encode` of each text; what is new in them is learnt together first."""
+        self.rare.trim()
+        cut = [chunks(normal(t)) if t and "<|" not in t else None for t in texts]
+        found = set().union(*(c for c in cut if c))
+        self.memo.trim(found)
+        self._learn(found)
+        return [self.encode(t) if c is None else b"".join(map(self.memo.__getitem__, c)) for t, c in zip(texts, cut)]
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -261,11 +322,12 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     """The most frequent words over all texts, at most `most`."""
 
     def words(held: Counter) -> pa.RecordBatch:
-        out: Counter = Counter()
+        out: dict[str, int] = {}
+        get = out.get
         for chunk, n in held.items():
-            for w in WORD.findall(chunk):
+            for w in words_of(chunk):
                 if len(w) <= LONGEST:
-                    out[w] += n
+                    out[w] = get(w, 0) + n
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["word", "n"])
 
@@ -305,14 +367,14 @@ def encode(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=["doc_id", "n_tokens", "ids", "decoded"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py())
-                rows.append((doc_id, len(ids) // 4, ids, encoder.decode(ids)))
-                size += len(ids) + len(rows[-1][3])
-                if size >= BATCH:
-                    yield batch()
-                    rows.clear()
-                    size = 0
+            for part in parts(b.column(1)):
+                for doc_id, ids in zip(b.column(0)[part.start : part.stop].to_pylist(), encoder.encode_all(b.column(1)[part.start : part.stop].to_pylist())):
+                    rows.append((doc_id, len(ids) // 4, ids, encoder.decode(ids)))
+                    size += len(ids) + len(rows[-1][3])
+                    if size >= BATCH:
+                        yield batch()
+                        rows.clear()
+                        size = 0
         if rows:
             yield batch()
 
