@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from dataclasses import dataclass
 from itertools import chain
 
@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, give_back, stored, tidy
+from tessera.llm.common import Memo, give_back, parts, stored, tidy
 
 MOST_EXAMPLES, CHI_SQUARE, LEAST_CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 1_500, 50.0, 4.0, 0.05, 0.5
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 50, 64, 4, 0.5, 0.3
@@ -78,21 +78,35 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 class Reader:
     """Texts -> (places of terms in the vocabulary, counts); remembers chunks up to a bound."""
 
-    def __init__(self, names: np.ndarray):
-        self.names = memoryview(names).cast("B").cast("Q") if len(names) else []
-        self.memo = Memo(self._known, 120_000)
+    def __init__(self, places: dict[str, int]):
+        self.places = places
+        self.begins = {k: {t[:-1]: at for t, at in places.items() if t[-1] == "^" and len(t) == k + 1} for k in PREFIXES}
+        self.memo = Memo(self._known, 100_000)
 
     def _known(self, chunk: str) -> tuple[int, ...]:
-        out, names = [], self.names
-        for t in terms_of(chunk):
-            at = bisect_left(names, n := name_of(t))
-            if at < len(names) and names[at] == n:
+        """The places of what `terms_of` gives."""
+        out, get = [], self.places.get
+        for w in (chunk,) if chunk.isalnum() else WORD.findall(chunk):
+            if (at := get(w)) is not None:
                 out.append(at)
+            for k, begins in self.begins.items():
+                if len(w) > k and (at := begins.get(w[:k])) is not None:
+                    out.append(at)
         return tuple(out)
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        self.memo.trim()
-        return np.unique(np.fromiter(chain.from_iterable(map(self.memo.__getitem__, (text or "").lower().split())), np.int64), return_counts=True)
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each text's terms begin, and the end of all; places, sorted by text; counts): a chunk is looked up once for all texts."""
+        cut = [(t or "").lower().split() for t in texts]
+        spelt = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        found, chunk = spelt.dictionary.to_pylist(), spelt.indices.to_numpy()
+        self.memo.trim(found)
+        known = list(map(self.memo.__getitem__, found))
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        places = np.fromiter(chain.from_iterable(known), np.int64, int(size.sum()))
+        text = np.repeat(np.repeat(np.arange(len(texts)), list(map(len, cut))), size[chunk])
+        terms = max(1, len(self.places))
+        pairs, counts = np.unique(text * terms + places[_spread((np.cumsum(size) - size)[chunk], size[chunk])], return_counts=True)
+        return np.r_[0, np.cumsum(np.bincount(pairs // terms, minlength=len(texts)))], pairs % terms, counts
 
 
 @dataclass
@@ -192,22 +206,22 @@ class Index:
         found = found[np.lexsort((found, -sims[found]))]
         return found, sims[found]
 
-    def neighbours(self, terms: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def neighbours(self, terms: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None, vector: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the NEAREST and of all as similar as the last of them, best first; one more if some have exactly these terms."""
-        found, sims = self.nearest(terms, self.vector(terms, counts), NEAREST + 1, common)
+        found, sims = self.nearest(terms, self.vector(terms, counts) if vector is None else vector, NEAREST + 1, common)
         if len(sims) > NEAREST and sims[0] < ALIKE:
             near = sims >= sims[NEAREST - 1]
             found, sims = found[near], sims[near]
         return found, sims
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, found: np.ndarray, sims: np.ndarray) -> float:
+    def vote(self, terms: np.ndarray, counts: np.ndarray, found: np.ndarray, sims: np.ndarray, vector: np.ndarray | None = None) -> float:
         """Share of toxic neighbours weighted by the square of the cosine with relevances, drawn to the overall share; sums of sorted numbers, so that order does not matter.
 
         Those with exactly these terms count one less together, whatever their labels. Terms of the least relevance give that cosine their part of
         the similarity, so only the others are added up.
         """
         lengths, at, term, value, across = self.ready().built[-1]
-        across[terms] = vector = self.vector(terms, counts)
+        across[terms] = vector = self.vector(terms, counts) if vector is None else vector
         own = math.sqrt(float(((vector * self.relevance[terms]) ** 2).sum()))
         each = at[found + 1] - at[found]
         places = _spread(at[found], each)
@@ -282,19 +296,18 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> D
     return stored(texts.mapInArrow(tidy(split), EXAMPLE), "examples")
 
 
-def features(docs: DataFrame, names: np.ndarray) -> DataFrame:
+def features(docs: DataFrame, places: dict[str, int]) -> DataFrame:
     """`(doc_id, terms, counts)` of every row, stored: the index's terms in the whole text."""
-    known = docs.sparkSession.sparkContext.broadcast(names)
+    known = docs.sparkSession.sparkContext.broadcast(places)
     lists = pa.list_(pa.int32())
 
     def run(batches):
         read = Reader(known.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 1_000):
-                found = [read(t.as_py()) for t in b.column(1)[lo : lo + 1_000]]
-                at = pa.array(np.r_[0, np.cumsum([len(t) for t, _ in found])], pa.int32())
-                columns = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), pa.int32())) for x in zip(*found)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 1_000], *(c.cast(lists) for c in columns)], names=["doc_id", "terms", "counts"])
+            for part in parts(b.column(1)):
+                at, *found = read(b.column(1)[part.start : part.stop].to_pylist())
+                columns = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x in found]
+                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], *(c.cast(lists) for c in columns)], names=["doc_id", "terms", "counts"])
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, terms array<int>, counts array<int>"), "features")
 
@@ -330,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     term, counts, row = places[spelt.indices.to_numpy()] if len(terms) else np.zeros(0, np.int64), own["counts"].combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
     bad, good = int(labelled.sum()), int(len(labelled) - labelled.sum())
     depends = relevance(np.bincount(term, labelled[row], len(names)), np.bincount(term, 1 - labelled[row], len(names)), bad, good)
-    featured = features(docs, names)
+    featured = features(docs, dict(zip(terms, places.tolist())))
     n, seen = _documents_with(featured, len(names))
     weight = np.log((1 + n) / (1 + seen)) + 1
     clear = {int(places[i]): t for i, t in enumerate(terms) if depends[places[i]] >= CLEAR and bad and good}
@@ -375,17 +388,18 @@ SCORE = "doc_id long, score double, vote double, neighbours array<struct<doc_id:
 
 def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
     """Features -> calibrated score, with the nearest examples and the terms that speak of the label as evidence."""
-    near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
         index = shared.value
         memo = Memo(None, 5_000)  # copies of a text are scored once
+        speaks = np.zeros(len(index.names), bool)
+        speaks[list(index.clear)] = True
 
-        def scored(terms: np.ndarray, counts: np.ndarray, common: np.ndarray):
-            found, sims = index.neighbours(terms, counts, common)
-            vote = index.vote(terms, counts, found, sims)
+        def scored(terms: np.ndarray, counts: np.ndarray, vector: np.ndarray, common: np.ndarray):
+            found, sims = index.neighbours(terms, counts, common, vector)
+            vote = index.vote(terms, counts, found, sims, vector)
             result = min(1.0, max(0.0, scale(vote))) if len(terms) else scale.silent
-            return result, vote, list(zip(index.ids[found].tolist(), sims.tolist(), index.labels[found].astype(int).tolist())), sorted(index.clear[t] for t in terms.tolist() if t in index.clear)
+            return result, vote, found, sims, sorted(map(index.clear.__getitem__, terms[speaks[terms]].tolist()))
 
         for b in batches:
             for lo in range(0, b.num_rows, QUERIES):
@@ -396,12 +410,14 @@ def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
                 for terms, counts in zip(*(np.split(part.column(c).flatten().to_numpy(), ends) for c in (1, 2))):
                     keys.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
                     if keys[-1] not in memo and keys[-1] not in new:
-                        new[keys[-1]] = terms, counts
-                for (key, query), common in zip(new.items(), index.common([(t, index.vector(t, c)) for t, c in new.values()])):
+                        new[keys[-1]] = terms, counts, index.vector(terms, counts)
+                for (key, query), common in zip(new.items(), index.common([(t, v) for t, _, v in new.values()])):
                     memo[key] = scored(*query, common)
-                scores, votes, found, evidence = zip(*map(memo.__getitem__, keys))
-                found = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in f] for f in found]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + QUERIES], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), pa.array(found, near), pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
+                scores, votes, found, sims, evidence = zip(*map(memo.__getitem__, keys))
+                near, at = np.concatenate(found), np.cumsum([0, *map(len, found)])
+                columns = {"doc_id": pa.array(index.ids[near], pa.int64()), "similarity": pa.array(np.concatenate(sims), pa.float64()), "toxic": pa.array(index.labels[near].astype(np.int32))}
+                neighbours = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + QUERIES], pa.array(scores, pa.float64()), pa.array(votes, pa.float64()), neighbours, pa.array(evidence, pa.list_(pa.string()))], names=["doc_id", "score", "vote", "neighbours", "evidence"])
 
     return rows.mapInArrow(tidy(run), SCORE)
 

@@ -29,3 +29,13 @@ def test_words_are_merged_once_for_all_chunks():
     before = together.seen[1]
     together.encode_all(["wwyzx; (wwyzx) wwyzx! wwyzx wwyzx."])
     assert together.seen[1] == before + 1  # the marks are known
+
+
+def test_terms_of_many_texts_are_those_of_each():
+    texts = [*ODD, "Walking, walked_walks; one-two", "walking walking WALK!"]
+    places = {t: i for i, t in enumerate(["walking", "walk^", "one", "two", "walk", "secret", "secr^"])}
+    at, found, counts = op8_toxicity.Reader(places)(texts)
+    for i, t in enumerate(texts):
+        want = [places[x] for c in (t or "").lower().split() for x in op8_toxicity.terms_of(c) if x in places]
+        assert [found[at[i] : at[i + 1]].tolist(), counts[at[i] : at[i + 1]].tolist()] == [x.tolist() for x in np.unique(np.array(want, int), return_counts=True)]
+    assert at[-1] == len(found) and len(at) == len(texts) + 1
