@@ -15,6 +15,7 @@ addresses, mails, phone and card numbers, paths, query strings, UUIDs and other
 
 A text is tagged segment by segment: a segment ends at a line feed, and holds `SEGMENT` characters if a line does, so memory is bounded by the segment. A longer line is
 cut at its last blank in it, or, without any, at `SEGMENT` characters, as if a line ended there. What a token knows of the file is found over the whole text before.
+Shorter texts are tagged together as long as they fit into a segment, with a line feed between them.
 
 Nulls and edge cases: null and empty texts have no spans; very long texts are read whole, in segments;
 repeated rows and null doc_ids are rows like others; equal starts are ordered by kind; extra columns pass through `mask`;
@@ -27,22 +28,25 @@ import hashlib
 import random
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, give_back, tidy
+from tessera.llm.common import Memo, give_back, parts, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-KEYED = re.compile("passw|secret|token|api", re.I | re.A)
+#: what the lower case of a text holds if ASSIGN finds anything in it
+KEY_HINTS = ("passw", "secret", "token", "api")
 TRAIN, EPOCHS, BATCH, SEED, RATE = 8000, 5, 512, 11, 0.25
 SEGMENT = 1 << 16
 #: own features of a token, at most
@@ -54,6 +58,9 @@ BEGINS = re.compile(r"(?<![^\W_])(?:gh[po]_|[sr]k[_-]|xox[a-z]-|AKIA|ASIA|AIza|e
 #: forms of names that are no secrets by themselves: UUIDs, hardware addresses; the beginning of a query string
 NAMES = re.compile(r"(?<![^\W_])(?:(?P<id>[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})(?![^\W_]))|\?[\w.-]{1,40}=")
 SPEAKS = re.compile(r"passw|pass(?![a-z])|passphrase|secret|token|api|key|credential|auth|bearer|pwd|login", re.I | re.A)
+#: what a text holds if BEGINS, SPEAKS (in lower case) or NAMES find anything in it
+BEGIN_HINTS = ("ghp_", "gho_", "sk_", "sk-", "rk_", "rk-", "xox", "AKIA", "ASIA", "AIza", "eyJ", "glpat-", "npm_", "pat_")
+SPEAK_HINTS = ("pass", "secret", "token", "api", "key", "credential", "auth", "bearer", "pwd", "login")
 MARKS = "=:\"'`@/.-_+,()[]{}<>&$!#%*^?~;|\\"
 #: kinds of tokens; the marks of MARKS follow
 BLANK, LINE, CUE, SMALL, WORD, LONG, NUMBER, MIXED, ODD, MARK = range(10)
@@ -62,10 +69,16 @@ N_KINDS = MARK + len(MARKS)
 SIZES = (2 * N_KINDS, 2 * N_KINDS, N_KINDS * 10, 5 * 10, 4 * 6 * 10, 8 * 10, 2 * 3 * 10, 2 * 4 * 10)
 
 
+OFFSETS = [sum(SIZES[:i]) for i in range(len(SIZES))]
+#: how far back a cue stands, in steps
+GAPS = np.digitize(np.arange(8), (2, 4, 7))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's place, end) of the base patterns, leftmost and non-overlapping per kind; a match under its least length is dropped."""
     out = []
-    if KEYED.search(text):
+    low = text.lower()
+    if any(h in low for h in KEY_HINTS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
@@ -169,58 +182,79 @@ class Reader:
         """How many tokens are mixed."""
         return sum(kind_of(t) == MIXED for t in TOKEN.findall(text.translate(OUTLINE)))
 
-    def __call__(self, text: str, trim: bool = True, file: tuple[bool, int] | None = None) -> Tokens:
-        """`file`: whether it speaks of secrets, and how many of its tokens are mixed, if `text` is a segment of it."""
+    def __call__(self, text: str | list[str], trim: bool = True, file: tuple[bool, int] | None = None) -> Tokens:
+        """Several texts are read as one with a line feed between them, so none is a neighbour of another's tokens, and places are in that one.
+
+        `file`: whether it speaks of secrets, and how many of its tokens are mixed, if `text` is a segment of it.
+        """
         if trim and self.used > self.most:
             self.memo.clear()
             self.used = 0
-        tokens = TOKEN.findall(text.translate(OUTLINE))
+        texts = [text] if isinstance(text, str) else text
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        tokens = TOKEN.findall("\n".join(texts).translate(OUTLINE))
         own = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         ends = np.cumsum(sizes)
         kinds = self.kinds[own]
-        spoken = [m.start() for m in SPEAKS.finditer(text)]
+        spoken, begun, formed, speaks = [], [], [], np.zeros(len(texts), bool)
+        for i, (t, at) in enumerate(zip(texts, begin.tolist())):
+            low = t.lower()
+            if any(h in low for h in SPEAK_HINTS) and (found := [at + m.start() for m in SPEAKS.finditer(t)]):
+                spoken += found
+                speaks[i] = True
+            if any(h in t for h in BEGIN_HINTS):
+                begun += [at + m.start() for m in BEGINS.finditer(t)]
+            if "?" in t and "=" in t or t.count("-") > 3 or t.count(":") > 4:
+                formed += [(at + m.start(), 1 if m["id"] else 2) for m in NAMES.finditer(t)]
         if spoken:
             at = np.unique(np.searchsorted(ends, spoken, "right"))
             at = at[(kinds[at] >= SMALL) & (kinds[at] <= LONG) & (sizes[at] < 16)]
             own[at] = self.memo[SPOKEN]
             kinds[at] = CUE
-        begun = np.zeros(len(tokens), bool)
-        begun[np.searchsorted(ends, [m.start() for m in BEGINS.finditer(text)], "right")] = True
-        formed = np.zeros(len(tokens), np.int64)
-        for m in NAMES.finditer(text):
-            formed[np.searchsorted(ends, m.start(), "right")] = 1 if m["id"] else 2
         line = np.cumsum(kinds == LINE)
         piece = np.cumsum(kinds <= LINE)
         real = np.flatnonzero(kinds > LINE)
-        k, line, piece, start, end, own = kinds[real], line[real], piece[real], (ends - sizes)[real], ends[real], own[real]
-        n = len(real)
+        k, line, piece, end, own, sizes = kinds[real], line[real], piece[real], ends[real], own[real], sizes[real]
+        start, n = end - sizes, len(real)
         if not n:
             return Tokens(start, end, own, np.zeros((0, len(SIZES)), np.int64), np.zeros(0, np.int64))
-        same, touch = np.r_[False, line[1:] == line[:-1]], np.r_[False, (start[1:] == end[:-1])]
-        left, right = np.where(same, np.r_[0, k[:-1]], 0), np.where(np.r_[same[1:], False], np.r_[k[1:], 0], 0)
-        second = np.where(same & np.r_[False, same[:-1]], np.r_[0, 0, k[:-2]][:n], 0)
+        same, touch, left, right, second = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.equal(line[1:], line[:-1], out=same[1:])
+        np.equal(start[1:], end[:-1], out=touch[1:])
+        left[1:] = k[:-1] * same[1:]
+        right[:-1] = k[1:] * same[1:]
+        second[2:] = k[:-2] * (same[2:] & same[1:-1])
+        right *= 2
+        right[:-1] += touch[1:]
         at = np.arange(n)
-        first = np.flatnonzero(~same)
-        cue = np.maximum.accumulate(np.where(k == CUE, at, -1))
-        cue = np.r_[-1, cue[:-1]]  # before the token
-        opening = np.repeat(first, np.diff(np.r_[first, n]))
-        gap = np.where(cue >= opening, np.digitize(at - cue, (2, 4, 7)), 4)
-        begins = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-        count = np.diff(np.r_[begins, n])
-        each = lambda x: np.repeat(np.add.reduceat(x.astype(np.int64), begins), count)
-        length, mixed, words = each(sizes[real]), each(k == MIXED), each((k >= CUE) & (k <= LONG))
+        cue = np.full(n, -1)  # before the token
+        np.maximum.accumulate(np.where(k == CUE, at, -1)[:-1], out=cue[1:])
+        opening = np.maximum.accumulate(np.where(same, 0, at))
+        gap = np.where(cue >= opening, GAPS[np.minimum(at - cue, len(GAPS) - 1)], 4)
+        begins = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        each = lambda x: np.add.reduceat(x, begins, dtype=np.int64)
+        length, mixed, words = each(sizes), each(k == MIXED), each((k >= CUE) & (k <= LONG))
         slashes, ats, dots = each(k == MARK + MARKS.index("/")), each(k == MARK + MARKS.index("@")), each(k == MARK + MARKS.index("."))
         address = np.where(slashes > 1, 1, np.where(ats > 0, 2, np.where(dots > 1, 3, 0)))
         size = np.digitize(length, (8, 12, 20, 32, 48))
-        s = _short(k)
-        form = np.repeat(np.maximum.reduceat(formed[real], begins), count)
-        speaks, many = file or (bool(spoken), int((k == MIXED).sum()))
+        # by piece: which of them begin as keys do, and the forms in them
+        known, form = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        piece_of = lambda places: np.searchsorted(start[begins], places, "right") - 1
+        if begun:
+            known[piece_of(begun)] = 1
+        if formed:
+            places, which = np.array(formed).T
+            np.maximum.at(form, piece_of(places), which)
+        count, s = np.diff(begins, append=n), _short(k)
+        many = np.concatenate([[0], np.cumsum(k == MIXED)])
+        edges = np.searchsorted(start, begin)
+        of_file = (file[0] * 4 + np.digitize(file[1], FILE_STEPS)) * 10 if file else np.repeat((speaks * 4 + np.digitize(many[edges[1:]] - many[edges[:-1]], FILE_STEPS)) * 10, np.diff(edges))
         tables = (
-            left * 2 + touch, right * 2 + np.r_[touch[1:], False], second * 10 + s, gap * 10 + s, (np.minimum(mixed, 3) * 6 + size) * 10 + s, (address * 2 + (words > 1)) * 10 + s,
-            ((each(begun[real]) > 0) * 3 + form) * 10 + s, (speaks * 4 + np.digitize(many, FILE_STEPS)) * 10 + s,
+            left * 2 + touch, right, second * 10 + s, gap * 10 + s, np.repeat((np.minimum(mixed, 3) * 6 + size) * 10, count) + s, np.repeat((address * 2 + (words > 1)) * 10, count) + s,
+            np.repeat((known * 3 + form) * 10, count) + s, of_file + s,
         )
-        return Tokens(start, end, own, np.stack(tables, 1) + np.r_[0, np.cumsum(SIZES)[:-1]], begins)
+        return Tokens(start, end, own, np.stack([t + o for t, o in zip(tables, OFFSETS)]).T, begins)
 
 
 ALLOWED = np.zeros((3, 3))
@@ -240,7 +274,10 @@ class Field:
         return Reader(lambda t: self.own[[self.names[f] for f in own_features(t) if f in self.names]].sum(axis=0), 3, np.float64)
 
     def emissions(self, tokens: Tokens, reader: Reader) -> np.ndarray:
-        return reader.table[tokens.own] + self.codes[tokens.codes].sum(axis=1)
+        total = self.codes[tokens.codes[:, 0]]
+        for column in tokens.codes.T[1:]:  # one after the other, as a sum over rows does
+            total += self.codes[column]
+        return reader.table[tokens.own] + total
 
     def hopeful(self, e: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         """Pieces in which tags other than outside may win.
@@ -287,7 +324,29 @@ class Field:
         file = SPEAKS.search(text) is not None, mixed
         return [(lo + a, lo + b) for lo, hi in segments(text) for a, b in self._spans(text[lo:hi], reader, file)]
 
-    def _spans(self, text: str, reader: Reader, file: tuple[bool, int] | None) -> list[tuple[int, int]]:
+    def spans_of_all(self, texts: list[str], reader: Reader) -> list[list[tuple[int, int]]]:
+        """`spans` of each text; those that fit into a segment are read together."""
+        out, held, size = [], [], 0
+        for text in texts:
+            if held and size + len(text) > SEGMENT:
+                out += self._together(held, reader)
+                held, size = [], 0
+            if len(text) > SEGMENT:
+                out.append(self.spans(text, reader))
+            else:
+                held.append(text)
+                size += len(text) + 1
+        return out + self._together(held, reader)
+
+    def _together(self, texts: list[str], reader: Reader) -> list[list[tuple[int, int]]]:
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        begin = [0, *accumulate(len(t) + 1 for t in texts)]
+        for lo, hi in self._spans(texts, reader, None) if texts else ():
+            i = bisect_right(begin, lo) - 1
+            out[i].append((lo - begin[i], hi - begin[i]))
+        return out
+
+    def _spans(self, text: str | list[str], reader: Reader, file: tuple[bool, int] | None) -> list[tuple[int, int]]:
         tokens = reader(text, file=file)
         if not len(tokens.own):
             return []
@@ -458,13 +517,22 @@ def _train(n: int, epochs: int) -> Field:
     return Field(names, w_own, w_codes, steps)
 
 
-def spans_of(text: str | None, field: Field, reader: Reader) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+Spans = list[tuple[int, int, int]]
+
+
+def spans_of(text: str | None, field: Field, reader: Reader) -> tuple[Spans, Spans]:
     """(base spans, all spans) as (start, kind, end), sorted."""
-    if not text:
-        return [], []
-    base = sorted(base_spans(text))
+    return all_spans([text], field, reader)[0]
+
+
+def all_spans(texts: list[str | None], field: Field, reader: Reader) -> list[tuple[Spans, Spans]]:
+    """`spans_of` each text."""
+    return [_merged(sorted(base_spans(t)), found) if t else ([], []) for t, found in zip(texts, field.spans_of_all([t or "" for t in texts], reader))]
+
+
+def _merged(base: Spans, found: list[tuple[int, int]]) -> tuple[Spans, Spans]:
     added, at, most = [], 0, 0  # both are sorted: base spans that begin before an added one ends, and how far they reach
-    for lo, hi in field.spans(text, reader):
+    for lo, hi in found:
         while at < len(base) and base[at][0] < hi:
             most = max(most, base[at][2])
             at += 1
@@ -484,23 +552,29 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         reader = field.value.reader()
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for text in b.column(1):
-                base, every = spans_of(text.as_py(), field.value, reader)
-                for i in range(3):
-                    cols[i].append(sum(k == i for _, k, _ in base))
-                cols[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                cols[4].append(_joined(every))
-                cols[5].append(len(every) - len(base))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
+            for part in parts(b.column(1)):
+                cols: list[list] = [[] for _ in range(6)]
+                for base, every in all_spans(b.column(1)[part.start : part.stop].to_pylist(), field.value, reader):
+                    for i in range(3):
+                        cols[i].append(sum(k == i for _, k, _ in base))
+                    cols[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())
+                    cols[4].append(_joined(every))
+                    cols[5].append(len(every) - len(base))
+                kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
 
-def masked(text: str | None, field: Field, reader: Reader, mask: str = "[SECRET]") -> str | None:
+MASK = "[SECRET]"
+
+
+def masked(text: str | None, field: Field, reader: Reader, mask: str = MASK) -> str | None:
     """The text with every span (overlapping ones as one) replaced."""
-    _, spans = spans_of(text, field, reader)
+    return _masked(text, spans_of(text, field, reader)[1], mask)
+
+
+def _masked(text: str | None, spans: Spans, mask: str = MASK) -> str | None:
     if not spans:
         return text
     out, at = [], 0
@@ -519,9 +593,10 @@ def mask(docs: DataFrame) -> DataFrame:
     def run(batches):
         reader = field.value.reader()
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                texts = pa.array([masked(t.as_py(), field.value, reader) for t in part.column(at)], pa.string())
+            for some in parts(b.column(at)):
+                part = b.slice(some.start, some.stop - some.start)
+                texts = part.column(at).to_pylist()
+                texts = pa.array([_masked(t, every) for t, (_, every) in zip(texts, all_spans(texts, field.value, reader))], pa.string())
                 yield part.set_column(at, part.schema.field(at).with_type(pa.string()), texts)
 
     out = docs.mapInArrow(tidy(run), docs.schema)

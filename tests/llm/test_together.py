@@ -39,3 +39,14 @@ def test_terms_of_many_texts_are_those_of_each():
         want = [places[x] for c in (t or "").lower().split() for x in op8_toxicity.terms_of(c) if x in places]
         assert [found[at[i] : at[i + 1]].tolist(), counts[at[i] : at[i + 1]].tolist()] == [x.tolist() for x in np.unique(np.array(want, int), return_counts=True)]
     assert at[-1] == len(found) and len(at) == len(texts) + 1
+
+
+def test_secrets_of_many_texts_are_those_of_each(monkeypatch):
+    field = op10_secret_crf.trained()
+    reader, alone = field.reader(), field.reader()
+    texts = [*ODD, *(t.replace("«", "").replace("»", "") for t in SECRET + CLEAN), *ODD]
+    want = [op10_secret_crf.spans_of(t, field, alone) for t in texts]
+    calls = []
+    monkeypatch.setattr(op10_secret_crf.Reader, "__call__", lambda self, *a, f=op10_secret_crf.Reader.__call__, **b: calls.append(1) or f(self, *a, **b))
+    assert op10_secret_crf.all_spans(texts, field, reader) == want and sum(len(s) for _, s in want) > 50
+    assert len(calls) < 5
