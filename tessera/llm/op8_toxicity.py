@@ -8,7 +8,8 @@ over all documents. Vectors have length 1, so the similarity is the cosine of TF
 The postings of a term lie in blocks of `BLOCK` examples, each block with its largest weight. A query bounds every block by the
 sum of its terms' largest weights there, scores the blocks of the largest bounds first, and of the others those whose bound
 reaches the k-th best similarity so far; all exactly, so the k nearest are exact. Terms that an eighth of the examples have are a matrix instead: nearly every block has them, so they
-would prune nothing. Examples as similar as the k-th (to nine places) all vote: no number and no doc_id decides.
+would prune nothing. Examples as similar as the k-th (to nine places) all vote: no number and no doc_id decides. Texts are compared
+together, as many as hold about `HELD` numbers: their rows are arrays, one after the other, and no step is taken text by text.
 
 Labels speak in the votes. A neighbour's vote weighs the square of a second cosine, in which each term counts by its
 relevance as well: from `LEAST_RELEVANCE`, for terms that stand about as often in either kind of example (a chi-square below `LEAST_CHI_SQUARE`), to
@@ -28,11 +29,12 @@ is the share of toxic examples (0 without any); a null doc_id is scored and is n
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+import sys
 from bisect import bisect_right
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, give_back, parts, stored, tidy
+from tessera.llm.common import Memo, give_back, parts, runs, stored, tidy
 
 MOST_EXAMPLES, CHI_SQUARE, LEAST_CHI_SQUARE, LEAST_RELEVANCE, CLEAR = 1_500, 50.0, 4.0, 0.05, 0.5
 NEAREST, BLOCK, FIRST_BLOCKS, PRIOR_VOTES, DECISION = 50, 64, 4, 0.5, 0.3
@@ -52,6 +54,8 @@ ALIKE = 1 - 1e-9
 WORD = re.compile(r"[^\W_]+")
 #: texts that are compared with the examples together
 QUERIES = 256
+#: about how many numbers are held of the texts that are compared together
+HELD = 1 << 20
 #: tasks that compute the votes of the examples (at most MOST_EXAMPLES)
 LEFT_OUT = 24
 
@@ -75,38 +79,45 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@cache
+def _in_words() -> np.ndarray:
+    """Of every code point: whether it stands in words, as WORD has it."""
+    return np.fromiter(map(str.isalnum, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
+
+
 class Reader:
-    """Texts -> (places of terms in the vocabulary, counts); remembers chunks up to a bound."""
+    """Texts -> (places of terms in the vocabulary, counts), as arrays of all texts' words."""
 
     def __init__(self, places: dict[str, int]):
-        self.places = places
-        self.begins = {k: {t[:-1]: at for t, at in places.items() if t[-1] == "^" and len(t) == k + 1} for k in PREFIXES}
-        self.memo = Memo(self._known, 100_000)
-
-    def _known(self, chunk: str) -> tuple[int, ...]:
-        """The places of what `terms_of` gives."""
-        out, get = [], self.places.get
-        for w in (chunk,) if chunk.isalnum() else WORD.findall(chunk):
-            if (at := get(w)) is not None:
-                out.append(at)
-            for k, begins in self.begins.items():
-                if len(w) > k and (at := begins.get(w[:k])) is not None:
-                    out.append(at)
-        return tuple(out)
+        self.terms = max(1, len(places))
+        self.known = []  # (length of a beginning, 0: whole words; spellings, places)
+        for k in (0, *PREFIXES):
+            found = {t[:-1] if k else t: at for t, at in places.items() if (t[-1] == "^" and len(t) == k + 1 if k else t[-1] != "^")}
+            self.known.append((k, pa.array(found, pa.large_string()), np.fromiter(found.values(), np.int64, len(found))))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(where each text's terms begin, and the end of all; places, sorted by text; counts): a chunk is looked up once for all texts."""
-        cut = [(t or "").lower().split() for t in texts]
-        spelt = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
-        found, chunk = spelt.dictionary.to_pylist(), spelt.indices.to_numpy()
-        self.memo.trim(found)
-        known = list(map(self.memo.__getitem__, found))
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        places = np.fromiter(chain.from_iterable(known), np.int64, int(size.sum()))
-        text = np.repeat(np.repeat(np.arange(len(texts)), list(map(len, cut))), size[chunk])
-        terms = max(1, len(self.places))
-        pairs, counts = np.unique(text * terms + places[_spread((np.cumsum(size) - size)[chunk], size[chunk])], return_counts=True)
-        return np.r_[0, np.cumsum(np.bincount(pairs // terms, minlength=len(texts)))], pairs % terms, counts
+        """(where each text's terms begin, and the end of all; places, sorted by text; counts): what `terms_of` gives for the chunks of each."""
+        lowered = [(t or "").lower() for t in texts]
+        codes = np.frombuffer("\n".join(lowered).encode("utf-32-le"), "<u4")
+        inside = _in_words()[codes]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, length = edges[::2], edges[1::2] - edges[::2]
+        spelt = codes[inside]
+        wide = (spelt >= 0x80).astype(np.uint8)
+        for least in (0x800, 0x10000):
+            wide += spelt >= least
+        ends = np.r_[0, np.cumsum(length + np.add.reduceat(wide, np.cumsum(length) - length, dtype=np.int64))]  # in bytes
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(spelt.tobytes().decode("utf-32-le").encode()))
+        begins = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+        text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, begins)))
+        pairs = []
+        for k, known, places in self.known:
+            longer = length > k
+            asked = pc.utf8_slice_codeunits(words.filter(pa.array(longer)), 0, k) if k else words
+            at = pc.fill_null(pc.index_in(asked, value_set=known), -1).to_numpy(zero_copy_only=False)
+            pairs.append(text[longer][at >= 0] * self.terms + places[at[at >= 0]])
+        pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
+        return np.r_[0, np.cumsum(np.bincount(pairs // self.terms, minlength=len(texts)))], pairs % self.terms, counts
 
 
 @dataclass
@@ -127,10 +138,13 @@ class Index:
     def __getstate__(self):
         return self.__dict__ | {"built": ()}
 
+    def vectors(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of the terms of texts that begin at `at`; of length 1 by text."""
+        w, text = (1 + np.log(counts)) * self.weight[terms], _texts(at)
+        return w / np.sqrt(np.bincount(text, w * w, len(at) - 1))[text]
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.weight[terms]
-        norm = math.sqrt(float(w @ w))
-        return w / norm if norm else w
+        return self.vectors(np.array([0, len(terms)]), terms, counts)
 
     def add(self, example: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
         """Rows of (example, term, count), in any order; kept in as few bytes as they need, for they are broadcast."""
@@ -148,11 +162,12 @@ class Index:
             e, t = self.example.astype(np.intp), np.repeat(np.arange(len(self.names)), np.diff(self.term_at))
             w = (1 + np.log(self.count, dtype=np.float64)) * self.weight[t]
             w /= np.sqrt(np.bincount(e, w * w, n))[e]
-            # for the votes: how long each example is when terms count by relevance, and its terms above the least, by example
-            length = np.sqrt(np.bincount(e, (w * self.relevance[t]) ** 2, n))
-            above = np.flatnonzero(self.relevance[t] > LEAST_RELEVANCE)
+            # for the votes: how long each example is when terms count by relevance, and its terms above the least (numbered), by example
+            length, heard = np.sqrt(np.bincount(e, (w * self.relevance[t]) ** 2, n)), self.relevance > LEAST_RELEVANCE
+            number = np.where(heard, np.cumsum(heard) - 1, -1)
+            above = np.flatnonzero(heard[t])
             above = above[np.argsort(e[above], kind="stable")]
-            rows = length, np.searchsorted(e[above], np.arange(n + 1)), t[above], w[above] * (self.relevance[t[above]] ** 2 - LEAST_RELEVANCE**2), np.zeros(len(self.names))
+            rows = length, np.searchsorted(e[above], np.arange(n + 1)), number[t[above]], w[above] * (self.relevance[t[above]] ** 2 - LEAST_RELEVANCE**2), number, int(heard.sum())
             common = np.diff(self.term_at) >= max(1, n / 8)
             column = np.where(common, np.cumsum(common) - 1, -1)
             dense = np.zeros((blocks * BLOCK, int(common.sum())))
@@ -163,76 +178,91 @@ class Index:
             self.built = column, dense, np.searchsorted(t[first], np.arange(len(self.names) + 1)), e[first] // BLOCK, most, np.r_[first, len(e)], e, w, rows
         return self
 
-    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the common terms give to the similarity of each example (and of the room in the last block), by query."""
-        column, dense = self.ready().built[:2]
-        across = np.zeros((dense.shape[1], len(queries)))
-        for i, (terms, vector) in enumerate(queries):
-            own = column[terms] >= 0
-            across[column[terms[own]], i] = vector[own]
-        return (dense @ across).T
-
-    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the k most similar and of all as similar as the k-th, best first."""
-        column, _, term_at, block, most, block_at, example, value, _ = self.ready().built
-        common = self.common([(terms, vector)])[0] if common is None else common
+    def sizes(self, at: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Of each text: about how many numbers are held to compare it."""
+        column, dense, *_, rows = self.ready().built
+        listed = np.where(column[terms] < 0, self.term_at[terms + 1] - self.term_at[terms], 0)
+        return np.bincount(_texts(at), listed, len(at) - 1).astype(np.int64) + len(dense) + rows[-1]
+
+    def similar(self, at: np.ndarray, terms: np.ndarray, vector: np.ndarray, k: int) -> np.ndarray:
+        """Similarities of each text (row) and example, and of the room in the last block: exact, or 0 for some that are not among the k most similar."""
+        column, dense, term_at, block, most, block_at, example, value, _ = self.ready().built
+        texts, room, blocks, text = len(at) - 1, len(dense), len(dense) // BLOCK, _texts(at)
         rare = column[terms] < 0
-        terms, vector = terms[rare], vector[rare]
+        across = np.zeros((texts, dense.shape[1]))
+        across[text[~rare], column[terms[~rare]]] = vector[~rare]
+        common = across @ dense.T
+        text, terms, vector = text[rare], terms[rare], vector[rare]
         length = term_at[terms + 1] - term_at[terms]
-        entries, q = _spread(term_at[terms], length), np.repeat(vector, length)
-        block = block[entries]
-        by_block = common.reshape(-1, BLOCK)
-        bound = by_block.max(axis=1, initial=0.0) + np.bincount(block, q * most[entries], len(by_block))
+        entries, q, text = _spread(term_at[terms], length), np.repeat(vector, length), np.repeat(text, length)
+        at_block = text * blocks + block[entries]
+        by_block = common.reshape(texts, blocks, BLOCK)
+        bound = by_block.max(axis=2, initial=0.0) + np.bincount(at_block, q * most[entries], texts * blocks).reshape(texts, blocks)
 
         def exact(chosen: np.ndarray) -> np.ndarray:
             """Similarities of the examples in the chosen blocks."""
-            here = chosen[block]
+            here = np.flatnonzero(chosen.ravel()[at_block])
             start = block_at[entries[here]]
             length = block_at[entries[here] + 1] - start
             at = _spread(start, length)
-            sums = np.bincount(example[at], np.repeat(q[here], length) * value[at], len(common))
-            return np.round(sums + np.where(chosen[:, None], by_block, 0.0).ravel(), 9)
+            sums = np.bincount(np.repeat(text[here] * room, length) + example[at], np.repeat(q[here], length) * value[at], texts * room)
+            return np.round(sums.reshape(texts, room) + (by_block * chosen[:, :, None]).reshape(texts, room), 9)
 
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
         sims = exact(first)
-        least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
-        rest = (bound >= least - 1e-8) & ~first
-        if rest.any():
-            sims += exact(rest)
-        found = np.flatnonzero(sims)
-        if len(found) > k:
-            found = found[sims[found] >= np.partition(sims[found], -k)[-k]]
-        found = found[np.lexsort((found, -sims[found]))]
-        return found, sims[found]
-
-    def neighbours(self, terms: np.ndarray, counts: np.ndarray, common: np.ndarray | None = None, vector: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, similarities) of the NEAREST and of all as similar as the last of them, best first; one more if some have exactly these terms."""
-        found, sims = self.nearest(terms, self.vector(terms, counts) if vector is None else vector, NEAREST + 1, common)
-        if len(sims) > NEAREST and sims[0] < ALIKE:
-            near = sims >= sims[NEAREST - 1]
-            found, sims = found[near], sims[near]
-        return found, sims
-
-    def vote(self, terms: np.ndarray, counts: np.ndarray, found: np.ndarray, sims: np.ndarray, vector: np.ndarray | None = None) -> float:
-        """Share of toxic neighbours weighted by the square of the cosine with relevances, drawn to the overall share; sums of sorted numbers, so that order does not matter.
+        rest = (bound >= _kth(sims, k)[:, None] - 1e-8) & ~first
+        return sims + exact(rest) if rest.any() else sims
+
+    def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities) of the k most similar to one text and of all as similar as the k-th, best first."""
+        sims = self.similar(np.array([0, len(terms)]), terms, vector, k)
+        return _best(sims, _kth(sims, k))[1:]
+
+    def neighbours(self, at: np.ndarray, terms: np.ndarray, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, examples, similarities) of each text's NEAREST and of all as similar as the last of them, best first; one more if some have exactly these terms."""
+        sims = self.similar(at, terms, vector, NEAREST + 1)
+        return _best(sims, np.where(sims.max(axis=1, initial=0.0) < ALIKE, _kth(sims, NEAREST), _kth(sims, NEAREST + 1)))
+
+    def votes(self, at: np.ndarray, terms: np.ndarray, vector: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of each text: share of toxic neighbours weighted by the square of the cosine with relevances, drawn to the overall share; sums of sorted numbers, so that order does not matter.
 
         Those with exactly these terms count one less together, whatever their labels. Terms of the least relevance give that cosine their part of
         the similarity, so only the others are added up.
         """
-        lengths, at, term, value, across = self.ready().built[-1]
-        across[terms] = vector = self.vector(terms, counts) if vector is None else vector
-        own = math.sqrt(float(((vector * self.relevance[terms]) ** 2).sum()))
-        each = at[found + 1] - at[found]
-        places = _spread(at[found], each)
-        shared = np.bincount(np.repeat(np.arange(len(found)), each), across[term[places]] * value[places], len(found)) + LEAST_RELEVANCE**2 * sims
-        across[terms] = 0.0
-        weight, alike = np.round(shared / (own * lengths[found]), 9) ** 2 if len(found) else shared, sims >= ALIKE
-        if n := int(alike.sum()):
-            weight[alike] *= (n - 1) / n
-        prior = float(self.labels.mean()) if len(self.labels) else 0.0
-        total, bad = np.sort(weight).sum(), np.sort(weight[self.labels[found] > 0]).sum()
-        return float((PRIOR_VOTES * prior + bad) / (PRIOR_VOTES + total))
+        lengths, begin, term, value, number, heard = self.ready().built[-1]
+        (text, found, sims), texts, of = near, len(at) - 1, _texts(at)
+        own = np.sqrt(np.bincount(of, (vector * self.relevance[terms]) ** 2, texts))
+        above = number[terms] >= 0
+        across = np.zeros(texts * heard)
+        across[of[above] * heard + number[terms[above]]] = vector[above]
+        each = begin[found + 1] - begin[found]
+        places = _spread(begin[found], each)
+        shared = np.bincount(np.repeat(np.arange(len(found)), each), across[np.repeat(text * heard, each) + term[places]] * value[places], len(found)) + LEAST_RELEVANCE**2 * sims
+        weight, alike = np.round(shared / (own[text] * lengths[found]), 9) ** 2, sims >= ALIKE
+        n = np.bincount(text[alike], minlength=texts)
+        weight[alike] *= (n[text[alike]] - 1) / n[text[alike]]
+        prior, order = float(self.labels.mean()) if len(self.labels) else 0.0, np.lexsort((weight, text))
+        text, weight, bad = text[order], weight[order], self.labels[found[order]] > 0
+        return (PRIOR_VOTES * prior + np.bincount(text, weight * bad, texts)) / (PRIOR_VOTES + np.bincount(text, weight, texts))
+
+
+def _texts(at: np.ndarray) -> np.ndarray:
+    """Of each term: the text that it is in."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def _kth(sims: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row (0 if there are fewer)."""
+    return np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] >= k else np.zeros(len(sims))
+
+
+def _best(sims: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of what is above 0 and not below its row's least, by row, largest first."""
+    row, column = np.nonzero((sims > 0) & (sims >= least[:, None]))
+    value = sims[row, column]
+    order = np.lexsort((column, -value, row))
+    return row[order], column[order], value[order]
 
 
 @dataclass
@@ -363,6 +393,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[
     return featured, shared, Scale.fit(_left_out(rows, shared, len(order)), index.labels, silent)
 
 
+def _compared(index: Index, at: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+    """(text, example, similarity) of the neighbours of some texts at a time, numbered from 0, and these texts' votes."""
+    for part in runs(index.sizes(at, terms), HELD):
+        own = slice(at[part.start], at[part.stop])
+        begin = at[part.start : part.stop + 1] - own.start
+        vector = index.vectors(begin, terms[own], counts[own])
+        near = index.neighbours(begin, terms[own], vector)
+        yield *near, index.votes(begin, terms[own], vector, near)
+
+
 def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
     """Each example's votes, in example order (bounded as the examples are)."""
 
@@ -370,12 +410,11 @@ def _left_out(rows: DataFrame, shared: Broadcast, examples: int) -> np.ndarray:
         index = shared.value
         number = {i: e for e, i in enumerate(index.ids.tolist())}
         for b in batches:
-            votes = []
-            for i, terms, counts in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
-                if terms:
-                    places, counts = np.searchsorted(index.names, np.array([name_of(t) for t in terms], np.uint64)), np.array(counts)
-                    votes.append((number[i], index.vote(places, counts, *index.neighbours(places, counts))))
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in votes], pa.int32()), pa.array([v for _, v in votes], pa.float64())], names=["e", "vote"])
+            at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))]
+            terms = np.searchsorted(index.names, np.array([name_of(t) for t in b.column(2).flatten().to_pylist()], np.uint64))
+            votes = np.concatenate([np.zeros(0), *(v for *_, v in _compared(index, at, terms, b.column(3).flatten().to_numpy()))])
+            some = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array([number[i] for i in b.column(0).take(pa.array(some)).to_pylist()], pa.int32()), pa.array(votes[some])], names=["e", "vote"])
 
     found = rows.repartition(LEFT_OUT).mapInArrow(tidy(run), "e int, vote double").toArrow()
     out = np.zeros(examples)
@@ -395,24 +434,29 @@ def score(rows: DataFrame, shared: Broadcast, scale: Scale) -> DataFrame:
         speaks = np.zeros(len(index.names), bool)
         speaks[list(index.clear)] = True
 
-        def scored(terms: np.ndarray, counts: np.ndarray, vector: np.ndarray, common: np.ndarray):
-            found, sims = index.neighbours(terms, counts, common, vector)
-            vote = index.vote(terms, counts, found, sims, vector)
-            result = min(1.0, max(0.0, scale(vote))) if len(terms) else scale.silent
-            return result, vote, found, sims, sorted(map(index.clear.__getitem__, terms[speaks[terms]].tolist()))
-
         for b in batches:
             for lo in range(0, b.num_rows, QUERIES):
                 memo.trim()
-                keys, new = [], {}
-                part = b.slice(lo, QUERIES)
-                ends = np.cumsum(part.column(1).value_lengths().to_numpy())[:-1]
-                for terms, counts in zip(*(np.split(part.column(c).flatten().to_numpy(), ends) for c in (1, 2))):
-                    keys.append(hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest())
-                    if keys[-1] not in memo and keys[-1] not in new:
-                        new[keys[-1]] = terms, counts, index.vector(terms, counts)
-                for (key, query), common in zip(new.items(), index.common([(t, v) for t, _, v in new.values()])):
-                    memo[key] = scored(*query, common)
+                part, keys, new = b.slice(lo, QUERIES), [], []
+                ends = np.r_[0, np.cumsum(part.column(1).value_lengths().to_numpy())]
+                terms, counts = (part.column(c).flatten().to_numpy() for c in (1, 2))
+                for i, (start, end) in enumerate(pairwise(ends.tolist())):
+                    keys.append(hashlib.blake2b(terms[start:end].tobytes() + counts[start:end].tobytes(), digest_size=16).digest())
+                    if keys[-1] not in memo:
+                        memo[keys[-1]] = None
+                        new.append(i)
+                own = _spread(ends[new], ends[np.array(new, int) + 1] - ends[new])
+                at, terms, counts = np.r_[0, np.cumsum((ends[1:] - ends[:-1])[new])], terms[own], counts[own]
+                evidence = [[] for _ in new]
+                for i, term in zip(_texts(at)[speaks[terms]].tolist(), terms[speaks[terms]].tolist()):
+                    evidence[i].append(index.clear[term])
+                done = 0
+                for text, found, sims, votes in _compared(index, at, terms, counts):
+                    cut = np.searchsorted(text, np.arange(len(votes) + 1)).tolist()
+                    for i, vote in enumerate(votes.tolist()):
+                        result = min(1.0, max(0.0, scale(vote))) if at[done] < at[done + 1] else scale.silent
+                        memo[keys[new[done]]] = result, vote, found[cut[i] : cut[i + 1]], sims[cut[i] : cut[i + 1]], sorted(evidence[done])
+                        done += 1
                 scores, votes, found, sims, evidence = zip(*map(memo.__getitem__, keys))
                 near, at = np.concatenate(found), np.cumsum([0, *map(len, found)])
                 columns = {"doc_id": pa.array(index.ids[near], pa.int64()), "similarity": pa.array(np.concatenate(sims), pa.float64()), "toxic": pa.array(index.labels[near].astype(np.int32))}
