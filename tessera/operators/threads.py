@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.lanes import bm25, counted
+from tessera.operators.running import ranked
 from tessera.operators.tables import latest
 
 
@@ -60,14 +61,16 @@ def said(messages: DataFrame) -> DataFrame:
     return messages.select("message_id", F.concat_ws(" ", "question", "answer").alias("body"))
 
 
-def thread_search(threads: DataFrame, messages: DataFrame, terms: list[str], n: int = 200, titles=None, bodies=None) -> DataFrame:
-    """Threads whose title matches, newest first, then those whose messages do, by bm25; a thread once. `titles`, `bodies`: postings of the titles and of `said(messages)`, else they are counted here."""
+def thread_search(threads: DataFrame, messages: DataFrame, terms: list[str], n: int | None = 200, titles=None, bodies=None) -> DataFrame:
+    """Threads whose title matches, newest first, then those whose messages do, by bm25; a thread once. The first `n`, or with None all that match, ranked in ranges. `titles`, `bodies`: postings of the titles and of `said(messages)`, else they are counted here."""
     asked = [(terms, True)]
     titled = bm25(titles.counted(asked, "thread_id") if titles else counted(threads.select("thread_id", "title"), asked, "thread_id", "title"), terms, True, True).select("thread_id", F.lit(0).alias("place"), F.lit(0.0).alias("score"))
     scored = bm25(bodies.counted(asked, "message_id") if bodies else counted(said(messages), asked, "message_id", "body"), terms, True, True)
     found = scored.join(messages.select("message_id", "thread_id"), "message_id").groupBy("thread_id").agg(F.max("score").alias("score")).select("thread_id", F.lit(1).alias("place"), "score")
     once = latest(titled.unionByName(found), ["thread_id"], ["place"])
     by = [F.col("place"), F.desc("score"), F.desc("thread_id")]
+    if n is None:
+        return ranked(once, by).withColumn("rank", F.col("rank") - 1)
     return once.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
 
 

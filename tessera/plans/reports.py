@@ -251,7 +251,7 @@ def r16_thread_search(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     m = c.messages()
     titles = m.where("ordinal = 0").select("thread_id", F.left("question", F.lit(48)).alias("title"))
-    return _out(threads.thread_search(titles, m, ["thering"], titles=postings.of(titles, c.table("conversations"), "titles", "thread_id", "title"), bodies=postings.of(threads.said(m), c.table("conversations"), "messages", "message_id", "body")), "rank", "thread_id", "place", "score")
+    return _out(threads.thread_search(titles, m, ["thering"], n=None, titles=postings.of(titles, c.table("conversations"), "titles", "thread_id", "title"), bodies=postings.of(threads.said(m), c.table("conversations"), "messages", "message_id", "body")), "rank", "thread_id", "place", "score")
 
 
 def j18_left_enrich(spark, sf_dir):
