@@ -111,7 +111,8 @@ def derived(puts: DataFrame, tables: Collection[str] = tuple(TABLES), cache: Dat
         return each(("body",), "ordinal int, first int, last int, body string", extract.chunks)
 
     def keywords() -> DataFrame:
-        return postings.entries(chunks().withColumn("key", F.concat_ws(APART, "repo", "path", "ordinal")), "key", "body", "repo", "path")
+        said = each(("body",), "ordinal int, said string", extract.chunk_words)
+        return postings.entries(said.withColumn("key", F.concat_ws(APART, "repo", "path", "ordinal")), "key", "said", "repo", "path")
 
     def vectors() -> DataFrame:
         if cache is None:

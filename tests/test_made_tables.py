@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tessera import plans
+from tessera.functions import extract
 
 
 def same_as_sql(spark, tmp_path, name, **tables):
@@ -27,3 +28,11 @@ def test_thread_search_lists_all_that_match(spark, tmp_path):
     turns = [(i, t, role, text) for i in range(700) for t, role, text in ((0, "user", f"{'Thering' if i % 9 == 0 else 'about'} x{i}"), (1, "assistant", f"the thering {'of many words ' * (i % 40)}" if i % 3 else "no"))]
     conv, turn, role, text = map(list, zip(*turns))
     assert same_as_sql(spark, tmp_path, "r16_thread_search", conversations=pa.table({"conv_id": conv, "turn": turn, "role": role, "text": text})) > 400
+
+
+def test_words_that_a_cut_stands_in_are_one_word(spark, tmp_path):
+    long = " ".join(f"wörd{i}" for i in range(3000))  # one line of several pieces
+    texts = [long[k:] for k in range(9)] + ["x" * 7000 + " y-" + "e\u0301" * 4000, "a\nb " + "z" * 3199 + "é " + "q" * 3300, "-" * 3199 + "ab-cd", "short one\n", "ab cd " * 1100]
+    assert same_as_sql(spark, tmp_path, "s21_one_file", documents=pa.table({"doc_id": [i * 40 + 1 for i in range(len(texts))], "source": [f"src{i % 3}" for i in range(len(texts))], "text": texts})) > 9
+    assert [len(w) for _, w in extract.chunk_words("v" * 7000 + " w")] == [7000, 0, 2]
+    assert [(o, len(b)) for o, _, _, b in extract.chunks("v" * 7000 + " w")] == [(0, 3200), (1, 3200), (2, 602)]
