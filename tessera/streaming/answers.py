@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.extract import Renumberer
@@ -49,35 +51,57 @@ def renumbered(pieces: DataFrame) -> DataFrame:
 
 CALLS = "turn long, step string, ts timestamp, prompt long, completion long, cached long, closes boolean"
 METER = "turn long, calls long, prompt long, completion long, cached long, started timestamp, ended timestamp, abandoned boolean"
-COUNTS = "calls long, prompt long, completion long, cached long, started timestamp, ended timestamp"
+#: turns that share a state, and what is open of them: rows of as many numbers as OPEN_TURN names
+TOGETHER, OPEN_TURNS = 512, "turns binary"
+OPEN_TURN = ("blank", "turn", "calls", "prompt", "completion", "cached", "said", "started", "ended", "deadline")
 
 
 def metered(calls: DataFrame, patience: str = "30 minutes", late: str = "5 minutes") -> DataFrame:
     """Q10: `calls(turn, step, ts, prompt, completion, cached, closes)` of model steps -> one row per turn when it closes, or, `abandoned`, when nothing was heard of it for `patience` of event time.
 
     `cached` is null for calls that do not say; the sum is null only if none does. Calls later than `late` are not counted.
+    Turns are dealt into TOGETHER states by their hash, for a call of Python costs as much for one turn as for thousands; each turn keeps its own deadline, and a state's is the first of them.
     """
     span_ms = int(pd.Timedelta(patience).total_seconds() * 1000)
+    none = np.empty((0, len(OPEN_TURN)), np.int64)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, prompt, completion, cached, started, ended = state.get if state.exists else (0, 0, 0, None, None, None)
-        closed = abandoned = state.hasTimedOut
+        now, heard = state.getCurrentWatermarkMs(), [none]
+        held = np.frombuffer(state.get[0], np.int64).reshape(-1, len(OPEN_TURN)) if state.exists else none
+        closes = [np.zeros(len(held), bool)]
         if not state.hasTimedOut:
             for b in batches:
-                n += len(b)
-                prompt, completion = prompt + int(b.prompt.sum()), completion + int(b.completion.sum())
-                if b.cached.notna().any():
-                    cached = (cached or 0) + int(b.cached.sum())
-                started, ended = min(x for x in (started, b.ts.min()) if x is not None), max(x for x in (ended, b.ts.max()) if x is not None)
-                closed |= bool(b.closes.any())
-        if closed:
+                heard.append(b[list(OPEN_TURN)].to_numpy(np.int64))
+                closes.append(b.closes.to_numpy(bool))
+        rows, closed = _per_turn(np.concatenate([held, *heard]), np.concatenate(closes), len(held), span_ms, now)
+        over = closed | (rows[:, -1] < now)
+        rest = rows[~over]
+        if len(rest):
+            state.update((rest.tobytes(),))
+            state.setTimeoutTimestamp(max(int(rest[:, -1].min()), now))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], n, prompt, completion, cached, started, ended, abandoned)], columns=["turn", "calls", "prompt", "completion", "cached", "started", "ended", "abandoned"]).astype({"cached": "Int64"})
-        else:
-            state.update((n, prompt, completion, cached, started, ended))
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(ended).timestamp() * 1000) + span_ms, state.getCurrentWatermarkMs() + 1))
-
-    return calls.withWatermark("ts", late).groupBy("turn").applyInPandasWithState(step, METER, COUNTS, "append", GroupStateTimeout.EventTimeTimeout)
+        if over.any():
+            yield pd.DataFrame(rows[over][:, :-1], columns=OPEN_TURN[:-1]).assign(abandoned=~closed[over])
+
+    micros, whole = F.unix_micros("ts"), lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    told = calls.withWatermark("ts", late).select("ts", F.pmod(F.xxhash64("turn"), F.lit(TOGETHER)).alias("bucket"), F.col("turn").isNull().cast("long").alias("blank"), whole("turn"), F.lit(1).cast("long").alias("calls"), whole("prompt"), whole("completion"), whole("cached"), F.col("cached").isNotNull().cast("long").alias("said"), micros.alias("started"), micros.alias("ended"), F.lit(0).cast("long").alias("deadline"), F.coalesce("closes", F.lit(False)).alias("closes"))
+    sums = ", ".join(f"{c} long" for c in OPEN_TURN[:-1]) + ", abandoned boolean"
+    made = told.groupBy("bucket").applyInPandasWithState(step, sums, OPEN_TURNS, "append", GroupStateTimeout.EventTimeTimeout)
+    return made.select(F.when(F.col("blank") == 0, F.col("turn")).alias("turn"), "calls", "prompt", "completion", F.when(F.col("said") > 0, F.col("cached")).alias("cached"), F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "abandoned")
+
+
+def _per_turn(rows: np.ndarray, closes: np.ndarray, held: int, span_ms: int, now: int) -> tuple[np.ndarray, np.ndarray]:
+    """(OPEN_TURN of each turn, whether it closed) of `held` open turns and single calls after them; what was heard of now has a new deadline."""
+    if not len(rows):
+        return rows, closes
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows, closes, fresh = rows[order], closes[order], (order >= held).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+    out = np.concatenate([rows[first, :2], np.add.reduceat(rows[:, 2:7], first), np.minimum.reduceat(rows[:, 7:8], first), np.maximum.reduceat(rows[:, 8:], first)], axis=1)
+    anew = np.add.reduceat(fresh, first) > 0
+    out[anew, -1] = np.maximum(out[anew, -2] // 1000 + span_ms, now + 1)
+    return out, np.logical_or.reduceat(closes, first)
 
 
 def landed(spark, folder: str, schema: str, made, out: str, checkpoint: str) -> None:

@@ -1,11 +1,15 @@
 """Queries over made tables that the provided ones are too small or too plain for, against their SQL."""
 
+import datetime as dt
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tessera import plans
 from tessera.functions import extract
+from tessera.streaming import answers
 
 
 def same_as_sql(spark, tmp_path, name, **tables):
@@ -36,3 +40,23 @@ def test_words_that_a_cut_stands_in_are_one_word(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "s21_one_file", documents=pa.table({"doc_id": [i * 40 + 1 for i in range(len(texts))], "source": [f"src{i % 3}" for i in range(len(texts))], "text": texts})) > 9
     assert [len(w) for _, w in extract.chunk_words("v" * 7000 + " w")] == [7000, 0, 2]
     assert [(o, len(b)) for o, _, _, b in extract.chunks("v" * 7000 + " w")] == [(0, 3200), (1, 3200), (2, 602)]
+
+
+def test_many_turns_share_a_state_and_keep_their_own_deadlines(spark, tmp_path):
+    rng, at = random.Random(3), lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    open_, want = {}, []
+    for landing in range(3):
+        rows = [(rng.randrange(2500) if i else None, "s", landing * 100 + rng.randrange(90), i, 1, rng.choice([None, 2]), rng.random() < 0.2) for i in range(1500)]
+        spark.createDataFrame([(t, s, at(m), *rest) for t, s, m, *rest in rows], answers.CALLS).write.mode("append").parquet(f"{tmp_path}/landed")
+        answers.landed(spark, f"{tmp_path}/landed", answers.CALLS, lambda c: answers.metered(c, "10 minutes", "60 minutes"), f"{tmp_path}/out", f"{tmp_path}/offsets")
+        for t, _, m, prompt, completion, cached, closes in rows:
+            was = open_.get(t, (0, 0, 0, None, m, m, False))
+            open_[t] = (was[0] + 1, was[1] + prompt, was[2] + completion, was[3] if cached is None else (was[3] or 0) + cached, min(was[4], m), max(was[5], m), was[6] or closes)
+        mark = max(r[2] for r in rows) - 60
+        for t, (*sums, first, last, closed) in list(open_.items()):
+            if closed or last + 10 < mark:
+                want.append((t, *sums, at(first), at(last), not closed))
+                del open_[t]
+    got = [tuple(r) for r in spark.read.schema(answers.METER).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(w[-1] for w in want) > 100 < len(open_)
+    assert spark.read.format("statestore").load(f"{tmp_path}/offsets").count() <= answers.TOGETHER < len(open_)
