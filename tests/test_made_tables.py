@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 
 from tessera import plans
 from tessera.functions import extract
+from tessera.operators import edges
 from tessera.streaming import answers
 
 
@@ -60,3 +61,34 @@ def test_many_turns_share_a_state_and_keep_their_own_deadlines(spark, tmp_path):
     got = [tuple(r) for r in spark.read.schema(answers.METER).parquet(f"{tmp_path}/out").collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and sum(w[-1] for w in want) > 100 < len(open_)
     assert spark.read.format("statestore").load(f"{tmp_path}/offsets").count() <= answers.TOGETHER < len(open_)
+
+
+def test_includes_make_their_pairs_last(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [(i, rng.choice(["src1"] * 8 + ["src4", "src14"] + [f"s{rng.randrange(40)}"]), rng.choice(["de", "fr", "it", "en", "es"]), rng.choice(["a\nB c\nWord", "x\nCapital is here", "none"])) for i in range(0, 2400, 3)]
+    ids, source, lang, text = map(list, zip(*docs))
+    assert same_as_sql(spark, tmp_path, "j10_includes", documents=pa.table({"doc_id": ids, "source": source, "lang": lang, "text": text})) > 3000
+    plan = plans.queries()["j10_includes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan[: plan.index("Exchange")]  # what is above the join is not moved
+
+
+def test_includes_of_many_sites_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(edges, "BLOCK", 4)
+    rng = random.Random(9)
+    repos = {f: f"r{rng.randrange(5)}" for f in range(160)}
+    files = [(f, r, f"p{f}", rng.choice(["de", "fr", "it", "en"]) + f"_{rng.randrange(3)}") for f, r in repos.items()]
+    sites = [(f, repos[f], rng.choice(["{lang}_", "{lang}_", "fr_", "xx_"]) + f"{rng.randrange(3)}", rng.randrange(50)) for f in repos for _ in range(rng.randrange(5))]
+    libraries, languages = {"r0", "r1"}, ("de", "fr", "it", "en")
+    want = {}
+    for f, repo, value in sorted({s[:3] for s in sites}):
+        line = min(s[3] for s in sites if s[:3] == (f, repo, value))
+        ways = [(i, value.replace("{lang}", x)) for i, x in enumerate(languages)] if "{lang}" in value else [(0, value)]
+        found = [(far_repo != repo, rank, far, far_repo) for rank, stem in ways for far, far_repo, _, s in files if s == stem and far != f and (far_repo == repo or far_repo in libraries)]
+        for away, rank, far, far_repo in found:
+            if (away, rank) == min(x[:2] for x in found):
+                want[f, far] = min(want.get((f, far), (99,)), (line, value, rank, far_repo))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    chunks = frame([(f, f * 10 + o, o, 1 + o * 5, 5 + o * 5) for f in repos for o in range(2)], "file_id long, chunk_id long, ordinal int, start_line int, end_line int")
+    got = edges.includes(frame(sites, "file_id long, repo string, value string, line int"), frame(files, "file_id long, repo string, path string, stem string"), chunks, frame([(r, True) for r in libraries], "repo string, library boolean"), languages)
+    rows = [((r.file_id, r.far_id), (r.line, r.value, r["rank"], r.far_repo)) for r in got.collect()]
+    assert len(rows) == len(want) > 500 and dict(rows) == want and all(r.chunk_id == r.far_id * 10 and r.far_path == f"p{r.far_id}" for r in got.collect())
