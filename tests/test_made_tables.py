@@ -92,3 +92,20 @@ def test_includes_of_many_sites_equal_a_plain_version(spark, monkeypatch):
     got = edges.includes(frame(sites, "file_id long, repo string, value string, line int"), frame(files, "file_id long, repo string, path string, stem string"), chunks, frame([(r, True) for r in libraries], "repo string, library boolean"), languages)
     rows = [((r.file_id, r.far_id), (r.line, r.value, r["rank"], r.far_repo)) for r in got.collect()]
     assert len(rows) == len(want) > 500 and dict(rows) == want and all(r.chunk_id == r.far_id * 10 and r.far_path == f"p{r.far_id}" for r in got.collect())
+
+
+def test_pairs_of_shared_tokens_are_dealt_as_a_plain_version_does(spark, monkeypatch):
+    monkeypatch.setattr(edges, "BLOCK", 8)
+    monkeypatch.setattr(edges, "PAIRS", 500)
+    rng = random.Random(10)
+    rows = []
+    for i in range(420):
+        kind, v = rng.choice(["route", "destination", "property", "property", "link", "other"]), rng.randrange(6)
+        repo = f"r{(v + rng.randrange(5 if v == 5 else 1 + v % 3)) % 5}"  # value 5 stands in too many
+        rows += [(kind, f"v{v}", repo, f"f{rng.randrange(30)}" + rng.choice([".go", ".properties"]), rng.randrange(4))] * rng.choice([1, 1, 1, 2, 3])
+    few = {k for k in {r[:2] for r in rows} if len({r[2] for r in rows if r[:2] == k}) <= 3 and k[0] != "link"}
+    meets = lambda a, b: a[2] != b[2] or (a[0] == "property" and a[3] != b[3] and not a[3].endswith(".properties") and b[3].endswith(".properties"))
+    want = sorted((*a, *b[2:]) for a in rows if a[:2] in few for b in rows if b[:2] == a[:2] and meets(a, b))
+    tokens = spark.createDataFrame(rows, "kind string, value string, repo string, path string, line long")
+    near = edges.neighbours(tokens)
+    assert sorted(map(tuple, near.collect())) == want and len(want) > 5000 and near.rdd.getNumPartitions() >= len(want) / 500
