@@ -6,6 +6,7 @@ import random
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import extract
@@ -94,7 +95,7 @@ def test_includes_of_many_sites_equal_a_plain_version(spark, monkeypatch):
     assert len(rows) == len(want) > 500 and dict(rows) == want and all(r.chunk_id == r.far_id * 10 and r.far_path == f"p{r.far_id}" for r in got.collect())
 
 
-def test_pairs_of_shared_tokens_are_dealt_as_a_plain_version_does(spark, monkeypatch):
+def test_pairs_of_shared_tokens_are_dealt_and_numbered_as_a_plain_version_does(spark, monkeypatch):
     monkeypatch.setattr(edges, "BLOCK", 8)
     monkeypatch.setattr(edges, "PAIRS", 500)
     rng = random.Random(10)
@@ -109,3 +110,12 @@ def test_pairs_of_shared_tokens_are_dealt_as_a_plain_version_does(spark, monkeyp
     tokens = spark.createDataFrame(rows, "kind string, value string, repo string, path string, line long")
     near = edges.neighbours(tokens)
     assert sorted(map(tuple, near.collect())) == want and len(want) > 5000 and near.rdd.getNumPartitions() >= len(want) / 500
+    first = {"route": 0, "destination": 1}
+    rank = F.when(F.col("kind") == "route", 0).when(F.col("kind") == "destination", 1).otherwise(2)
+    told = []
+    for repo in {w[2] for w in want}:
+        told += [(*w, n) for n, w in enumerate(sorted((w for w in want if w[2] == repo), key=lambda w: (first.get(w[0], 2), *w[:2], *w[3:])), 1)]
+    numbered = edges.numbered_neighbours(tokens, rank)
+    assert sorted(map(tuple, numbered.collect())) == sorted(told)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan[: plan.index("Exchange")] and "Window" not in plan[: plan.index("Join")]
